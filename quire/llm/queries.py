@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from quire.llm import exact_dedup
+from quire.llm import exact_dedup, quality
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_quality_rules": quality.op2_quality_rules,
 }
 
 ORACLE_SQL = {
     "op1_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op2_quality_rules": quality.ORACLE_SQL,
 }
