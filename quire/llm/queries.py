@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quire.llm import exact_dedup, quality
+from quire.llm import exact_dedup, quality, simhash
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_quality_rules": quality.op2_quality_rules,
+    "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
 }
 
 ORACLE_SQL = {

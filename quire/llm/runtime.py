@@ -41,6 +41,18 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A side of a join is broadcast up to this many rows of a few numbers each.
+BROADCAST_ROWS = 300_000
+
+
+def counted(df: DataFrame, label: str, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` written out and counted; marked for broadcast only if it has at most ``rows`` rows."""
+    from pyspark.sql import functions as F
+
+    table = materialise(df, label)
+    return F.broadcast(table) if table.count() <= rows else table
+
+
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
