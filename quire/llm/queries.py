@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from quire.llm import chat, exact_dedup, packing, quality, simhash, url_rules
+from quire.llm import chat, exact_dedup, mixing, packing, pseudonyms, quality, simhash, url_rules
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_quality_rules": quality.op2_quality_rules,
     "op3_packing": packing.op3_packing,
     "op4_url_filters": url_rules.op4_url_filters,
+    "op5_pii": pseudonyms.op5_pii,
+    "op6_mixing": mixing.op6_mixing,
     "op7_chat_formatting": chat.op7_chat_formatting,
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
 }
