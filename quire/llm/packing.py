@@ -35,33 +35,88 @@ class WordTokenizer:
     """Ids of whole texts, remembering each white-space-delimited word.
 
     Holds for tokenizers whose pre-tokens never span white space, so that the
-    ids of a text are the ids of its words in order.
+    ids of a text are the ids of its words in order. Where the tokenizer lower-
+    cases and marks word ends, words are looked up in lower case, a word with
+    punctuation behind it is put together from its two pre-tokens, and unknown
+    words made of letters are encoded in one string and told apart by the ids
+    that end a word. Two generations of at most ``limit`` words are kept.
     """
 
     def __init__(self, path: str, limit: int = REMEMBERED):
+        import json
         import os
+        import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import numpy as np
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {}
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-
-    def ids(self, text: bytes) -> bytes:
+        self.tokenizer, self.limit, self.young, self.old = Tokenizer.from_file(path), limit, {}, {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.size = max(vocabulary.values()) + 1
+        self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        self.ends = None
+        if suffix and self.tokenizer.encode("Aa Bb", add_special_tokens=False).ids == self.tokenizer.encode("aa bb", add_special_tokens=False).ids:
+            self.ends = np.zeros(self.size, bool)
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        #: letters, then punctuation that starts neither a contraction nor a special token
+        self.parts = re.compile(rb"([a-z]+)([!-&(-/:;=>?@\[-`{}~]+)").fullmatch
+
+    def _recall(self, word: bytes) -> bytes | None:
+        known = self.young.get(word)
+        if known is None and (known := self.old.get(word)) is not None:
+            self.young[word] = known
+        return known
+
+    def _encode(self, words: list[bytes]) -> None:
+        """Ids of words not known yet."""
         import numpy as np
 
-        words = text.split()
-        known = self.known
-        missing = list({w for w in words if w not in known})
-        if missing:
-            if len(known) + len(missing) > self.limit:
-                known.clear()
-                missing = list(set(words))
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in missing], add_special_tokens=False)
-            for w, e in zip(missing, found, strict=True):
-                known[w] = np.array(e.ids, self.kind).tobytes()
-        return b"".join(map(known.__getitem__, words))
+        texts = [w.decode("utf-8", "replace") for w in words]
+        plain = [(w, t) for w, t in zip(words, texts, strict=True) if self.ends is not None and t.isalpha()]
+        if plain:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(t for _, t in plain)], add_special_tokens=False)[0].ids, self.kind)
+            cuts = (np.flatnonzero(self.ends[ids]) + 1) * self.kind.itemsize
+            if len(cuts) == len(plain):
+                raw, start = ids.tobytes(), 0
+                for (w, _), end in zip(plain, cuts.tolist(), strict=True):
+                    self.young[w] = raw[start:end]
+                    start = end
+            else:
+                plain = []
+        rest = [(w, t) for w, t in zip(words, texts, strict=True) if w not in self.young]
+        if rest:
+            for (w, _), e in zip(rest, self.tokenizer.encode_batch_fast([t for _, t in rest], add_special_tokens=False), strict=True):
+                self.young[w] = np.array(e.ids, self.kind).tobytes()
+
+    def many(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text, little-endian."""
+        pieces, holes = [], {}
+        for text in texts:
+            words = (text.lower() if self.ends is not None and b"<|" not in text else text).split()
+            out = list(map(self.young.get, words))
+            if None in out:
+                for at in [i for i, x in enumerate(out) if x is None]:
+                    word = words[at]
+                    if (known := self.old.get(word)) is not None:
+                        out[at] = self.young[word] = known
+                    elif word in holes:
+                        holes[word].append((out, at))
+                    else:
+                        holes[word] = [(out, at)]
+            pieces.append(out)
+        if holes:
+            joint = {w: m.groups() for w in holes if self.ends is not None and (m := self.parts(w))}
+            self._encode(list({p for w in holes for p in joint.get(w, (w,)) if self._recall(p) is None}))
+            for word, places in holes.items():
+                ids = b"".join(map(self.young.__getitem__, joint[word])) if word in joint else self.young[word]
+                self.young[word] = ids
+                for out, at in places:
+                    out[at] = ids
+        if len(self.young) > self.limit:
+            self.old, self.young = self.young, {}
+        return [b"".join(out) for out in pieces]
 
 
 def hilbert(points, bits: int):
@@ -112,13 +167,13 @@ def tokenised(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
         from pyspark import TaskContext
 
         words = WordTokenizer(tokenizer)
-        table = _projection(words.tokenizer.get_vocab_size())
+        table = _projection(words.size)
         end = np.array([end_id], words.kind).tobytes()
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
-                ids = [words.ids(x) + end for x in raw_bytes(part.column(2))]
+            for lo in range(0, batch.num_rows, 100):
+                part = batch.slice(lo, 100)
+                ids = [x + end for x in words.many(raw_bytes(part.column(2)))]
                 n = [len(x) // words.kind.itemsize for x in ids]
                 mean = np.array([table[np.frombuffer(x, words.kind)].mean(axis=0) for x in ids])
                 cell = np.minimum((0.5 + np.arctan(4 * mean) / np.pi) * (1 << BITS), (1 << BITS) - 1).astype(np.int64)

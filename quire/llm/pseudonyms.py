@@ -257,5 +257,5 @@ def pseudonymise(docs: DataFrame, key: bytes = DEFAULT_KEY, text_col: str = "tex
 
 def op5_pii(spark, sf_dir):
     found = pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    counts = [F.size(F.filter("found", lambda f, k=k: f["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    counts = [F.expr(f"cast(size(filter(found, f -> f.kind = '{k}')) as long)").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", "text", *counts)
