@@ -18,6 +18,7 @@ empty result; unnamed columns are ignored.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
@@ -27,8 +28,16 @@ from quire.llm.runtime import materialise, raw_bytes
 
 LENGTH, END_ID = 4096, 2
 DIMENSIONS, BITS = 4, 12
-#: Words remembered with their ids in each task.
-REMEMBERED = 300_000
+#: Words remembered with their ids in each worker, in either of two generations.
+REMEMBERED = 400_000
+
+
+def _lower_letters(word: bytes) -> bool:
+    """Only letters, in lower case and composed."""
+    if word.isascii():
+        return word.isalpha() and word.islower()
+    text = word.decode("utf-8", "replace")
+    return text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text)
 
 
 class WordTokenizer:
@@ -55,13 +64,18 @@ class WordTokenizer:
         vocabulary = self.tokenizer.get_vocab()
         self.size = max(vocabulary.values()) + 1
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        spec = json.loads(self.tokenizer.to_str())
+        suffix = spec["model"].get("end_of_word_suffix")
+        # the same model for words of lower-case letters, which need no normalising and are one pre-token each
+        spec |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}}
+        self.letters = Tokenizer.from_str(json.dumps(spec))
         self.ends = None
-        if suffix and self.tokenizer.encode("Aa Bb", add_special_tokens=False).ids == self.tokenizer.encode("aa bb", add_special_tokens=False).ids:
+        probe = sorted(t.removesuffix(suffix) for t in vocabulary if suffix and re.fullmatch("[a-z]+" + re.escape(suffix), t))
+        if probe and self.tokenizer.encode(" ".join(probe).title(), add_special_tokens=False).ids == self.letters.encode(" ".join(probe), add_special_tokens=False).ids:
             self.ends = np.zeros(self.size, bool)
             self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         #: letters, then punctuation that starts neither a contraction nor a special token
-        self.parts = re.compile(rb"([a-z]+)([!-&(-/:;=>?@\[-`{}~]+)").fullmatch
+        self.parts = re.compile(rb"([a-z\x80-\xff]+)([!-&(-/:;=>?@\[-`{}~]+)").fullmatch
 
     def _recall(self, word: bytes) -> bytes | None:
         known = self.young.get(word)
@@ -73,23 +87,23 @@ class WordTokenizer:
         """Ids of words not known yet."""
         import numpy as np
 
-        texts = [w.decode("utf-8", "replace") for w in words]
-        plain = [(w, t) for w, t in zip(words, texts, strict=True) if self.ends is not None and t.isalpha()]
+        plain = [w for w in words if _lower_letters(w)] if self.ends is not None else []
         if plain:
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(t for _, t in plain)], add_special_tokens=False)[0].ids, self.kind)
-            cuts = (np.flatnonzero(self.ends[ids]) + 1) * self.kind.itemsize
+            ids = np.array(self.letters.encode_batch_fast([b" ".join(plain).decode()], add_special_tokens=False)[0].ids, self.kind)
+            cuts = ((np.flatnonzero(self.ends[ids]) + 1) * self.kind.itemsize).tolist()
             if len(cuts) == len(plain):
-                raw, start = ids.tobytes(), 0
-                for (w, _), end in zip(plain, cuts.tolist(), strict=True):
-                    self.young[w] = raw[start:end]
-                    start = end
-            else:
-                plain = []
-        rest = [(w, t) for w, t in zip(words, texts, strict=True) if w not in self.young]
+                raw = ids.tobytes()
+                self.young.update(zip(plain, map(raw.__getitem__, map(slice, [0, *cuts], cuts)), strict=False))
+        rest = [w for w in words if w not in self.young]
         if rest:
-            for (w, _), e in zip(rest, self.tokenizer.encode_batch_fast([t for _, t in rest], add_special_tokens=False), strict=True):
+            for w, e in zip(rest, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in rest], add_special_tokens=False), strict=True):
                 self.young[w] = np.array(e.ids, self.kind).tobytes()
 
+    def _parts(self, word: bytes) -> tuple[bytes, ...] | None:
+        """Letters and the punctuation behind them, where the tokenizer is sure to part them."""
+        m = self.parts(word)
+        return m.groups() if m and _lower_letters(m[1]) else None
+
     def many(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, little-endian."""
         pieces, holes = [], {}
@@ -107,7 +121,7 @@ class WordTokenizer:
                         holes[word] = [(out, at)]
             pieces.append(out)
         if holes:
-            joint = {w: m.groups() for w in holes if self.ends is not None and (m := self.parts(w))}
+            joint = {w: p for w in holes if self.ends is not None and (p := self._parts(w))}
             self._encode(list({p for w in holes for p in joint.get(w, (w,)) if self._recall(p) is None}))
             for word, places in holes.items():
                 ids = b"".join(map(self.young.__getitem__, joint[word])) if word in joint else self.young[word]
@@ -150,6 +164,17 @@ def hilbert(points, bits: int):
     return key
 
 
+def _kept_in_worker(path: str) -> WordTokenizer:
+    """The tokenizer with the words it remembers, kept by the Python worker from task to task."""
+    import sys
+    import types
+
+    held = sys.modules.setdefault("quire_worker_state", types.ModuleType("quire_worker_state")).__dict__
+    if path not in held:
+        held[path] = WordTokenizer(path)
+    return held[path]
+
+
 def _projection(size: int):
     """Fixed random vectors of token ids."""
     import numpy as np
@@ -166,7 +191,7 @@ def tokenised(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        words = WordTokenizer(tokenizer)
+        words = _kept_in_worker(tokenizer)
         table = _projection(words.size)
         end = np.array([end_id], words.kind).tobytes()
         row = TaskContext.get().partitionId() << 36
