@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import chat, exact_dedup, mixing, packing, pseudonyms, quality, simhash, url_rules
+from quire.llm import chat, exact_dedup, html_text, licenses, mixing, packing, pseudonyms, quality, simhash, url_rules
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -13,6 +13,8 @@ QUERIES = {
     "op6_mixing": mixing.op6_mixing,
     "op7_chat_formatting": chat.op7_chat_formatting,
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
+    "op9_license_scan": licenses.op9_license_scan,
+    "op10_html_extraction": html_text.op10_html_extraction,
 }
 
 ORACLE_SQL = {
