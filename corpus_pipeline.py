@@ -5,16 +5,21 @@ returns the columns of ``documents``; between stages the rows are written as
 Parquet and read again. The mix decides the order of the files' rows: each file
 is one stretch of the mix, and packing runs along its curve within one file
 after the other, so every stretch keeps the target weights.
+
+As its input is written by then, a stage drops the intermediate tables that the
+stages before it left in the shared folder.
 """
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import exact_dedup, mixing, packing, quality, simhash
-from quire.llm.runtime import DOCUMENT_COLUMNS, materialise
+from quire.llm.runtime import DOCUMENT_COLUMNS, Scratch, materialise
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,12 +51,31 @@ def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(ordered, packing.word_tokenizer_path(), window="part"))
 
 
+_left: list[tuple[int, Scratch]] = []
+
+
+def _cleaning(place: int, stage):
+    """``stage`` with the tables of earlier stages dropped first; its own stay until a later stage runs."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        for left in [x for x in _left if x[0] < place]:
+            left[1].drop(spark)
+            _left.remove(left)
+        with Scratch() as scratch:
+            out = stage(spark, docs, sf_dir)
+        _left.append((place, scratch))
+        return out
+
+    return run_stage
+
+
 STAGES = [
-    ("quality", quality_stage),
-    ("exact_dedup", exact_stage),
-    ("near_dedup", near_stage),
-    ("mix", mix_stage),
-    ("pack", pack_stage),
+    ("quality", _cleaning(0, quality_stage)),
+    ("exact_dedup", _cleaning(1, exact_stage)),
+    ("near_dedup", _cleaning(2, near_stage)),
+    ("mix", _cleaning(3, mix_stage)),
+    ("pack", _cleaning(4, pack_stage)),
 ]
 
 #: Tokens and fingerprints are beyond SQL; tests compare with a brute-force version.
@@ -60,7 +84,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; one row per packed piece."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        with Scratch() as written:
+            docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before:
+            before.drop(spark)
+        before = written
     return STAGES[-1][1](spark, docs, sf_dir)

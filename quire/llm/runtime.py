@@ -37,10 +37,36 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quire/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Collects the tables materialised inside a ``with`` block, to be dropped once nothing reads them any more."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+    def __enter__(self) -> Scratch:
+        _open.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _open.remove(self)
+
+    def drop(self, spark: SparkSession) -> None:
+        files = spark._jvm.org.apache.hadoop.fs
+        for path in self.paths:
+            where = files.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        self.paths.clear()
+
+
+_open: list[Scratch] = []
+
+
 #: A side of a join is broadcast up to this many rows of a few numbers each.
 BROADCAST_ROWS = 300_000
 
