@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.runtime import materialise, raw_bytes, squeeze
+from quire.llm.runtime import counted, materialise, raw_bytes, squeeze
 
 CHUNK_BYTES = 16 << 20
 TRIE_BYTES = 64 << 20
@@ -283,7 +283,7 @@ def keep_exact(docs: DataFrame, columns: tuple[str, ...], id_col: str = "doc_id"
     """The documents that stay, with ``columns`` only."""
     carry = tuple(c for c in columns if c != text_col)
     reps = materialise(representatives(docs, id_col, text_col, carry), "exact-reps")
-    losers = owners(reps).where(~F.col("owner")).select("uid")
+    losers = counted(owners(reps).where(~F.col("owner")).select("uid"), "exact-losers")
     kept = reps.join(losers, "uid", "left_anti")
     return kept.select(*[F.col("doc_text" if c == text_col else f"_c{carry.index(c)}").alias(c) for c in columns])
 
