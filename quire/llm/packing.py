@@ -164,15 +164,36 @@ def hilbert(points, bits: int):
     return key
 
 
-def _kept_in_worker(path: str) -> WordTokenizer:
-    """The tokenizer with the words it remembers, kept by the Python worker from task to task."""
+def _kept_in_worker(path: str, idle_s: float = 4.0) -> WordTokenizer:
+    """The tokenizer with the words it remembers, kept by the Python worker from task to task.
+
+    A worker that is left idle for ``idle_s`` seconds gives the memory back, so
+    that other stages find it free.
+    """
     import sys
+    import threading
     import types
 
-    held = sys.modules.setdefault("quire_worker_state", types.ModuleType("quire_worker_state")).__dict__
-    if path not in held:
-        held[path] = WordTokenizer(path)
-    return held[path]
+    state = sys.modules.setdefault("quire_worker_state", types.ModuleType("quire_worker_state")).__dict__
+    if (timer := state.pop("timer", None)) is not None:
+        timer.cancel()
+    if state.get("path") != path:
+        state |= {"path": path, "words": WordTokenizer(path)}
+
+    def forget() -> None:
+        import ctypes
+
+        state.pop("path", None)
+        state.pop("words", None)
+        ctypes.CDLL(None).malloc_trim(0)
+
+    def rest() -> None:
+        state["timer"] = timer = threading.Timer(idle_s, forget)
+        timer.daemon = True
+        timer.start()
+
+    state["words"].rest = rest
+    return state["words"]
 
 
 def _projection(size: int):
@@ -208,6 +229,7 @@ def tokenised(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
                     names=["row", "doc_id", "window", "key", "n", "ids", "width"],
                 )
                 row += len(ids)
+        words.rest()
 
     return inputs.mapInArrow(measure, "row long, doc_id long, window long, key long, n long, ids binary, width int")
 
