@@ -1 +1,11 @@
-"""quire: bibliographic-record analytics expressed as Spark DataFrames."""
+"""quire: bibliographic-record analytics expressed as Spark DataFrames.
+
+Functions that run inside Python workers are shipped by value, so executors
+need no copy of this package on their path.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
