@@ -177,23 +177,26 @@ def _kept_in_worker(path: str, idle_s: float = 4.0) -> WordTokenizer:
     state = sys.modules.setdefault("quire_worker_state", types.ModuleType("quire_worker_state")).__dict__
     if (timer := state.pop("timer", None)) is not None:
         timer.cancel()
-    if state.get("path") != path:
-        state |= {"path": path, "words": WordTokenizer(path)}
+    words = state.get("words") if state.get("path") == path else None
+    if words is None:
+        words = WordTokenizer(path)
+        state |= {"path": path, "words": words}
 
     def forget() -> None:
         import ctypes
 
         state.pop("path", None)
         state.pop("words", None)
-        ctypes.CDLL(None).malloc_trim(0)
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
 
     def rest() -> None:
         state["timer"] = timer = threading.Timer(idle_s, forget)
         timer.daemon = True
         timer.start()
 
-    state["words"].rest = rest
-    return state["words"]
+    words.rest = rest
+    return words
 
 
 def _projection(size: int):
