@@ -125,3 +125,23 @@ def mixed_order(docs: DataFrame, columns: tuple[str, ...], weights: dict[str, fl
 def op6_mixing(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source")
     return mix(docs).select(F.col("row.doc_id").alias("doc_id"), "source", "block", "slot", "seat", "release", "deadline")
+
+
+ORACLE_SQL = f"""
+WITH RECURSIVE n AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+l AS (SELECT source, n, row_number() OVER (ORDER BY n DESC, source NULLS FIRST) AS lane FROM n),
+t AS (SELECT count(*) AS k, greatest({PERIOD}, 10 * count(*)) AS q, sum(pow(n::DOUBLE, {TEMPERATURE})) AS w FROM l),
+x AS (SELECT l.*, k, q, (q - k) * pow(n::DOUBLE, {TEMPERATURE}) / w AS x FROM l, t),
+f AS (SELECT *, floor(x)::BIGINT AS f, q - k - sum(floor(x)::BIGINT) OVER () AS spare, row_number() OVER (ORDER BY round(x - floor(x), 9) DESC, lane) AS r FROM x),
+s AS (SELECT source, lane, q, 1 + f + CASE WHEN r <= spare THEN 1 ELSE 0 END AS a FROM f),
+c AS (SELECT max(q) AS q, list(a ORDER BY lane) AS a, range(1, count(*) + 1) AS i FROM s),
+e(t, done, pick) AS (SELECT -1::BIGINT, list_transform(i, lambda j: 0::BIGINT), 0::BIGINT FROM c UNION ALL
+  SELECT t + 1, list_transform(i, lambda j: done[j] + CASE WHEN j = p THEN 1 ELSE 0 END), p FROM (
+    SELECT e.t, e.done, c.i, list_sort(list_filter(list_transform(c.i, lambda j: CASE WHEN done[j] < a[j] AND done[j] * q <= (e.t + 1) * a[j] THEN {{'d': ((done[j] + 1) * q + a[j] - 1) // a[j], 'i': j}} END), lambda y: y IS NOT NULL))[1].i AS p
+    FROM e, c WHERE e.t + 1 < c.q)),
+z AS (SELECT pick AS lane, t AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS turn FROM e WHERE t >= 0),
+d AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id) - 1 AS place FROM documents),
+b AS (SELECT doc_id, d.source, lane, a, q, place // {BLOCK_DOCS} AS block, place % {BLOCK_DOCS} AS seat FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source)
+SELECT doc_id, source, block, block // a * q + slot AS slot, seat, block * q // a AS release, ((block + 1) * q + a - 1) // a AS deadline
+FROM b JOIN z ON b.lane = z.lane AND b.block % b.a = z.turn
+"""

@@ -21,5 +21,6 @@ ORACLE_SQL = {
     "op1_exact_dedup": exact_dedup.ORACLE_SQL,
     "op2_quality_rules": quality.ORACLE_SQL,
     "op4_url_filters": url_rules.ORACLE_SQL,
+    "op6_mixing": mixing.ORACLE_SQL,
     "op7_chat_formatting": chat.ORACLE_SQL,
 }
