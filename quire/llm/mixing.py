@@ -67,7 +67,7 @@ def lanes(sizes: DataFrame, weights: dict[str, float] | None = None, period: int
 def period(shares: DataFrame) -> DataFrame:
     """(lane, turn, slot): earliest deadline first over one period, for every block in it."""
     one = shares.select("lane", "a", "q").distinct().agg(F.sort_array(F.collect_list(F.struct("lane", "a", "q"))).alias("lanes"))
-    q = F.col("lanes")[0]["q"]
+    q = F.get("lanes", F.lit(0))["q"]
     start = F.struct(F.transform("lanes", lambda x: F.lit(0).cast("long")).alias("done"), F.array().cast("array<int>").alias("picks"))
 
     def step(acc: Column, slot: Column) -> Column:
