@@ -29,7 +29,7 @@ from quire.llm.runtime import materialise, raw_bytes
 LENGTH, END_ID = 4096, 2
 DIMENSIONS, BITS = 4, 12
 #: Words remembered with their ids in each worker, in either of two generations.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
 
 
 def _lower_letters(word: bytes) -> bool:
@@ -40,6 +40,22 @@ def _lower_letters(word: bytes) -> bool:
     return text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text)
 
 
+class _Known(dict):
+    """Ids by word; falls back on the generation before, and notes words that neither has."""
+
+    def __init__(self, old: dict):
+        super().__init__()
+        self.old, self.pending = dict(old), set()
+
+    def __missing__(self, word: bytes) -> bytes | None:
+        ids = self.old.get(word)
+        if ids is None:
+            self.pending.add(word)
+        else:
+            self[word] = ids
+        return ids
+
+
 class WordTokenizer:
     """Ids of whole texts, remembering each white-space-delimited word.
 
@@ -60,7 +76,7 @@ class WordTokenizer:
         import numpy as np
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.young, self.old = Tokenizer.from_file(path), limit, {}, {}
+        self.tokenizer, self.limit, self.young = Tokenizer.from_file(path), limit, _Known({})
         vocabulary = self.tokenizer.get_vocab()
         self.size = max(vocabulary.values()) + 1
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
@@ -77,12 +93,6 @@ class WordTokenizer:
         #: letters, then punctuation that starts neither a contraction nor a special token
         self.parts = re.compile(rb"([a-z\x80-\xff]+)([!-&(-/:;=>?@\[-`{}~]+)").fullmatch
 
-    def _recall(self, word: bytes) -> bytes | None:
-        known = self.young.get(word)
-        if known is None and (known := self.old.get(word)) is not None:
-            self.young[word] = known
-        return known
-
     def _encode(self, words: list[bytes]) -> None:
         """Ids of words not known yet."""
         import numpy as np
@@ -106,62 +116,25 @@ class WordTokenizer:
 
     def many(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, little-endian."""
-        pieces, holes = [], {}
+        young, pending = self.young, self.young.pending
+        pieces = []
         for text in texts:
             words = (text.lower() if self.ends is not None and b"<|" not in text else text).split()
-            out = list(map(self.young.get, words))
-            if None in out:
-                for at in [i for i, x in enumerate(out) if x is None]:
-                    word = words[at]
-                    if (known := self.old.get(word)) is not None:
-                        out[at] = self.young[word] = known
-                    elif word in holes:
-                        holes[word].append((out, at))
-                    else:
-                        holes[word] = [(out, at)]
-            pieces.append(out)
-        if holes:
-            joint = {w: p for w in holes if self.ends is not None and (p := self._parts(w))}
-            self._encode(list({p for w in holes for p in joint.get(w, (w,)) if self._recall(p) is None}))
-            for word, places in holes.items():
-                ids = b"".join(map(self.young.__getitem__, joint[word])) if word in joint else self.young[word]
-                self.young[word] = ids
-                for out, at in places:
-                    out[at] = ids
-        if len(self.young) > self.limit:
-            self.old, self.young = self.young, {}
-        return [b"".join(out) for out in pieces]
-
-
-def hilbert(points, bits: int):
-    """Hilbert index (int64) of rows of unsigned integers below 2**bits, for dimensions * bits <= 62.
-
-    Works down from the highest bit: each level undoes the reflection and
-    exchange of axes that the curve applied there, then the Gray code of the
-    transposed bits is decoded and the bits are interleaved.
-    """
-    import numpy as np
-
-    x = [np.ascontiguousarray(c).astype(np.int64) for c in np.asarray(points).T]
-    dims = len(x)
-    for level in range(bits - 1, 0, -1):
-        q, low = 1 << level, (1 << level) - 1
-        for i in range(dims):
-            high = (x[i] & q) != 0
-            swap = np.where(high, 0, (x[0] ^ x[i]) & low)
-            x[0] = np.where(high, x[0] ^ low, x[0] ^ swap)
-            if i:
-                x[i] = x[i] ^ swap
-    for i in range(1, dims):
-        x[i] = x[i] ^ x[i - 1]
-    turn = np.zeros_like(x[0])
-    for level in range(bits - 1, 0, -1):
-        turn = np.where(x[-1] & (1 << level), turn ^ ((1 << level) - 1), turn)
-    key = np.zeros_like(x[0])
-    for level in range(bits - 1, -1, -1):
-        for i in range(dims):
-            key = (key << 1) | (((x[i] ^ turn) >> level) & 1)
-    return key
+            pieces.append((words, list(map(young.__getitem__, words))))
+        if pending:
+            joint = {w: p for w in pending if w[-1] < 128 and not w[-1:].isalnum() and (p := self._parts(w))} if self.ends is not None else {}
+            self._encode(list(pending.difference(joint).union(p for ps in joint.values() for p in ps if young[p] is None)))
+            for word, (letters, marks) in joint.items():
+                young[word] = young[letters] + young[marks]
+            pending.clear()
+            for words, out in pieces:
+                at, holes = -1, out.count(None)
+                for _ in range(holes):
+                    at = out.index(None, at + 1)
+                    out[at] = young[words[at]]
+        if len(young) > self.limit:
+            self.young = _Known(young)
+        return [b"".join(out) for _, out in pieces]
 
 
 def _kept_in_worker(path: str, idle_s: float = 4.0) -> WordTokenizer:
@@ -200,10 +173,10 @@ def _kept_in_worker(path: str, idle_s: float = 4.0) -> WordTokenizer:
 
 
 def _projection(size: int):
-    """Fixed random vectors of token ids."""
+    """Fixed random numbers of token ids, a row a dimension."""
     import numpy as np
 
-    return np.random.default_rng(20_480).standard_normal((size, DIMENSIONS), dtype=np.float32)
+    return np.random.default_rng(20_480).standard_normal((DIMENSIONS, size), dtype=np.float32)
 
 
 def tokenised(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: str | None = None, end_id: int = END_ID) -> DataFrame:
@@ -224,7 +197,8 @@ def tokenised(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
                 part = batch.slice(lo, 100)
                 ids = [x + end for x in words.many(raw_bytes(part.column(2)))]
                 n = [len(x) // words.kind.itemsize for x in ids]
-                mean = np.array([table[np.frombuffer(x, words.kind)].mean(axis=0) for x in ids])
+                flat, starts = np.frombuffer(b"".join(ids), words.kind), np.concatenate([[0], np.cumsum(n)[:-1]])
+                mean = np.stack([np.add.reduceat(t[flat], starts) / n for t in table], axis=1)
                 cell = np.minimum((0.5 + np.arctan(4 * mean) / np.pi) * (1 << BITS), (1 << BITS) - 1).astype(np.int64)
                 key = hilbert(cell, BITS)
                 yield pa.RecordBatch.from_arrays(
