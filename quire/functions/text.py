@@ -16,14 +16,11 @@ def _compose(values: pd.Series) -> pd.Series:
     return values.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
-_compose_udf = F.pandas_udf(_compose, "string")
-
-
 def nfkc(text: Column) -> Column:
     """Compatibility composition. Spark has no built-in for it, so texts beyond ASCII,
     and only those, are sent to a pandas UDF."""
     beyond = text.rlike(r"[^\x00-\x7F]")
-    return F.coalesce(_compose_udf(F.when(beyond, text)), text)
+    return F.coalesce(F.pandas_udf(_compose, "string")(F.when(beyond, text)), text)
 
 
 def normalize_text(text: Column, compose: bool = True) -> Column:

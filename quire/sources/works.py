@@ -202,7 +202,8 @@ class WorksDataSource(DataSource):
     ``register_fetcher(name, fetch)`` makes ``fetch(filters, cursor, per_page)``
     available under ``option("fetcher", name)``; it returns ``(works as JSON
     strings, next cursor or None)``. Cursor paging is sequential, so there is
-    one partition.
+    one partition. ``install(spark)`` registers the format and turns on the
+    pushing of filters to Python sources.
     """
 
     fetchers: dict[str, Callable[[list[str], str, int], tuple[list[str], str | None]]] = {}
@@ -211,6 +212,11 @@ class WorksDataSource(DataSource):
     def name(cls) -> str:
         return "works"
 
+    @classmethod
+    def install(cls, spark: SparkSession) -> None:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+        spark.dataSource.register(cls)
+
     @classmethod
     def register_fetcher(cls, name: str, fetch: Callable) -> None:
         cls.fetchers[name] = fetch
