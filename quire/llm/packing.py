@@ -137,6 +137,37 @@ class WordTokenizer:
         return [b"".join(out) for _, out in pieces]
 
 
+def hilbert(points, bits: int):
+    """Hilbert index (int64) of rows of unsigned integers below 2**bits, for dimensions * bits <= 62.
+
+    Works down from the highest bit: each level undoes the reflection and
+    exchange of axes that the curve applied there, then the Gray code of the
+    transposed bits is decoded and the bits are interleaved.
+    """
+    import numpy as np
+
+    x = [np.ascontiguousarray(c).astype(np.int64) for c in np.asarray(points).T]
+    dims = len(x)
+    for level in range(bits - 1, 0, -1):
+        q, low = 1 << level, (1 << level) - 1
+        for i in range(dims):
+            high = (x[i] & q) != 0
+            swap = np.where(high, 0, (x[0] ^ x[i]) & low)
+            x[0] = np.where(high, x[0] ^ low, x[0] ^ swap)
+            if i:
+                x[i] = x[i] ^ swap
+    for i in range(1, dims):
+        x[i] = x[i] ^ x[i - 1]
+    turn = np.zeros_like(x[0])
+    for level in range(bits - 1, 0, -1):
+        turn = np.where(x[-1] & (1 << level), turn ^ ((1 << level) - 1), turn)
+    key = np.zeros_like(x[0])
+    for level in range(bits - 1, -1, -1):
+        for i in range(dims):
+            key = (key << 1) | (((x[i] ^ turn) >> level) & 1)
+    return key
+
+
 def _kept_in_worker(path: str, idle_s: float = 4.0) -> WordTokenizer:
     """The tokenizer with the words it remembers, kept by the Python worker from task to task.
 
