@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import sys
 from dataclasses import dataclass
 from pathlib import Path
+from typing import TextIO
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -119,17 +122,25 @@ def export(papers: DataFrame, format_name: str, path: str | Path, index: DataFra
     return counts | {"bytes": target.stat().st_size, "path": str(target)}
 
 
-def save_json(results: DataFrame, path: str | Path, **document) -> Path:
-    """A JSON document with ``document``'s members, then ``results`` in order of ``_pos``, streamed to one file."""
-    import json
+def write_json(out: TextIO, results: DataFrame, member: str = "results", **document) -> None:
+    """A JSON document with ``document``'s members, then the rows in order of ``_pos``, streamed."""
+    fields = [c for c in results.columns if c != "_pos"]
+    rows = results.orderBy("_pos").select(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator()
+    members = "".join(f"{json.dumps(k)}: {json.dumps(v, ensure_ascii=False, default=str)},\n" for k, v in document.items())
+    out.write("{\n" + members + json.dumps(member) + ": [\n")
+    for i, row in enumerate(rows):
+        out.write((",\n" if i else "") + row["j"])
+    out.write("\n]\n}\n")
 
+
+def save_json(results: DataFrame, path: str | Path, member: str = "results", **document) -> Path:
     target = Path(path)
     target.parent.mkdir(parents=True, exist_ok=True)
-    rows = results.orderBy("_pos").select(F.to_json(F.struct(*[c for c in results.columns if c != "_pos"]), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator()
     with target.open("w", encoding="utf-8") as out:
-        members = "".join(f"{json.dumps(k)}: {json.dumps(v, ensure_ascii=False, default=str)},\n" for k, v in document.items())
-        out.write("{\n" + members + '"results": [\n')
-        for i, row in enumerate(rows):
-            out.write((",\n" if i else "") + row["j"])
-        out.write("\n]\n}\n")
+        write_json(out, results, member, **document)
     return target
+
+
+def output_json(results: DataFrame, member: str = "results", **document) -> None:
+    """The same document on standard output."""
+    write_json(sys.stdout, results, member, **document)

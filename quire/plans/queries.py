@@ -6,12 +6,14 @@ the driver's tables. Both read the same adapter views.
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.control import settings
+from quire.control import names, settings
 from quire.control.pool import MailtoPool
 from quire.functions import doi as doi_functions
 from quire.functions import issn as issn_functions
@@ -460,6 +462,23 @@ def _(spark, d):
     return _rows(spark, "setting string, value string", [(k, got[k]) for k in ("language", "year_from", "issn_quartiles", "auto_name")])
 
 
+@query("to_bool_to_csv", "SELECT * FROM (VALUES ('yes', true, 'yes'), ('0', false, '0'), ('ON', true, 'ON')) AS t(given, flag, csv)")
+def _(spark, d):
+    return _rows(spark, "given string, flag boolean, csv string", [(v, settings.to_bool(v), settings.to_csv([v, " "])) for v in ("yes", "0", "ON")])
+
+
+@query("auto_name", "SELECT * FROM (VALUES ('search', 'search_deep-learning_20260102_030405.json'), ('filter', 'filter_in_filtered_20260102_030405.json'), ('export', 'export_in_ris_20260102_030405.ris'), ('validate', 'validate_20260102_030405.json')) AS t(kind, name)")
+def _(spark, d):
+    now = datetime.datetime(2026, 1, 2, 3, 4, 5)
+    about = {"search": {"query": "Deep Learning!"}, "filter": {"input_path": Path("in.json")}, "export": {"input_path": Path("in.json"), "format": "ris"}, "validate": {}}
+    return _rows(spark, "kind string, name string", [(k, names.auto_name(k, now=now, **v)) for k, v in about.items()])
+
+
+@query("default_name", "SELECT * FROM (VALUES ('search', 'search_results.json'), ('filter', 'filtered.json'), ('validate', 'validated.json'), ('export', 'references.bib')) AS t(kind, name)")
+def _(spark, d):
+    return _rows(spark, "kind string, name string", [(k, names.default_name(k)) for k in ("search", "filter", "validate", "export")])
+
+
 # ----- scalar functions -----
 
 
@@ -600,9 +619,9 @@ def _(spark, d):
 def _journal_json(spark, d, by_area: bool):
     rows = A.view(spark, d, A.JOURNALS)
     area = [] if by_area else [F.when(F.col("_pos") % 2 == 0, F.to_json(F.struct(F.col("area1").alias("subject_area")))).otherwise(F.to_json(F.struct(F.array("area1", "area2").alias("subject_area")))).alias("a")]
-    names = F.when(F.col("_pos") % 2 == 0, F.to_json(F.struct(F.col("title").alias("journal"), F.lower("quartile").alias("quartile")))).otherwise(F.to_json(F.struct(F.lit("").alias("journal"), F.col("title").alias("Title"), F.col("quartile").alias("best_quartile")))).alias("t")
+    titled = F.when(F.col("_pos") % 2 == 0, F.to_json(F.struct(F.col("title").alias("journal"), F.lower("quartile").alias("quartile")))).otherwise(F.to_json(F.struct(F.lit("").alias("journal"), F.col("title").alias("Title"), F.col("quartile").alias("best_quartile")))).alias("t")
     issns = F.to_json(F.struct(F.concat_ws(", ", "issn_electronic", F.lit("bad"), "issn_print").alias("issn"), F.col("issn_print").alias("Issn"))).alias("i")
-    whole = rows.select("_pos", "area1", names, issns, *area)
+    whole = rows.select("_pos", "area1", titled, issns, *area)
     parts = ["t", "i", *(["a"] if area else [])]
     body = F.concat(F.lit("{"), F.concat_ws(",", *[F.expr(f"substring({c}, 2, length({c}) - 2)") for c in parts]), F.lit("}"))
     return whole.select("_pos", "area1", body.alias("j"))

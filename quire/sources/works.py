@@ -17,6 +17,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 from quire.functions.doi import doi_key, strip_doi_prefix
 from quire.functions.issn import split_issn_list, split_issns
 from quire.functions.text import strip
+from quire.schema import canonical
 
 #: The fields of a work that are read.
 WORK_FIELDS = ("id", "doi", "title", "publication_date", "authorships", "primary_location", "abstract_inverted_index", "language", "cited_by_count", "open_access", "concepts", "topics", "keywords")
@@ -68,7 +69,7 @@ def normalize_work(works: DataFrame) -> DataFrame:
     loc, oa = F.col("primary_location"), F.col("open_access")
     issns = issns_from_json(loc["source"])
     linking = split_issns(loc["source"]["issn_l"])
-    return works.select(
+    named = works.select(
         "_pos",
         strip_doi_prefix(F.col("doi")).alias("doi"),
         text(F.col("title")).alias("title"),
@@ -92,6 +93,7 @@ def normalize_work(works: DataFrame) -> DataFrame:
         F.lit("openalex").alias("source"),
         text(F.col("id")).alias("url"),
     )
+    return canonical(named)
 
 
 @dataclass(frozen=True)
