@@ -2,32 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.tables import BROADCAST_ROWS, shared_dir
 
 #: Columns of the ``documents`` table, in order.
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
-_own_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
-
-    Only where that is unset and the master is a single local JVM (tests), a
-    temporary folder stands in; on a cluster a missing setting is an error.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    master = spark.sparkContext.master
-    if master.split("[")[0] != "local":
-        raise ValueError(f"spark.checkpoint.dir must name a shared folder on {master}")
-    app = spark.sparkContext.applicationId
-    return _own_dirs.setdefault(app, "file://" + tempfile.mkdtemp(prefix="quire-"))
-
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
@@ -67,22 +51,12 @@ class Scratch:
 _open: list[Scratch] = []
 
 
-#: A side of a join is broadcast up to this many rows of a few numbers each.
-BROADCAST_ROWS = 300_000
-
-
 def counted(df: DataFrame, label: str, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` written out and counted; marked for broadcast only if it has at most ``rows`` rows."""
-    from pyspark.sql import functions as F
-
     table = materialise(df, label)
     return F.broadcast(table) if table.count() <= rows else table
 
 
-def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
 def raw_bytes(column) -> list:
     """An Arrow string column as Python ``bytes``; nulls become empty."""
     import pyarrow as pa
