@@ -56,20 +56,25 @@ def _keys(threshold: float) -> Column:
 
 
 def similar_titles(titles: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Distinct titles (``_t``) to pairs (a, b, similarity) of different titles at or above the threshold, a < b as text."""
-    sets = materialise(titles.select("_t", shingles(F.col("_t")).alias("s")).where(F.size("s") > 0), "shingles")
+    """Distinct titles (``_t``) to pairs (a, b, similarity) of different titles at or above the threshold, a < b as text.
+
+    The index carries numbers only: titles are numbered as they are written, so
+    the numbers stay what they are when a task runs again.
+    """
+    numbered = titles.select(F.monotonically_increasing_id().alias("i"), "_t", shingles(F.col("_t")).alias("s"))
+    sets = materialise(numbered.where(F.size("s") > 0), "shingles")
     # at most 37^3 rows
     order = F.broadcast(sets.select(F.explode("s").alias("w")).groupBy("w").agg(F.count("*").alias("f")))
-    ranked = sets.select("_t", F.explode("s").alias("w")).join(order, "w").groupBy("_t").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "w"))), lambda x: x["w"]).alias("tokens"))
-    indexed = ranked.select("_t", F.size("tokens").alias("n"), "tokens").select("_t", "n", F.explode(F.array_distinct(_keys(threshold))).alias("k")).select("_t", "n", F.xxhash64("k").alias("k"))
+    ranked = sets.select("i", F.explode("s").alias("w")).join(order, "w").groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "w"))), lambda x: x["w"]).alias("tokens"))
+    indexed = ranked.select("i", F.size("tokens").alias("n"), "tokens").select("i", "n", F.explode(F.array_distinct(_keys(threshold))).alias("k")).select("i", "n", F.xxhash64("k").alias("k"))
     x, y = indexed.alias("x"), indexed.alias("y")
     t = _share(threshold)
     fits = F.expr(f"x.n * {t.denominator} >= y.n * {t.numerator} AND y.n * {t.denominator} >= x.n * {t.numerator}")
-    pairs = x.join(y, F.expr("x.k = y.k AND x._t < y._t") & fits).select(F.col("x._t").alias("a"), F.col("y._t").alias("b")).distinct()
-    left, right = sets.select(F.col("_t").alias("a"), F.col("s").alias("sa")), sets.select(F.col("_t").alias("b"), F.col("s").alias("sb"))
-    common = pairs.join(left, "a").join(right, "b").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("both"))
+    pairs = x.join(y, F.expr("x.k = y.k AND x.i < y.i") & fits).select(F.col("x.i").alias("ia"), F.col("y.i").alias("ib")).distinct()
+    left, right = (sets.select(F.col("i").alias(f"i{c}"), F.col("_t").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
+    common = pairs.join(left, "ia").join(right, "ib").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("both"))
     ratio = F.col("both").cast("double") / (F.col("na") + F.col("nb") - F.col("both"))
-    return common.where(ratio >= F.lit(float(threshold))).select("a", "b", ratio.alias("similarity"))
+    return common.where(ratio >= F.lit(float(threshold))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), ratio.alias("similarity"))
 
 
 def _prepared(papers: DataFrame, order: tuple[str, ...], compose: bool) -> DataFrame:
