@@ -1,7 +1,9 @@
 """Filter rules as boolean Columns, and the engine that folds them with AND.
 
 A rule never yields null, so kept and removed rows are each other's complement.
-Rules are cheap to dear: Catalyst keeps the order of a conjunction.
+Comparisons stay bare (``x IS NOT NULL AND x >= n`` rather than a ``coalesce``),
+so that they reach a Parquet scan. Rules are cheap to dear: Catalyst keeps the
+order of a conjunction.
 """
 
 from __future__ import annotations
@@ -42,7 +44,7 @@ def _text(name: str) -> Column:
 
 
 def _flag(name: str) -> Column:
-    return F.coalesce(F.col(name), F.lit(False))
+    return F.col(name).eqNullSafe(True)
 
 
 @dataclass(frozen=True)
@@ -59,7 +61,7 @@ class YearRule(Rule):
             keep = keep & (F.col("year") >= self.min_year)
         if self.max_year is not None:
             keep = keep & (F.col("year") <= self.max_year)
-        return F.coalesce(keep, F.lit(False))
+        return keep
 
 
 @dataclass(frozen=True)
@@ -68,7 +70,9 @@ class CitationRule(Rule):
     name = "citations"
 
     def column(self) -> Column:
-        return F.coalesce(F.col("cited_by_count"), F.lit(0)) >= self.min_citations
+        if self.min_citations <= 0:
+            return F.coalesce(F.col("cited_by_count"), F.lit(0)) >= self.min_citations
+        return F.col("cited_by_count").isNotNull() & (F.col("cited_by_count") >= self.min_citations)
 
 
 @dataclass(frozen=True)

@@ -74,6 +74,20 @@ def test_engine_parts_rows_and_describes(spark):
     assert rules.build_engine(quartile="Q9").rules == [] and rules.build_engine(min_citations=0).rules == []
 
 
+def test_rules_reach_the_scan(spark, tmp_path):
+    papers(spark, {}).write.parquet(str(tmp_path / "p"))
+    engine = rules.build_engine(min_year=2011, max_year=2020, min_citations=5, scopus_only=True, open_access_only=True)
+    kept = spark.read.parquet(str(tmp_path / "p")).where(engine.column()).select("doi")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    pushed = re.search(r"PushedFilters: \[(.*)\]", plan)[1]
+    for part in ("GreaterThanOrEqual(year,2011)", "LessThanOrEqual(year,2020)", "GreaterThanOrEqual(cited_by_count,5)", "scopus_indexed", "is_open_access"):
+        assert part in pushed
+    read = re.search(r"ReadSchema: struct<(.*)>", plan)[1]
+    assert {c.split(":")[0] for c in read.split(",")} == {"doi", "year", "cited_by_count", "scopus_indexed", "is_open_access"}
+
+
 def test_doi_tables(spark):
     rows = papers(spark, {"doi": "10.1/A"}, {"doi": ""}, {"doi": "10.1/b"})
     listed = spark.createDataFrame([("10.1/a ",), (None,)], "d string")
