@@ -10,7 +10,7 @@ method's own host patterns; failing those, the url is allowed.
 
 Built from DataFrame functions alone. Up to ``LITERAL_RULES`` rules the index
 is a literal map, so a url is judged where it is read, without a shuffle.
-Larger rule sets are refused: they would need a join by token.
+Larger rule sets come as a table and join by token (``judge_by_table``).
 
 Defined cases: null urls and urls without ``://`` have empty host and path and
 no rule; repeated rows are judged each; an empty table gives an empty result;
@@ -26,6 +26,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.runtime import materialise
+
 LITERAL_RULES = 10_000
 
 _TOKEN = re.compile("[a-z0-9]+")
@@ -108,7 +110,7 @@ def _longest(index: Column) -> Column:
 def judge_urls(pages: DataFrame, key: str = "page_id", url_col: str = "url", rules: Sequence[Rule] = SITE_RULES, patterns: Sequence[Rule] = SPAM_HOSTS) -> DataFrame:
     """key, host, path, rule (of ``rules``, else null), verdict and ``pattern`` (of ``patterns``, else null)."""
     if len(rules) + len(patterns) > LITERAL_RULES:
-        raise ValueError(f"more than {LITERAL_RULES} rules")
+        raise ValueError(f"more than {LITERAL_RULES} rules: pass them to judge_by_table")
     if any(not r.tokens for r in (*rules, *patterns)):
         raise ValueError("a rule without a literal token cannot be indexed")
     parsed = pages.select(key, host_of(F.col(url_col)).alias("_host"), path_of(F.col(url_col)).alias("_path"))
@@ -116,6 +118,24 @@ def judge_urls(pages: DataFrame, key: str = "page_id", url_col: str = "url", rul
     return found.select(key, "host", "path", F.col("_rule.name").alias("rule"), F.coalesce("_rule.verdict", "_pattern.verdict", F.lit("allow")).alias("verdict"), F.col("_pattern.name").alias("pattern"))
 
 
+def judge_by_table(pages: DataFrame, rules: DataFrame, key: str = "page_id", url_col: str = "url") -> DataFrame:
+    """key, host, path, rule, verdict (allow where no rule fits), for a rule table of any size.
+
+    ``rules`` has name (unique), verdict, pattern, tokens and rank, as ``Rule`` does.
+    Each rule is filed under its rarest token, so common tokens fetch few rules;
+    matches come back by a key that is unique once the urls are written.
+    """
+    parsed = pages.select(F.monotonically_increasing_id().alias("uid"), key, host_of(F.col(url_col)).alias("_host"), path_of(F.col(url_col)).alias("_path"))
+    parsed = materialise(parsed, "urls")
+    words = parsed.select("uid", F.concat("_host", "_path").alias("_text"), F.explode(_tokens(F.col("_host"), F.col("_path"))).alias("t"))
+    named = rules.select("name", F.explode("tokens").alias("t"))
+    seen = words.join(named.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.count("*").alias("n"))
+    filed = named.join(seen, "t", "left").groupBy("name").agg(F.min_by("t", F.struct(F.coalesce("n", F.lit(0)), "t")).alias("t"))
+    fetched = words.join(filed.join(rules.select("name", "verdict", "pattern", "rank"), "name"), "t")
+    best = fetched.where(F.regexp_like("_text", F.col("pattern"))).groupBy("uid").agg(F.max(F.struct("rank", "name", "verdict")).alias("best"))
+    return parsed.join(best, "uid", "left").select(key, F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("best.name").alias("rule"), F.coalesce("best.verdict", F.lit("allow")).alias("verdict"))
+
+
 def op4_url_filters(spark, sf_dir):
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 

@@ -52,6 +52,11 @@ def test_many_rules_and_random_urls(spark):
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     for r in url_rules.judge_urls(df, rules=rules).collect():
         assert (r.rule, r.verdict) == brute_judge(urls[r.page_id], rules, url_rules.SPAM_HOSTS)[2:4]
+    table = spark.createDataFrame([(r.name, r.verdict, r.pattern, list(r.tokens), r.rank) for r in rules], "name string, verdict string, pattern string, tokens array<string>, rank int")
+    got = url_rules.judge_by_table(df, table).collect()
+    assert len(got) == len(urls)
+    for r in got:
+        assert (r.host, r.path, r.rule, r.verdict) == brute_judge(urls[r.page_id], rules, ())[:4]
 
 
 def test_urls_empty(spark):
