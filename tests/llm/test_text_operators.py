@@ -269,12 +269,13 @@ def test_html(spark):
 def brute_unrepeated(pages, stretch, least):
     """pages: (host, tokens); drops tokens inside windows that stand on enough distinct contents of the host."""
     out = []
+    contents = {(h, tuple(t)) for h, t in pages if len(t) >= stretch}
     for host, tokens in pages:
-        gone = set()
+        gone, total = set(), sum(h == host for h, _ in contents)
         for i in range(len(tokens) - stretch + 1):
             window = tokens[i : i + stretch]
             holders = {tuple(t) for h, t in pages if h == host and any(t[k : k + stretch] == window for k in range(len(t)))}
-            if len(holders) >= least:
+            if len(holders) >= least and len(holders) * html_text.ONE_IN >= total:
                 gone |= set(range(i, i + stretch))
         out.append(" ".join(t for i, t in enumerate(tokens) if i not in gone))
     return out
@@ -289,6 +290,8 @@ def test_host_boilerplate_against_brute_force(spark):
         host = rng.choice(["x.org", "y.org"])
         pages.append((host, own[:10] + (foot if rng.random() < 0.6 else []) + own[10:]))
     pages += [pages[0]] * 3 + [("z.org", foot)] * 5
+    quoted = "a passage that a few pages quote".split()
+    pages += [("w.org", [f"p{i}", *(quoted if i < 4 else ["other", "words"]), f"x{i}", "c", "d", "e", "f"]) for i in range(40)]
     rows = [(i, f"http://{h}/{i}", f"<div>{' '.join(t)}</div>") for i, (h, t) in enumerate(pages)]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), least=3)
     assert [r.text for r in sorted(got.collect())] == brute_unrepeated(pages, html_text.STRETCH, 3)
