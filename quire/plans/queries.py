@@ -335,30 +335,49 @@ def _(spark, d):
     return works.lookup_doi(asked, rows, "asked").select("asked", "work._pos", "work.title")
 
 
-def _asked_dois(spark, d):
-    rows = A.papers(spark, d).where("_pos % 3 = 0").select(F.col("_pos").alias("n"), "doi")
+def _asked_dois(spark, d, whole=False):
+    papers = A.papers(spark, d)
+    rows = (papers if whole else papers.where("_pos % 3 = 0")).select(F.col("_pos").alias("n"), "doi")
     return rows.select("n", F.when(F.col("n") % 2 == 0, F.concat("doi", F.lit("/missing"))).otherwise(F.col("doi")).alias("doi"))
 
 
 _ENRICH = f"{_ANNOTATED}, q AS (SELECT _pos AS n, CASE WHEN _pos % 2 = 0 THEN doi || '/missing' ELSE doi END AS doi FROM p WHERE _pos % 3 = 0), w AS (SELECT lower(trim(doi)) AS k, arg_min(scopus_indexed, _pos) AS si, arg_min(title, _pos) AS title FROM an WHERE doi <> '' GROUP BY 1), r AS (SELECT n, q.doi, k IS NOT NULL AS found, si, title FROM q LEFT JOIN w ON lower(q.doi) = k AND q.doi LIKE '10.%')"
 
 
-def _validated(spark, d):
-    return pipelines.validate(_asked_dois(spark, d), A.papers(spark, d), journals.issn_index(A.journals(spark, d)))
+#: The same with the DOI of every paper asked for
+_ENRICH_ALL = _ENRICH.replace(" WHERE _pos % 3 = 0", "")
 
 
-@query("doi_enrich", f"WITH {_ENRICH} SELECT n, doi, title, CASE WHEN found THEN '' ELSE 'not_found' END AS error FROM r")
-def _(spark, d):
-    asked = _asked_dois(spark, d)
+def _validated(spark, d, whole=False):
+    return pipelines.validate(_asked_dois(spark, d, whole), A.papers(spark, d), journals.issn_index(A.journals(spark, d)))
+
+
+def _enriched(spark, d, whole=False):
+    asked = _asked_dois(spark, d, whole)
     found, errors = collections.doi_enrich(asked, A.papers(spark, d))
     return found.select("n", "doi", "work.title", F.lit("").alias("error")).unionByName(errors.select("n", "doi", F.lit(None).cast("string").alias("title"), "error"))
 
 
+@query("doi_enrich", f"WITH {_ENRICH} SELECT n, doi, title, CASE WHEN found THEN '' ELSE 'not_found' END AS error FROM r")
+def _(spark, d):
+    return _enriched(spark, d)
+
+
+@query("doi_enrich_all", f"WITH {_ENRICH_ALL} SELECT n, doi, title, CASE WHEN found THEN '' ELSE 'not_found' END AS error FROM r")
+def _(spark, d):
+    return _enriched(spark, d, True)
+
+
 @query("validate_counts", f"WITH {_ENRICH} SELECT count(*) AS input_count, count(*) FILTER (WHERE found) AS found, count(*) FILTER (WHERE si) AS scopus_count FROM r")
 def _(spark, d):
     return _validated(spark, d).counts
 
 
+@query("validate_counts_all", f"WITH {_ENRICH_ALL} SELECT count(*) AS input_count, count(*) FILTER (WHERE found) AS found, count(*) FILTER (WHERE si) AS scopus_count FROM r")
+def _(spark, d):
+    return _validated(spark, d, True).counts
+
+
 # ----- counts, limits, sets -----
 
 
@@ -774,6 +793,11 @@ def _(spark, d):
     return _validated(spark, d).found.select("n", "doi", "work.title", "work.scopus_indexed")
 
 
+@query("pipeline_validate_all", f"WITH {_ENRICH_ALL} SELECT n, doi, title, si AS scopus_indexed FROM r WHERE found")
+def _(spark, d):
+    return _validated(spark, d, True).found.select("n", "doi", "work.title", "work.scopus_indexed")
+
+
 @query("numbers_by_year", f"WITH {_P} SELECT year, count(*) AS n FROM p WHERE cited_by_count >= 40 GROUP BY year")
 def _(spark, d):
     return A.papers(spark, d).where(rules.CitationRule(40).column()).groupBy("year").agg(F.count("*").alias("n"))

@@ -35,6 +35,12 @@ def test_query_equals_its_oracle(spark, db, name):
     assert sorted(repr([r[c] for c in columns]) for r in got.collect()) == expected
 
 
+def test_every_paper_is_asked_for(spark, db):
+    n = db.sql("SELECT count(*) FROM documents").fetchall()[0][0]
+    assert QUERIES["doi_enrich_all"](spark, SF).count() == n
+    assert QUERIES["validate_counts_all"](spark, SF).first()["input_count"] == n
+
+
 def test_entry_imports_without_the_training_data_operators(tmp_path):
     """Only what is left counts once that subpackage and the pipeline are gone."""
     import shutil
