@@ -168,6 +168,11 @@ def _(spark, d):
     return works.take_accepted(A.papers(spark, d), (F.col("cited_by_count") > 50) & F.col("is_open_access"), 40).select("_pos", "title")
 
 
+@query("accept_predicate_all", f"WITH {_P} SELECT _pos, title FROM p WHERE cited_by_count > 50 AND is_open_access")
+def _(spark, d):
+    return works.take_accepted(A.papers(spark, d), (F.col("cited_by_count") > 50) & F.col("is_open_access")).select("_pos", "title")
+
+
 @query("is_valid_quartile", f"WITH {_P} SELECT _pos, {_VALID} AS valid FROM p")
 def _(spark, d):
     return A.papers(spark, d).select("_pos", paper_functions.is_valid_quartile(F.col("quartile")).alias("valid"))
@@ -310,6 +315,17 @@ def _(spark, d):
     return works.take_accepted(journals.restrict_by_table(rows, wanted), None, 30).select("_pos")
 
 
+#: Papers with an ISSN of a journal
+_SCANNED = f"WITH {_P}, {_J}, w AS (SELECT issn_electronic AS issn FROM j UNION SELECT issn_print FROM j), e AS (SELECT _pos, unnest(list_transform(string_split(issns, '; '), lambda x: {_nissn('x')})) AS issn FROM p), s AS (SELECT DISTINCT _pos FROM e JOIN w USING (issn)) SELECT _pos FROM s"
+
+
+@query("issn_semi_join_scan_all", _SCANNED)
+def _(spark, d):
+    rows = A.papers(spark, d).withColumn("issns", issn_functions.split_issn_list(F.col("issns")))
+    wanted = A.journals(spark, d).select(F.explode("issns").alias("issn"))
+    return works.take_accepted(journals.restrict_by_table(rows, wanted)).select("_pos")
+
+
 @query("find_duplicates", f"WITH {_P}, {_SIMILAR}, x AS (SELECT _pos, lower(doi) AS d, {_norm('title')} AS t FROM p), al AS (SELECT a._pos AS pos_a, b._pos AS pos_b, 1.0::DOUBLE AS similarity FROM x a JOIN x b ON a.d = b.d AND a._pos < b._pos WHERE a.d <> '' UNION ALL SELECT a._pos, b._pos, 1.0 FROM x a JOIN x b ON a.t = b.t AND a._pos < b._pos WHERE a.t <> '' UNION ALL SELECT least(u._pos, v._pos), greatest(u._pos, v._pos), similarity FROM near JOIN x u ON a = u.t JOIN x v ON b = v.t) SELECT pos_a, pos_b, max(similarity) AS similarity FROM al GROUP BY pos_a, pos_b")
 def _(spark, d):
     return dedup.find_duplicates(A.papers(spark, d))

@@ -41,6 +41,13 @@ def test_every_paper_is_asked_for(spark, db):
     assert QUERIES["validate_counts_all"](spark, SF).first()["input_count"] == n
 
 
+@pytest.mark.parametrize("name, cap", [("accept_predicate", 40), ("issn_semi_join_scan", 30)])
+def test_rows_beyond_the_cap(spark, name, cap):
+    first = {r._pos for r in QUERIES[name](spark, "/root/testdata/sf0.01").collect()}
+    whole = {r._pos for r in QUERIES[f"{name}_all"](spark, "/root/testdata/sf0.01").collect()}
+    assert len(first) == cap < len(whole) and first == set(sorted(whole)[:cap])
+
+
 def test_entry_imports_without_the_training_data_operators(tmp_path):
     """Only what is left counts once that subpackage and the pipeline are gone."""
     import shutil
