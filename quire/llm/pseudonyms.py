@@ -52,6 +52,17 @@ _PATTERN = re.compile(
     """,
     re.X,
 )
+#: Characters of an IBAN, by country.
+_IBAN_LENGTHS = {
+    country: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+        26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+        31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
 #: A text without any of these has nothing to find.
 _HINT = re.compile("[0-9@=:]|sk-|gh[pousr]_")
 
@@ -100,6 +111,18 @@ def iban_check(country: str, rest: str) -> str:
     return f"{98 - int(''.join(str(int(c, 36)) for c in rest + country + '00')) % 97:02d}"
 
 
+def _is_iban(text: str) -> bool:
+    plain = text.replace(" ", "")
+    return 15 <= len(plain) <= 34 and iban_check(plain[:2], plain[4:]) == plain[2:4]
+
+
+def iban_readings(match: str) -> list[str]:
+    """What may be the IBAN in a match, which can have run on into the words behind it: first what has its country's length, then the longest."""
+    ends = [len(match), *(i for i in range(len(match) - 1, 0, -1) if match[i] == " ")]
+    readings = [match[:n] for n in ends]
+    return sorted(readings, key=lambda x: len(x.replace(" ", "")) != _IBAN_LENGTHS.get(match[:2]))
+
+
 def _refill(shape: str, digits: str) -> str:
     """``shape`` with its digits replaced in order."""
     fill = iter(digits)
@@ -127,7 +150,7 @@ class Pseudonyms:
         fits = valid and (lambda x: valid(f"{x:0{n}d}"))
         return f"{self.permuter.permute(f'{tweak}{n}'.encode(), 10**n, int(digits), self.back, fits):0{n}d}"
 
-    def _letters(self, tweak: str, text: str) -> str:
+    def _letters(self, tweak: str, text: str, valid: Callable[[str], bool] | None = None) -> str:
         """Permutes ASCII letters and digits together, each within its own alphabet."""
         plain = re.sub("[^0-9A-Za-z]", "", text)
         hexes = next((a for a in _HEX if tweak == "secret" and _is_hex(plain, a)), None)
@@ -145,7 +168,8 @@ class Pseudonyms:
             return "".join(reversed(out))
 
         # what is read back must fall into the same alphabets
-        same = lambda y: _is_hex(spelled(y), hexes) if hexes else tweak != "secret" or not any(_is_hex(spelled(y), a) for a in _HEX)
+        kept = lambda y: _is_hex(spelled(y), hexes) if hexes else tweak != "secret" or not any(_is_hex(spelled(y), a) for a in _HEX)
+        same = lambda y: kept(y) and (valid is None or valid(spelled(y)))
         fill = iter(spelled(self.permuter.permute(f"{tweak}{shape}".encode(), size, x, self.back, same)))
         return "".join(next(fill) if re.match("[0-9A-Za-z]", c) else c for c in text)
 
@@ -158,13 +182,20 @@ class Pseudonyms:
             payload = self._number("card", digits[:-1], lambda p: len(set(p + luhn_digit(p))) > 1)
             return _refill(text, payload + luhn_digit(payload))
         if kind == "iban":
-            plain = text.replace(" ", "")
-            country, rest = plain[:2], plain[4:]
-            if not 15 <= len(plain) <= 34 or iban_check(country, rest) != plain[2:4]:
+            reading = next((x for x in iban_readings(text) if _is_iban(x)), None)
+            if reading is None:
                 return None
-            rest = self._letters("iban", rest)
-            fill = iter(country + iban_check(country, rest) + rest)
-            return "".join(c if c == " " else next(fill) for c in text)
+            plain, behind = reading.replace(" ", ""), text[len(reading) :]
+
+            def filled(rest: str) -> str:
+                fill = iter(plain[:2] + iban_check(plain[:2], rest) + rest)
+                return "".join(c if c == " " else next(fill) for c in reading)
+
+            def read_alike(rest: str) -> bool:
+                """Whether the pseudonym, with what is behind it, is read at the same length."""
+                return len(next(x for x in iban_readings(filled(rest) + behind) if _is_iban(x))) == len(reading)
+
+            return filled(self._letters("iban", plain[4:], read_alike if behind else None))
         if kind == "phone":
             if not 7 <= len(digits) <= 15:
                 return None
@@ -223,16 +254,22 @@ class Pseudonyms:
         if not _HINT.search(text):
             return text, found
 
-        def swap(m: re.Match) -> str:
+        out, at = [], 0
+        while m := _PATTERN.search(text, at):
             kind = next(k for k in KINDS if m[k] is not None)
             start, value = (m.start("value"), m["value"]) if m["value"] is not None else (m.start(), m[0])
             new = self.value(kind, value)
             if new is None or new == value:
-                return m[0]
+                out.append(text[at : m.end()])
+                at = m.end()
+                continue
+            if kind == "iban":
+                # what follows the IBAN in the match is searched in its turn
+                value = value[: len(new)]
             found.append((kind, start, len(value)))
-            return m[0][: start - m.start()] + new
-
-        return _PATTERN.sub(swap, text), found
+            out += [text[at:start], new]
+            at = start + len(value) if kind == "iban" else m.end()
+        return "".join(out) + text[at:], found
 
 
 def pseudonymise(docs: DataFrame, key: bytes = DEFAULT_KEY, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), back: bool = False) -> DataFrame:

@@ -159,6 +159,27 @@ def test_each_kind_keeps_its_format_and_comes_back(kind, value):
         assert all(0 <= int(x) <= 255 for x in a.split("."))
 
 
+@pytest.mark.parametrize("iban", ["ES91 2100 0418 4502 0005 1332", "BE68 5390 0754 7034", "AT61 1904 3002 3457 3201", "PL61 1090 1014 0000 0712 1981 2874", "ES9121000418450200051332"])
+@pytest.mark.parametrize("behind", ["EUR", "500", "BIC CAIXESBB", "IBAN DE89 3704 0044 0532 0130 00", "4111 1111 1111 1111", "X"])
+def test_an_iban_before_capitals_and_numbers(iban, behind):
+    text = f"pay {iban} {behind}"
+    new, found = Pseudonyms(b"k").replace(text)
+    assert found[0] == ("iban", 4, len(iban)) and iban not in new
+    assert pseudonyms._is_iban(new[4 : 4 + len(iban)])
+    assert "DE89" not in behind and "4111" not in behind or len(found) == 2
+    assert Pseudonyms(b"k", back=True).replace(new)[0] == text
+
+
+def test_ibans_before_words_come_back():
+    rng = random.Random(9)
+    for country, n in [("ES", 24), ("BE", 16), ("ZZ", 20), ("ES", 20)] * 150:
+        rest = "".join(rng.choice("0123456789") for _ in range(n - 4))
+        plain = country + pseudonyms.iban_check(country, rest) + rest
+        text = " ".join(plain[i : i + 4] for i in range(0, n, 4)) + rng.choice(["", " EUR", " 500", " ABCD", " ABCD 12"])
+        new, found = Pseudonyms(b"k").replace(text)
+        assert len(found) == 1 and new != text and Pseudonyms(b"k", back=True).replace(new)[0] == text
+
+
 @pytest.mark.parametrize("value", ["4111 1111 1111 1112", "1234567890123456", "999.1.1.1", "2023-02-30", "000-12-3456", "version 2.0.", "10:30", "page 12-13", "e = mc"])
 def test_invalid_values_stay(value):
     assert Pseudonyms(b"k").replace(value) == (value, [])
