@@ -287,6 +287,24 @@ def test_html(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<article><h2 id='social-impact'>Impact</h2><p>a</article>", "Impact a"),
+    ("<article><h2 id=comments>Comments of the court</h2><p>a</article>", "Comments of the court a"),
+    ("<article><section id='related-work'><p>Work</section><div class='share-price'>9</div></article>", "Work 9"),
+    ("<article class='post category-social'><p>a</article><p>other", "a"),
+    ("<article class='comments-closed'>a</article>", "a"),
+    ("<article id=notice>a</article><p>other", "a"),
+    ("<main class='has-sidebar'>a</main><div>other</div>", "a"),
+    ("<div class='page has-sidebar'><main>a</main></div><div><article>teaser</article></div>", "a teaser"),
+    ("<main><article class='post category-social'>a</article></main>", "a"),
+    ("<article>a<div class='related-posts'>R</div><div class='share_buttons'>S</div><div id=respond>C</div><ul class=socialLinks><li>L</ul><p>b</article>", "a b"),
+    ("<article>a<div class='related-posts--wide'>R</div><div class='x sidebar'>S</div><p>b</article>", "a b"),
+    ("<article hidden>x</article><p>a", "a"),
+])
+def test_class_words_of_the_article(page, text):
+    assert " ".join(html_text.blocks_of(page)[0]) == text
+
+
 def brute_unrepeated(pages, stretch, least):
     """pages: (host, tokens); drops tokens inside windows that stand on enough distinct contents of the host."""
     out = []
