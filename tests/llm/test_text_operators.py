@@ -334,3 +334,19 @@ def test_host_boilerplate_against_brute_force(spark):
     rows = [(i, f"http://{h}/{i}", f"<div>{' '.join(t)}</div>") for i, (h, t) in enumerate(pages)]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), least=3)
     assert [r.text for r in sorted(got.collect())] == brute_unrepeated(pages, html_text.STRETCH, 3)
+
+
+@pytest.mark.parametrize("url", ["http://big.org/{}", None])
+def test_sections_of_a_large_host_have_footers_of_their_own(spark, url):
+    rng = random.Random(6)
+    quote = "the whole is more than the sum of its parts"
+    rows, expected = [], []
+    for i in range(300):
+        own = " ".join(f"w{rng.randrange(10**6)}" for _ in range(30))
+        within = f"{own} {quote} {own[::-1]}" if i % 10 == 3 else own
+        quoted = [quote] if i in (7, 77, 107, 207) else []
+        menu = "".join(f"<li>{x}{i % 10}</li>" for x in ("home", "news", "maps", "help", "jobs", "more"))
+        rows.append((i, url and url.format(i), f"<ul>{menu}</ul><p>{within}</p>{''.join(f'<p>{q}</p>' for q in quoted)}<div>section {i % 10} is edited by the city desk daily</div>"))
+        expected.append(" ".join([within, *quoted]))
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 300 and all(r.text == expected[r.page_id] for r in got)
