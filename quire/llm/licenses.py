@@ -7,9 +7,11 @@ share of the template's words that are matched; a template with coverage of
 ``COVERAGE`` or more is found. Of finds that overlap, the one with the most
 matched words stays.
 
-No find is missed by looking only around rare words: a template with n words
-must have all but ``floor(0.2 n)`` of them matched, so one of its
-``floor(0.2 n) + 1`` rarest words is among them.
+Looking only around rare words misses none: a template with n words must have
+all but ``floor(0.2 n)`` of them matched, so one of its ``floor(0.2 n) + 1``
+rarest words is among them. A find spans less than ``SPAN`` times n words, and
+every stretch around the rare word that can hold one is aligned, narrow ones
+first, unless it shares too few words with the template to better what is found.
 
 Texts are scanned whole, row by row, in the task that reads them; nothing is
 shuffled.
@@ -21,6 +23,7 @@ where carried, pass through unread.
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections import Counter
@@ -30,6 +33,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 COVERAGE = 0.8
+#: Words from the first matched to the last, by words of the template.
+SPAN = 1.5
 
 #: Notices by license identifier.
 NOTICES = (
@@ -52,6 +57,11 @@ NOTICES = (
     ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("Zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v. 2.0"),
+    ("GPL-3.0", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("GPL-2.0", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"),
     ("Proprietary", "All rights reserved"),
 )
 
@@ -133,11 +143,11 @@ class Scanner:
                 if at <= done[k]:
                     continue
                 name, notice = self.notices[k]
-                reach = len(notice) + len(notice) // 4
+                reach = math.ceil(SPAN * len(notice))
                 left = max(0, at - reach, done[k] + 1)
-                matched = [i for i, _ in _tightest(words[left : at + reach + 1], notice, at - left)]
+                matched = [i for i, _ in _tightest(words[left : at + reach + 1], notice, at - left, self.coverage)]
                 share = len(matched) / len(notice)
-                if share >= self.coverage and matched[-1] - matched[0] < 1.5 * len(notice):
+                if share >= self.coverage and matched[-1] - matched[0] < SPAN * len(notice):
                     finds.append((len(matched), share, left + matched[0], left + matched[-1], name))
                     done[k] = left + matched[-1]
         taken: list[tuple[int, float, int, int, str]] = []
@@ -147,11 +157,14 @@ class Scanner:
         return [(name, share, n, starts[lo], ends[hi]) for n, share, lo, hi, name in sorted(taken, key=lambda f: f[2])]
 
 
-def _tightest(window: list[str], notice: list[str], centre: int) -> list[tuple[int, int]]:
+def _tightest(window: list[str], notice: list[str], centre: int, coverage: float = COVERAGE) -> list[tuple[int, int]]:
     """The alignment of the notice around the word at ``centre``, which is one of its words.
 
     Words far from the centre can repeat the notice's words, so the window is
     first cut to where the notice would lie if the centre is matched in place.
+    Where that leaves words out, every cut around the centre that a find may
+    span is aligned, from the narrowest on; of alignments with as many matches
+    the first stays.
     """
     best: list[tuple[int, int]] = []
     slack = max(1, len(notice) // 4)
@@ -160,6 +173,27 @@ def _tightest(window: list[str], notice: list[str], centre: int) -> list[tuple[i
         found = [(i + low, k) for i, k in patience(window[low : centre - j + len(notice) + slack], notice)]
         if len(found) > len(best):
             best = found
+    widest = math.ceil(SPAN * len(notice))
+    need, wanted = max(math.ceil(coverage * len(notice) - 1e-9), len(best) + 1), Counter(notice)
+    low, high = max(0, centre - widest + 1), min(len(window), centre + widest)
+    if (Counter(window[low:high]) & wanted).total() < need:
+        return best
+    cuts = []  # width, start, words in common at most
+    for start in range(low, centre + 1):
+        left, common = dict(wanted), 0
+        if window[start] not in wanted:
+            continue
+        for end in range(start, min(high, start + widest)):
+            if left.get(window[end], 0):
+                left[window[end]] -= 1
+                common += 1
+            if end >= centre and common >= need and window[end] in wanted:
+                cuts.append((end + 1 - start, start, common))
+    for width, start, common in sorted(cuts):
+        if common > len(best):
+            found = patience(window[start : start + width], notice)
+            if len(found) > len(best):
+                best = [(i + start, k) for i, k in found]
     return best
 
 

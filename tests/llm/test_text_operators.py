@@ -261,6 +261,31 @@ def test_patience_is_a_common_subsequence(a, b):
         assert len(pairs) == brute_matched(a, b)
 
 
+def test_a_license_with_words_put_in():
+    scanner = licenses.Scanner()
+    assert [f[:3] for f in scanner.scan("Licensed under the terms of the MIT License")] == [("MIT", 1.0, 5)]
+    assert [f[0] for f in scanner.scan("the terms. Licensed, as is said, under the MIT License of the day")] == ["MIT"]
+    rng = random.Random(8)
+    for name, notice in licenses.NOTICES:
+        words = licenses.words_of(notice)[0]
+        for _ in range(20):
+            text = list(words)
+            for _ in range(rng.randint(0, max(0, -(-3 * len(words) // 2) - len(words)))):
+                text.insert(rng.randint(1, len(text) - 1), f"x{rng.randrange(1000)}")
+            assert len(licenses.patience(text, words)) == len(words)
+            found = scanner.scan(" ".join(["some", "words", *text, "and", "more"]))
+            assert any(f[1] == 1.0 for f in found), (name, text)
+
+
+@pytest.mark.parametrize("text, name", [
+    ("Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "ISC"),
+    ("This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.", "Zlib"),
+    ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", "GPL-2.0"),
+])
+def test_license_bodies(text, name):
+    assert [f[0] for f in licenses.Scanner().scan(text)] == [name]
+
+
 # ----- html -----
 
 PAGES = {
