@@ -15,8 +15,10 @@ repeated.
 
 Built from DataFrame functions alone. Documents are numbered inside their
 source without gathering a source in one place: by (source, hash bucket), with
-the buckets' running counts added. Sources beyond the ``MAX_LANES`` largest
-share one lane. The period is folded from the one-row list of lanes.
+the buckets' running counts added. Every source has a lane of its own, however
+many there are. The period is folded from the one-row list of lanes, in groups
+of about the root of their number: a slot reads the first block of each group
+and works out anew only groups that a block was taken from or came free in.
 
 Defined cases: documents without a source form a source of their own; null ids
 come first in their source; repeated rows are placed each; an empty table gives
@@ -36,7 +38,6 @@ BLOCK_DOCS = 32
 #: Target weight of a source when none are given: its size to this power.
 TEMPERATURE = 0.5
 PERIOD = 1000
-MAX_LANES = 1000
 #: Documents numbered in one place, about, and the most hash digits that name a place.
 PLACE_ROWS, MAX_DIGITS = 2000, 5
 
@@ -45,10 +46,11 @@ def _draw(ident: Column) -> Column:
     return F.md5(F.coalesce(ident.cast("string"), F.lit("")))
 
 
-def lanes(sizes: DataFrame, weights: dict[str, float] | None = None, period: int = PERIOD, most: int = MAX_LANES) -> DataFrame:
-    """(source, lane, a, q): each source's lane and the lane's share of the period."""
+def lanes(sizes: DataFrame, weights: dict[str, float] | None = None, period: int = PERIOD, most: int | None = None) -> DataFrame:
+    """(source, lane, a, q): each source's lane and the lane's share of the period; with ``most``, the last lane is shared."""
     sources = sizes.groupBy("source").agg(F.sum("n").alias("n"))
-    ranked = sources.select("source", "n", F.least(F.row_number().over(Window.orderBy(F.desc("n"), "source")), F.lit(most)).alias("lane"))
+    place = F.row_number().over(Window.orderBy(F.desc("n"), "source"))
+    ranked = sources.select("source", "n", (F.least(place, F.lit(most)) if most else place).alias("lane"))
     if weights is None:
         goal = F.pow(F.sum(F.col("n").cast("double")), F.lit(TEMPERATURE))
     else:
@@ -64,23 +66,46 @@ def lanes(sizes: DataFrame, weights: dict[str, float] | None = None, period: int
     return ranked.join(shares, "lane").select("source", "lane", F.col("a").cast("long").alias("a"), F.col("q").cast("long").alias("q"))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def period(shares: DataFrame) -> DataFrame:
     """(lane, turn, slot): earliest deadline first over one period, for every block in it."""
     one = shares.select("lane", "a", "q").distinct().agg(F.sort_array(F.collect_list(F.struct("lane", "a", "q"))).alias("lanes"))
-    q = F.get("lanes", F.lit(0))["q"]
-    start = F.struct(F.transform("lanes", lambda x: F.lit(0).cast("long")).alias("done"), F.array().cast("array<int>").alias("picks"))
+    sized = one.where("size(lanes) > 0").select("lanes", F.get("lanes", F.lit(0))["q"].alias("q"), F.ceil(F.sqrt(F.size("lanes"))).cast("int").alias("width"), F.ceil(F.sqrt(F.get("lanes", F.lit(0))["q"])).alias("stride"))
+    q, width, stride = F.col("q"), F.col("width"), F.col("stride")
 
-    def step(acc: Column, slot: Column) -> Column:
-        def offer(x, i):
-            i = i.cast("int")
-            n = F.get(acc["done"], i)
-            eligible = (n < x["a"]) & (n * x["q"] <= slot * x["a"])
-            return F.when(eligible, F.struct(F.ceil((n + 1) * x["q"] / x["a"]).alias("deadline"), i.alias("i")))
+    def group(lanes: Column, g: Column, slot: Column) -> Column:
+        """The lanes (a, blocks done) of group g with the first eligible block, and the slot in which another comes free."""
+        free = lambda x: x["n"] * q <= slot * x["a"]
+        offer = lambda x, i: F.when((x["n"] < x["a"]) & free(x), F.struct(F.ceil((x["n"] + 1) * q / x["a"]).alias("deadline"), (g * width + i).cast("int").alias("i")))
+        later = lambda x: F.when((x["n"] < x["a"]) & ~free(x), F.ceil(x["n"] * q / x["a"]))
+        return _let(lanes, lambda own: F.struct(own.alias("own"), F.array_min(F.transform(own, offer)).alias("head"), F.array_min(F.transform(own, later)).alias("next")))
 
-        pick = F.array_min(F.transform("lanes", offer))["i"]
-        return F.struct(F.transform(acc["done"], lambda n, i: F.when(i == pick, n + 1).otherwise(n)).alias("done"), F.array_append(acc["picks"], pick).alias("picks"))
-
-    picks = one.where("size(lanes) > 0").select("lanes", F.aggregate(F.sequence(F.lit(0).cast("long"), q - 1), start, step, lambda acc: acc["picks"]).alias("picks"))
+    def step(acc: Column, slot: Column) -> Column:
+        def take(pick: Column) -> Column:
+            def after(x, g):
+                served = F.transform(x["own"], lambda y, i: F.when(g * width + i == pick["i"], F.struct(y["a"].alias("a"), (y["n"] + 1).alias("n"))).otherwise(y))
+                mine = (pick["i"] >= g * width) & (pick["i"] < (g + 1) * width)
+                return F.when(mine, group(served, g, slot + 1)).when(x["next"] <= slot + 1, group(x["own"], g, slot + 1)).otherwise(x)
+
+            return F.struct(F.transform(acc["groups"], after).alias("groups"), F.array_append(acc["picks"], pick["i"]).alias("picks"))
+
+        return _let(F.array_min(F.transform(acc["groups"], lambda x: x["head"])), take)
+
+    def run(acc: Column, n: Column) -> Column:
+        """A run of slots, so that picks are appended to short lists."""
+        slots = F.sequence(n * stride, F.least((n + 1) * stride, q) - 1)
+        begun = F.struct(acc["groups"].alias("groups"), F.array().cast("array<int>").alias("picks"))
+        return _let(F.aggregate(slots, begun, step), lambda done: F.struct(done["groups"].alias("groups"), F.array_append(acc["runs"], done["picks"]).alias("runs")))
+
+    fresh = lambda g: F.transform(F.slice("lanes", g * width + 1, width), lambda x: F.struct(x["a"].alias("a"), F.lit(0).cast("long").alias("n")))
+    groups = F.transform(F.sequence(F.lit(0), F.ceil(F.size("lanes") / width).cast("int") - 1), lambda g: group(fresh(g), g, F.lit(0).cast("long")))
+    start = F.struct(groups.alias("groups"), F.array().cast("array<array<int>>").alias("runs"))
+    runs = F.sequence(F.lit(0).cast("long"), F.ceil(q / stride) - 1)
+    picks = sized.select("lanes", F.aggregate(runs, start, run, lambda acc: F.flatten(acc["runs"])).alias("picks"))
     placed = picks.select("lanes", F.posexplode("picks").alias("slot", "i")).select(F.element_at("lanes", F.col("i") + 1)["lane"].alias("lane"), F.col("slot").cast("long").alias("slot"))
     return placed.select("lane", "slot", (F.row_number().over(Window.partitionBy("lane").orderBy("slot")) - 1).cast("long").alias("turn"))
 
@@ -102,9 +127,9 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str =
     within = Window.partitionBy("source", "place").orderBy("draw", "_id")
     numbered = drawn.join(bases, F.col("source").eqNullSafe(F.col("_source")) & (F.col("place") == F.col("_place"))).select("row", "source", "lane", "a", "q", (F.col("base") + F.row_number().over(within) - 1).alias("at"))
     blocks = numbered.select("row", "source", "lane", "a", "q", F.expr(f"at div {block_docs}").alias("block"), (F.col("at") % block_docs).alias("seat"))
-    slots = materialise(period(shares), "period").withColumnsRenamed({"lane": "_lane", "slot": "_slot"})
-    # at most max(PERIOD, 10 * MAX_LANES) rows
-    placed = blocks.join(F.broadcast(slots), (F.col("lane") == F.col("_lane")) & (F.col("block") % F.col("a") == F.col("turn")))
+    # max(PERIOD, 10 * lanes) rows
+    slots = counted(period(shares).withColumnsRenamed({"lane": "_lane", "slot": "_slot"}), "period")
+    placed = blocks.join(slots, (F.col("lane") == F.col("_lane")) & (F.col("block") % F.col("a") == F.col("turn")))
     return placed.select(
         "row",
         "source",

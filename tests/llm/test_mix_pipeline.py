@@ -62,6 +62,34 @@ def test_pooled_sources_share_a_lane(spark):
     assert sum({r.lane: r.a for r in found}.values()) == found[0].q
 
 
+def brute_period(a, q):
+    """The lane of each slot: of the blocks that are free, the one with the earliest deadline, then the first lane."""
+    import heapq
+
+    free, waiting, out = [], [(0, i, 0) for i in range(len(a))], []
+    heapq.heapify(waiting)
+    for t in range(q):
+        while waiting and waiting[0][0] <= t:
+            _, i, n = heapq.heappop(waiting)
+            heapq.heappush(free, (-(-(n + 1) * q // a[i]), i, n))
+        _, i, n = heapq.heappop(free)
+        out.append(i)
+        if n + 1 < a[i]:
+            heapq.heappush(waiting, (-(-(n + 1) * q // a[i]), i, n + 1))
+    return out
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 7, 50, 1300])
+def test_every_source_has_a_lane_of_its_own(spark, k):
+    sizes = spark.createDataFrame([(f"s{i}", 1 + 10**6 // (i + 1)) for i in range(k)], "source string, n long")
+    shares = mixing.lanes(sizes).localCheckpoint()
+    found = sorted(shares.collect(), key=lambda r: r.lane)
+    assert [r.lane for r in found] == list(range(1, k + 1)) and sum(r.a for r in found) == found[0].q
+    slots = sorted(mixing.period(shares).collect(), key=lambda r: r.slot)
+    assert [r.slot for r in slots] == list(range(found[0].q))
+    assert [r.lane - 1 for r in slots] == brute_period([r.a for r in found], found[0].q)
+
+
 def test_scratch_drops_its_tables(spark):
     with Scratch() as scratch:
         table = materialise(spark.range(3), "test")
