@@ -817,3 +817,51 @@ def _(spark, d):
 @query("numbers_by_year", f"WITH {_P} SELECT year, count(*) AS n FROM p WHERE cited_by_count >= 40 GROUP BY year")
 def _(spark, d):
     return A.papers(spark, d).where(rules.CitationRule(40).column()).groupBy("year").agg(F.count("*").alias("n"))
+
+
+# ----- near titles over whole texts -----
+
+
+def _whole(name: str):
+    """Registers the query ``name`` for papers whose title is the whole text."""
+    return query(f"{name}_whole", ORACLES[name].replace(A.PAPERS, A.WHOLE_PAPERS))
+
+
+def _filtered_whole(spark, d):
+    return pipelines.filter_papers(A.papers(spark, d, True), _engine())
+
+
+@_whole("find_duplicates")
+def _(spark, d):
+    return dedup.find_duplicates(A.papers(spark, d, True))
+
+
+@_whole("dedup")
+def _(spark, d):
+    return dedup.mark_duplicates(A.papers(spark, d, True)).select("_pos", F.col("_dup").alias("dup"))
+
+
+@_whole("dedup_groups")
+def _(spark, d):
+    return dedup.mark_duplicates(A.grouped(spark, d, True), ("group_pos", "_pos")).select("group", "_pos", F.col("_dup").alias("dup"))
+
+
+@_whole("filter_counts")
+def _(spark, d):
+    return _filtered_whole(spark, d).counts
+
+
+@_whole("union_removed")
+def _(spark, d):
+    return _filtered_whole(spark, d).removed.select("_pos", F.col("_by").alias("reason"))
+
+
+@_whole("pipeline_filter")
+def _(spark, d):
+    return _filtered_whole(spark, d).kept.select("_pos", "doi", "title")
+
+
+@_whole("jaccard3")
+def _(spark, d):
+    a, b = text_functions.normalize_text(F.col("title")), text_functions.normalize_text(F.expr("substring(title, 5)"))
+    return A.papers(spark, d, True).select("_pos", a.alias("a"), b.alias("b")).select("_pos", dedup.jaccard3(F.col("a"), F.col("b")).alias("value"))

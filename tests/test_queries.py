@@ -48,6 +48,21 @@ def test_rows_beyond_the_cap(spark, name, cap):
     assert len(first) == cap < len(whole) and first == set(sorted(whole)[:cap])
 
 
+def test_texts_are_compared_beyond_80_characters(spark, tmp_path):
+    """Brute force over texts that agree in their first 80 characters, and near copies that differ early."""
+    words = [f"{a}{b}" for a in ("ka", "lo", "mi", "nu") for b in ("ra", "se", "ti", "vo", "wy")]
+    body = " ".join(f"{x}{y}" for x in words for y in words[::3])
+    texts = [f"{body[:100]} {body[k:]}" for k in (0, 700)] + [body, f"zzz {body}", "other text"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(11 * i, t, "en", "s", len(t)) for i, t in enumerate(texts)], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality long, toxic long").write.parquet(f"{tmp_path}/labels.parquet")
+    sets = [{t[i : i + 3] for i in range(len(t) - 2)} for t in texts]
+    expected = {(11 * i, 11 * j) for i in range(5) for j in range(i + 1, 5) if len(sets[i] & sets[j]) >= 0.92 * len(sets[i] | sets[j])}
+    assert (22, 33) in expected and (0, 11) not in expected
+    assert {(r.pos_a, r.pos_b) for r in QUERIES["find_duplicates_whole"](spark, str(tmp_path)).collect()} == expected
+    assert (0, 11) in {(r.pos_a, r.pos_b) for r in QUERIES["find_duplicates"](spark, str(tmp_path)).collect()}
+
+
 def test_entry_imports_without_the_training_data_operators(tmp_path):
     """Only what is left counts once that subpackage and the pipeline are gone."""
     import shutil
