@@ -53,9 +53,15 @@ def slugify(text: Column, limit: int = 40, compose: bool = True) -> Column:
 
 
 def shingles(text: Column, size: int = 3) -> Column:
-    """Distinct character shingles; empty for shorter texts."""
+    """Distinct character shingles; empty for shorter texts.
+
+    In texts of single-byte characters, which normalised ones are, a shingle is
+    cut out by its place; elsewhere characters have to be counted up to it.
+    """
     starts = F.sequence(F.lit(1), F.length(text) - (size - 1))
-    return F.when(F.length(text) >= size, F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(size))))).otherwise(F.array().cast("array<string>"))
+    raw = text.cast("binary")
+    cut = F.when(F.octet_length(text) == F.length(text), F.transform(starts, lambda i: F.substring(raw, i, F.lit(size)).cast("string"))).otherwise(F.transform(starts, lambda i: F.substring(text, i, F.lit(size))))
+    return F.when(F.length(text) >= size, F.array_distinct(cut)).otherwise(F.array().cast("array<string>"))
 
 
 def parse_csv(text: Column) -> Column:

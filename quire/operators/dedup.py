@@ -1,18 +1,21 @@
 """Duplicate papers by DOI and by near-identical title.
 
 The title test is the Jaccard similarity of 3-character shingle sets. Pairs are
-found by a lossless set-similarity join (prefix filter with several shared
-tokens), never by comparing all titles:
+found by a lossless partition join, never by comparing all titles:
 
 * identical normalised titles collapse first;
-* tokens are ordered from rare to frequent (3-character shingles over 37
-  characters: at most 37^3 of them, so their frequencies may be broadcast);
-* two sets of similarity t or more share ``WIDTH`` tokens of their prefixes of
-  length ``n - ceil(t n) + WIDTH``, so each set is indexed under every
-  combination of that many prefix tokens. Sets so small that one differing
-  token breaks the threshold are indexed whole.
-
-Candidates are verified exactly, in the JVM.
+* sets of similarity t or more differ in at most ``2 m (1 - t) / (1 + t)``
+  elements, m being the larger size. Sets fall into classes of sizes that t
+  allows beside each other; the shingles of a set are dealt by hash into one
+  part more than that bound, so at least one part of two similar sets is equal.
+  A set has about one index key for every six of its shingles, however long its
+  text, and unrelated titles hardly ever agree on a part;
+* a set belongs to the partition of its own class and to that of the next one,
+  where it meets the sets of that class only. Sets so small that one differing
+  shingle breaks the threshold are indexed whole.
+
+Shingles are numbered and dealt in Arrow batches, which is much faster than
+higher-order functions over a character at a time; candidates are verified exactly, in the JVM.
 """
 
 from __future__ import annotations
@@ -28,50 +31,115 @@ from quire.functions.text import normalize_text, shingles
 from quire.tables import counted, materialise
 
 THRESHOLD = 0.92
-#: Prefix tokens that a candidate pair shares.
-WIDTH = 2
-MAX_ROUNDS = 200
+#: Shingles there can be: three characters of 37.
+SHINGLES = 37**3
 
 
 def jaccard3(a: Column, b: Column) -> Column:
     """0 if either is empty, 1 if equal, else the Jaccard similarity of 3-character shingles (0 without any)."""
-    x, y = shingles(a), shingles(b)
-    both = F.size(F.array_intersect(x, y))
-    ratio = both.cast("double") / (F.size(x) + F.size(y) - both)
-    return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(ratio)
+
+
+    def ratio(sets: Column) -> Column:
+        both = F.size(F.array_intersect(sets["x"], sets["y"]))
+        return F.when((F.size(sets["x"]) == 0) | (F.size(sets["y"]) == 0), 0.0).otherwise(both.cast("double") / (F.size(sets["x"]) + F.size(sets["y"]) - both))
+
+    # the sets are worked out once
+    value = F.get(F.transform(F.array(F.struct(shingles(a).alias("x"), shingles(b).alias("y"))), ratio), F.lit(0))
+    return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).otherwise(value)
 
 
 def _share(threshold: float) -> Fraction:
     return Fraction(str(threshold))
 
 
-def _keys(threshold: float) -> Column:
-    """Index keys of a set given its tokens in order (``tokens``, rare first) and size (``n``)."""
+def size_classes(threshold: float, largest: int = SHINGLES) -> tuple[int, list[int], list[int]]:
+    """Up to which size only equal sets are similar; beyond, the least size of each class and its number of parts."""
     t = _share(threshold)
-    small = -(-t.numerator // (t.denominator - t.numerator)) - 1 if t < 1 else 1 << 30  # n / (n + 1) < t
-    length = F.expr(f"n - (n * {t.numerator} + {t.denominator - 1}) div {t.denominator} + {WIDTH}")
-    first = F.slice("tokens", F.lit(1), F.greatest(length, F.lit(1)).cast("int"))
-    combos = F.flatten(F.transform(first, lambda x, i: F.transform(F.slice(first, i + 2, F.size(first)), lambda y: F.concat(x, y))))
-    return F.when(F.col("n") <= small, F.array(F.array_join("tokens", ""))).otherwise(combos)
+    if t >= 1:
+        return 1 << 30, [], []
+    alone = -(-t.numerator // (t.denominator - t.numerator)) - 1  # n / (n + 1) < t
+    least, parts, low = [], [], alone + 1
+    while not least or least[-1] <= largest:
+        most = low * t.denominator // t.numerator
+        least.append(low)
+        parts.append(2 * most * (t.denominator - t.numerator) // (t.denominator + t.numerator) + 1)
+        low = most + 1
+    return alone, least, parts
+
+
+def _hashes(seed: int, n: int = SHINGLES):
+    """Fixed 64-bit hashes of the first ``n`` numbers (the splitmix64 finaliser)."""
+    import numpy as np
+
+    x = (np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _indexed(titles: DataFrame, threshold: float) -> DataFrame:
+    """Normalised titles (``_t``) with shingles: i (unique once written), _t, s (their numbers, sorted), own and guest (index keys)."""
+    alone, least, parts = size_classes(threshold)
+
+    def index(batches):
+        from bisect import bisect_right
+
+        import numpy as np
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        places, values, salts = _hashes(0), _hashes(1 << 20), _hashes(1 << 21, 1 << 17)
+        letter = np.zeros(256, np.int32)
+        for k, c in enumerate(b" abcdefghijklmnopqrstuvwxyz0123456789"):
+            letter[c] = k
+
+        def keys(s, c: int):
+            """One key a part of the partition of class ``c``, empty parts too."""
+            m = parts[c]
+            held = np.zeros(m, np.uint64)
+            np.bitwise_xor.at(held, (places[s] % np.uint64(m)).astype(np.int64), values[s])
+            return ((held ^ salts[:m]) * np.uint64(2 * c + 1) + salts[m]).view(np.int64)
+
+        i = TaskContext.get().partitionId() << 36
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                texts = batch.column(0).slice(lo, 500)
+                rows = []
+                for raw in texts.cast(pa.binary()).to_pylist():
+                    x = letter[np.frombuffer(raw, np.uint8)]
+                    s = np.unique((x[:-2] * 37 + x[1:-1]) * 37 + x[2:]) if len(x) > 2 else x[:0]
+                    own = guest = np.zeros(0, np.int64)
+                    if 0 < len(s) <= alone:
+                        own = (np.bitwise_xor.reduce(values[s], keepdims=True) * np.uint64(2)).view(np.int64)
+                    elif len(s):
+                        c = bisect_right(least, len(s)) - 1
+                        own = keys(s, c)
+                        guest = keys(s, c + 1) if c + 1 < len(parts) else guest
+                    rows.append((s, own, guest))
+                ids = pa.array(range(i, i + len(rows)), pa.int64())
+                lists = [pa.array([r[k] for r in rows], pa.list_(kind)) for k, kind in enumerate((pa.int32(), pa.int64(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays([ids, texts, *lists], names=["i", "_t", "s", "own", "guest"])
+                i += len(rows)
+
+    return titles.select("_t").mapInArrow(index, "i long, _t string, s array<int>, own array<long>, guest array<long>")
 
 
 def similar_titles(titles: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Distinct titles (``_t``) to pairs (a, b, similarity) of different titles at or above the threshold, a < b as text.
+    """Distinct normalised titles (``_t``) to pairs (a, b, similarity) of different titles at or above the threshold, a < b as text.
 
-    The index carries numbers only: titles are numbered as they are written, so
-    the numbers stay what they are when a task runs again.
+    The index carries numbers only, and of the shingles only those of titles in
+    a candidate pair move. Titles are numbered as they are written, so the
+    numbers stay what they are when a task runs again.
     """
-    numbered = titles.select(F.monotonically_increasing_id().alias("i"), "_t", shingles(F.col("_t")).alias("s"))
-    sets = materialise(numbered.where(F.size("s") > 0), "shingles")
-    # at most 37^3 rows
-    order = F.broadcast(sets.select(F.explode("s").alias("w")).groupBy("w").agg(F.count("*").alias("f")))
-    ranked = sets.select("i", F.explode("s").alias("w")).join(order, "w").groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "w"))), lambda x: x["w"]).alias("tokens"))
-    indexed = ranked.select("i", F.size("tokens").alias("n"), "tokens").select("i", "n", F.explode(F.array_distinct(_keys(threshold))).alias("k")).select("i", "n", F.xxhash64("k").alias("k"))
-    x, y = indexed.alias("x"), indexed.alias("y")
+    sets = materialise(_indexed(titles, threshold).where(F.size("s") > 0), "shingles")
+    index = sets.select("i", F.size("s").alias("n"), F.explode("own").alias("k"), F.lit(False).alias("guest")).unionByName(sets.select("i", F.size("s").alias("n"), F.explode("guest").alias("k"), F.lit(True).alias("guest")))
+    x, y = index.alias("x"), index.alias("y")
     t = _share(threshold)
     fits = F.expr(f"x.n * {t.denominator} >= y.n * {t.numerator} AND y.n * {t.denominator} >= x.n * {t.numerator}")
-    pairs = x.join(y, F.expr("x.k = y.k AND x.i < y.i") & fits).select(F.col("x.i").alias("ia"), F.col("y.i").alias("ib")).distinct()
-    left, right = (sets.select(F.col("i").alias(f"i{c}"), F.col("_t").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
+    pairs = materialise(x.join(y, F.expr("x.k = y.k AND x.i < y.i AND NOT (x.guest AND y.guest)") & fits).select(F.col("x.i").alias("ia"), F.col("y.i").alias("ib")).distinct(), "pairs")
+    met = counted(pairs.select(F.col("ia").alias("i")).union(pairs.select("ib")).distinct(), "met")
+    known = sets.join(met, "i", "left_semi")
+    left, right = (known.select(F.col("i").alias(f"i{c}"), F.col("_t").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
     common = pairs.join(left, "ia").join(right, "ib").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("both"))
     ratio = F.col("both").cast("double") / (F.col("na") + F.col("nb") - F.col("both"))
     return common.where(ratio >= F.lit(float(threshold))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), ratio.alias("similarity"))
@@ -85,7 +153,8 @@ def _prepared(papers: DataFrame, order: tuple[str, ...], compose: bool) -> DataF
 def find_duplicates(papers: DataFrame, threshold: float = THRESHOLD, compose: bool = True) -> DataFrame:
     """All pairs (pos_a < pos_b, similarity): equal DOIs (letter case aside) score 1, else titles at or above the threshold.
 
-    The result itself lists every pair of every group of duplicates.
+    The result itself lists every pair of every group of duplicates;
+    ``duplicate_classes`` says the same in one row a paper.
     """
     rows = materialise(_prepared(papers, ("_pos",), compose).select(F.col("_at._pos").alias("p"), F.lower("doi").alias("d"), "_t"), "papers")
     x, y = rows.alias("x"), rows.alias("y")
@@ -97,6 +166,25 @@ def find_duplicates(papers: DataFrame, threshold: float = THRESHOLD, compose: bo
     return reduce(DataFrame.union, [by_doi, same_title, by_near]).groupBy("pos_a", "pos_b").agg(F.max("similarity").alias("similarity"))
 
 
+def duplicate_classes(papers: DataFrame, threshold: float = THRESHOLD, compose: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The duplicates of ``find_duplicates`` without writing out all pairs of copies: (members, links).
+
+    ``members`` has one row a paper: _pos, by_doi and by_title, the first paper
+    with the same DOI and with the same normalised title (null without one).
+    ``links`` has the similar pairs (a, b, similarity) among the ``by_title``
+    papers. Two papers are duplicates where they share ``by_doi`` or
+    ``by_title``, or where a link joins their titles.
+    """
+    rows = materialise(_prepared(papers, ("_pos",), compose).select(F.col("_at._pos").alias("p"), F.lower("doi").alias("d"), "_t"), "papers")
+    dois = rows.where("d <> ''").groupBy("d").agg(F.min("p").alias("by_doi"))
+    titles = materialise(rows.where("_t <> ''").groupBy("_t").agg(F.min("p").alias("by_title")), "titles")
+    members = rows.join(dois, "d", "left").join(titles, "_t", "left").select(F.col("p").alias("_pos"), "by_doi", "by_title")
+    near = similar_titles(titles.select("_t"), threshold)
+    a, b = (titles.select(F.col("_t").alias(c), F.col("by_title").alias(f"p{c}")) for c in "ab")
+    links = near.join(a, "a").join(b, "b").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"), "similarity")
+    return members, links
+
+
 def _decide(papers: DataFrame, order: tuple[str, ...], threshold: float, compose: bool) -> DataFrame:
     """(_at, dup): whether a paper is removed, reading papers in order.
 
@@ -124,18 +212,20 @@ def _decide(papers: DataFrame, order: tuple[str, ...], threshold: float, compose
 
 
 def _independent(edges: DataFrame) -> DataFrame:
-    """Nodes (``late``) removed by the greedy pass over edges (early, late)."""
+    """Nodes (``late``) removed by the greedy pass over edges (early, late).
+
+    Every round settles all edges whose early end has no open edge to an earlier
+    title, the earliest of all among them, so the rounds come to an end.
+    """
     lost = edges.select("late").limit(0)
-    for _ in range(MAX_ROUNDS):
-        if edges.isEmpty():
-            return lost
+    while not edges.isEmpty():
         # an early end that is no late end of an open edge is kept: its late ends go
         waiting = edges.select(F.col("late").alias("early")).distinct()
         gone = counted(edges.join(waiting, "early", "left_anti").select("late").distinct(), "gone")
         lost = materialise(lost.union(gone), "lost")
         # edges of removed nodes are settled at either end
         edges = materialise(edges.join(gone, "late", "left_anti").join(gone.select(F.col("late").alias("early")), "early", "left_anti"), "edges")
-    raise RuntimeError(f"duplicates did not settle in {MAX_ROUNDS} rounds")
+    return lost
 
 
 def dedup(papers: DataFrame, threshold: float = THRESHOLD, compose: bool = True) -> tuple[DataFrame, DataFrame]:

@@ -8,7 +8,7 @@ order of a conjunction.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, fields
 from functools import reduce
 from typing import Any
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.doi import doi_key
 from quire.functions.text import normalize_plain, normalize_text, strip
+from quire.tables import counted
 
 QUARTILES = ("Q1", "Q2", "Q3", "Q4", "-")
 #: DOI lists longer than this are joined instead of written into the plan.
@@ -34,9 +35,14 @@ class Rule:
     def column(self) -> Column:
         raise NotImplementedError
 
+    def prepare(self, papers: DataFrame) -> DataFrame:
+        """``papers`` with the helper columns that ``column()`` reads, if any; their names start with ``_rule``."""
+        return papers
+
     def to_dict(self) -> dict[str, Any]:
         values = {f.name: getattr(self, f.name) for f in fields(self)}
-        return {"name": self.name} | {k: sorted(v) if isinstance(v, (set, frozenset)) else v for k, v in values.items()}
+        shown = lambda v: sorted(v) if isinstance(v, (set, frozenset)) else "(table)" if isinstance(v, DataFrame) else v
+        return {"name": self.name} | {k: shown(v) for k, v in values.items()}
 
 
 def _text(name: str) -> Column:
@@ -158,24 +164,50 @@ class LanguageRule(Rule):
         return (_text("language") == "") | (F.lower(_text("language")).isin(*sorted(self.allowed)) if self.allowed else F.lit(False))
 
 
-@dataclass(frozen=True)
-class DoiBlacklist(Rule):
-    dois: frozenset[str] = frozenset()
+@dataclass(frozen=True, eq=False)
+class DoiRule(Rule):
+    """Whether a paper's DOI is listed. ``dois`` are keys, or a table with DOIs in its first column.
+
+    Tables, and more than ``IN_LIST`` keys, are joined; ``prepare`` then marks the papers.
+    """
+
+    dois: frozenset[str] | DataFrame = frozenset()
+
+    @property
+    def _mark(self) -> str:
+        return f"_rule_{self.name}"
+
+    @property
+    def _joined(self) -> bool:
+        return isinstance(self.dois, DataFrame) or len(self.dois) > IN_LIST
+
+    def prepare(self, papers: DataFrame) -> DataFrame:
+        if not self._joined:
+            return papers
+        table = self.dois if isinstance(self.dois, DataFrame) else papers.sparkSession.createDataFrame([(d,) for d in sorted(self.dois)], "doi string")
+        keys = counted(_doi_keys(table).select(F.col("_key").alias(f"{self._mark}_key"), F.lit(True).alias(self._mark)), "dois")
+        return papers.join(keys, (_text("doi") != "") & (doi_key(_text("doi")) == F.col(f"{self._mark}_key")), "left")
+
+    def listed(self) -> Column:
+        return F.col(self._mark).isNotNull() if self._joined else doi_key(_text("doi")).isin(*sorted(self.dois))
+
+
+@dataclass(frozen=True, eq=False)
+class DoiBlacklist(DoiRule):
     name = "exclude_dois"
 
     def column(self) -> Column:
-        return (_text("doi") == "") | ~doi_key(_text("doi")).isin(*sorted(self.dois)) if self.dois else F.lit(True)
+        return (_text("doi") == "") | ~self.listed() if self._joined or self.dois else F.lit(True)
 
 
-@dataclass(frozen=True)
-class DoiWhitelist(Rule):
-    """An empty list keeps all papers."""
+@dataclass(frozen=True, eq=False)
+class DoiWhitelist(DoiRule):
+    """An empty list of keys keeps all papers."""
 
-    dois: frozenset[str] = frozenset()
     name = "include_dois"
 
     def column(self) -> Column:
-        return (_text("doi") != "") & doi_key(_text("doi")).isin(*sorted(self.dois)) if self.dois else F.lit(True)
+        return (_text("doi") != "") & self.listed() if self._joined or self.dois else F.lit(True)
 
 
 @dataclass(frozen=True)
@@ -211,7 +243,8 @@ class FilterEngine:
 
     def mark(self, papers: DataFrame) -> DataFrame:
         """``papers`` with ``_keep``: one pass for both sides."""
-        return papers.withColumn("_keep", self.column())
+        marked = reduce(lambda df, r: r.prepare(df), self.rules, papers).withColumn("_keep", self.column())
+        return marked.select(*papers.columns, "_keep")
 
     def apply(self, papers: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(kept, removed), in the order of the input where that is sorted by ``_pos``."""
@@ -254,12 +287,12 @@ def build_engine(
     include_keywords: str | None = None,
     open_access_only: bool = False,
     language: str | None = None,
-    exclude_dois: Iterable[str] | None = None,
-    include_dois: Sequence[str] | None = None,
+    exclude_dois: Iterable[str] | DataFrame | None = None,
+    include_dois: Iterable[str] | DataFrame | None = None,
     compose: bool = True,
 ) -> FilterEngine:
-    """The engine of a set of flags; flags that say nothing add no rule."""
-    keys = lambda dois: frozenset(d.lower().strip() for d in dois)
+    """The engine of a set of flags; flags that say nothing add no rule. DOIs come as texts or as a table."""
+    keys = lambda dois: dois if isinstance(dois, DataFrame) else frozenset(d.lower().strip() for d in dois or ())
     engine = FilterEngine()
     if min_year is not None or max_year is not None:
         engine.add(YearRule(min_year, max_year))
@@ -274,10 +307,9 @@ def build_engine(
         engine.add(OpenAccessRule())
     if language:
         engine.add(LanguageRule(frozenset(split_csv(language))))
-    if exclude_dois and (listed := keys(exclude_dois)):
-        engine.add(DoiBlacklist(listed))
-    if include_dois and (listed := keys(include_dois)):
-        engine.add(DoiWhitelist(listed))
+    for kind, dois in ((DoiBlacklist, exclude_dois), (DoiWhitelist, include_dois)):
+        if isinstance(listed := keys(dois), DataFrame) or listed:
+            engine.add(kind(listed))
     if exclude_keywords:
         engine.add(KeywordBlacklist(tuple(split_csv(exclude_keywords)), compose=compose))
     if include_keywords:

@@ -1,5 +1,6 @@
 """Paper, journal and work views over the driver's tables.
 
+The title of a paper is the whole text of its document.
 ``PAPERS`` and ``JOURNALS`` are SQL that Spark and DuckDB read alike; lists are
 ``; ``-separated texts there and arrays in the Spark views.
 """
@@ -29,7 +30,7 @@ _ID = "d.doc_id"
 
 PAPERS = f"""SELECT {_ID} AS _pos,
 CASE WHEN {_ID} % 11 = 0 THEN '' ELSE {_DOI} END AS doi,
-substr(coalesce(d.text, ''), 1, 80) AS title,
+coalesce(d.text, '') AS title,
 CASE {_ID} % 4 WHEN 0 THEN '' WHEN 1 THEN 'Brown, Carl' WHEN 2 THEN 'Dee Evans; Adams J.' ELSE 'Li; Brown, Carl; Dee Evans' END AS authors,
 coalesce(d.source, '') AS journal,
 CASE WHEN {_ID} % 7 = 0 THEN 'Press & Sons #1' ELSE '' END AS publisher,
@@ -55,9 +56,6 @@ CASE WHEN {_ID} % 2 = 0 THEN 'deep learning; ' || coalesce(d.lang, '') ELSE '' E
 'https://example.org/w/' || {text(_ID)} AS url
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"""
 
-#: Papers whose title is the whole text
-WHOLE_PAPERS = PAPERS.replace("substr(coalesce(d.text, ''), 1, 80) AS title", "coalesce(d.text, '') AS title")
-
 JOURNALS = f"""SELECT s.s_suppkey AS _pos, s.s_name AS title,
 {issn('s.s_suppkey % 150')} AS issn_electronic, {issn('(s.s_suppkey * 2) % 150')} AS issn_print,
 CASE s.s_nationkey % 6 WHEN 0 THEN 'Q1' WHEN 1 THEN 'Q2' WHEN 2 THEN 'Q3' WHEN 3 THEN 'Q4' WHEN 4 THEN '-' ELSE '' END AS quartile,
@@ -78,8 +76,8 @@ def _list(name: str):
     return F.filter(F.split(F.col(name), "; "), lambda x: x != "").alias(name)
 
 
-def papers(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    rows = view(spark, sf_dir, WHOLE_PAPERS if whole else PAPERS)
+def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = view(spark, sf_dir, PAPERS)
     lists = ("authors", "issns", "keywords")
     return canonical(rows.select(*[_list(c) if c in lists else F.col(c) for c in rows.columns]))
 
@@ -97,9 +95,9 @@ def journals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def grouped(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Papers in groups by ``source``; groups in order of their first paper."""
-    rows = papers(spark, sf_dir, whole)
+    rows = papers(spark, sf_dir)
     first = rows.groupBy(F.col("journal").alias("group")).agg(F.min("_pos").alias("group_pos"))
     return rows.withColumn("group", F.col("journal")).join(first, "group")
 

@@ -52,7 +52,8 @@ def search(papers: DataFrame, scan: Scan, journal_rows: DataFrame | None = None,
         scanned = scan_works(papers, Scan(**{**scan.__dict__, "issns": tuple(issns)}))
     elif mode == "scan":
         cap = max_scan
-        scanned = materialise(scan_works(papers, Scan(**{**scan.__dict__, "has_issn": True})), "scanned")
+        ahead = scan_works(papers, Scan(**{**scan.__dict__, "has_issn": True}))
+        scanned = materialise(ahead.orderBy("_pos").limit(cap) if cap else ahead, "scanned")
         hits = journals.restrict_by_table(scanned, wanted).select(F.col("_pos").alias("_hit"))
         scanned = scanned.join(hits, F.col("_pos") == F.col("_hit"), "left")
         accept = F.col("_hit").isNotNull()

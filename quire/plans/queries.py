@@ -6,11 +6,14 @@ the driver's tables. Both read the same adapter views.
 
 from __future__ import annotations
 
+import contextlib
 import datetime
+import json
+import tempfile
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.control import names, settings
@@ -24,6 +27,7 @@ from quire.plans import adapters as A
 from quire.plans import pipelines
 from quire.sinks import formats
 from quire.sources import doi_lists, documents, works
+from quire.tables import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -85,12 +89,12 @@ _ANNOTATED = f"""{_P}, {_J}, {_INDEX}, {_TRIES},
 hit AS (SELECT tr._pos, arg_min(jx.quartile, spot) AS q FROM tr JOIN jx ON tr.issn = jx.issn AND tr.issn <> '' GROUP BY tr._pos),
 an AS (SELECT p.* EXCLUDE (quartile, scopus_indexed), {_VALID} OR hit._pos IS NOT NULL AS scopus_indexed,
   CASE WHEN NOT ({_VALID}) AND coalesce(hit.q, '') <> '' THEN hit.q ELSE quartile END AS quartile FROM p LEFT JOIN hit ON p._pos = hit._pos)"""
-#: Distinct normalised titles and the similar pairs among them
-_SIMILAR = f"""t AS (SELECT DISTINCT {_norm('title')} AS t FROM p), tt AS (SELECT * FROM t WHERE t <> ''),
-sh AS (SELECT DISTINCT t, substr(t, i, 3) AS w FROM (SELECT t, unnest(range(1, length(t) - 1)) AS i FROM tt)),
-sz AS (SELECT t, count(*) AS n FROM sh GROUP BY t),
-pr AS (SELECT x.t AS a, y.t AS b, count(*) AS k FROM sh x JOIN sh y ON x.w = y.w AND x.t < y.t GROUP BY x.t, y.t),
-near AS (SELECT a, b, k::DOUBLE / (x.n + y.n - k) AS similarity FROM pr JOIN sz x ON a = x.t JOIN sz y ON b = y.t WHERE k::DOUBLE / (x.n + y.n - k) >= 0.92)"""
+#: Distinct normalised titles and the similar pairs among them; sizes that cannot be similar are left out before shingles are counted
+_SIMILAR = f"""t AS (SELECT DISTINCT {_norm('title')} AS t FROM p), tt AS (SELECT t, row_number() OVER (ORDER BY t) AS i FROM t WHERE t <> ''),
+sh AS (SELECT DISTINCT i, substr(t, k, 3) AS w FROM (SELECT i, t, unnest(range(1, length(t) - 1)) AS k FROM tt)),
+sz AS (SELECT i, count(*) AS n FROM sh GROUP BY i), sn AS (SELECT sh.i, w, n FROM sh JOIN sz USING (i)),
+pr AS (SELECT x.i AS ia, y.i AS ib, x.n AS na, y.n AS nb, count(*) AS k FROM sn x JOIN sn y ON x.w = y.w AND x.i < y.i AND 25 * x.n >= 23 * y.n AND 25 * y.n >= 23 * x.n GROUP BY ALL),
+near AS (SELECT a.t AS a, b.t AS b, k::DOUBLE / (na + nb - k) AS similarity FROM pr JOIN tt a ON a.i = ia JOIN tt b ON b.i = ib WHERE k::DOUBLE / (na + nb - k) >= 0.92)"""
 
 
 def _dedup_sql(rows: str) -> str:
@@ -163,12 +167,7 @@ def _(spark, d):
     return _rows(spark, "n int, rule string", [(i, r["name"]) for i, r in enumerate(_engine().describe())])
 
 
-@query("accept_predicate", f"WITH {_P} SELECT _pos, title FROM p WHERE cited_by_count > 50 AND is_open_access ORDER BY _pos LIMIT 40")
-def _(spark, d):
-    return works.take_accepted(A.papers(spark, d), (F.col("cited_by_count") > 50) & F.col("is_open_access"), 40).select("_pos", "title")
-
-
-@query("accept_predicate_all", f"WITH {_P} SELECT _pos, title FROM p WHERE cited_by_count > 50 AND is_open_access")
+@query("accept_predicate", f"WITH {_P} SELECT _pos, title FROM p WHERE cited_by_count > 50 AND is_open_access")
 def _(spark, d):
     return works.take_accepted(A.papers(spark, d), (F.col("cited_by_count") > 50) & F.col("is_open_access")).select("_pos", "title")
 
@@ -308,27 +307,26 @@ def _(spark, d):
     return journals.restrict_by_list(rows, ["1005-0355", "10350455", "1065-0555"]).select("_pos")
 
 
-@query("issn_semi_join_scan", f"WITH {_P}, {_J}, w AS (SELECT issn_electronic AS issn FROM j UNION SELECT issn_print FROM j), e AS (SELECT _pos, unnest(list_transform(string_split(issns, '; '), lambda x: {_nissn('x')})) AS issn FROM p), s AS (SELECT DISTINCT _pos FROM e JOIN w USING (issn)) SELECT _pos FROM s ORDER BY _pos LIMIT 30")
+@query("issn_semi_join_scan", f"WITH {_P}, {_J}, w AS (SELECT issn_electronic AS issn FROM j UNION SELECT issn_print FROM j), e AS (SELECT _pos, unnest(list_transform(string_split(issns, '; '), lambda x: {_nissn('x')})) AS issn FROM p), s AS (SELECT DISTINCT _pos FROM e JOIN w USING (issn)) SELECT _pos FROM s")
 def _(spark, d):
     rows = A.papers(spark, d).withColumn("issns", issn_functions.split_issn_list(F.col("issns")))
     wanted = A.journals(spark, d).select(F.explode("issns").alias("issn"))
-    return works.take_accepted(journals.restrict_by_table(rows, wanted), None, 30).select("_pos")
+    return works.take_accepted(journals.restrict_by_table(rows, wanted)).select("_pos")
 
 
-#: Papers with an ISSN of a journal
-_SCANNED = f"WITH {_P}, {_J}, w AS (SELECT issn_electronic AS issn FROM j UNION SELECT issn_print FROM j), e AS (SELECT _pos, unnest(list_transform(string_split(issns, '; '), lambda x: {_nissn('x')})) AS issn FROM p), s AS (SELECT DISTINCT _pos FROM e JOIN w USING (issn)) SELECT _pos FROM s"
+@query("find_duplicates", f"WITH {_P}, {_SIMILAR}, x AS (SELECT _pos, lower(doi) AS d, {_norm('title')} AS t FROM p), al AS (SELECT a._pos AS pos_a, b._pos AS pos_b, 1.0::DOUBLE AS similarity FROM x a JOIN x b ON a.d = b.d AND a._pos < b._pos WHERE a.d <> '' UNION ALL SELECT a._pos, b._pos, 1.0 FROM x a JOIN x b ON a.t = b.t AND a._pos < b._pos WHERE a.t <> '' UNION ALL SELECT least(u._pos, v._pos), greatest(u._pos, v._pos), similarity FROM near JOIN x u ON a = u.t JOIN x v ON b = v.t) SELECT pos_a, pos_b, max(similarity) AS similarity FROM al GROUP BY pos_a, pos_b")
+def _(spark, d):
+    return dedup.find_duplicates(A.papers(spark, d))
 
 
-@query("issn_semi_join_scan_all", _SCANNED)
+@query("duplicate_members", f"WITH {_P}, x AS (SELECT _pos, lower(doi) AS d, {_norm('title')} AS t FROM p), m AS (SELECT _pos, min(_pos) OVER (PARTITION BY d) AS d1, min(_pos) OVER (PARTITION BY t) AS t1, d, t FROM x) SELECT _pos, CASE WHEN d <> '' THEN d1 END AS by_doi, CASE WHEN t <> '' THEN t1 END AS by_title FROM m")
 def _(spark, d):
-    rows = A.papers(spark, d).withColumn("issns", issn_functions.split_issn_list(F.col("issns")))
-    wanted = A.journals(spark, d).select(F.explode("issns").alias("issn"))
-    return works.take_accepted(journals.restrict_by_table(rows, wanted)).select("_pos")
+    return dedup.duplicate_classes(A.papers(spark, d))[0]
 
 
-@query("find_duplicates", f"WITH {_P}, {_SIMILAR}, x AS (SELECT _pos, lower(doi) AS d, {_norm('title')} AS t FROM p), al AS (SELECT a._pos AS pos_a, b._pos AS pos_b, 1.0::DOUBLE AS similarity FROM x a JOIN x b ON a.d = b.d AND a._pos < b._pos WHERE a.d <> '' UNION ALL SELECT a._pos, b._pos, 1.0 FROM x a JOIN x b ON a.t = b.t AND a._pos < b._pos WHERE a.t <> '' UNION ALL SELECT least(u._pos, v._pos), greatest(u._pos, v._pos), similarity FROM near JOIN x u ON a = u.t JOIN x v ON b = v.t) SELECT pos_a, pos_b, max(similarity) AS similarity FROM al GROUP BY pos_a, pos_b")
+@query("duplicate_links", f"WITH {_P}, {_SIMILAR}, f AS (SELECT {_norm('title')} AS t, min(_pos) AS first FROM p GROUP BY 1) SELECT least(x.first, y.first) AS a, greatest(x.first, y.first) AS b, similarity FROM near JOIN f x ON near.a = x.t JOIN f y ON near.b = y.t")
 def _(spark, d):
-    return dedup.find_duplicates(A.papers(spark, d))
+    return dedup.duplicate_classes(A.papers(spark, d))[1]
 
 
 _DEDUP = f"WITH RECURSIVE {_P}, {_SIMILAR}, {_dedup_sql(f'SELECT _pos, _pos AS ord, doi, {_TITLE} AS t FROM p')}"
@@ -351,37 +349,22 @@ def _(spark, d):
     return works.lookup_doi(asked, rows, "asked").select("asked", "work._pos", "work.title")
 
 
-def _asked_dois(spark, d, whole=False):
-    papers = A.papers(spark, d)
-    rows = (papers if whole else papers.where("_pos % 3 = 0")).select(F.col("_pos").alias("n"), "doi")
+def _asked_dois(spark, d):
+    rows = A.papers(spark, d).select(F.col("_pos").alias("n"), "doi")
     return rows.select("n", F.when(F.col("n") % 2 == 0, F.concat("doi", F.lit("/missing"))).otherwise(F.col("doi")).alias("doi"))
 
 
-_ENRICH = f"{_ANNOTATED}, q AS (SELECT _pos AS n, CASE WHEN _pos % 2 = 0 THEN doi || '/missing' ELSE doi END AS doi FROM p WHERE _pos % 3 = 0), w AS (SELECT lower(trim(doi)) AS k, arg_min(scopus_indexed, _pos) AS si, arg_min(title, _pos) AS title FROM an WHERE doi <> '' GROUP BY 1), r AS (SELECT n, q.doi, k IS NOT NULL AS found, si, title FROM q LEFT JOIN w ON lower(q.doi) = k AND q.doi LIKE '10.%')"
+_ENRICH = f"{_ANNOTATED}, q AS (SELECT _pos AS n, CASE WHEN _pos % 2 = 0 THEN doi || '/missing' ELSE doi END AS doi FROM p), w AS (SELECT lower(trim(doi)) AS k, arg_min(scopus_indexed, _pos) AS si, arg_min(title, _pos) AS title FROM an WHERE doi <> '' GROUP BY 1), r AS (SELECT n, q.doi, k IS NOT NULL AS found, si, title FROM q LEFT JOIN w ON lower(q.doi) = k AND q.doi LIKE '10.%')"
 
 
-#: The same with the DOI of every paper asked for
-_ENRICH_ALL = _ENRICH.replace(" WHERE _pos % 3 = 0", "")
-
-
-def _validated(spark, d, whole=False):
-    return pipelines.validate(_asked_dois(spark, d, whole), A.papers(spark, d), journals.issn_index(A.journals(spark, d)))
-
-
-def _enriched(spark, d, whole=False):
-    asked = _asked_dois(spark, d, whole)
-    found, errors = collections.doi_enrich(asked, A.papers(spark, d))
-    return found.select("n", "doi", "work.title", F.lit("").alias("error")).unionByName(errors.select("n", "doi", F.lit(None).cast("string").alias("title"), "error"))
+def _validated(spark, d):
+    return pipelines.validate(_asked_dois(spark, d), A.papers(spark, d), journals.issn_index(A.journals(spark, d)))
 
 
 @query("doi_enrich", f"WITH {_ENRICH} SELECT n, doi, title, CASE WHEN found THEN '' ELSE 'not_found' END AS error FROM r")
 def _(spark, d):
-    return _enriched(spark, d)
-
-
-@query("doi_enrich_all", f"WITH {_ENRICH_ALL} SELECT n, doi, title, CASE WHEN found THEN '' ELSE 'not_found' END AS error FROM r")
-def _(spark, d):
-    return _enriched(spark, d, True)
+    found, errors = collections.doi_enrich(_asked_dois(spark, d), A.papers(spark, d))
+    return found.select("n", "doi", "work.title", F.lit("").alias("error")).unionByName(errors.select("n", "doi", F.lit(None).cast("string").alias("title"), "error"))
 
 
 @query("validate_counts", f"WITH {_ENRICH} SELECT count(*) AS input_count, count(*) FILTER (WHERE found) AS found, count(*) FILTER (WHERE si) AS scopus_count FROM r")
@@ -389,11 +372,6 @@ def _(spark, d):
     return _validated(spark, d).counts
 
 
-@query("validate_counts_all", f"WITH {_ENRICH_ALL} SELECT count(*) AS input_count, count(*) FILTER (WHERE found) AS found, count(*) FILTER (WHERE si) AS scopus_count FROM r")
-def _(spark, d):
-    return _validated(spark, d, True).counts
-
-
 # ----- counts, limits, sets -----
 
 
@@ -514,6 +492,92 @@ def _(spark, d):
     return _rows(spark, "kind string, name string", [(k, names.default_name(k)) for k in ("search", "filter", "validate", "export")])
 
 
+# ----- files on the driver -----
+
+
+class _Counted:
+    """A text stream that keeps counts of the titles written to it, not the text; rows are one a line."""
+
+    def __init__(self):
+        self.rest, self.rows, self.title_chars, self.members = "", 0, 0, ""
+
+    def write(self, text: str) -> None:
+        *lines, self.rest = (self.rest + text).split("\n")
+        for line in map(str.strip, lines):
+            if line.startswith('{"_n"') or line.startswith('{"doi"'):
+                self.rows, self.title_chars = self.rows + 1, self.title_chars + len(json.loads(line.rstrip(","))["title"])
+            elif line.startswith('"'):
+                self.members += line.partition(":")[0].strip('"') + ","
+
+    def flush(self) -> None:
+        pass
+
+
+_WRITTEN = f"WITH {_P} SELECT 'query,results,' AS members, count(*) AS n, sum(length(title))::BIGINT AS title_chars FROM p"
+
+
+def _written(spark, counted: _Counted) -> DataFrame:
+    return _rows(spark, "members string, n bigint, title_chars bigint", [(counted.members, counted.rows, counted.title_chars)])
+
+
+@query("save_json", _WRITTEN)
+def _(spark, d):
+    counted = _Counted()
+    with tempfile.TemporaryDirectory() as folder:
+        path = pipelines.save_json(A.papers(spark, d).select("_pos", "doi", "title", "year"), Path(folder) / "new" / "out.json", query="q")
+        with path.open(encoding="utf-8") as lines:
+            for line in lines:
+                counted.write(line)
+    return _written(spark, counted)
+
+
+@query("output_json", _WRITTEN)
+def _(spark, d):
+    counted = _Counted()
+    with contextlib.redirect_stdout(counted):
+        pipelines.output_json(A.papers(spark, d).select("_pos", "doi", "title", "year"), query="q")
+    return _written(spark, counted)
+
+
+@query("default_journal_path", "SELECT * FROM (VALUES ('none', ''), ('second folder', 'scimagojr_2025.json'), ('both', 'scimagojr.json')) AS t(files, found)")
+def _(spark, d):
+    with tempfile.TemporaryDirectory() as folder:
+        places = [Path(folder) / "a", Path(folder) / "b"]
+        found = []
+        for about, new in (("none", None), ("second folder", places[1] / "scimagojr_2025.json"), ("both", places[0] / "scimagojr.json")):
+            for p in places:
+                p.mkdir(exist_ok=True)
+            if new:
+                new.write_text("[]")
+            found.append((about, Path(documents.default_journal_path([str(p) for p in places]) or "").name))
+    return _rows(spark, "files string, found string", found)
+
+
+@query("parse_csv_set", "SELECT * FROM (VALUES ('a, b ,,a', 'a|b'), ('', ''), (' x y ', 'x y')) AS t(given, parsed)")
+def _(spark, d):
+    return _rows(spark, "given string, parsed string", [(v, "|".join(sorted(journals.parse_csv_set(v)))) for v in ("a, b ,,a", "", " x y ")])
+
+
+@query("resolve_output_path", "SELECT * FROM (VALUES ('file', 'x/out.ris'), ('folder', 'y/references.ris'), ('folder as output', 'z/search_results.json'), ('nothing', 'validated.json')) AS t(given, path)")
+def _(spark, d):
+    with tempfile.TemporaryDirectory() as folder:
+        at = lambda *p: f"{folder}/{'/'.join(p)}"
+        paths = [
+            ("file", names.output_path(at("x", "out.ris"), kind="export", format="ris")),
+            ("folder", names.output_path(None, at("y"), kind="export", format="ris")),
+            ("folder as output", names.output_path(at("z") + "/", kind="search")),
+            ("nothing", names.output_path(None, None, folder, kind="validate")),
+        ]
+        return _rows(spark, "given string, path string", [(k, str(p.relative_to(folder))) for k, p in paths])
+
+
+@query("is_auto_name_enabled", "SELECT * FROM (VALUES ('argument', true), ('environment', true), ('setting', true), ('argument over environment', false), ('nothing', false)) AS t(given, enabled)")
+def _(spark, d):
+    env = {"QUIRE_AUTO_NAME": "yes"}
+    asked = {"argument": (True, False, {}), "environment": (None, False, env), "setting": (None, True, {}), "argument over environment": (False, True, env), "nothing": (None, False, {})}
+    return _rows(spark, "given string, enabled boolean", [(k, names.auto_naming(*v)) for k, v in asked.items()])
+
+
 # ----- scalar functions -----
 
 
@@ -540,7 +604,7 @@ _scalar("bibtex_escape", lambda: formats.bibtex_escape(F.concat(F.col("abstract"
 
 @query("jaccard3", f"WITH {_P}, x AS (SELECT _pos, {_norm('title')} AS a, {_norm('substr(title, 5)')} AS b FROM p), s AS (SELECT _pos, a, b, list_distinct([substr(a, i, 3) FOR i IN range(1, length(a) - 1)]) AS sa, list_distinct([substr(b, i, 3) FOR i IN range(1, length(b) - 1)]) AS sb FROM x) SELECT _pos, CASE WHEN a = '' OR b = '' THEN 0.0 WHEN a = b THEN 1.0 WHEN len(sa) = 0 OR len(sb) = 0 THEN 0.0 ELSE len(list_intersect(sa, sb))::DOUBLE / (len(sa) + len(sb) - len(list_intersect(sa, sb))) END AS value FROM s")
 def _(spark, d):
-    a, b = text_functions.normalize_text(F.col("title")), text_functions.normalize_text(F.substring("title", 5, 80))
+    a, b = text_functions.normalize_text(F.col("title")), text_functions.normalize_text(F.expr("substring(title, 5)"))
     return A.papers(spark, d).select("_pos", a.alias("a"), b.alias("b")).select("_pos", dedup.jaccard3(F.col("a"), F.col("b")).alias("value"))
 
 
@@ -774,7 +838,24 @@ def _(spark, d):
     return collections.export_counts(rows, formats.get_exporter("ris").entries(rows))
 
 
-@query("results_table", f"{_NUMBERED} SELECT nr AS n, coalesce(year::VARCHAR, '?') AS year, CASE WHEN scopus_indexed THEN 'Y' || CASE WHEN quartile <> '' THEN ' ' || quartile ELSE '' END ELSE 'N' END AS scopus, CASE WHEN title = '' THEN '(no title)' ELSE title END AS title, substr({_SHORT}, 1, 20) AS first_author, cited_by_count AS cites FROM n")
+@query("export_to_file", f"WITH {_P}, t AS ({_RIS_SQL}) SELECT 'ris' AS format, sum(strlen(text) + 1)::BIGINT - 1 AS bytes FROM t UNION ALL SELECT 'csv', sum(strlen(text) + 1)::BIGINT + {len(','.join(f'_{c}_' for c in formats.CSV_COLUMNS)) + 1} FROM ({_CSV_SQL})")
+def _(spark, d):
+    with tempfile.TemporaryDirectory() as folder:
+        return _rows(spark, "format string, bytes bigint", [(k, formats.get_exporter(k).export_to_file(A.papers(spark, d), f"{folder}/new/out").stat().st_size) for k in ("ris", "csv")])
+
+
+@query("read_works", f"WITH {_P} SELECT _pos, title, count(*) OVER () AS n FROM p")
+def _(spark, d):
+    # pages of some works each, as lines of several files
+    pages = A.works(spark, d).groupBy(F.expr("_pos div 7").alias("page")).agg(F.sort_array(F.collect_list(F.struct("_pos", F.to_json(F.struct(*works.WORK_FIELDS)).alias("w")))).alias("r"))
+    lines = pages.select(F.concat(F.lit('{"results":['), F.array_join(F.transform("r", lambda x: x["w"]), ","), F.lit("]}")).alias("value"))
+    path = new_path(spark, "saved")
+    lines.write.text(path)
+    read = works.read_works(spark, path)
+    return read.select(F.regexp_extract("id", "([0-9]+)$", 1).cast("bigint").alias("_pos"), "title", F.max(F.col("_pos") + 1).over(Window.partitionBy()).alias("n"))
+
+
+@query("results_table", f"{_NUMBERED} SELECT nr AS n, coalesce(year::VARCHAR, '?') AS year, CASE WHEN scopus_indexed THEN 'Y' || CASE WHEN quartile <> '' THEN ' ' || quartile ELSE '' END ELSE 'N' END AS scopus, CASE WHEN title = '' THEN '(no title)' ELSE substr(title, 1, 120) END AS title, substr({_SHORT}, 1, 20) AS first_author, cited_by_count AS cites FROM n")
 def _(spark, d):
     return collections.results_table(A.papers(spark, d)).withColumn("n", F.col("n").cast("bigint"))
 
@@ -809,59 +890,6 @@ def _(spark, d):
     return _validated(spark, d).found.select("n", "doi", "work.title", "work.scopus_indexed")
 
 
-@query("pipeline_validate_all", f"WITH {_ENRICH_ALL} SELECT n, doi, title, si AS scopus_indexed FROM r WHERE found")
-def _(spark, d):
-    return _validated(spark, d, True).found.select("n", "doi", "work.title", "work.scopus_indexed")
-
-
 @query("numbers_by_year", f"WITH {_P} SELECT year, count(*) AS n FROM p WHERE cited_by_count >= 40 GROUP BY year")
 def _(spark, d):
     return A.papers(spark, d).where(rules.CitationRule(40).column()).groupBy("year").agg(F.count("*").alias("n"))
-
-
-# ----- near titles over whole texts -----
-
-
-def _whole(name: str):
-    """Registers the query ``name`` for papers whose title is the whole text."""
-    return query(f"{name}_whole", ORACLES[name].replace(A.PAPERS, A.WHOLE_PAPERS))
-
-
-def _filtered_whole(spark, d):
-    return pipelines.filter_papers(A.papers(spark, d, True), _engine())
-
-
-@_whole("find_duplicates")
-def _(spark, d):
-    return dedup.find_duplicates(A.papers(spark, d, True))
-
-
-@_whole("dedup")
-def _(spark, d):
-    return dedup.mark_duplicates(A.papers(spark, d, True)).select("_pos", F.col("_dup").alias("dup"))
-
-
-@_whole("dedup_groups")
-def _(spark, d):
-    return dedup.mark_duplicates(A.grouped(spark, d, True), ("group_pos", "_pos")).select("group", "_pos", F.col("_dup").alias("dup"))
-
-
-@_whole("filter_counts")
-def _(spark, d):
-    return _filtered_whole(spark, d).counts
-
-
-@_whole("union_removed")
-def _(spark, d):
-    return _filtered_whole(spark, d).removed.select("_pos", F.col("_by").alias("reason"))
-
-
-@_whole("pipeline_filter")
-def _(spark, d):
-    return _filtered_whole(spark, d).kept.select("_pos", "doi", "title")
-
-
-@_whole("jaccard3")
-def _(spark, d):
-    a, b = text_functions.normalize_text(F.col("title")), text_functions.normalize_text(F.expr("substring(title, 5)"))
-    return A.papers(spark, d, True).select("_pos", a.alias("a"), b.alias("b")).select("_pos", dedup.jaccard3(F.col("a"), F.col("b")).alias("value"))

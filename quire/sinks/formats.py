@@ -6,7 +6,7 @@ parallel; only writing one ordered file is sequential.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import reduce
 from itertools import chain
@@ -187,27 +187,27 @@ def md_totals(papers: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Exporter:
-    """``entries``: papers to (_pos, text); ``header``: the lines before them."""
+    """A text format: ``entry`` makes a paper's text from its number (from 1), ``head`` the lines before all entries.
+
+    ``numbered`` says whether entries read the number, ``ends`` whether the last line is closed.
+    """
 
     format_name: str
     file_extension: str
+    entry: Callable[[Column], Column]
+    aliases: tuple[str, ...] = ()
+    numbered: bool = False
+    head: Callable[[DataFrame], list[str]] = lambda papers: []
+    ends: bool = False
 
     def entries(self, papers: DataFrame) -> DataFrame:
-        n = F.col("_n")
-        if self.format_name in ("bibtex", "markdown"):
+        """Papers to (_pos, text)."""
+        if self.numbered:
             papers = number_rows(papers)
-        entry = {"bibtex": lambda: bibtex_entry(n - 1), "ris": ris_entry, "csv": csv_entry, "jsonl": jsonl_entry, "markdown": lambda: markdown_entry(n)}
-        return papers.select("_pos", entry[self.format_name]().alias("text"))
+        return papers.select("_pos", self.entry(F.col("_n")).alias("text"))
 
     def header(self, papers: DataFrame) -> list[str]:
-        if self.format_name == "bibtex":
-            return ["% Generated by quire", "% Format: BibTeX", "% All entries include the custom field `scopus_indexed`", ""]
-        if self.format_name == "csv":
-            return [",".join(f'"{c}"' for c in CSV_COLUMNS)]
-        if self.format_name == "markdown":
-            t = md_totals(papers).first()
-            return ["# References", "", f"Total: {t['total']} entries  ", f"Scopus-indexed: {t['indexed']}  ", f"Non-Scopus: {t['not_indexed']}", "", "---", ""]
-        return []
+        return self.head(papers)
 
     def export_to_file(self, papers: DataFrame, path: str | Path) -> Path:
         """One ordered UTF-8 file on the driver; rows are streamed, partition by partition."""
@@ -219,24 +219,46 @@ class Exporter:
             for line in lines:
                 out.write("\n" * written + line)
                 written = True
-            if written and self.format_name in ("csv", "jsonl"):
+            if written and self.ends:
                 out.write("\n")
         return target
 
     def export_to_folder(self, papers: DataFrame, path: str) -> None:
-        """Ordered part files for results of any size."""
-        self.entries(papers).repartitionByRange("_pos").sortWithinPartitions("_pos").select("text").write.text(path)
+        """Ordered part files for results of any size; the header opens the first."""
+        rows = self.entries(papers).select(F.lit(1).alias("_body"), "_pos", "text")
+        if head := self.header(papers):
+            first = papers.sparkSession.createDataFrame([(0, "\n".join(head))], "_body int, text string")
+            rows = rows.unionByName(first, allowMissingColumns=True)
+        rows.repartitionByRange("_body", "_pos").sortWithinPartitions("_body", "_pos").select("text").write.text(path)
+
+
+def _markdown_head(papers: DataFrame) -> list[str]:
+    t = md_totals(papers).first()
+    return ["# References", "", f"Total: {t['total']} entries  ", f"Scopus-indexed: {t['indexed']}  ", f"Non-Scopus: {t['not_indexed']}", "", "---", ""]
+
+
+_exporters: dict[str, Exporter] = {}
+
+
+def register_exporter(exporter: Exporter) -> Exporter:
+    """Makes a format available to ``get_exporter`` under its name, extension and aliases; a later one replaces an earlier."""
+    for alias in (exporter.format_name, exporter.file_extension, *exporter.aliases):
+        _exporters[alias.lower().strip()] = exporter
+    return exporter
 
 
-_EXPORTERS = {"bibtex": (".bib", ("bib", "bibtex", ".bib")), "ris": (".ris", ("ris", ".ris")), "csv": (".csv", ("csv", ".csv")), "jsonl": (".jsonl", ("jsonl", "json", ".jsonl")), "markdown": (".md", ("md", "markdown", ".md"))}
+register_exporter(Exporter("bibtex", ".bib", lambda n: bibtex_entry(n - 1), ("bib",), True, lambda papers: ["% Generated by quire", "% Format: BibTeX", "% All entries include the custom field `scopus_indexed`", ""]))
+register_exporter(Exporter("ris", ".ris", lambda n: ris_entry()))
+register_exporter(Exporter("csv", ".csv", lambda n: csv_entry(), head=lambda papers: [",".join(f'"{c}"' for c in CSV_COLUMNS)], ends=True))
+register_exporter(Exporter("jsonl", ".jsonl", lambda n: jsonl_entry(), ("json",), ends=True))
+register_exporter(Exporter("markdown", ".md", markdown_entry, ("md",), True, _markdown_head))
 
 
 def get_exporter(name: str) -> Exporter:
-    asked = name.lower().strip()
-    for kind, (extension, aliases) in _EXPORTERS.items():
-        if asked in aliases:
-            return Exporter(kind, extension)
-    raise ValueError(f"unknown export format: {name}")
+    exporter = _exporters.get(name.lower().strip())
+    if exporter is None:
+        raise ValueError(f"unknown export format: {name}")
+    return exporter
 
 
 def flatten_source(sources: Iterable[DataFrame]) -> DataFrame:

@@ -18,6 +18,7 @@ from quire.functions.doi import doi_key, strip_doi_prefix
 from quire.functions.issn import split_issn_list, split_issns
 from quire.functions.text import strip
 from quire.schema import canonical
+from quire.tables import counted, materialise
 
 #: The fields of a work that are read.
 WORK_FIELDS = ("id", "doi", "title", "publication_date", "authorships", "primary_location", "abstract_inverted_index", "language", "cited_by_count", "open_access", "concepts", "topics", "keywords")
@@ -175,21 +176,42 @@ def search_stats(scanned: DataFrame, accept: Column | None = None, limit: int =
 
 
 def lookup_doi(dois: DataFrame, papers: DataFrame, column: str = "doi") -> DataFrame:
-    """Each requested DOI with the first work of that DOI (null columns where there is none, or no DOI is asked)."""
+    """Each requested DOI with the first work of that DOI (null columns where there is none, or no DOI is asked).
+
+    Keys and places are matched first; only works that somebody asks for move,
+    once. ``papers`` must name each work by its ``_pos``.
+    """
     asked = dois.select("*", F.lower(strip(F.coalesce(F.col(column), F.lit("")))).alias("_asked"))
-    row = F.struct(*[c for c in papers.columns])
-    works = papers.where(F.col("doi") != "").groupBy(doi_key(F.col("doi")).alias("_key")).agg(F.min_by(row, F.col("_pos")).alias("work"))
-    return asked.join(works, (F.col("_asked") == F.col("_key")) & F.col("_asked").startswith("10."), "left").drop("_asked", "_key")
+    wanted = asked.where(F.col("_asked").startswith("10.")).select(F.col("_asked").alias("_key")).distinct()
+    known = papers.where(F.col("doi") != "").select(doi_key(F.col("doi")).alias("_key"), "_pos").join(wanted, "_key", "left_semi")
+    first = counted(known.groupBy("_key").agg(F.min("_pos").alias("_first")), "first")
+    placed = asked.join(first, F.col("_asked") == F.col("_key"), "left").drop("_asked", "_key")
+    works = papers.select(F.struct(*papers.columns).alias("work")).join(first.select(F.col("_first").alias("_held")), F.col("work._pos") == F.col("_held"), "left_semi")
+    return placed.join(works, F.col("_first") == F.col("work._pos"), "left").drop("_first")
 
 
 def read_works(spark: SparkSession, path: str) -> DataFrame:
-    """Saved result pages (one JSON document a line or a file, with ``results``)."""
-    pages = spark.read.schema(f"results array<struct<{_struct_ddl()}>>").option("multiLine", True).json(path)
-    ordered = pages.select(F.input_file_name().alias("_file"), "results")
-    rows = ordered.select("_file", F.posexplode("results").alias("_at", "w"))
-    sizes = ordered.select("_file", F.size("results").alias("n"))
-    base = sizes.select("_file", (F.sum("n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1))).alias("_base"))
-    return rows.join(base, "_file").select((F.coalesce("_base", F.lit(0)) + F.col("_at")).cast("bigint").alias("_pos"), "w.*")
+    """Saved result pages with ``results``: JSON documents one a line, or one a file however it is broken into lines.
+
+    A file is read by line; one with a line that is no JSON document is read as
+    a whole. ``_pos`` numbers the works by file name, place in the file and
+    place in the page.
+    """
+    shape = f"results array<struct<{_struct_ddl()}>>"
+    lines = spark.read.schema(f"{shape}, _broken string").option("columnNameOfCorruptRecord", "_broken").json(path)
+    at = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")]
+    by_line = materialise(lines.select(*at, F.monotonically_increasing_id().alias("_doc"), "results", F.col("_broken").isNotNull().alias("_broken")), "lines")
+    broken = by_line.where("_broken").select("_file").distinct()
+    whole = spark.read.schema(shape).option("multiLine", True).json(path).select(F.col("_metadata.file_path").alias("_file"), F.lit(0).cast("long").alias("_block"), F.lit(0).cast("long").alias("_doc"), "results")
+    pages = by_line.drop("_broken").join(broken, "_file", "left_anti").unionByName(whole.join(broken, "_file", "left_semi"))
+    sizes = materialise(pages.select("_file", "_block", "_doc", F.greatest(F.size("results"), F.lit(0)).alias("n")), "sizes")
+    before = Window.unboundedPreceding, -1
+    # one row a block of input
+    blocks = sizes.groupBy("_file", "_block").agg(F.sum("n").alias("n")).select("_file", "_block", F.coalesce(F.sum("n").over(Window.orderBy("_file", "_block").rowsBetween(*before)), F.lit(0)).alias("_base"))
+    within = sizes.select("_file", "_block", "_doc", F.coalesce(F.sum("n").over(Window.partitionBy("_file", "_block").orderBy("_doc").rowsBetween(*before)), F.lit(0)).alias("_skip"))
+    starts = within.join(blocks, ["_file", "_block"]).select("_file", "_block", "_doc", (F.col("_base") + F.col("_skip")).alias("_start"))
+    rows = pages.join(starts, ["_file", "_block", "_doc"]).select("_start", F.posexplode("results").alias("_at", "w"))
+    return rows.select((F.col("_start") + F.col("_at")).cast("bigint").alias("_pos"), "w.*")
 
 
 def _struct_ddl() -> str:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,60 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs.setdefault(app, "file://" + tempfile.mkdtemp(prefix="quire-"))
 
 
+class Scratch:
+    """Collects the tables materialised inside a ``with`` block, to be dropped once nothing reads them any more.
+
+    ``with Scratch() as s: out = operator(...); out.write...; s.drop(spark)`` cleans up
+    after one operator. Blocks of different threads do not see each other; tables
+    of an inner block belong to the inner block.
+    """
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+    def __enter__(self) -> Scratch:
+        self._outer = _scratch.set(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _scratch.reset(self._outer)
+
+    def feeds(self, df: DataFrame) -> bool:
+        """Whether ``df`` reads one of the tables."""
+        own = [p.split(":")[-1].lstrip("/") for p in self.paths]
+        return bool(own) and any(p in f for f in df.inputFiles() for p in own)
+
+    def drop(self, spark: SparkSession) -> None:
+        for path in self.paths:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        self.paths.clear()
+
+
+_scratch: ContextVar[Scratch | None] = ContextVar("scratch", default=None)
+#: Applications whose folder is marked to go when the driver ends.
+_marked: set[str] = set()
+
+
+def _own_folder(spark: SparkSession) -> str:
+    """The application's folder among the intermediate tables; it goes with the driver."""
+    app = spark.sparkContext.applicationId
+    folder = f"{shared_dir(spark)}/quire/{app}"
+    if app not in _marked:
+        where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+        _marked.add(app)
+    return folder
+
+
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path for an intermediate table, noted in the open ``Scratch``."""
+    path = f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    if (scratch := _scratch.get()) is not None:
+        scratch.paths.append(path)
+    return path
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
@@ -37,7 +92,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     compression, and lets later steps read only the columns they need.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quire/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    path = new_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

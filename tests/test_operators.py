@@ -300,3 +300,52 @@ def test_validate_pipeline(spark):
     assert [r.work.quartile for r in result.found.collect()] == ["Q1"]
     assert sorted((r.doi, r.error) for r in result.errors.collect()) == [("10.1/zz", "not_found"), ("no doi", "not_found")]
     assert result.counts.first().asDict() == {"input_count": 3, "found": 1, "scopus_count": 1}
+
+
+def test_doi_rules_from_tables_and_long_lists(spark):
+    df = papers(spark, {"doi": "10.1/A "}, {"doi": ""}, {"doi": "10.1/b"}, {"doi": "10.1/c"})
+    table = spark.createDataFrame([("10.1/a",), ("10.1/a",), (None,), ("10.1/C",)], "d string")
+    long = [f"10.9/{i}" for i in range(rules.IN_LIST)] + ["10.1/a", "10.1/c"]
+    for listed in (table, long, ["10.1/a", "10.1/c"]):
+        kept, removed = rules.build_engine(exclude_dois=listed).apply(df)
+        assert sorted(r.doi for r in kept.collect()) == ["", "10.1/b"] and kept.columns == df.columns == removed.columns
+        kept, removed = rules.build_engine(include_dois=listed, exclude_dois=["10.1/c"]).apply(df)
+        assert [r.doi for r in kept.collect()] == ["10.1/A "] and removed.count() == 3
+
+
+def test_duplicate_classes_say_what_all_pairs_say(spark):
+    titles = ["a long title on many things", "a long title on many things", "a long title on many thing", "other", "", None, "other"]
+    df = papers(spark, *[{"doi": d, "title": t} for d, t in zip(["10.1/a", "", "10.1/b", "10.1/B", "10.1/c", "", ""], titles, strict=True)])
+    members, links = dedup.duplicate_classes(df, 0.9)
+    own = {r._pos: (r.by_doi, r.by_title) for r in members.collect()}
+    near = {(r.a, r.b) for r in links.collect()}
+    title = lambda x: -1 if own[x][1] is None else own[x][1]
+    same = lambda x, y, k: own[x][k] is not None and own[x][k] == own[y][k]
+    pairs = {(x, y) for x in own for y in own if x < y and (same(x, y, 0) or same(x, y, 1) or tuple(sorted((title(x), title(y)))) in near)}
+    assert pairs == {(r.pos_a, r.pos_b) for r in dedup.find_duplicates(df, 0.9).collect()}
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.75, 0.92, 1.0])
+def test_size_classes_hold_all_similar_sizes(threshold):
+    alone, least, parts = dedup.size_classes(threshold, 300)
+    place = lambda n: sum(x <= n for x in least)
+    for n in range(1, 250):
+        for m in range(n, 250):
+            if n >= threshold * m and n != m:
+                assert n > alone and place(m) - place(n) in (0, 1)
+                # the most elements that two such sets may differ in
+                assert (n + m) * (1 - threshold) / (1 + threshold) < parts[place(m) - 1]
+
+
+def test_scratch_tables_go(spark):
+    from quire.tables import Scratch, materialise
+
+    with Scratch() as outer:
+        with Scratch() as inner:
+            one = materialise(spark.range(5), "one")
+        two = materialise(spark.range(3), "two")
+    assert inner.feeds(one) and not inner.feeds(two) and outer.feeds(two.where("id > 1"))
+    inner.drop(spark)
+    assert two.count() == 3 and not inner.paths and len(outer.paths) == 1
+    with pytest.raises(Exception):  # noqa: B017
+        materialise(one, "none").count()

@@ -214,3 +214,28 @@ def test_doi_arguments(spark):
     assert spark.sql("SELECT ' 10.1/a, ,10.1/b' AS t").select(doi_lists.dois_argument(F.col("t")).alias("d")).first().d == ["10.1/a", "10.1/b"]
     with pytest.raises(ValueError):
         doi_lists.read_doi_text(F.col("t"), ".md")
+
+
+def test_read_works_by_line_and_by_file(spark, tmp_path):
+    """Several documents a file, one document a file over many lines, and blank lines."""
+    import json
+
+    page = lambda *names: {"results": [WORK | {"title": n} for n in names], "meta": {}}
+    (tmp_path / "a.json").write_text("\n".join([json.dumps(page("a0", "a1")), "", json.dumps(page()), json.dumps(page("a2"))]))
+    (tmp_path / "b.json").write_text(json.dumps(page("b0", "b1"), indent=2))
+    (tmp_path / "c.json").write_text(json.dumps(page("c0")) + "\n" + json.dumps(page("c1", "c2")) + "\n")
+    got = works.read_works(spark, str(tmp_path)).orderBy("_pos").collect()
+    assert [(r._pos, r.title) for r in got] == list(enumerate(["a0", "a1", "a2", "b0", "b1", "c0", "c1", "c2"]))
+
+
+def test_registered_exporter(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from quire.schema import canonical
+
+    formats.register_exporter(formats.Exporter("titles", ".txt", lambda n: F.concat(n.cast("string"), F.lit(" "), "title"), ("t",), True, lambda papers: ["all titles"], True))
+    papers = canonical(spark.createDataFrame([(5, "b"), (2, "a")], "_pos long, title string"))
+    assert formats.get_exporter("T").export_to_file(papers, tmp_path / "out.txt").read_text() == "all titles\n1 a\n2 b\n"
+    formats.get_exporter(".txt").export_to_folder(papers, str(tmp_path / "parts"))
+    parts = sorted(p for p in (tmp_path / "parts").iterdir() if p.name.startswith("part-"))
+    assert "".join(p.read_text() for p in parts) == "all titles\n1 a\n2 b\n"
