@@ -1,60 +1,32 @@
-"""Shared plumbing: durable intermediate tables and byte-level text helpers."""
+"""Shared plumbing: the core's intermediate tables, and helpers for texts as bytes."""
 
 from __future__ import annotations
 
-import uuid
+from quire.tables import Scratch, counted, materialise
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from quire.tables import BROADCAST_ROWS, shared_dir
+__all__ = ["DOCUMENT_COLUMNS", "Scratch", "by_bytes", "counted", "materialise", "raw_bytes", "squeeze"]
 
 #: Columns of the ``documents`` table, in order.
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back.
-
-    It cuts lineage the way a reliable checkpoint does, with column pruning and
-    compression, and lets later steps read only the columns they need.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quire/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    if _open:
-        _open[-1].paths.append(path)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-class Scratch:
-    """Collects the tables materialised inside a ``with`` block, to be dropped once nothing reads them any more."""
-
-    def __init__(self):
-        self.paths: list[str] = []
-
-    def __enter__(self) -> Scratch:
-        _open.append(self)
-        return self
-
-    def __exit__(self, *_) -> None:
-        _open.remove(self)
-
-    def drop(self, spark: SparkSession) -> None:
-        files = spark._jvm.org.apache.hadoop.fs
-        for path in self.paths:
-            where = files.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        self.paths.clear()
-
+#: Bytes of text that a Python worker turns into objects at once; a longer text goes alone.
+BATCH_BYTES = 4 << 20
 
-_open: list[Scratch] = []
 
+def by_bytes(batch, column: int, most: int = BATCH_BYTES, rows: int = 1000):
+    """Slices of an Arrow batch with at most ``rows`` rows and, but for single rows, ``most`` bytes in a string column."""
+    import pyarrow.compute as pc
 
-def counted(df: DataFrame, label: str, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` written out and counted; marked for broadcast only if it has at most ``rows`` rows."""
-    table = materialise(df, label)
-    return F.broadcast(table) if table.count() <= rows else table
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    lo = held = 0
+    for i, size in enumerate(sizes):
+        if i > lo and (held + size > most or i - lo >= rows):
+            yield batch.slice(lo, i - lo)
+            lo, held = i, 0
+        held += size
+    if lo < batch.num_rows:
+        yield batch.slice(lo)
 
 
 def raw_bytes(column) -> list:

@@ -2,6 +2,7 @@ import datetime
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -330,35 +331,117 @@ def test_class_words_of_the_article(page, text):
     assert " ".join(html_text.blocks_of(page)[0]) == text
 
 
-def brute_unrepeated(pages, stretch, least):
-    """pages: (host, tokens); drops tokens inside windows that stand on enough distinct contents of the host."""
+def brute_entries(blocks, stretch):
+    """(block, tokens): from the start of a block to its end, or on until there are enough tokens."""
+    stream = [(i, t) for i, b in enumerate(blocks) for t in b.split(" ")]
+    for i, b in enumerate(blocks):
+        at = next(k for k, (j, _) in enumerate(stream) if j == i)
+        tokens = [t for _, t in stream[at : at + max(stretch, len(b.split(" ")))]]
+        if len(tokens) >= stretch:
+            yield i, tokens
+
+
+def brute_main_text(pages, stretch, least, long):
+    """pages: (host, kept blocks, other blocks, marked); every entry against every other."""
+    votes = []
+    for host, kept, others, marked in pages:
+        inside = {tuple(t[:stretch]) for _, t in brute_entries(kept, stretch)} if marked else set()
+        content = (host, *(kept or others))
+        votes += [(host, content, t, marked) for _, t in brute_entries(kept, stretch)]
+        votes += [(host, content, t, False) for _, t in brute_entries(others, stretch) if tuple(t[:stretch]) not in inside]
     out = []
-    contents = {(h, tuple(t)) for h, t in pages if len(t) >= stretch}
-    for host, tokens in pages:
-        gone, total = set(), sum(h == host for h, _ in contents)
-        for i in range(len(tokens) - stretch + 1):
-            window = tokens[i : i + stretch]
-            holders = {tuple(t) for h, t in pages if h == host and any(t[k : k + stretch] == window for k in range(len(t)))}
-            if len(holders) >= least and len(holders) * html_text.ONE_IN >= total:
-                gone |= set(range(i, i + stretch))
-        out.append(" ".join(t for i, t in enumerate(tokens) if i not in gone))
+    for host, kept, _, marked in pages:
+        tokens = [t for b in kept for t in b.split(" ")]
+        gone = set()
+        for i, entry in brute_entries(kept, stretch):
+            at = sum(len(b.split(" ")) for b in kept[:i])
+            deep = lambda inside: max((d for d in range(stretch, len(entry) + 1) if len({c for h, c, t, m in votes if h == host and m == inside and t[:d] == entry[:d]}) >= least), default=0)  # noqa: B023, E731
+            gone |= set(range(at, at + (min(deep(True), deep(False)) if marked else deep(False))))
+        left, at = [], 0
+        for b in kept:
+            own = b.split(" ")
+            covered = next((k for k in range(len(own)) if at + k not in gone), len(own))
+            if covered < len(own):
+                left.append(" ".join(own[covered:]) if covered >= long else b)
+            at += len(own)
+        out.append(" ".join(left))
     return out
 
 
 def test_host_boilerplate_against_brute_force(spark):
+    """Menus of short items, footers with own ends, adverts that only some pages mark, articles that share passages, copies."""
     rng = random.Random(4)
-    foot = "sign up for our weekly letter today".split()
-    pages = []
-    for i in range(40):
-        own = [rng.choice("abcdefghij") * rng.randint(1, 3) for _ in range(rng.randint(0, 40))]
+    words = lambda n: " ".join(rng.choice("abcdefghij") * rng.randint(1, 2) for _ in range(n))
+    foot, advert, quote = "sign up for our weekly letter today and", "buy two of these and get three more for free", "a passage that a few pages quote"
+    long = " ".join(f"t{i}" for i in range(20))
+    rows = []
+    for i in range(90):
         host = rng.choice(["x.org", "y.org"])
-        pages.append((host, own[:10] + (foot if rng.random() < 0.6 else []) + own[10:]))
-    pages += [pages[0]] * 3 + [("z.org", foot)] * 5
-    quoted = "a passage that a few pages quote".split()
-    pages += [("w.org", [f"p{i}", *(quoted if i < 4 else ["other", "words"]), f"x{i}", "c", "d", "e", "f"]) for i in range(40)]
-    rows = [(i, f"http://{h}/{i}", f"<div>{' '.join(t)}</div>") for i, (h, t) in enumerate(pages)]
-    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), least=3)
-    assert [r.text for r in sorted(got.collect())] == brute_unrepeated(pages, html_text.STRETCH, 3)
+        menu = "".join(f"<li>{x}</li>" for x in ("home", "news", "maps", "help", "jobs")[: rng.randint(3, 5)])
+        body = [words(rng.randint(1, 30)) for _ in range(rng.randint(0, 3))] + [x for x in (quote, advert, long + " " + words(2), advert + " now") if rng.random() < 0.2]
+        rng.shuffle(body)
+        text = "".join(f"<p>{b}</p>" for b in body)
+        aside = f"<aside>{advert if rng.random() < 0.5 else words(6)}</aside>"
+        main = f"<article>{text}</article>" if rng.random() < 0.5 else text
+        rows.append((i, f"http://{host}/{i}", f"<ul>{menu}</ul>{main}{aside}<div>{foot} {rng.choice(['mon', 'tue'])}</div>"))
+    rows += [(100 + i, "http://x.org/copy", rows[0][2]) for i in range(5)]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), least=3).collect()
+    pages = [(r[1].split("/")[2], *html_text.parts_of(r[2])) for r in rows]
+    expected = brute_main_text(pages, html_text.STRETCH, 3, html_text.LONG)
+    assert [r.text for r in sorted(got)] == expected
+    plain = [" ".join(p[1]) for p in pages]
+    assert sum(e != p for e, p in zip(expected, plain, strict=True)) > 30
+    assert any(e != p and m for e, p, (_, _, _, m) in zip(expected, plain, pages, strict=True))
+
+
+def test_whole_pages_table_against_brute_force(spark, sf):
+    table = spark.read.parquet(f"{sf}/pages.parquet")
+    rows = sorted(table.collect())
+    pages = [(re.sub(r"^.*?://([^/?#]*).*", r"\1", r.url).lower(), *html_text.parts_of(r.html)) for r in rows]
+    got = {r.page_id: r.text for r in html_text.op10_html_extraction(spark, sf).collect()}
+    assert [got[r.page_id] for r in rows] == brute_main_text(pages, html_text.STRETCH, html_text.PAGES, html_text.LONG)
+
+
+def test_an_article_is_guarded(spark):
+    """Its title in other pages' menus, passages in many articles and copies of it do not go; what both stands in many articles and is marked elsewhere does."""
+    rows, title, passage, notice = [], "the title of the first article", "many articles quote this one passage", "please support our work with a gift"
+    for i in range(12):
+        own = f"<p>own words of page number n{i} here</p>"
+        if i < 6:
+            rows.append((i, f"http://x.org/{i}", f"<article><h1>{title if i == 0 else f'another title of page t{i}'}</h1>{own}<p>{passage}</p><p>{notice}</p></article><nav>{title}</nav>"))
+        else:
+            rows.append((i, f"http://x.org/{i}", f"<article>{own}</article><nav>{title}</nav><aside>{notice}</aside>"))
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == f"{title} own words of page number n0 here {passage}"
+    assert got[3] == f"another title of page t3 own words of page number n3 here {passage}" and got[8] == "own words of page number n8 here"
+
+
+@pytest.mark.parametrize("seed, pages", [(0, 2), (1, 3), (2, 5)])
+def test_repeated_depths_against_brute_force(spark, seed, pages):
+    """Ranges cut through hosts and through runs; equal entries, many entries of one content, prefixes of each other."""
+    from quire.llm import suffix_array
+
+    rng = random.Random(seed)
+    votes = []
+    for _ in range(400):
+        tokens = [rng.choice("ab") for _ in range(rng.randint(1, 7))]
+        votes.append((rng.choice(["", "h", "big", "big", "big"]), tokens, rng.randint(0, 12), rng.random() < 0.7, rng.random() < 0.4))
+    df = spark.createDataFrame(votes, "host string, tokens array<string>, content long, outside boolean, inside boolean")
+    keys = {r.key: (r.host, tuple(r.tokens)) for r in df.select("host", "tokens", suffix_array.entry_key(df.host, df.tokens).alias("key")).collect()}
+    got = {keys[r.key]: (r.outside, r.inside) for r in suffix_array.repeated_depths(df, pages).collect()}
+    voted = [v for v in votes if v[3] or v[4]]
+
+    def depth(host, tokens, side):
+        return max((d for d in range(1, len(tokens) + 1) if len({v[2] for v in voted if v[0] == host and v[side] and tuple(v[1][:d]) == tokens[:d]}) >= pages), default=0)
+
+    assert got == {(v[0], tuple(v[1])): (depth(v[0], tuple(v[1]), 3), depth(v[0], tuple(v[1]), 4)) for v in voted}
+
+
+@pytest.mark.parametrize("page", ["<a " * 400_000, "<div>" * 100_000, "<a '\">" * 100_000, "<div>" * 50_000 + "<body>" * 50_000, "<svg><article>" + "<div>" * 50_000 + "</svg>" * 50_000, "<p><table>" + "<div>" * 100_000, "<li><div>" * 50_000, "x <!-- " * 100_000, "< " * 500_000 + ">"])
+def test_long_pages_take_linear_time(page):
+    began = time.time()
+    html_text.parts_of(page)
+    assert time.time() - began < 20
 
 
 @pytest.mark.parametrize("url", ["http://big.org/{}", None])
