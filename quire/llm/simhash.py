@@ -1,15 +1,24 @@
 """SimHash near-dedup over a byte-position inverted index with count filtering.
 
-Two 64-bit fingerprints that differ in at most 3 bits differ in at most 3 of
-their 8 bytes, so they share at least 5 (position, byte) entries of the index.
-Tallying single entries would list about N^2/256 pairs; as the guaranteed
-minimum is 5, the index is keyed by each set of 5 entries jointly (56 sets a
-fingerprint): two fingerprints meet in a posting list exactly when their tally
-reaches 5. Every meeting is then verified by counting differing bits.
-
-Exact copies of a fingerprint collapse before indexing. The members of one
-posting list differ only in 3 bytes, so it holds at most 2^24 fingerprints
-(128 MiB) whatever the corpus. Inside a list, links are walked breadth first
+A fingerprint has 8 entries (position, byte). Two fingerprints that differ in at
+most 3 of 64 bits differ in at most 3 bytes, so they share at least 5 entries
+(``MIN_MATCHES``).
+
+Posting lists of single entries would hold a 256th of all fingerprints each, so
+the index is cut to prefixes: entries are ordered from rare to frequent over the
+corpus (2,048 counts), and as two fingerprints share 5 of 8 entries, they share
+``MEET`` = 4 of their 7 rarest. The lists are those of 4 entries at once: 35 a
+fingerprint, for each 4 of all but its most frequent entry. Within a list the
+shared positional bytes of a pair are tallied, pairs that reach 5 are retained
+and then verified by counting differing bits.
+
+A list with more than ``HOT`` fingerprints is split: as a retained pair shares a
+fifth entry, its members are dealt once more to the lists of 5 entries, whoever
+is in the same one.
+
+Exact copies of a fingerprint collapse before indexing. The members of a list of
+5 entries differ only in 3 bytes, so it holds at most 2^24 fingerprints (128 MiB)
+whatever the corpus. Inside a list, links are walked breadth first
 over the fingerprints not reached yet, which gives a spanning forest of the
 list instead of all its pairs: no link between groups is lost and a list of m
 members emits at most m - 1 rows.
@@ -36,7 +45,10 @@ SHINGLE_WORDS, SEED, MAX_BITS, POSITIONS = 3, 42, 3, 8
 #: Positional bytes that any two linked fingerprints share.
 MIN_MATCHES = POSITIONS - MAX_BITS
 
-_SETS = list(combinations(range(POSITIONS), MIN_MATCHES))
+#: Entries that a posting list is keyed by, and the length from which a list is split by one more.
+MEET, HOT = MIN_MATCHES - 1, 1 << 14
+
+_SETS = {n: list(combinations(range(POSITIONS), n)) for n in (MEET, MIN_MATCHES)}
 
 
 def _signed(x: int) -> int:
@@ -44,7 +56,7 @@ def _signed(x: int) -> int:
 
 
 #: For each set of positions, the mask that keeps its bytes.
-MASKS = [_signed(sum(0xFF << (8 * p) for p in s)) for s in _SETS]
+MASKS = {n: [_signed(sum(0xFF << (8 * p) for p in s)) for s in sets] for n, sets in _SETS.items()}
 
 
 def fingerprint(text: bytes) -> int:
@@ -92,48 +104,104 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return inputs.mapInArrow(measure, schema)
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """Distinct fingerprints (column ``fp``) to links (a, b) that connect all within 3 bits."""
-    postings = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in MASKS])).alias("c", "v"))
+def _byte(p: int) -> Column:
+    return F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(0xFF)).cast("int")
+
+
+def _most_frequent(fps: DataFrame) -> Column:
+    """The position of a fingerprint's most frequent entry over all of ``fps``."""
+    entry = fps.select(F.posexplode(F.array(*[_byte(p) for p in range(POSITIONS)])).alias("p", "b"))
+    # at most 2,048 rows
+    counts = {(r["p"], r["b"]): r["count"] for r in entry.groupBy("p", "b").count().collect()}
+    tables = [F.array(*[F.lit(counts.get((p, b), 0)).cast("long") for b in range(256)]) for p in range(POSITIONS)]
+    return F.array_max(F.array(*[F.struct(F.get(t, _byte(p)).alias("n"), F.lit(p).alias("p")) for p, t in enumerate(tables)]))["p"]
 
+
+def links(fps: DataFrame, hot: int = HOT) -> DataFrame:
+    """Distinct fingerprints (column ``fp``) to links (a, b) that connect all within 3 bits."""
+    lists = lambda chosen: F.array(*[F.array(*map(F.lit, x)) for x in chosen])
+    keyed = lambda rows, n: rows.select("c", F.col("fp").bitwiseAND(F.get(F.array(*map(F.lit, MASKS[n])), F.col("c"))).alias("v"), "fp")
+    prefix = lists([c for c, s in enumerate(_SETS[MEET]) if top not in s] for top in range(POSITIONS))
+    postings = keyed(fps.select("fp", F.explode(F.get(prefix, _most_frequent(fps))).alias("c")), MEET)
+    met = materialise(_walked(postings, MEET, hot), "links")
+    # members of lists that were too long: once more, with each of the other entries
+    finer = lists([k for k, s in enumerate(_SETS[MIN_MATCHES]) if set(s) >= set(own)] for own in _SETS[MEET])
+    longer = keyed(met.where("b IS NULL").select(F.col("a").alias("fp"), F.explode(F.get(finer, F.col("c"))).alias("c")).distinct(), MIN_MATCHES)
+    return met.where("b IS NOT NULL").select("a", "b").union(_walked(longer, MIN_MATCHES, None).select("a", "b"))
+
+
+def _walked(postings: DataFrame, entries: int, hot: int | None) -> DataFrame:
+    """Posting lists (c, v, fp) to links (a, b, null); members of lists longer than ``hot`` come as (fp, null, c)."""
     import numpy as np
     import pyarrow as pa
 
     def walk(batches):
-        held = None
-        joined = _Joined()
+        parts, joined, key = [], _Joined(), None
         for batch in batches:
-            now = [batch.column(i).to_numpy() for i in range(3)]
-            if held is not None:
-                now = [np.concatenate([x, y]) for x, y in zip(held, now, strict=True)]
-            c, v, _ = now
-            if not len(c):
-                continue
-            last = int(np.flatnonzero((c != c[-1]) | (v != v[-1]))[-1]) + 1 if (c[0] != c[-1] or v[0] != v[-1]) else 0
-            held = [x[last:] for x in now]
-            yield from _linked([x[:last] for x in now], joined)
-        if held is not None:
-            yield from _linked(held, joined)
-
-    def _linked(now, joined):
-        c, v, fp = now
-        if not len(c):
+            c, v, fp = (batch.column(i).to_numpy() for i in range(3))
+            cuts = np.flatnonzero((c[1:] != c[:-1]) | (v[1:] != v[:-1])) + 1
+            edges = [0, *cuts[:1].tolist(), *cuts[-1:].tolist(), len(c)]
+            # the end of the list at hand, whole lists, and the begin of the next one
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                if lo == hi:
+                    continue
+                own = (c[lo], v[lo])
+                if key is not None and own != key:
+                    yield from listed(parts, joined)
+                    parts = []
+                elif key is not None and not parts:
+                    # a list that has been put off goes on
+                    yield from put_off(c[lo:hi], fp[lo:hi])
+                    continue
+                parts.append([x[lo:hi] for x in (c, v, fp)])
+                key = (c[hi - 1], v[hi - 1])
+                if own == key and hot is not None and sum(len(p[0]) for p in parts) > hot:
+                    for p in parts:
+                        yield from put_off(p[0], p[2])
+                    parts = []
+                elif own != key:
+                    yield from listed(parts, joined)
+                    parts, key = [], None
+        yield from listed(parts, joined)
+
+    def put_off(c, fp):
+        for lo in range(0, len(fp), 100_000):
+            n = len(fp[lo : lo + 100_000])
+            yield pa.RecordBatch.from_arrays([pa.array(fp[lo : lo + n]), pa.nulls(n, pa.int64()), pa.array(c[lo : lo + n], pa.int32())], names=["a", "b", "c"])
+
+    def listed(parts, joined):
+        if not parts:
             return
+        c, v, fp = [np.concatenate([p[i] for p in parts]) for i in range(3)]
         cuts = np.flatnonzero((c[1:] != c[:-1]) | (v[1:] != v[:-1])) + 1
         starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(c)]])
-        out = []
         size = ends - starts
+        out = []
         two = starts[size == 2]
-        x, y = fp[two].view(np.uint64), fp[two + 1].view(np.uint64)
-        near = np.bitwise_count(x ^ y) <= MAX_BITS
+        near = linked(fp[two].view(np.uint64), fp[two + 1].view(np.uint64))
         out += zip(fp[two][near].tolist(), fp[two + 1][near].tolist(), strict=True)
         for s, e in zip(starts[size > 2].tolist(), ends[size > 2].tolist(), strict=True):
-            out += spanning(fp[s:e].view(np.uint64), _SETS[c[s]])
+            if hot is not None and e - s > hot:
+                yield from put_off(c[s:e], fp[s:e])
+                continue
+            out += spanning(fp[s:e].view(np.uint64), _SETS[entries][c[s]])
         out = [p for p in out if joined.add(*p)]
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)] + [pa.nulls(len(out), pa.int32())], names=["a", "b", "c"])
+
+    return postings.select("c", "v", "fp").repartition("c", "v").sortWithinPartitions("c", "v", "fp").mapInArrow(walk, "a long, b long, c int")
+
+
+def linked(x, y):
+    """Whether fingerprints share enough positional bytes and, those that do, differ in few enough bits."""
+    import numpy as np
 
-    return postings.select("c", "v", "fp").repartition("c", "v").sortWithinPartitions("c", "v", "fp").mapInArrow(walk, "a long, b long")
+    apart = x ^ y
+    shared = np.zeros(np.shape(apart), np.uint8)
+    for p in range(POSITIONS):
+        shared += (apart >> np.uint64(8 * p)) & np.uint64(0xFF) == 0
+    retained = shared >= MIN_MATCHES
+    return retained & (np.bitwise_count(apart) <= MAX_BITS)
 
 
 class _Joined:
@@ -163,8 +231,8 @@ def spanning(members, positions: tuple[int, ...], scan: int = 4096) -> list[tupl
     """A spanning forest of the links (at most 3 bits) among distinct sorted fingerprints.
 
     ``members`` agree on the bytes at ``positions``. Up to ``scan`` members not
-    reached yet are compared directly; above that, the 2,324 ways to flip up to
-    3 of the 24 free bits are looked up.
+    reached yet are compared directly; above that, the ways to flip up to 3 of the
+    free bits (2,324 of 24 bits, 5,488 of 32) are looked up.
     """
     import numpy as np
 
@@ -193,7 +261,7 @@ def spanning(members, positions: tuple[int, ...], scan: int = 4096) -> list[tupl
         todo, rest = [rest[0]], rest[1:]
         while todo and len(rest):
             x = todo.pop()
-            near = np.bitwise_count(rest ^ x) <= MAX_BITS
+            near = linked(rest, x)
             if near.any():
                 found = rest[near]
                 rest = rest[~near]

@@ -118,8 +118,9 @@ def test_keep_near(docs):
     assert sorted((r.doc_id for r in kept), key=repr) == sorted(set(labels), key=repr)
 
 
+@pytest.mark.parametrize("hot", [simhash.HOT, 5])
 @pytest.mark.parametrize("size", [300, 6000])
-def test_links_connect_all_near_fingerprints(spark, size):
+def test_links_connect_all_near_fingerprints(spark, size, hot):
     """A dense cluster, chains, and strangers: components equal those of all pairs."""
     rng = random.Random(size)
     centre = rng.getrandbits(64)
@@ -133,7 +134,7 @@ def test_links_connect_all_near_fingerprints(spark, size):
         values.add(rng.getrandbits(64))
     values = sorted(values)
     fps = spark.createDataFrame([(v - (1 << 64) if v >= 1 << 63 else v,) for v in values], "fp long")
-    links = simhash.links(fps)
+    links = simhash.links(fps, hot)
     assert links.count() < 60 * size
     nodes = {r.node: r.root for r in components.components(links).collect()}
     expected = brute_components(values, values)
@@ -144,6 +145,29 @@ def test_links_connect_all_near_fingerprints(spark, size):
     assert len({next(iter(g)) for g in groups.values()}) == len(groups)
 
 
+def test_linked_tallies_bytes_and_then_bits():
+    rng = random.Random(9)
+    xs = np.array([rng.getrandbits(64) for _ in range(3000)], np.uint64)
+    ys = np.array([int(x) ^ sum({1 << rng.randrange(64) for _ in range(rng.randint(0, 6))}) for x in xs], np.uint64)
+    expected = [sum(a == b for a, b in zip(int(x).to_bytes(8), int(y).to_bytes(8), strict=True)) >= 5 and (int(x) ^ int(y)).bit_count() <= 3 for x, y in zip(xs, ys, strict=True)]
+    assert simhash.linked(xs, ys).tolist() == expected and any(expected) and not all(expected)
+
+
+@pytest.mark.parametrize("batch", [40])
+def test_lists_over_batches(spark, batch):
+    """Lists that end in a batch, fill it, or run over several, put off or not."""
+    rng = random.Random(batch)
+    base = [rng.getrandbits(64) for _ in range(6)]
+    values = sorted({b ^ (1 << k) for b in base for k in range(0, 64, 9)})
+    fps = spark.createDataFrame([(v - (1 << 64) if v >= 1 << 63 else v,) for v in values], "fp long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        found = [{frozenset((r.node, r.root)) for r in components.components(simhash.links(fps, hot)).collect()} for hot in (1 << 14, 4)]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found[0] == found[1] and len({min(x) for x in found[0]}) >= 1
+
+
 def test_spanning_by_lookup_and_by_scan_agree():
     rng = random.Random(3)
     positions = (0, 1, 2, 3, 4)
