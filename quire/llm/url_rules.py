@@ -74,12 +74,12 @@ SITE_RULES = (
 
 def path_pattern(verdict: str, words: str) -> Rule:
     """A path with ``words`` as a whole segment, or as one up to its extension."""
-    return Rule(f"/{words}", verdict, rf"^[^/]*/(?:[^/]*/)*\Q{words}\E(?:[/.;]|$)", tuple(_TOKEN.findall(words)), len(words))
+    return Rule(f"/{words}", verdict, rf"^[^/]*/(?:[^/]*/)*\Q{words}\E(?:[/.;]|\z)", tuple(_TOKEN.findall(words)), len(words))
 
 
 def extension_pattern(verdict: str, extension: str) -> Rule:
     """A path that ends in ``.extension``."""
-    return Rule(f".{extension}", verdict, rf"^[^/]*/.*\.(?i:\Q{extension}\E)$", (extension,), len(extension))
+    return Rule(f".{extension}", verdict, rf"(?s)^[^/]*/.*\.(?i:\Q{extension}\E)\z", (extension,), len(extension))
 
 
 #: Hosts of kinds that no corpus wants, by the words in their names.

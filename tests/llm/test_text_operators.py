@@ -25,15 +25,20 @@ def brute_judge(url, rules, patterns):
         if (host == own or host.endswith("." + own)) and path.startswith("/" + tail):
             fits.append(r)
     rule = max(fits, key=lambda r: len(r.name), default=None)
-    spam = [p for p in patterns if re.search(rf"(^|[^a-z0-9]){re.escape(p.name)}($|[^a-z0-9])", host)]
-    pattern = max(spam, key=lambda p: (len(p.name), p.name), default=None)
+
+    def applies(p):
+        if p.name[0] == "/":
+            return any(re.split("[.;]", x)[0] == p.name[1:] for x in path.split("/")[1:])
+        return path.lower().endswith(p.name) if p.name[0] == "." else re.search(rf"(^|[^a-z0-9]){re.escape(p.name)}($|[^a-z0-9])", host)
+
+    pattern = max((p for p in patterns if applies(p)), key=lambda p: (p.rank, p.name), default=None)
     return host, path, rule and rule.name, rule.verdict if rule else pattern.verdict if pattern else "allow", pattern and pattern.name
 
 
 URLS = [
     None, "", "no scheme", "://", "http://", "http://ORG", "http://org/", "http://a.ORG/x?y#z", "http://example.org/es/1", "http://www.example.org/es", "http://example.org/en/1", "http://example.org/en/123", "http://example.org/en/21",
     "http://notexample.org/es/", "http://b.com/fr/", "http://b.com/FR/", "http://b.com/de/?q=http://c.org/", "http://com/de/x", "http://x.com.org:80/a", "http://user@b.com/de/", "http://spam-farm.net/", "http://my-spam-farm.b.com/fr/x", "http://spamfarm.net",
-    "http://best-casino.example.net/", "http://casinos.net/", "http://a://b.org/x", "HTTP://B.COM/de/\nx", "http://b.org#frag/es/", "http://é.org/é", "http://" + "a." * 2000 + "org/" + "x/" * 5000,
+    "http://best-casino.example.net/", "http://casinos.net/", "http://a://b.org/x", "HTTP://B.COM/de/\nx", "http://b.org#frag/es/", "http://é.org/é", "http://x.net/a/LOGO.PNG", "http://x.net/login", "http://x.net/login.php;a", "http://x.net/a/wp-admin/b", "http://x.net/loginx", "http://x.net/a.png/b", "http://ads-track.net/login", "http://x.net/cart\n", "http://" + "a." * 2000 + "org/" + "x/" * 5000,
 ]
 
 
@@ -42,7 +47,7 @@ def test_urls(spark):
     got = url_rules.judge_urls(df).collect()
     assert len(got) == len(URLS) + 1
     for r in got:
-        assert (r.host, r.path, r.rule, r.verdict, r.pattern) == brute_judge(URLS[r.page_id], url_rules.SITE_RULES, url_rules.SPAM_HOSTS), URLS[r.page_id]
+        assert (r.host, r.path, r.rule, r.verdict, r.pattern) == brute_judge(URLS[r.page_id], url_rules.SITE_RULES, url_rules.PATTERNS), URLS[r.page_id]
 
 
 def test_many_rules_and_random_urls(spark):
@@ -52,7 +57,7 @@ def test_many_rules_and_random_urls(spark):
     urls = [f"http://{'.'.join(part() for _ in range(rng.randint(1, 4)))}/{'/'.join(part() for _ in range(rng.randint(0, 3)))}" for _ in range(400)]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     for r in url_rules.judge_urls(df, rules=rules).collect():
-        assert (r.rule, r.verdict) == brute_judge(urls[r.page_id], rules, url_rules.SPAM_HOSTS)[2:4]
+        assert (r.rule, r.verdict) == brute_judge(urls[r.page_id], rules, url_rules.PATTERNS)[2:4]
     table = spark.createDataFrame([(r.name, r.verdict, r.pattern, list(r.tokens), r.rank) for r in rules], "name string, verdict string, pattern string, tokens array<string>, rank int")
     got = url_rules.judge_by_table(df, table).collect()
     assert len(got) == len(urls)
@@ -60,10 +65,25 @@ def test_many_rules_and_random_urls(spark):
         assert (r.host, r.path, r.rule, r.verdict) == brute_judge(urls[r.page_id], rules, ())[:4]
 
 
+def test_rules_without_a_token_and_the_size_of_the_set(spark, monkeypatch):
+    """Site rules come before patterns, and rules without a token run, whether the rules are in the plan or a table."""
+    rules = (url_rules.prefix_rule("allow", "a.org/"), url_rules.Rule("digits", "block", "^[^/]*/[0-9]+$", (), 1), url_rules.Rule("no host", "block", "^$", (), 0))
+    patterns = (url_rules.host_pattern("block", "a"), url_rules.Rule("upper", "block", "[A-Z]", (), 9))
+    urls = ["http://a.org/x", "http://b.org/12", "http://a.org/12", "http://b.org/X", "http://a.net/12", "http://a.net/X", None, "http://b.org/x"]
+    df = spark.createDataFrame(list(enumerate(urls)) + [(1, urls[1])], "page_id long, url string")
+    expected = [("a.org/", "allow", "a"), ("digits", "block", None), ("a.org/", "allow", "a"), (None, "block", "upper"), ("digits", "block", "a"), (None, "block", "upper"), ("no host", "block", None), (None, "allow", None)]
+    for most in (10_000, 2):
+        monkeypatch.setattr(url_rules, "LITERAL_RULES", most)
+        got = url_rules.judge_urls(df, rules=rules, patterns=patterns).collect()
+        assert len(got) == 9 and all((r.rule, r.verdict, r.pattern) == expected[r.page_id] for r in got)
+
+
 def test_urls_empty(spark):
-    assert url_rules.judge_urls(spark.createDataFrame([], "page_id long, url string")).collect() == []
-    with pytest.raises(ValueError):
-        url_rules.judge_urls(spark.createDataFrame([], "page_id long, url string"), rules=(url_rules.Rule("r", "block", ".*", (), 1),))
+    none = spark.createDataFrame([], "page_id long, url string")
+    assert url_rules.judge_urls(none).collect() == []
+    assert [tuple(r) for r in url_rules.judge_urls(spark.createDataFrame([(1, "http://a/b")], none.schema), rules=(), patterns=()).collect()] == [(1, "a", "/b", None, "allow", None)]
+    table = spark.createDataFrame([], "name string, verdict string, pattern string, tokens array<string>, rank int")
+    assert url_rules.judge_by_table(none, table).collect() == []
 
 
 # ----- chat -----
