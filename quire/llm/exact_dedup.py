@@ -8,7 +8,9 @@ Three steps, each bounded in memory whatever the size of a group of copies:
 2. Representatives travel by (length, content hash) of the normalised text.
    Each task inserts the full byte strings into a compressed radix trie whose
    terminals keep the smallest id, and spills whole subtrees to scratch files
-   when the labels it holds pass ``trie_bytes``.
+   when labels and keys pass ``trie_bytes``. A text with more than ``hot``
+   representatives is dealt into ``SALTS`` tries first, and only the owners of
+   those meet in one.
 3. Owners come back to the representatives by their unique key, so a group with
    a third of all rows joins as evenly as any other.
 
@@ -25,14 +27,20 @@ import pickle
 import tempfile
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.runtime import counted, materialise, raw_bytes, squeeze
+from quire.llm.runtime import by_bytes, counted, materialise, raw_bytes, squeeze
 
 CHUNK_BYTES = 16 << 20
 TRIE_BYTES = 64 << 20
+#: Representatives of one length and hash from which they are dealt into several tries, and how many.
+HOT, SALTS = 200, 64
+#: What a key at a terminal counts for in memory.
+KEY_BYTES = 40
+#: Hot texts are broadcast up to this many (two numbers each).
+BROADCAST_TEXTS = 100_000
 
 
 class _Node:
@@ -57,19 +65,22 @@ def _shared(a: bytes, b: bytes, start: int) -> int:
 class PatriciaTrie:
     """Full byte strings to owners: [smallest id, its key, rows, keys].
 
-    When labels hold more than ``limit`` bytes, the largest subtree below the
-    first branching node moves to a scratch file; later strings for it are
-    appended there, and ``owners()`` rebuilds such subtrees one at a time.
+    When labels and keys hold more than ``limit`` bytes, the largest subtrees
+    below the first branching node move to scratch files until half of that is
+    left; later strings for them are appended there, and ``owners()`` rebuilds
+    such subtrees one at a time.
     """
 
     def __init__(self, limit: int, scratch: str):
         self.root, self.limit, self.scratch, self.held, self.files = _Node(b""), limit, scratch, 0, []
+        self.full = limit
 
-    def insert(self, text: bytes, ident, key: int, rows: int) -> None:
+    def insert(self, text: bytes, ident, key: int, rows: int, keys: list[int] | None = None) -> None:
+        """``key`` is the row of ``ident``; ``keys`` are all of its rows, if more than that one."""
         node, at = self.root, 0
         while True:
             if node.spill is not None:
-                pickle.dump((text, ident, key, rows), node.spill, protocol=5)
+                pickle.dump((text, ident, key, rows, keys), node.spill, protocol=5)
                 return
             if at == len(text):
                 break
@@ -88,33 +99,41 @@ class PatriciaTrie:
             fork.kids[kid.label[0]] = kid
             node.kids[text[at]] = fork
             node, at = fork, at + n
+        keys = [key] if keys is None else keys
         own = node.owner
         if own is None:
-            node.owner = [ident, key, rows, [key]]
+            node.owner = [ident, key, rows, list(keys)]
         else:
             if _before(ident, key, own):
                 own[0], own[1] = ident, key
             own[2] += rows
-            own[3].append(key)
-        if self.held > self.limit:
+            own[3] += keys
+        self.held += KEY_BYTES * len(keys)
+        if self.held > self.full:
             self._spill()
+            # where nothing more can go, the next try waits until twice as much is held
+            self.full = max(self.limit, 2 * self.held)
 
     def _spill(self) -> None:
         node, prefix = self.root, b""
         while node.spill is None and len(node.kids) == 1 and node.owner is None:
             node = next(iter(node.kids.values()))
             prefix += node.label
-        open_kids = [(sum(len(x.label) for x, _ in _walk(k, b"")), k) for k in node.kids.values() if k.spill is None]
-        if node.spill is not None or len(open_kids) < 1 or (len(node.kids) == 1 and node.owner is None):
+        if node.spill is not None or (len(node.kids) == 1 and node.owner is None):
             return
-        freed, victim = max(open_kids, key=lambda x: x[0])
+        sizes = [(sum(len(x.label) + (KEY_BYTES * len(x.owner[3]) if x.owner else 0) for x, _ in _walk(k, b"")), k) for k in node.kids.values() if k.spill is None]
+        for freed, victim in sorted(sizes, key=lambda x: -x[0]):
+            if self.held <= self.limit // 2:
+                break
+            self._move(victim, prefix)
+            self.held -= freed - len(victim.label)
+
+    def _move(self, victim: _Node, prefix: bytes) -> None:
         handle, name = tempfile.mkstemp(dir=self.scratch)
         out = os.fdopen(handle, "wb")
         for x, path in _walk(victim, prefix):
             if x.owner is not None:
-                for i, key in enumerate(x.owner[3]):
-                    first = key == x.owner[1]
-                    pickle.dump((path, x.owner[0] if first else None, key, x.owner[2] if i == 0 else 0), out, protocol=5)
+                pickle.dump((path, *x.owner), out, protocol=5)
             if x.spill is not None:
                 x.spill.flush()
                 with open(x.spill.name_, "rb") as old:
@@ -125,7 +144,6 @@ class PatriciaTrie:
                 self.files.remove(x.spill)
         victim.kids, victim.owner, victim.spill = {}, None, _Spill(out, name)
         self.files.append(victim.spill)
-        self.held -= freed - len(victim.label)
 
     def owners(self) -> Iterator[list]:
         for x, _ in _walk(self.root, b""):
@@ -233,44 +251,59 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return inputs.mapInArrow(fold, schema)
 
 
-def owners(reps: DataFrame, trie_bytes: int = TRIE_BYTES) -> DataFrame:
-    """Step 2: (uid, keep_id, group_size, owner) for every representative."""
+def _claimed(rows: DataFrame, trie_bytes: int, *salt: Column) -> DataFrame:
+    """(uid, keep_id, group_size, head): rows (uid, ident, n, doc_text, n_bytes, chash) and the owners of their texts.
+
+    ``head`` is the owner's uid. With a salt, owners are those among the rows of the same salt.
+    """
 
     def claim(batches):
         import pyarrow as pa
 
-        names = ["uid", "keep_id", "group_size", "owner"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+        names = ["uid", "keep_id", "group_size", "head"]
 
         def pack(rows):
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
 
         with tempfile.TemporaryDirectory() as scratch:
             trie = PatriciaTrie(trie_bytes, scratch)
             for batch in batches:
-                for uid, ident, rows, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), raw_bytes(batch.column(3)), strict=True):
-                    trie.insert(squeeze(text), ident, uid, rows)
+                for part in by_bytes(batch, 3):
+                    for uid, ident, rows, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), raw_bytes(part.column(3)), strict=True):
+                        trie.insert(squeeze(text), ident, uid, rows)
             rows = []
             for keep, first, size, keys in trie.owners():
                 for key in keys:
-                    rows.append((key, keep, size, key == first))
+                    rows.append((key, keep, size, first))
                     if len(rows) >= 10_000:
                         yield pack(rows)
                         rows = []
             if rows:
                 yield pack(rows)
 
-    return (
-        reps.select("uid", F.get("members", F.lit(0)).alias("ident"), F.size("members").cast("long").alias("n"), "doc_text", "n_bytes", "chash")
-        .repartition("n_bytes", "chash")
-        .mapInArrow(claim, "uid long, keep_id long, group_size long, owner boolean")
-    )
+    return rows.select("uid", "ident", "n", "doc_text", "n_bytes", "chash", *salt).repartition("n_bytes", "chash", *salt).mapInArrow(claim, "uid long, keep_id long, group_size long, head long")
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, trie_bytes: int = TRIE_BYTES) -> DataFrame:
+def owners(reps: DataFrame, trie_bytes: int = TRIE_BYTES, hot: int = HOT) -> DataFrame:
+    """Step 2: (uid, keep_id, group_size, owner) for every representative."""
+    rows = reps.select("uid", F.get("members", F.lit(0)).alias("ident"), F.size("members").cast("long").alias("n"), "doc_text", "n_bytes", "chash")
+    many = materialise(reps.groupBy("n_bytes", "chash").agg(F.count("*").alias("copies")).where(F.col("copies") > hot).select("n_bytes", "chash"), "hot-texts")
+    texts = many.count()
+    final = lambda claimed: claimed.select("uid", "keep_id", "group_size", (F.col("uid") == F.col("head")).alias("owner"))
+    if not texts:
+        return final(_claimed(rows, trie_bytes))
+    many = F.broadcast(many) if texts <= BROADCAST_TEXTS else many
+    first = materialise(_claimed(rows.join(many, ["n_bytes", "chash"], "left_semi"), trie_bytes, F.pmod(F.xxhash64("uid"), F.lit(SALTS)).alias("salt")), "hot-first")
+    heads = first.where("uid = head").select("uid", F.col("keep_id").alias("ident"), F.col("group_size").alias("n")).join(rows.select("uid", "doc_text", "n_bytes", "chash"), "uid")
+    second = _claimed(heads, trie_bytes).select(F.col("uid").alias("head"), "keep_id", "group_size", F.col("head").alias("last"))
+    settled = first.select("uid", "head").join(second, "head").select("uid", "keep_id", "group_size", (F.col("uid") == F.col("last")).alias("owner"))
+    return final(_claimed(rows.join(many, ["n_bytes", "chash"], "left_anti"), trie_bytes)).unionByName(settled)
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, trie_bytes: int = TRIE_BYTES, hot: int = HOT) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     reps = materialise(representatives(docs, id_col, text_col, (), chunk_bytes), "exact-reps")
-    found = owners(reps, trie_bytes)
+    found = owners(reps, trie_bytes, hot)
     return (
         reps.select("uid", "sha256", "members")
         .join(found, "uid")

@@ -4,21 +4,29 @@ A template is aligned with the stretch of text around its rare words: words
 that occur once in both are anchors, the longest increasing run of anchors is
 kept, and the gaps between anchors are aligned in the same way. Coverage is the
 share of the template's words that are matched; a template with coverage of
-``COVERAGE`` or more is found. Of finds that overlap, the one with the most
-matched words stays.
+``COVERAGE`` or more is found. Templates are notices and the whole texts of the
+short licenses; long licenses are found by their notices, titles and SPDX tags.
+Of finds that overlap, the one with the most matched words stays, and among
+equals the one with the higher coverage, then the first.
 
 Looking only around rare words misses none: a template with n words must have
 all but ``floor(0.2 n)`` of them matched, so one of its ``floor(0.2 n) + 1``
-rarest words is among them. A find spans less than ``SPAN`` times n words, and
-every stretch around the rare word that can hold one is aligned, narrow ones
-first, unless it shares too few words with the template to better what is found.
+rarest words is among them. A find spans less than ``SPAN`` times n words. Of
+templates up to ``SHORT`` words every stretch around the rare word that can hold
+a find is aligned, narrow ones first, unless it shares too few words with the
+template to better what is found; longer ones are aligned with the stretch where
+the template would lie, with room for an eighth, a quarter and a half of its
+length in other words, which is all that a find can have.
+
+SPDX tags name their license themselves; they are read, not aligned.
 
 Texts are scanned whole, row by row, in the task that reads them; nothing is
 shuffled.
 
 Defined cases: null and empty texts have no finds; repeated rows are scanned
 each; an empty table gives an empty result; unnamed columns are ignored or,
-where carried, pass through unread.
+where carried, pass through unread; a carried column named ``finds`` is returned
+as ``finds_in``.
 """
 
 from __future__ import annotations
@@ -27,14 +35,19 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.llm.runtime import by_bytes
+
 COVERAGE = 0.8
 #: Words from the first matched to the last, by words of the template.
 SPAN = 1.5
+#: Words of the templates that are aligned with every stretch.
+SHORT = 40
 
 #: Notices by license identifier.
 NOTICES = (
@@ -63,7 +76,64 @@ NOTICES = (
     ("GPL-3.0", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
     ("GPL-2.0", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"),
     ("Proprietary", "All rights reserved"),
+    ("BSD-2-Clause", "under the terms of the BSD 2-Clause License"),
+    ("BSD-3-Clause", "under the terms of the BSD 3-Clause License"),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("MIT", "MIT License"),
+    ("MIT", "The MIT License (MIT)"),
+    ("ISC", "ISC License"),
+    ("Zlib", "zlib License"),
+    ("BSL-1.0", "Boost Software License - Version 1.0"),
+    ("Apache-2.0", "Apache License, Version 2.0"),
+    ("Apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("GPL-3.0", "GNU General Public License version 3"),
+    ("GPL-2.0", "GNU General Public License version 2"),
+    ("LGPL-3.0", "GNU Lesser General Public License version 3"),
+    ("LGPL-2.1", "GNU Lesser General Public License version 2.1"),
+    ("AGPL-3.0", "GNU Affero General Public License version 3"),
+    ("GPL", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("MPL-2.0", "If a copy of the MPL was not distributed with this file, You can obtain one at"),
+    ("EPL-2.0", "Eclipse Public License - v 2.0"),
+    ("EUPL-1.2", "Licensed under the EUPL"),
+    ("EUPL-1.2", "European Union Public Licence v. 1.2"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International License"),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("CC-BY-ND-4.0", "Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    ("CC-BY-NC-SA-4.0", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    ("CC-BY-NC-ND-4.0", "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"),
+    ("CC0-1.0", "CC0 1.0 Universal"),
+    ("WTFPL", "Do What The Fuck You Want To Public License"),
+    ("Artistic-2.0", "The Artistic License 2.0"),
+    ("OFL-1.1", "This Font Software is licensed under the SIL Open Font License, Version 1.1"),
+)
+
+#: The words of the short licenses, put together from the parts they share.
+_AS_IS_HOLDERS = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+_BSD_BEGIN = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_MIT_GRANT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so'
+_MIT_TERMS = 'subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.'
+_MIT_AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+_ISC_AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'
+_ISC_GRANT = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+LICENSES = (
+    ("MIT", f"{_MIT_GRANT}, {_MIT_TERMS} {_MIT_AS_IS}"),
+    ("MIT-0", f"{_MIT_GRANT}. {_MIT_AS_IS}"),
+    ("BSD-2-Clause", f"{_BSD_BEGIN} {_AS_IS_HOLDERS}"),
+    ("BSD-3-Clause", f"{_BSD_BEGIN} {_BSD_THIRD} {_AS_IS_HOLDERS}"),
+    ("ISC", f"{_ISC_GRANT}, provided that the above copyright notice and this permission notice appear in all copies. {_ISC_AS_IS}"),
+    ("0BSD", f"{_ISC_GRANT}. {_ISC_AS_IS}"),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
+    ("Unlicense", f"This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. {_MIT_AS_IS.replace('OR COPYRIGHT HOLDERS ', '')}"),
+    ("BSL-1.0", 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.'),
+    ("WTFPL", "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed. DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION 0. You just DO WHAT THE FUCK YOU WANT TO."),
 )
+TEMPLATES = (*NOTICES, *LICENSES)
+
+_SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*(\(?[A-Za-z0-9][A-Za-z0-9.+-]*(?:(?:[ \t]+(?:AND|OR|WITH)[ \t]+|[ \t]*[()][ \t]*)\(?[A-Za-z0-9][A-Za-z0-9.+-]*\)?)*)", re.I)
 
 #: Words too common to look for.
 COMMON = frozenset("a all and any are at be by for form free in into is may not of or permitted provided public source subject terms that the this to under use version with without work you".split())
@@ -120,7 +190,7 @@ def patience(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 
 
 class Scanner:
-    def __init__(self, notices=NOTICES, coverage: float = COVERAGE):
+    def __init__(self, notices=TEMPLATES, coverage: float = COVERAGE):
         self.coverage = coverage
         self.notices = [(name, words_of(text)[0]) for name, text in notices]
         self.rare: dict[str, list[int]] = {}
@@ -129,12 +199,20 @@ class Scanner:
             # taken as rarest: the longest words that are not common ones; every occurrence counts as a word of its own
             for w in set(sorted(ws, key=lambda w: (w in COMMON, -len(w), w))[: spare + 1]):
                 self.rare.setdefault(w, []).append(k)
+        # texts repeat their notices: the same stretch is aligned once
+        self.aligned = lru_cache(maxsize=20_000)(self._aligned)
+
+    def _aligned(self, k: int, window: tuple[str, ...], centre: int) -> tuple[int, ...]:
+        notice = self.notices[k][1]
+        align = _tightest if len(notice) <= SHORT else _roomiest
+        return tuple(i for i, _ in align(list(window), notice, centre, self.coverage))
 
     def scan(self, text: str) -> list[tuple[str, float, int, int, int]]:
         """(license, coverage, matched words, start, end) in characters, in order."""
+        tags = [(m[1], 1.0, len(words_of(m[0])[0]), m.start(), m.end()) for m in _SPDX.finditer(text)] if "spdx" in text.lower() else []
         low = text.lower()
         if not any(w in low for w in self.rare):
-            return []
+            return tags
         words, starts, ends = words_of(text)
         finds: list[tuple[int, float, int, int, str]] = []
         done = [-1] * len(self.notices)
@@ -145,16 +223,48 @@ class Scanner:
                 name, notice = self.notices[k]
                 reach = math.ceil(SPAN * len(notice))
                 left = max(0, at - reach, done[k] + 1)
-                matched = [i for i, _ in _tightest(words[left : at + reach + 1], notice, at - left, self.coverage)]
+                matched = self.aligned(k, tuple(words[left : at + reach + 1]), at - left)
                 share = len(matched) / len(notice)
                 if share >= self.coverage and matched[-1] - matched[0] < SPAN * len(notice):
                     finds.append((len(matched), share, left + matched[0], left + matched[-1], name))
                     done[k] = left + matched[-1]
-        taken: list[tuple[int, float, int, int, str]] = []
-        for f in sorted(finds, key=lambda f: (-f[0], -f[1], f[2])):
-            if all(f[3] < t[2] or f[2] > t[3] for t in taken):
-                taken.append(f)
-        return [(name, share, n, starts[lo], ends[hi]) for n, share, lo, hi, name in sorted(taken, key=lambda f: f[2])]
+        found = [(name, share, n, starts[lo], ends[hi]) for n, share, lo, hi, name in finds]
+        return sorted(apart([*found, *tags]), key=lambda f: f[3])
+
+
+def apart(finds: list[tuple[str, float, int, int, int]]) -> list[tuple[str, float, int, int, int]]:
+    """The finds that stay where some overlap: the most matched words first, then the higher coverage, then the first."""
+    begins: list[int] = []
+    stops: list[int] = []
+    taken = []
+    for f in sorted(finds, key=lambda f: (-f[2], -f[1], f[3], f[0])):
+        k = bisect_left(begins, f[4])
+        # taken ones lie apart, so only the last that begins before the end can overlap
+        if k == 0 or stops[k - 1] <= f[3]:
+            begins.insert(k, f[3])
+            stops.insert(k, f[4])
+            taken.append(f)
+    return taken
+
+
+def _roomiest(window: list[str], notice: list[str], centre: int, coverage: float = COVERAGE) -> list[tuple[int, int]]:
+    """The best alignment of a long notice whose word at ``centre`` is in place, with room for other words."""
+    n, best = len(notice), []
+    wanted = Counter(notice)
+    if (Counter(window) & wanted).total() < coverage * n - 1e-9:
+        return best
+    for j in (j for j, w in enumerate(notice) if w == window[centre]):
+        if j <= centre and window[centre - j : centre - j + n] == notice:
+            return [(centre - j + i, i) for i in range(n)]
+        for room in (n // 8, n // 4, -(-n // 2)):
+            low = max(0, centre - j - room)
+            part = window[low : centre - j + n + room]
+            if (Counter(part) & wanted).total() <= max(len(best), coverage * n - 1e-9 - 1):
+                continue
+            found = [(i + low, k) for i, k in patience(part, notice)]
+            if len(found) > len(best):
+                best = found
+    return best
 
 
 def _tightest(window: list[str], notice: list[str], centre: int, coverage: float = COVERAGE) -> list[tuple[int, int]]:
@@ -168,7 +278,11 @@ def _tightest(window: list[str], notice: list[str], centre: int, coverage: float
     """
     best: list[tuple[int, int]] = []
     slack = max(1, len(notice) // 4)
+    if (Counter(window) & Counter(notice)).total() < coverage * len(notice) - 1e-9:
+        return best
     for j in (j for j, w in enumerate(notice) if w == window[centre]):
+        if j <= centre and window[centre - j : centre - j + len(notice)] == notice:
+            return [(centre - j + i, i) for i in range(len(notice))]
         low = max(0, centre - j - slack)
         found = [(i + low, k) for i, k in patience(window[low : centre - j + len(notice) + slack], notice)]
         if len(found) > len(best):
@@ -197,9 +311,9 @@ def _tightest(window: list[str], notice: list[str], centre: int, coverage: float
     return best
 
 
-def scan_licenses(docs: DataFrame, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), notices=NOTICES, coverage: float = COVERAGE) -> DataFrame:
+def scan_licenses(docs: DataFrame, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), notices=TEMPLATES, coverage: float = COVERAGE) -> DataFrame:
     """The carried columns and ``finds``: array of (license, coverage, matched, start, end)."""
-    inputs = docs.select(F.col(text_col).alias("_text"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])
+    inputs = docs.select(F.col(text_col).cast("string").alias("_text"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])
     schema = T.StructType([*inputs.schema.fields[1:], T.StructField("finds", T._parse_datatype_string("array<struct<license:string,coverage:double,matched:int,start:int,end:int>>"))])
 
     def run(batches):
@@ -207,11 +321,11 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", carry: tuple[str, ...
 
         scanner = Scanner(notices, coverage)
         kind = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("matched", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
-        for batch in batches:
+        for batch in (part for whole in batches for part in by_bytes(whole, 0)):
             found = [[dict(zip(("license", "coverage", "matched", "start", "end"), f, strict=True)) for f in scanner.scan(x or "")] for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, kind)], names=[*batch.schema.names[1:], "finds"])
 
-    return inputs.mapInArrow(run, schema).withColumnsRenamed({f"_c{i}": c for i, c in enumerate(carry)})
+    return inputs.mapInArrow(run, schema).withColumnsRenamed({f"_c{i}": f"{c}_in" if c == "finds" else c for i, c in enumerate(carry)})
 
 
 def op9_license_scan(spark, sf_dir):

@@ -8,18 +8,30 @@ pseudonym in every document, different values have different ones, and no value
 is its own pseudonym (the permutation is a conjugate of "add one", which has no
 fixed point). Holders of the key can invert it.
 
+Found are: emails (the domain is kept); phone numbers with a country code, with
+an area code in brackets, in groups of 3-3-4, or of 7 to 15 digits behind a word
+such as "phone"; card numbers; IBANs; IPv4 and IPv6 addresses; social security
+numbers; dates in figures and with English month names; values named password,
+token or key, the body of PEM private keys, JSON web tokens, and keys of known
+or hexadecimal form. Not covered are names, postal addresses and bare digits
+that no check tells from other numbers. Equal values in equal notation stay
+linked; a date or an IPv6 address written in two ways has two pseudonyms.
+
 Texts are scanned whole, row by row, in the task that reads them; nothing is
 shuffled.
 
 Defined cases: a null text stays null with no finds; texts without finds come
 back unchanged; repeated rows are treated alike; an empty table gives an empty
-result; unnamed columns are ignored or, where carried, pass through unread.
+result; unnamed columns are ignored or, where carried, pass through unread; a
+carried column named ``text`` or ``found`` is returned as ``text_in`` or
+``found_in``.
 """
 
 from __future__ import annotations
 
 import datetime
 import hashlib
+import ipaddress
 import math
 import re
 from collections.abc import Callable
@@ -29,27 +41,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.llm.runtime import by_bytes
+
 ROUNDS = 8
 #: Stands in where no key is given; production passes its own secret.
 DEFAULT_KEY = b"set your own key"
 
 KINDS = ("email", "phone", "card", "iban", "ip", "ssn", "date", "secret")
 
+#: English month names; the first three letters are short forms.
+MONTHS = "January February March April May June July August September October November December".split()
+
 _PATTERN = re.compile(
     r"""
-    (?P<secret>(?P<name>\b(?:(?i:passw(?:or)?d|pwd|token|secret|api[_-]?key|access[_-]?key|auth[_-]?key))\s*[=:]\s*["']?)(?P<value>[^\s"',;]{6,})
+    (?P<secret>-----BEGIN\ [A-Z0-9 ]*PRIVATE\ KEY-----(?P<pem>[A-Za-z0-9+/=\s]{16,})-----END\ [A-Z0-9 ]*PRIVATE\ KEY-----
+      |\beyJ(?P<jwt>[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,})
+      |(?P<name>\b(?:(?i:passw(?:or)?d|pwd|token|secret|api[_-]?key|access[_-]?key|auth[_-]?key))\s*[=:]\s*["']?)(?P<value>[^\s"',;]{6,})
       |\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,}|(?=[0-9a-f]*[0-9])[0-9a-f]{32,}|(?=[0-9A-F]*[0-9])[0-9A-F]{32,})\b)
     |(?P<email>\w[\w.%+\-]*@[A-Za-z0-9][A-Za-z0-9.\-]*\.[A-Za-z]{2,})
     |(?P<iban>\b[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b)
     |(?P<phone>(?<!\w)(?:\+[0-9]{1,3}[ ]?)?\([0-9]{3}\)[ ]?[0-9]{3}[ .\-]?[0-9]{4}(?![0-9])
       |(?<!\w)\+[0-9]{1,3}(?:[ .\-][0-9]{2,4}){2,4}(?![0-9])
       |(?<!\w)\+[0-9]{8,15}(?![0-9])
-      |(?<![\w.\-])[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4}(?![0-9\-]))
+      |(?<![\w.\-])[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4}(?![0-9\-])
+      |(?<![0-9.\-+][ ])(?<![\w.\-+])[2-9][0-9]{2}[ ][2-9][0-9]{2}[ ][0-9]{4}(?![ ]?[0-9]|[\-])
+      |\b(?i:phone|tel|telephone|mobile|cell|fax|call|whatsapp)(?:[.:]|\ (?:no|number)\b[.:]?)?[ ]?(?P<bare>[0-9]{7,15})(?![0-9]))
     |(?P<ssn>(?<![\w\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-]))
-    |(?P<date>(?<![\w/.\-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![\w/\-]))
-    |(?P<ip>(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9]))
+    |(?P<date>(?<![\w/.\-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}
+        |[0-9]{1,2}\ (?:MONTH)\ [0-9]{4}|\b(?:MONTH)\ [0-9]{1,2},?\ [0-9]{4})(?![\w/\-]))
+    |(?P<ip>(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:|:(?=:)){1,7}(?::[0-9A-Fa-f]{1,4}){0,6}(?:[0-9A-Fa-f]{1,4})?(?![\w:])
+      |(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9]))
     |(?P<card>(?<![0-9])(?:[0-9]{4}(?P<sep>[ \-])[0-9]{4}(?P=sep)[0-9]{4}(?P=sep)[0-9]{4}|[0-9]{4}(?P<sep2>[ \-])[0-9]{6}(?P=sep2)[0-9]{5}|[0-9]{13,19})(?![0-9]))
-    """,
+    """.replace("MONTH", "|".join([*MONTHS, *(m[:3] for m in MONTHS if len(m) > 3)])),
     re.X,
 )
 #: Characters of an IBAN, by country.
@@ -64,7 +87,7 @@ _IBAN_LENGTHS = {
     for country in countries.split()
 }
 #: A text without any of these has nothing to find.
-_HINT = re.compile("[0-9@=:]|sk-|gh[pousr]_")
+_HINT = re.compile("[0-9@=:]|sk-|gh[pousr]_|eyJ|-----BEGIN")
 
 
 class Permuter:
@@ -201,10 +224,14 @@ class Pseudonyms:
                 return None
             code = re.match(r"\+[0-9]{1,3}(?=[ .\-(])|\+[0-9]", text)
             keep = len(code[0]) if code else 0
-            return text[:keep] + _refill(text[keep:], self._number("phone", digits[max(keep - 1, 0) :]))
+            # groups with spaces alone are known by their first figures
+            spaced = re.fullmatch("[0-9]{3} [0-9]{3} [0-9]{4}", text)
+            return text[:keep] + _refill(text[keep:], self._number("phone spaced" if spaced else "phone", digits[max(keep - 1, 0) :], (lambda d: d[0] > "1" and d[3] > "1") if spaced else None))
         if kind == "ssn":
             good = lambda d: d[:3] not in ("000", "666") and d[0] != "9" and d[3:5] != "00" and d[5:] != "0000"
             return _refill(text, self._number("ssn", digits, good)) if good(digits) else None
+        if kind == "ip" and ":" in text:
+            return self._ipv6(text)
         if kind == "ip":
             octets = [int(x) for x in text.split(".")]
             if max(octets) > 255 or ".".join(map(str, octets)) != text:
@@ -220,8 +247,48 @@ class Pseudonyms:
         at = kept.end() if kept else 0
         return text[:at] + self._letters("secret", text[at:])
 
+    def _ipv6(self, text: str) -> str | None:
+        """Permutes the hexadecimal digits of an address with three groups or more, each in its place."""
+        groups = text.split(":")
+        try:
+            ipaddress.IPv6Address(text)
+        except ValueError:
+            return None
+        if sum(map(bool, groups)) < 3:
+            return None
+        digits, upper = text.replace(":", ""), text != text.lower()
+        # the case of an address is that of its letters; figures alone stay figures or turn into small letters
+        if upper and text != text.upper():
+            return None
+        y = self.permuter.permute(f"ipv6{upper}{[len(g) for g in groups]}".encode(), 16 ** len(digits), int(digits, 16), self.back, lambda x: not upper or not f"{x:x}".isdigit())
+        fill = iter(f"{y:0{len(digits)}{'X' if upper else 'x'}}")
+        return "".join(":" if c == ":" else next(fill) for c in text)
+
+    def _worded_date(self, text: str) -> str | None:
+        """A date with the name of its month: the same order, name length and zero before the day."""
+        parts = re.split(r"([ ,]+)", text)
+        d, m = (0, 2) if parts[0][0] in "0123456789" else (2, 0)
+        short, zero = len(parts[m]) == 3 and parts[m] != "May", parts[d][0] == "0"
+        try:
+            day = datetime.date(int(parts[4]), 1 + next(i for i, x in enumerate(MONTHS) if x.startswith(parts[m])), int(parts[d]))
+        except ValueError:
+            return None
+        # short forms do not fall on May, which is no shorter; a zero stays before a single figure
+        fits = lambda x: not (short and x.month == 5) and not (zero and x.day > 9)
+        new = self._moved_day(day, f"named{short}{zero}", fits)
+        parts[4], parts[m], parts[d] = f"{new.year:04d}", MONTHS[new.month - 1][: 3 if short else None], f"{new.day:02d}" if zero else str(new.day)
+        return "".join(parts)
+
+    def _moved_day(self, day: datetime.date, tweak: str, fits: Callable[[datetime.date], bool]) -> datetime.date:
+        """The day's image among those that fit, of its 200 years (1900-2099 and so on)."""
+        first = max(1, (day.year - 1900) // 200 * 200 + 1900)
+        low, high = datetime.date(first, 1, 1).toordinal(), datetime.date(min((day.year - 1900) // 200 * 200 + 2099, 9999), 12, 31).toordinal()
+        return datetime.date.fromordinal(low + self.permuter.permute(f"date{first}{tweak}".encode(), high - low + 1, day.toordinal() - low, self.back, lambda x: fits(datetime.date.fromordinal(low + x))))
+
     def _date(self, text: str) -> str | None:
-        """Permutes days within their 200 years (1900-2099 and so on)."""
+        """A date in figures."""
+        if re.search("[A-Z]", text):
+            return self._worded_date(text)
         parts = re.split(r"([/.\-])", text)
         orders = ((0, 2, 4),) if len(parts[0]) == 4 else ((4, 2, 0), (4, 0, 2))
         for y, m, d in orders:
@@ -229,13 +296,11 @@ class Pseudonyms:
                 day = datetime.date(int(parts[y]), int(parts[m]), int(parts[d]))
             except ValueError:
                 continue
-            first = max(1, (day.year - 1900) // 200 * 200 + 1900)
-            low, high = datetime.date(first, 1, 1).toordinal(), datetime.date(min((day.year - 1900) // 200 * 200 + 2099, 9999), 12, 31).toordinal()
             wide = {i: len(parts[i]) == 2 for i in (m, d)}
-            fits = lambda x: self._same_reading(datetime.date.fromordinal(low + x), orders, (y, m, d), wide)  # noqa: B023, E731
-            if not fits(day.toordinal() - low):
+            fits = lambda x: self._same_reading(x, orders, (y, m, d), wide)  # noqa: B023, E731
+            if not fits(day):
                 return None
-            new = datetime.date.fromordinal(low + self.permuter.permute(f"date{first}{(y, m, d)}{sorted(wide.items())}".encode(), high - low + 1, day.toordinal() - low, self.back, fits))
+            new = self._moved_day(day, f"{(y, m, d)}{sorted(wide.items())}", fits)
             out = list(parts)
             out[y], out[m], out[d] = f"{new.year:04d}", f"{new.month:02d}" if wide[m] else str(new.month), f"{new.day:02d}" if wide[d] else str(new.day)
             return "".join(out)
@@ -257,7 +322,8 @@ class Pseudonyms:
         out, at = [], 0
         while m := _PATTERN.search(text, at):
             kind = next(k for k in KINDS if m[k] is not None)
-            start, value = (m.start("value"), m["value"]) if m["value"] is not None else (m.start(), m[0])
+            part = next((p for p in ("value", "pem", "jwt", "bare") if m[p] is not None), 0)
+            start, value = m.start(part), m[part]
             new = self.value(kind, value)
             if new is None or new == value:
                 out.append(text[at : m.end()])
@@ -268,13 +334,13 @@ class Pseudonyms:
                 value = value[: len(new)]
             found.append((kind, start, len(value)))
             out += [text[at:start], new]
-            at = start + len(value) if kind == "iban" else m.end()
+            at = start + len(value)
         return "".join(out) + text[at:], found
 
 
 def pseudonymise(docs: DataFrame, key: bytes = DEFAULT_KEY, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), back: bool = False) -> DataFrame:
     """The carried columns, the new ``text`` and ``found``: array of (kind, start, length)."""
-    inputs = docs.select(F.col(text_col).alias("_text"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])
+    inputs = docs.select(F.col(text_col).cast("string").alias("_text"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])
     schema = T.StructType([*inputs.schema.fields[1:], T.StructField("text", T.StringType()), T.StructField("found", T._parse_datatype_string("array<struct<kind:string,start:int,length:int>>"))])
 
     def swap(batches):
@@ -283,13 +349,12 @@ def pseudonymise(docs: DataFrame, key: bytes = DEFAULT_KEY, text_col: str = "tex
         names = Pseudonyms(key, back)
         finds = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("length", pa.int32())]))
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
+            for part in by_bytes(batch, 0):
                 out = [(None, []) if x is None else names.replace(x) for x in part.column(0).to_pylist()]
                 found = [[{"kind": k, "start": s, "length": n} for k, s, n in f] for _, f in out]
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([t for t, _ in out], pa.string()), pa.array(found, finds)], names=[*part.schema.names[1:], "text", "found"])
 
-    return inputs.mapInArrow(swap, schema).withColumnsRenamed({f"_c{i}": c for i, c in enumerate(carry)})
+    return inputs.mapInArrow(swap, schema).withColumnsRenamed({f"_c{i}": f"{c}_in" if c in ("text", "found") else c for i, c in enumerate(carry)})
 
 
 def op5_pii(spark, sf_dir):

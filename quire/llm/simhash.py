@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm.components import components
-from quire.llm.runtime import counted, materialise, raw_bytes
+from quire.llm.runtime import by_bytes, counted, materialise, raw_bytes
 
 SHINGLE_WORDS, SEED, MAX_BITS, POSITIONS = 3, 42, 3, 8
 #: Positional bytes that any two linked fingerprints share.
@@ -95,11 +95,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         from pyspark import TaskContext
 
         base = TaskContext.get().partitionId() << 36
-        for batch in batches:
-            found = np.array([fingerprint(x) for x in raw_bytes(batch.column(1))], np.uint64).view(np.int64)
-            uid = np.arange(base, base + len(found), dtype=np.int64)
-            base += len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(uid), batch.column(0), pa.array(found), *batch.columns[2:]], names=["uid", "doc_id", "fp", *batch.schema.names[2:]])
+        for whole in batches:
+            for batch in by_bytes(whole, 1):
+                found = np.array([fingerprint(x) for x in raw_bytes(batch.column(1))], np.uint64).view(np.int64)
+                uid = np.arange(base, base + len(found), dtype=np.int64)
+                base += len(found)
+                yield pa.RecordBatch.from_arrays([pa.array(uid), batch.column(0), pa.array(found), *batch.columns[2:]], names=["uid", "doc_id", "fp", *batch.schema.names[2:]])
 
     return inputs.mapInArrow(measure, schema)
 

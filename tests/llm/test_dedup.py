@@ -40,6 +40,24 @@ def test_exact_groups(docs, chunk, trie):
     assert sorted(((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in got), key=repr) == brute_exact(rows_of(docs))
 
 
+def test_a_text_in_very_many_chunks(spark):
+    """Every row a representative of its own: hot texts meet by way of several tries, others directly."""
+    rng = random.Random(2)
+    texts = ["", "hot text", "hot  text ", *(f"rare {i}" for i in range(20))]
+    rows = [(rng.randrange(10**6), rng.choice(texts[:3]) if rng.random() < 0.8 else rng.choice(texts)) for _ in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for limit in (exact_dedup.TRIE_BYTES, 500):
+        got = exact_dedup.exact_groups(df, chunk_bytes=1, trie_bytes=limit, hot=10).collect()
+        assert sorted(((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in got), key=repr) == brute_exact(rows)
+
+
+def test_trie_with_many_keys_of_one_text_stays_fast(tmp_path):
+    trie = PatriciaTrie(1000, str(tmp_path))
+    for key in range(20_000):
+        trie.insert(b"same", key, key, 1)
+    assert [(o[0], o[2], len(o[3])) for o in trie.owners()] == [(0, 20_000, 20_000)]
+
+
 def test_exact_empty(no_docs):
     assert exact_dedup.exact_groups(no_docs).collect() == []
 

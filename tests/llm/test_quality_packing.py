@@ -120,3 +120,27 @@ def test_word_tokenizer_equals_the_tokenizer(texts):
     test_word_tokenizer_equals_the_tokenizer.w = words
     for text, ids in zip(texts, words.many([t.encode() for t in texts]), strict=True):
         assert np.frombuffer(ids, words.kind).tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_tokenizers_that_join_words_encode_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["two words", "  odd \n space, it's 12 345 ", "", "é " * 50]
+    words = packing.WordTokenizer(path)
+    plain = Tokenizer.from_file(path)
+    assert not words.by_word and packing.WordTokenizer(packing.word_tokenizer_path()).by_word
+    assert [np.frombuffer(x, words.kind).tolist() for x in words.many([t.encode() for t in texts])] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_slices_by_bytes():
+    import pyarrow as pa
+
+    from quire.llm.runtime import by_bytes
+
+    batch = pa.RecordBatch.from_pydict({"t": ["a" * 10, None, "b" * 50, "c", "d", "", "e" * 9]})
+    parts = [p.column(0).to_pylist() for p in by_bytes(batch, 0, most=12, rows=3)]
+    assert sum(parts, []) == batch.column(0).to_pylist()
+    assert all(len(p) <= 3 and (len(p) == 1 or sum(len(x or "") for x in p) <= 12) for p in parts)
+    assert list(by_bytes(batch.slice(0, 0), 0)) == []
