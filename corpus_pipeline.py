@@ -6,15 +6,16 @@ Parquet and read again. The mix decides the order of the files' rows: each file
 is one stretch of the mix, and packing runs along its curve within one file
 after the other, so every stretch keeps the target weights.
 
-As its input is written by then, a stage drops the intermediate tables that the
-stages before it left in the shared folder.
+As its input is written by then, a stage drops the intermediate tables that
+earlier stages of the same ``Pipeline`` left in the shared folder, unless its
+input reads them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import wraps
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,41 +43,39 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_order(docs, DOCUMENT_COLUMNS)
 
 
-def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs all rows along the Hilbert curve, file by file of the mix (in one run where rows come from no files)."""
-    try:
-        ordered = docs.select("doc_id", "text", F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).try_cast("long").alias("part"))
-    except AnalysisException:
-        ordered = docs.select("doc_id", "text", F.lit(0).alias("part"))
-    return packing.digest(packing.pack(ordered, packing.word_tokenizer_path(), window="part"))
+def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, by_file: bool = True) -> DataFrame:
+    """Packs all rows along the Hilbert curve, file by file of the mix; with ``by_file`` off in one run (rows that come from no files)."""
+    part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).try_cast("long") if by_file else F.lit(0)
+    return packing.digest(packing.pack(docs.select("doc_id", "text", part.alias("part")), packing.word_tokenizer_path(), window="part"))
 
 
-_left: list[tuple[int, Scratch]] = []
+class Pipeline:
+    """One run of the stages, and the tables they leave."""
 
+    def __init__(self):
+        self.left: list[tuple[int, Scratch]] = []
 
-def _cleaning(place: int, stage):
-    """``stage`` with the tables of earlier stages dropped first; its own stay until a later stage runs."""
+    def stages(self) -> list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]]:
+        every = {"quality": quality_stage, "exact_dedup": exact_stage, "near_dedup": near_stage, "mix": mix_stage, "pack": pack_stage}
+        return [(name, self._cleaning(place, stage)) for place, (name, stage) in enumerate(every.items())]
 
-    @wraps(stage)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        for left in [x for x in _left if x[0] < place]:
-            left[1].drop(spark)
-            _left.remove(left)
-        with Scratch() as scratch:
-            out = stage(spark, docs, sf_dir)
-        _left.append((place, scratch))
-        return out
+    def _cleaning(self, place: int, stage):
+        """``stage`` with the tables of earlier stages dropped first; its own stay until a later stage runs."""
 
-    return run_stage
+        @wraps(stage)
+        def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+            for left in [x for x in self.left if x[0] < place and not x[1].feeds(docs)]:
+                left[1].drop(spark)
+                self.left.remove(left)
+            with Scratch() as scratch:
+                out = stage(spark, docs, sf_dir)
+            self.left.append((place, scratch))
+            return out
 
+        return run_stage
 
-STAGES = [
-    ("quality", _cleaning(0, quality_stage)),
-    ("exact_dedup", _cleaning(1, exact_stage)),
-    ("near_dedup", _cleaning(2, near_stage)),
-    ("mix", _cleaning(3, mix_stage)),
-    ("pack", _cleaning(4, pack_stage)),
-]
+
+STAGES = Pipeline().stages()
 
 #: Tokens and fingerprints are beyond SQL; tests compare with a brute-force version.
 ORACLE_SQL = None
@@ -85,10 +84,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; one row per packed piece."""
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
-    for name, stage in STAGES[:-1]:
+    *first, (_, last) = Pipeline().stages()
+    for name, stage in first:
         with Scratch() as written:
             docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
         if before:
             before.drop(spark)
         before = written
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return last(spark, docs, sf_dir)
