@@ -9,7 +9,8 @@ from test_quality_packing import brute_counters, check_pieces
 import corpus_pipeline
 from quire.llm import mixing, quality
 from quire.llm.queries import ORACLE_SQL, QUERIES
-from quire.llm.runtime import DOCUMENT_COLUMNS, Scratch, materialise, shared_dir
+from quire.llm.runtime import DOCUMENT_COLUMNS, Scratch, materialise
+from quire.tables import shared_dir
 
 INT = "doc_id long, source string"
 
@@ -43,14 +44,34 @@ def test_shares_stay_within_a_block(spark, weights):
     assert sorted(r.doc_id for r in got) == [i for i, _ in rows]
     shares = {r.source: Fraction(r.a, r.q) for r in mixing.lanes(df.groupBy("source").count().withColumnRenamed("count", "n"), weights).collect()}
     assert sum(shares.values()) == 1
-    assert all(abs(float(shares[s]) - w / sum(weights.values())) < 0.004 for s, w in weights.items())
+    assert shares == {s: Fraction(w) / sum(map(Fraction, weights.values())) for s, w in weights.items()}
     check_mix(got, shares, 8)
 
 
+def test_given_weights_are_exact(spark):
+    sizes = spark.createDataFrame([("a", 5), ("b", 9), ("c", 1), (None, 4), ("d", 4)], "source string, n long")
+    shares = lambda *a, **b: {r.source: Fraction(r.a, r.q) for r in mixing.lanes(sizes, *a, **b).collect()}
+    assert shares({"a": 0.0001, "b": 0.4999, "c": 0.25, None: 0.125, "d": 0.125, "absent": 7}) == {"a": Fraction(1, 10000), "b": Fraction(4999, 10000), "c": Fraction(1, 4), None: Fraction(1, 8), "d": Fraction(1, 8)}
+    # those without a weight have the smallest one, or what is given for the rest
+    assert shares({"a": 2, "b": 3}) == {"a": Fraction(2, 11), "b": Fraction(3, 11), "c": Fraction(2, 11), None: Fraction(2, 11), "d": Fraction(2, 11)}
+    assert shares({"a": 2, None: 3}, rest=0.5) == {"a": Fraction(4, 13), "b": Fraction(1, 13), "c": Fraction(1, 13), None: Fraction(6, 13), "d": Fraction(1, 13)}
+    # no period is as long as these ask for: rounded to the longest
+    odd = shares({"a": 0.123456789, "b": 0.7654321234, "c": 1e-9, None: 0.1, "d": 0.01})
+    assert sum(odd.values()) == 1 and odd["c"] <= Fraction(2, mixing.LONGEST) and abs(odd["a"] - Fraction("0.123456789") / Fraction("0.9988889134")) < Fraction(2, mixing.LONGEST)
+    with pytest.raises(ValueError, match="above zero"):
+        shares({"a": 0, "b": 1})
+    # the smallest source has a slot of its own share, not more
+    skewed = spark.createDataFrame([("big", 9 * 10**10), ("small", 1)], "source string, n long")
+    assert {(r.source, r.a, r.q) for r in mixing.lanes(skewed).collect()} == {("big", 300_000, 300_001), ("small", 1, 300_001)}
+    beyond = spark.createDataFrame([("big", 10**14), ("small", 1)], "source string, n long")
+    assert {(r.source, r.a) for r in mixing.lanes(beyond).collect()} == {("big", mixing.LONGEST - 1), ("small", 1)}
+
+
 def test_mix_edges(spark, docs, no_docs):
     assert mixing.mix(no_docs).collect() == []
     got = mixing.mix(docs).collect()
     assert sorted((repr(r.row.doc_id), repr(r.source)) for r in got) == sorted((repr(r.doc_id), repr(r.source)) for r in docs.collect())
+    assert mixing.mix(docs, {"a": 0.5, "b": 0.25}).count() == docs.count()
     ordered = mixing.mixed_order(docs, DOCUMENT_COLUMNS)
     assert ordered.columns == list(DOCUMENT_COLUMNS) and ordered.count() == docs.count()
 
@@ -82,7 +103,7 @@ def brute_period(a, q):
 @pytest.mark.parametrize("k", [1, 2, 3, 7, 50, 1300])
 def test_every_source_has_a_lane_of_its_own(spark, k):
     sizes = spark.createDataFrame([(f"s{i}", 1 + 10**6 // (i + 1)) for i in range(k)], "source string, n long")
-    shares = mixing.lanes(sizes).localCheckpoint()
+    shares = materialise(mixing.lanes(sizes), "shares")
     found = sorted(shares.collect(), key=lambda r: r.lane)
     assert [r.lane for r in found] == list(range(1, k + 1)) and sum(r.a for r in found) == found[0].q
     slots = sorted(mixing.period(shares).collect(), key=lambda r: r.slot)
@@ -155,6 +176,20 @@ def test_pipeline_against_brute_force(spark, sf):
     check_pieces(kept, full)
 
 
+def test_a_stage_leaves_tables_that_are_still_read(spark, docs):
+    """Two runs do not drop each other's tables, and a stage drops none that its input reads."""
+    at = materialise(docs.select(*DOCUMENT_COLUMNS), "test")
+    one, two = (dict(corpus_pipeline.Pipeline().stages()) for _ in range(2))
+    first = one["exact_dedup"](spark, at, "")
+    two["near_dedup"](spark, at, "")
+    n = first.count()
+    near = one["near_dedup"](spark, first, "")
+    assert first.count() == n and near.count() <= n
+    one["near_dedup"](spark, at, "")
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FAILED_READ_FILE"):
+        first.count()
+
+
 def test_stages_keep_the_columns_and_take_any_rows(spark, docs, no_docs):
     for rows in (docs, no_docs):
         at = rows.select(*DOCUMENT_COLUMNS)
