@@ -1,6 +1,7 @@
-"""``python -m quire search|filter|validate|export|issn|config``: the pipelines over files.
+"""``python -m quire search|filter|validate|export|issn|config|cache``: the pipelines over files, or over the live service where no ``--works`` are given.
 
-Exit codes: 0 done, 1 wrong input, 2 nothing found, 5 unreadable settings or journal data.
+Exit codes: 0 done, 1 wrong input, 2 nothing found, 3 credentials refused, 4 too
+many requests, 5 unreadable settings or journal data, 6 the service failed.
 """
 
 from __future__ import annotations
@@ -8,17 +9,21 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from functools import partial
 from pathlib import Path
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.control import names, settings
+from quire.control.pool import MailtoPool
+from quire.control.requests import RateLimited, SourceError, Unauthorised
 from quire.functions.issn import plain_issns
 from quire.functions.text import strip
 from quire.operators import journals, rules
 from quire.plans import pipelines
-from quire.sources import doi_lists, documents, works
+from quire.sources import doi_lists, documents, remote, works
 
 OK, WRONG, NOTHING, UNREADABLE = 0, 1, 2, 5
 
@@ -35,9 +40,16 @@ def _arguments() -> argparse.ArgumentParser:
         c.add_argument("--json", action="store_true")
         return c
 
+    def source(c: argparse.ArgumentParser) -> None:
+        c.add_argument("--works", help="folder or file of saved result pages; without it the service is asked")
+        c.add_argument("--service", default=remote.BASE_URL)
+        c.add_argument("--mailto", help="contact addresses, parted by commas")
+        c.add_argument("--cache", help="folder for answers of the service")
+        c.add_argument("--cache-ttl", type=float, default=remote.FRESH_SECONDS)
+
     c = command("search")
     c.add_argument("query")
-    c.add_argument("--works", required=True, help="folder or file of saved result pages")
+    source(c)
     for flag in ("--year-from", "--year-to", "--limit", "--max-scan"):
         c.add_argument(flag, type=int)
     for flag in ("--issn", "--subject-areas", "--quartile"):
@@ -60,7 +72,7 @@ def _arguments() -> argparse.ArgumentParser:
     c = command("validate")
     c.add_argument("--input")
     c.add_argument("--dois")
-    c.add_argument("--works", required=True)
+    source(c)
 
     c = command("export")
     c.add_argument("input")
@@ -74,6 +86,10 @@ def _arguments() -> argparse.ArgumentParser:
     c = command("config")
     c.add_argument("--user")
     c.add_argument("--project")
+
+    c = command("cache")
+    c.add_argument("action", choices=("stats", "clear"))
+    c.add_argument("--cache", required=True)
     return parser
 
 
@@ -86,6 +102,13 @@ def _place(path: str) -> str:
     return str(Path(path).resolve())
 
 
+def _client(args) -> remote.WorksClient:
+    """The service under the given addresses, else those of the settings in the environment."""
+    held = settings.resolve(environment=settings.read_environment())
+    listed = (args.mailto or f"{held.mailto_pool},{held.mailto}").split(",")
+    return remote.WorksClient(args.service, MailtoPool(listed, held.auto_rotate), remote.FileCache(str(Path(args.cache).resolve()), args.cache_ttl) if args.cache else None)
+
+
 def _index(spark: SparkSession, args) -> DataFrame | None:
     return journals.issn_index(documents.read_journals(spark, _place(args.journals))) if args.journals else None
 
@@ -110,7 +133,7 @@ def _search(spark: SparkSession, args) -> int:
     wanted = args.issn_filter if args.issn_filter is not None else bool(args.subject_areas or args.quartile)
     subset = None if listed or not args.journals else journals.filter_from_defaults(wanted, args.subject_areas or "", args.quartile or "")
     rows = documents.read_journals(spark, _place(args.journals)) if args.journals else None
-    papers = works.normalize_work(works.read_works(spark, _place(args.works)))
+    papers = works.normalize_work(works.read_works(spark, _place(args.works))) if args.works else partial(remote.live_works, spark, _client(args))
     found = pipelines.search(papers, works.Scan(args.query, args.year_from, args.year_to), rows, subset, listed, args.limit or 0, args.max_scan or 2000, args.annotate)
     if found.papers.isEmpty():
         return NOTHING
@@ -148,7 +171,8 @@ def _validate(spark: SparkSession, args) -> int:
     asked = _asked(spark, args)
     if asked.isEmpty():
         return NOTHING
-    result = pipelines.validate(asked, works.normalize_work(works.read_works(spark, _place(args.works))), _index(spark, args))
+    papers = works.normalize_work(works.read_works(spark, _place(args.works))) if args.works else remote.works_by_doi(asked, _client(args))
+    result = pipelines.validate(asked, papers, _index(spark, args))
     errors = [r.asDict() for r in result.errors.orderBy("n").select("doi", "error").toLocalIterator()]
     fields = [F.col(f"work.{c}").alias(c) for c in result.found.schema["work"].dataType.names if c != "_pos"]
     path = pipelines.save_json(result.found.select(F.col("n").alias("_pos"), *fields), _path(args, "validate"), errors=errors)
@@ -177,12 +201,22 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if args.command == "config":
         got = settings.resolve(settings.read_toml(args.user) if args.user else {}, settings.read_yaml(args.project) if args.project else {}, settings.read_environment())
         return _done(args, dict(settings.rows(got)))
+    if args.command == "cache":
+        cache = remote.FileCache(args.cache)
+        return _done(args, cache.stats() if args.action == "stats" else {"removed": cache.clear()})
     run = {"search": _search, "filter": _filter, "validate": _validate, "export": _export, "issn": _issn}[args.command]
     try:
         return run(spark or SparkSession.builder.getOrCreate(), args)
     except pipelines.NoResult as e:
         print(e, file=sys.stderr)
         return NOTHING
+    except PySparkException as e:
+        # an error of the service reaches the driver as text of the failed task
+        kind = next((k for k in (Unauthorised, RateLimited, SourceError) if f"{k.__name__}: " in str(e)), None)
+        if kind is None:
+            raise
+        print(f"the service failed: {kind.__name__}", file=sys.stderr)
+        return kind.exit_code
     except (FileNotFoundError, ValueError) as e:
         print(e, file=sys.stderr)
         return UNREADABLE if getattr(args, "journals", None) else WRONG

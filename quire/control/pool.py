@@ -28,6 +28,14 @@ class MailtoPool:
         self._turn = 0
         self._lock = threading.Lock()
 
+    def __getstate__(self) -> dict:
+        """A pool travels to a worker without its lock and goes its own way there."""
+        return {k: v for k, v in self.__dict__.items() if k != "_lock"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._lock = threading.Lock()
+
     @staticmethod
     def _key(mailto: str) -> str:
         return mailto.strip().lower()

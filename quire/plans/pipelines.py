@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 import sys
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 from pathlib import Path
 from typing import TextIO
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators import collections as C
@@ -30,17 +31,20 @@ class SearchResult:
     mode: str
 
 
-def search(papers: DataFrame, scan: Scan, journal_rows: DataFrame | None = None, issn_filter: journals.IssnFilter | None = None, issns: list[str] | None = None, limit: int = 0, max_scan: int = 2000, annotate: bool = True) -> SearchResult:
+def search(papers: DataFrame | Callable[[Scan, int], DataFrame], scan: Scan, journal_rows: DataFrame | None = None, issn_filter: journals.IssnFilter | None = None, issns: list[str] | None = None, limit: int = 0, max_scan: int = 2000, annotate: bool = True) -> SearchResult:
     """Scan, restrict to journals, annotate, limit.
 
     Explicit ISSNs win over the filter. Up to 100 ISSNs are a pushed list, more
-    a local semi-join over at most ``max_scan`` scanned works.
+    a local semi-join over at most ``max_scan`` scanned works. ``papers`` is a
+    table of works, or a function of the scan and a bound on its rows (0: none),
+    as for a live source, whose rows are taken as the source returns them.
     """
+    read = papers if callable(papers) else lambda asked, _: scan_works(papers, asked)
     accept: Column | None = None
     mode, cap = "none", 0
     if issns:
         mode = journals.join_mode(len(issns))
-        wanted = papers.sparkSession.createDataFrame([(i, n) for n, i in enumerate(issns)], "issn string, _pos bigint")
+        wanted = (SparkSession.active() if callable(papers) else papers.sparkSession).createDataFrame([(i, n) for n, i in enumerate(issns)], "issn string, _pos bigint")
     elif issn_filter is not None:
         wanted = materialise(issn_filter.build(journal_rows), "issns")
         n = wanted.count()
@@ -49,16 +53,16 @@ def search(papers: DataFrame, scan: Scan, journal_rows: DataFrame | None = None,
         mode = journals.join_mode(n)
         issns = [r["issn"] for r in wanted.orderBy("_pos").collect()] if mode == "server" else None
     if mode == "server":
-        scanned = scan_works(papers, Scan(**{**scan.__dict__, "issns": tuple(issns)}))
+        scanned = read(replace(scan, issns=tuple(issns)), limit)
     elif mode == "scan":
         cap = max_scan
-        ahead = scan_works(papers, Scan(**{**scan.__dict__, "has_issn": True}))
+        ahead = read(replace(scan, has_issn=True), cap)
         scanned = materialise(ahead.orderBy("_pos").limit(cap) if cap else ahead, "scanned")
         hits = journals.restrict_by_table(scanned, wanted).select(F.col("_pos").alias("_hit"))
         scanned = scanned.join(hits, F.col("_pos") == F.col("_hit"), "left")
         accept = F.col("_hit").isNotNull()
     else:
-        scanned = scan_works(papers, scan)
+        scanned = read(scan, limit)
     found = take_accepted(scanned, accept, limit, cap)
     stats = search_stats(scanned, accept, limit, cap)
     if "_hit" in found.columns:

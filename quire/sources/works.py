@@ -255,7 +255,7 @@ class WorksDataSource(DataSource):
 class WorksReader(DataSourceReader):
     def __init__(self, options, fetch):
         years = {k: int(options[k]) for k in ("year_from", "year_to") if options.get(k)}
-        self.scan = Scan(query=options.get("query", ""), language=options.get("language", "en"), issns=tuple(filter(None, options.get("issns", "").split(","))), has_issn=options.get("has_issn", "") == "true", **years)
+        self.scan = Scan(query=options.get("query", ""), language=options.get("language", "en"), issns=tuple(filter(None, options.get("issns", "").split(","))), has_issn=options.get("has_issn", "") == "true", search_field=options.get("search_field", Scan.search_field), **years)
         self.max_scan, self.fetch, self.pushed = int(options.get("max_scan", 0)), fetch, []
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
