@@ -28,8 +28,8 @@ from quire.llm.runtime import by_bytes, materialise, raw_bytes
 
 LENGTH, END_ID = 4096, 2
 DIMENSIONS, BITS = 4, 12
-#: Words remembered with their ids in each worker, in either of two generations.
-REMEMBERED = 700_000
+#: Words remembered with their ids by each task, in either of two generations.
+REMEMBERED = 600_000
 #: Texts whose ids tell whether a tokenizer works word by word.
 PROBES = ("Words, and  more\nwords:\tone (two) three.", "  in front, 12 345 behind  ", "don't stop - ever \r\n l'été à 9.5 %")
 
@@ -42,20 +42,12 @@ def _lower_letters(word: bytes) -> bool:
     return text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text)
 
 
-class _Known(dict):
-    """Ids by word; falls back on the generation before, and notes words that neither has."""
+def _trim() -> None:
+    """Gives freed memory back to the system, where the C library can."""
+    import ctypes
 
-    def __init__(self, old: dict):
-        super().__init__()
-        self.old, self.pending = dict(old), set()
-
-    def __missing__(self, word: bytes) -> bytes | None:
-        ids = self.old.get(word)
-        if ids is None:
-            self.pending.add(word)
-        else:
-            self[word] = ids
-        return ids
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 class WordTokenizer:
@@ -67,7 +59,7 @@ class WordTokenizer:
     cases and marks word ends, words are looked up in lower case, a word with
     punctuation behind it is put together from its two pre-tokens, and unknown
     words made of letters are encoded in one string and told apart by the ids
-    that end a word. Two generations of at most ``limit`` words are kept.
+    that end a word. Two generations of about ``limit`` words are kept.
     """
 
     def __init__(self, path: str, limit: int = REMEMBERED):
@@ -79,7 +71,7 @@ class WordTokenizer:
         import numpy as np
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.young = Tokenizer.from_file(path), limit, _Known({})
+        self.tokenizer, self.limit, self.young, self.old = Tokenizer.from_file(path), limit, {}, {}
         self.by_word = all(self.tokenizer.encode(p, add_special_tokens=False).ids == [i for w in p.split() for i in self.tokenizer.encode(w, add_special_tokens=False).ids] for p in PROBES)
         vocabulary = self.tokenizer.get_vocab()
         self.size = max(vocabulary.values()) + 1
@@ -124,25 +116,26 @@ class WordTokenizer:
             import numpy as np
 
             return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
-        young, pending = self.young, self.young.pending
-        pieces = []
-        for text in texts:
-            words = (text.lower() if self.ends is not None and b"<|" not in text else text).split()
-            pieces.append((words, list(map(young.__getitem__, words))))
-        if pending:
-            joint = {w: p for w in pending if w[-1] < 128 and not w[-1:].isalnum() and (p := self._parts(w))} if self.ends is not None else {}
-            self._encode(list(pending.difference(joint).union(p for ps in joint.values() for p in ps if young[p] is None)))
+        split = [(text.lower() if self.ends is not None and b"<|" not in text else text).split() for text in texts]
+        young, old = self.young, self.old
+        new = set().union(*split).difference(young)
+        if new and old:
+            young.update({w: old[w] for w in new if w in old})
+            new.difference_update(old.keys() & new)
+        if new:
+            joint = {w: p for w in new if w[-1] < 128 and not w[-1:].isalnum() and (p := self._parts(w))} if self.ends is not None else {}
+            self._encode(list(new.difference(joint).union(p for ps in joint.values() for p in ps if p not in young)))
             for word, (letters, marks) in joint.items():
                 young[word] = young[letters] + young[marks]
-            pending.clear()
-            for words, out in pieces:
-                at, holes = -1, out.count(None)
-                for _ in range(holes):
-                    at = out.index(None, at + 1)
-                    out[at] = young[words[at]]
+        ids = [b"".join(map(young.__getitem__, words)) for words in split]
         if len(young) > self.limit:
-            self.young = _Known(young)
-        return [b"".join(out) for _, out in pieces]
+            self.young, self.old = {}, young
+        return ids
+
+    def forget(self) -> None:
+        """Gives the words' memory back."""
+        self.young, self.old = {}, {}
+        _trim()
 
 
 def hilbert(points, bits: int):
@@ -176,39 +169,19 @@ def hilbert(points, bits: int):
     return key
 
 
-def _kept_in_worker(path: str, idle_s: float = 4.0) -> WordTokenizer:
-    """The tokenizer with the words it remembers, kept by the Python worker from task to task.
+def _kept_in_worker(path: str) -> WordTokenizer:
+    """The tokenizer, kept by the Python worker from task to task (it takes long to read).
 
-    A worker that is left idle for ``idle_s`` seconds gives the memory back, so
-    that other stages find it free.
+    Its words go at the end of a task: a task meets most words anew anyway, and
+    an executor may have more workers than busy ones.
     """
     import sys
-    import threading
     import types
 
     state = sys.modules.setdefault("quire_worker_state", types.ModuleType("quire_worker_state")).__dict__
-    if (timer := state.pop("timer", None)) is not None:
-        timer.cancel()
-    words = state.get("words") if state.get("path") == path else None
-    if words is None:
-        words = WordTokenizer(path)
-        state |= {"path": path, "words": words}
-
-    def forget() -> None:
-        import ctypes
-
-        state.pop("path", None)
-        state.pop("words", None)
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-            trim(0)
-
-    def rest() -> None:
-        state["timer"] = timer = threading.Timer(idle_s, forget)
-        timer.daemon = True
-        timer.start()
-
-    words.rest = rest
-    return words
+    if state.get("path") != path:
+        state |= {"path": path, "words": WordTokenizer(path)}
+    return state["words"]
 
 
 def _projection(size: int):
@@ -231,20 +204,22 @@ def tokenised(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
         table = _projection(words.size)
         end = np.array([end_id], words.kind).tobytes()
         row = TaskContext.get().partitionId() << 36
-        for batch in batches:
-            for part in by_bytes(batch, 2, rows=100):
-                ids = [x + end for x in words.many(raw_bytes(part.column(2)))]
-                n = [len(x) // words.kind.itemsize for x in ids]
-                flat, starts = np.frombuffer(b"".join(ids), words.kind), np.concatenate([[0], np.cumsum(n)[:-1]])
-                mean = np.stack([np.add.reduceat(t[flat], starts) / n for t in table], axis=1)
-                cell = np.minimum((0.5 + np.arctan(4 * mean) / np.pi) * (1 << BITS), (1 << BITS) - 1).astype(np.int64)
-                key = hilbert(cell, BITS)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(range(row, row + len(ids)), pa.int64()), part.column(0), part.column(1), pa.array(key), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array([words.kind.itemsize] * len(ids), pa.int32())],
-                    names=["row", "doc_id", "window", "key", "n", "ids", "width"],
-                )
-                row += len(ids)
-        words.rest()
+        try:
+            for batch in batches:
+                for part in by_bytes(batch, 2, rows=100):
+                    ids = [x + end for x in words.many(raw_bytes(part.column(2)))]
+                    n = [len(x) // words.kind.itemsize for x in ids]
+                    flat, starts = np.frombuffer(b"".join(ids), words.kind), np.concatenate([[0], np.cumsum(n)[:-1]])
+                    mean = np.stack([np.add.reduceat(t[flat], starts) / n for t in table], axis=1)
+                    cell = np.minimum((0.5 + np.arctan(4 * mean) / np.pi) * (1 << BITS), (1 << BITS) - 1).astype(np.int64)
+                    key = hilbert(cell, BITS)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(range(row, row + len(ids)), pa.int64()), part.column(0), part.column(1), pa.array(key), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array([words.kind.itemsize] * len(ids), pa.int32())],
+                        names=["row", "doc_id", "window", "key", "n", "ids", "width"],
+                    )
+                    row += len(ids)
+        finally:
+            words.forget()
 
     return inputs.mapInArrow(measure, "row long, doc_id long, window long, key long, n long, ids binary, width int")
 
