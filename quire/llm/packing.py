@@ -33,6 +33,9 @@ REMEMBERED = 600_000
 #: Texts whose ids tell whether a tokenizer works word by word.
 PROBES = ("Words, and  more\nwords:\tone (two) three.", "  in front, 12 345 behind  ", "don't stop - ever \r\n l'été à 9.5 %")
 
+#: Words beyond ASCII that tell how a tokenizer shows bytes to its model.
+FOREIGN = ("été", "ñandú", "øre", "привет", "λόγος", "naïve", "čaj", "中文")
+
 
 def _lower_letters(word: bytes) -> bool:
     """Only letters, in lower case and composed."""
@@ -58,8 +61,7 @@ class WordTokenizer:
     others, which encode whole texts. Where the tokenizer lower-
     cases and marks word ends, words are looked up in lower case, a word with
     punctuation behind it is put together from its two pre-tokens, and unknown
-    words made of letters are encoded in one string and told apart by the ids
-    that end a word. Two generations of about ``limit`` words are kept.
+    words made of letters go straight to the model. Two generations of about ``limit`` words are kept.
     """
 
     def __init__(self, path: str, limit: int = REMEMBERED):
@@ -76,34 +78,39 @@ class WordTokenizer:
         vocabulary = self.tokenizer.get_vocab()
         self.size = max(vocabulary.values()) + 1
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        spec = json.loads(self.tokenizer.to_str())
-        suffix = spec["model"].get("end_of_word_suffix")
-        # the same model for words of lower-case letters, which need no normalising and are one pre-token each
-        spec |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}}
-        self.letters = Tokenizer.from_str(json.dumps(spec))
-        self.ends = None
+        self.model, self.packed = self.tokenizer.model, [i.to_bytes(self.kind.itemsize, "little") for i in range(self.size)]
+        # the model sees bytes as printable characters: those that are printable stand for themselves, the others follow from 256 on
+        shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+        hidden = (b for b in range(256) if b not in shown)
+        self.shown = {b: chr(256 + n) for n, b in enumerate(hidden)}
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
         probe = sorted(t.removesuffix(suffix) for t in vocabulary if suffix and re.fullmatch("[a-z]+" + re.escape(suffix), t))
-        if probe and self.tokenizer.encode(" ".join(probe).title(), add_special_tokens=False).ids == self.letters.encode(" ".join(probe), add_special_tokens=False).ids:
-            self.ends = np.zeros(self.size, bool)
-            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        #: whether words of lower-case letters are one pre-token each, and letter case does not count
+        self.lowers = bool(probe) and all(self._ids(" ".join(ws).title()) == b"".join(self._letters(w.encode()) for w in ws) for ws in (probe, FOREIGN))
         #: letters, then punctuation that starts neither a contraction nor a special token
         self.parts = re.compile(rb"([a-z\x80-\xff]+)([!-&(-/:;=>?@\[-`{}~]+)").fullmatch
 
     def _encode(self, words: list[bytes]) -> None:
         """Ids of words not known yet."""
-        import numpy as np
-
-        plain = [w for w in words if _lower_letters(w)] if self.ends is not None else []
-        if plain:
-            ids = np.array(self.letters.encode_batch_fast([b" ".join(plain).decode()], add_special_tokens=False)[0].ids, self.kind)
-            cuts = ((np.flatnonzero(self.ends[ids]) + 1) * self.kind.itemsize).tolist()
-            if len(cuts) == len(plain):
-                raw = ids.tobytes()
-                self.young.update(zip(plain, map(raw.__getitem__, map(slice, [0, *cuts], cuts)), strict=False))
-        rest = [w for w in words if w not in self.young]
+        rest = words
+        if self.lowers:
+            rest = []
+            for w in words:
+                if _lower_letters(w):
+                    self.young[w] = self._letters(w)
+                else:
+                    rest.append(w)
         if rest:
             for w, e in zip(rest, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in rest], add_special_tokens=False), strict=True):
-                self.young[w] = np.array(e.ids, self.kind).tobytes()
+                self.young[w] = b"".join(map(self.packed.__getitem__, e.ids))
+
+    def _ids(self, text: str) -> bytes:
+        return b"".join(map(self.packed.__getitem__, self.tokenizer.encode(text, add_special_tokens=False).ids))
+
+    def _letters(self, word: bytes) -> bytes:
+        """The ids of a word that the normaliser and the pre-tokenizer would leave as it is."""
+        seen = word.decode() if word.isascii() else word.decode("latin-1").translate(self.shown)
+        return b"".join([self.packed[t.id] for t in self.model.tokenize(seen)])
 
     def _parts(self, word: bytes) -> tuple[bytes, ...] | None:
         """Letters and the punctuation behind them, where the tokenizer is sure to part them."""
@@ -116,14 +123,14 @@ class WordTokenizer:
             import numpy as np
 
             return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
-        split = [(text.lower() if self.ends is not None and b"<|" not in text else text).split() for text in texts]
+        split = [(text.lower() if self.lowers and b"<|" not in text else text).split() for text in texts]
         young, old = self.young, self.old
         new = set().union(*split).difference(young)
         if new and old:
             young.update({w: old[w] for w in new if w in old})
             new.difference_update(old.keys() & new)
         if new:
-            joint = {w: p for w in new if w[-1] < 128 and not w[-1:].isalnum() and (p := self._parts(w))} if self.ends is not None else {}
+            joint = {w: p for w in new if w[-1] < 128 and not w[-1:].isalnum() and (p := self._parts(w))} if self.lowers else {}
             self._encode(list(new.difference(joint).union(p for ps in joint.values() for p in ps if p not in young)))
             for word, (letters, marks) in joint.items():
                 young[word] = young[letters] + young[marks]
