@@ -24,7 +24,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.runtime import by_bytes, materialise, raw_bytes
+from quire.llm.runtime import bounded_batches, by_bytes, materialise, raw_bytes
 
 LENGTH, END_ID = 4096, 2
 DIMENSIONS, BITS = 4, 12
@@ -263,7 +263,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     ``window`` names an integer column; the curve then runs through one window
     after the other, so documents only neighbour documents of their own window.
     """
-    tokens = materialise(tokenised(docs, tokenizer, id_col, text_col, window, end_id), "tokens")
+    with bounded_batches(docs.sparkSession):
+        tokens = materialise(tokenised(docs, tokenizer, id_col, text_col, window, end_id), "tokens")
     placed = tokens.select("row", "doc_id", "n", "ids", "width").join(offsets(tokens).hint("shuffle_hash"), "row")
 
     def cut(batches):

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
+from pyspark.sql import SparkSession
+
 from quire.tables import Scratch, counted, materialise
 
-__all__ = ["DOCUMENT_COLUMNS", "Scratch", "by_bytes", "counted", "materialise", "raw_bytes", "squeeze"]
+__all__ = ["DOCUMENT_COLUMNS", "Scratch", "bounded_batches", "by_bytes", "counted", "materialise", "raw_bytes", "squeeze"]
 
 #: Columns of the ``documents`` table, in order.
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -29,6 +33,23 @@ def by_bytes(batch, column: int, most: int = BATCH_BYTES, rows: int = 1000):
         yield batch.slice(lo)
 
 
+@contextmanager
+def bounded_batches(spark: SparkSession, most: int = BATCH_BYTES):
+    """Arrow batches of about ``most`` bytes at most for what is written inside the block.
+
+    By default a batch holds 10,000 rows however long their texts are. A
+    smaller limit of the session stands; the session's setting comes back after.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    if before is None or not before.isdecimal() or int(before) > most:
+        spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def raw_bytes(column) -> list:
     """An Arrow string column as Python ``bytes``; nulls become empty."""
     import pyarrow as pa
