@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import chat, exact_dedup, fingerprints, html_text, importance, licenses, mixing, packing, pseudonyms, quality, simhash, url_rules
+from quire.llm import alignment, chat, exact_dedup, fingerprints, html_text, importance, licenses, mixing, packing, pseudonyms, quality, simhash, url_rules
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_html_extraction": html_text.op10_html_extraction,
     "op11_document_fingerprints": fingerprints.op11_document_fingerprints,
     "op12_importance_resampling": importance.op12_importance_resampling,
+    "op13_tokenizer_alignment": alignment.op13_tokenizer_alignment,
 }
 
 ORACLE_SQL = {
