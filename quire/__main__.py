@@ -9,7 +9,6 @@ from __future__ import annotations
 import argparse
 import json
 import sys
-from functools import partial
 from pathlib import Path
 
 from pyspark.errors import PySparkException
@@ -133,7 +132,7 @@ def _search(spark: SparkSession, args) -> int:
     wanted = args.issn_filter if args.issn_filter is not None else bool(args.subject_areas or args.quartile)
     subset = None if listed or not args.journals else journals.filter_from_defaults(wanted, args.subject_areas or "", args.quartile or "")
     rows = documents.read_journals(spark, _place(args.journals)) if args.journals else None
-    papers = works.normalize_work(works.read_works(spark, _place(args.works))) if args.works else partial(remote.live_works, spark, _client(args))
+    papers = works.normalize_work(works.read_works(spark, _place(args.works))) if args.works else remote.LiveWorks(spark, _client(args))
     found = pipelines.search(papers, works.Scan(args.query, args.year_from, args.year_to), rows, subset, listed, args.limit or 0, args.max_scan or 2000, args.annotate)
     if found.papers.isEmpty():
         return NOTHING

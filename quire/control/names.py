@@ -12,6 +12,11 @@ from pathlib import Path
 #: File extensions by format.
 EXTENSIONS = {"bibtex": "bib", "bib": "bib", "ris": "ris", "csv": "csv", "jsonl": "jsonl", "json": "json", "md": "md", "markdown": "md"}
 
+#: Extension by kind of result, name by kind of result, words that name a folder.
+KIND_EXTENSIONS = {"search": "json", "filter": "json", "validate": "json", "export": "bib"}
+KIND_NAMES = {"search": "search_results.json", "filter": "filtered.json", "validate": "validated.json"}
+HERE, DATA = ("cwd", ".", "current"), ("user_data", "user-data", "data")
+
 
 def slug(text: str, limit: int = 40) -> str:
     """``slugify`` for one driver-side string."""
@@ -25,7 +30,7 @@ def slug(text: str, limit: int = 40) -> str:
 def auto_name(kind: str, query: str | None = None, input_path: Path | None = None, format: str | None = None, extension: str | None = None, now: datetime | None = None) -> str:
     """``search_<slug>_<time>``, ``filter_<stem>_filtered_<time>``, ``export_<stem>_<format>_<time>``, ``validate_<time>``."""
     stamp = (now or datetime.now()).strftime("%Y%m%d_%H%M%S")
-    default = {"search": "json", "filter": "json", "validate": "json", "export": "bib"}.get(kind, "txt")
+    default = KIND_EXTENSIONS.get(kind, "txt")
     suffix = extension.lstrip(".") if extension else EXTENSIONS.get(format.lower(), format.lower()) if format else default
     middle = slug(query or "")
     if kind == "filter" and input_path:
@@ -38,16 +43,16 @@ def auto_name(kind: str, query: str | None = None, input_path: Path | None = Non
 def default_name(kind: str, format: str | None = None, extension: str | None = None) -> str:
     if kind == "export":
         return f"references.{extension.lstrip('.') if extension else EXTENSIONS.get((format or 'bibtex').lower(), 'bib')}"
-    return {"search": "search_results.json", "filter": "filtered.json", "validate": "validated.json"}.get(kind, "output.txt")
+    return KIND_NAMES.get(kind, "output.txt")
 
 
 def output_dir(explicit: str | None = None, configured: str = "", environment: Mapping[str, str] | None = None) -> Path:
     """Argument, environment, setting, or the current folder; made if missing."""
     env = os.environ if environment is None else environment
     asked = (explicit or env.get("QUIRE_OUTPUT_DIR") or configured or "cwd").strip()
-    if asked.lower() in ("cwd", ".", "current"):
+    if asked.lower() in HERE:
         return Path.cwd()
-    if asked.lower() in ("user_data", "user-data", "data"):
+    if asked.lower() in DATA:
         return Path(env.get("XDG_DATA_HOME") or Path.home() / ".local/share") / "quire"
     path = Path.cwd() / Path(asked).expanduser()
     path.mkdir(parents=True, exist_ok=True)

@@ -25,6 +25,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.functions.doi import doi_key
 from quire.functions.text import normalize_text, shingles
@@ -77,8 +78,8 @@ def _hashes(seed: int, n: int = SHINGLES):
     return x ^ (x >> np.uint64(31))
 
 
-def _indexed(titles: DataFrame, threshold: float) -> DataFrame:
-    """Normalised titles (``_t``) with shingles: i (unique once written), _t, s (their numbers, sorted), own and guest (index keys)."""
+def indexed(titles: DataFrame, threshold: float, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Normalised titles (``_t``) with shingles: i (unique once written), _t, s (their numbers, sorted), own and guest (index keys), and the carried columns."""
     alone, least, parts = size_classes(threshold)
 
     def index(batches):
@@ -117,11 +118,14 @@ def _indexed(titles: DataFrame, threshold: float) -> DataFrame:
                         guest = keys(s, c + 1) if c + 1 < len(parts) else guest
                     rows.append((s, own, guest))
                 ids = pa.array(range(i, i + len(rows)), pa.int64())
+                more = [c.slice(lo, 500) for c in batch.columns[1:]]
                 lists = [pa.array([r[k] for r in rows], pa.list_(kind)) for k, kind in enumerate((pa.int32(), pa.int64(), pa.int64()))]
-                yield pa.RecordBatch.from_arrays([ids, texts, *lists], names=["i", "_t", "s", "own", "guest"])
+                yield pa.RecordBatch.from_arrays([ids, texts, *lists, *more], names=["i", "_t", "s", "own", "guest", *carry])
                 i += len(rows)
 
-    return titles.select("_t").mapInArrow(index, "i long, _t string, s array<int>, own array<long>, guest array<long>")
+    inputs = titles.select("_t", *carry)
+    found = T._parse_datatype_string("i long, _t string, s array<int>, own array<long>, guest array<long>")
+    return inputs.mapInArrow(index, T.StructType([*found.fields, *inputs.schema.fields[1:]]))
 
 
 def similar_titles(titles: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -131,7 +135,7 @@ def similar_titles(titles: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     a candidate pair move. Titles are numbered as they are written, so the
     numbers stay what they are when a task runs again.
     """
-    sets = materialise(_indexed(titles, threshold).where(F.size("s") > 0), "shingles")
+    sets = materialise(indexed(titles, threshold).where(F.size("s") > 0), "shingles")
     index = sets.select("i", F.size("s").alias("n"), F.explode("own").alias("k"), F.lit(False).alias("guest")).unionByName(sets.select("i", F.size("s").alias("n"), F.explode("guest").alias("k"), F.lit(True).alias("guest")))
     x, y = index.alias("x"), index.alias("y")
     t = _share(threshold)
@@ -205,13 +209,13 @@ def _decide(papers: DataFrame, order: tuple[str, ...], threshold: float, compose
     near = similar_titles(heads.select("_t"), threshold)
     a, b = heads.select(F.col("_t").alias("a"), F.col("_at").alias("at_a")), heads.select(F.col("_t").alias("b"), F.col("_at").alias("at_b"))
     edges = near.join(a, "a").join(b, "b").select(F.when(F.col("at_a") < F.col("at_b"), F.col("a")).otherwise(F.col("b")).alias("early"), F.when(F.col("at_a") < F.col("at_b"), F.col("b")).otherwise(F.col("a")).alias("late"))
-    lost = _independent(materialise(edges, "edges"))
+    lost = independent(materialise(edges, "edges"))
     out = alive.join(heads.select("_t", F.col("_at").alias("_head")), "_t").join(lost.select(F.col("late").alias("_lost")), F.col("_t") == F.col("_lost"), "left")
     titled = out.select("_at", ((F.col("_at") != F.col("_head")) | F.col("_lost").isNotNull()).alias("dup"))
     return titled.union(first.where("doi_dup OR _t = ''").select("_at", F.col("doi_dup").alias("dup")))
 
 
-def _independent(edges: DataFrame) -> DataFrame:
+def independent(edges: DataFrame) -> DataFrame:
     """Nodes (``late``) removed by the greedy pass over edges (early, late).
 
     Every round settles all edges whose early end has no open edge to an earlier

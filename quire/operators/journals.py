@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.issn import normalize_issn, plain_issns
 from quire.functions.paper import is_valid_quartile
-from quire.tables import counted
+from quire.tables import counted, number_rows
 
 #: A server-side filter takes at most this many values.
 MAX_OR_VALUES = 100
@@ -133,7 +133,7 @@ class IssnFilter:
         """The ISSNs in the journals' order, first occurrences: issn, _pos (from 0)."""
         listed = self._marked(journals).where("_both").select(F.col("_pos").alias("_j"), F.posexplode("issns").alias("_at", "issn"))
         first = listed.groupBy("issn").agg(F.min(F.struct("_j", "_at")).alias("_first"))
-        return first.select("issn", (F.row_number().over(Window.orderBy("_first")) - 1).cast("bigint").alias("_pos"))
+        return number_rows(first.select("issn", F.col("_first").alias("_pos"))).select("issn", (F.col("_n") - 1).cast("bigint").alias("_pos"))
 
     def stats(self, journals: DataFrame) -> DataFrame:
         """One row: the funnel from all journals to distinct ISSNs, and the terms that are no area."""
@@ -151,6 +151,7 @@ class IssnFilter:
         return rows.agg(*[F.sum(c).alias(c) for c in rows.columns]).withColumn("unmatched_subject_areas", F.lit(",".join(partial)))
 
     def describe(self, journals: DataFrame) -> dict:
+        """What the filter says and yields; the names of keys and statistics are fixed values."""
         stats = self.stats(journals).first().asDict()
         stats["unmatched_subject_areas"] = [t for t in stats["unmatched_subject_areas"].split(",") if t]
         return {

@@ -20,6 +20,10 @@ from quire.sources.works import Scan, scan_works, search_stats, take_accepted
 from quire.tables import materialise
 
 
+#: ISSNs that are shipped to a live source as a set (a few megabytes); more are joined.
+MOST_SHIPPED = 100_000
+
+
 class NoResult(Exception):
     """Nothing matched (exit code 2 of a command)."""
 
@@ -37,7 +41,9 @@ def search(papers: DataFrame | Callable[[Scan, int], DataFrame], scan: Scan, jou
     Explicit ISSNs win over the filter. Up to 100 ISSNs are a pushed list, more
     a local semi-join over at most ``max_scan`` scanned works. ``papers`` is a
     table of works, or a function of the scan and a bound on its rows (0: none),
-    as for a live source, whose rows are taken as the source returns them.
+    as for a live source, whose rows are taken as the source returns them; one
+    with a method ``accepted`` (``remote.LiveWorks``) is given the ISSNs of a
+    local semi-join and stops asking with the last work that counts.
     """
     read = papers if callable(papers) else lambda asked, _: scan_works(papers, asked)
     accept: Column | None = None
@@ -54,6 +60,11 @@ def search(papers: DataFrame | Callable[[Scan, int], DataFrame], scan: Scan, jou
         issns = [r["issn"] for r in wanted.orderBy("_pos").collect()] if mode == "server" else None
     if mode == "server":
         scanned = read(replace(scan, issns=tuple(issns)), limit)
+    elif mode == "scan" and hasattr(papers, "accepted") and (small := wanted.limit(MOST_SHIPPED + 1).collect()) and len(small) <= MOST_SHIPPED:
+        # the source itself ends the scan with the last work that counts
+        cap = max_scan
+        scanned = papers.accepted(replace(scan, has_issn=True), frozenset(r["issn"] for r in small), limit, cap)
+        accept = F.col("_accepted")
     elif mode == "scan":
         cap = max_scan
         ahead = read(replace(scan, has_issn=True), cap)
@@ -65,8 +76,7 @@ def search(papers: DataFrame | Callable[[Scan, int], DataFrame], scan: Scan, jou
         scanned = read(scan, limit)
     found = take_accepted(scanned, accept, limit, cap)
     stats = search_stats(scanned, accept, limit, cap)
-    if "_hit" in found.columns:
-        found = found.drop("_hit")
+    found = found.drop("_hit", "_accepted")
     if annotate and journal_rows is not None:
         found = journals.annotate(materialise(found, "found"), journals.issn_index(journal_rows))
     return SearchResult(found, stats, mode)

@@ -855,6 +855,20 @@ def _(spark, d):
     return read.select(F.regexp_extract("id", "([0-9]+)$", 1).cast("bigint").alias("_pos"), "title", F.max(F.col("_pos") + 1).over(Window.partitionBy()).alias("n"))
 
 
+@query("broken_lines", f"WITH {_P}, n AS (SELECT _pos // 7 AS page, count(*) AS k FROM p GROUP BY 1) SELECT 'page' AS kind, page, k AS n FROM n WHERE page % 5 <> 0 UNION ALL SELECT 'broken', page, k FROM n WHERE page % 5 = 0")
+def _(spark, d):
+    # every fifth page is cut short, in files that hold sound lines too
+    pages = A.works(spark, d).groupBy(F.expr("_pos div 7").alias("page")).agg(F.collect_list(F.to_json(F.struct(F.concat(F.col("id"), F.lit(" "), F.expr("_pos div 7").cast("string")).alias("id"), "title"))).alias("r"))
+    line = F.concat(F.lit('{"results":['), F.array_join("r", ","), F.lit("]}"))
+    cut = F.concat(F.lit('{"page":'), F.col("page").cast("string"), F.lit(',"n":'), F.size("r").cast("string"), F.lit(',"results":['))
+    path = new_path(spark, "saved")
+    # every file holds sound lines: pages go by their number, five side by side
+    pages.select(F.when(F.col("page") % 5 == 0, cut).otherwise(line).alias("value"), F.expr("page div 5").alias("five")).repartition("five").select("value").write.text(path)
+    whole = works.read_works(spark, path).groupBy(F.element_at(F.split("id", " "), -1).cast("bigint").alias("page")).agg(F.count("*").alias("n"))
+    broken = works.broken_lines(spark, path).select(F.regexp_extract("line", '"page":([0-9]+)', 1).cast("bigint").alias("page"), F.regexp_extract("line", '"n":([0-9]+)', 1).cast("bigint").alias("n"))
+    return whole.select(F.lit("page").alias("kind"), "page", "n").unionByName(broken.select(F.lit("broken").alias("kind"), "page", "n"))
+
+
 @query("results_table", f"{_NUMBERED} SELECT nr AS n, coalesce(year::VARCHAR, '?') AS year, CASE WHEN scopus_indexed THEN 'Y' || CASE WHEN quartile <> '' THEN ' ' || quartile ELSE '' END ELSE 'N' END AS scopus, CASE WHEN title = '' THEN '(no title)' ELSE substr(title, 1, 120) END AS title, substr({_SHORT}, 1, 20) AS first_author, cited_by_count AS cites FROM n")
 def _(spark, d):
     return collections.results_table(A.papers(spark, d)).withColumn("n", F.col("n").cast("bigint"))
@@ -874,10 +888,10 @@ def _(spark, d):
 # ----- whole pipelines -----
 
 
-@query("pipeline_search", f"WITH {_ANNOTATED}, s AS (SELECT * FROM an WHERE {_SCANNED} ORDER BY _pos LIMIT 50) SELECT _pos, doi, scopus_indexed, quartile FROM s")
+@query("pipeline_search", f"WITH {_ANNOTATED}, s AS (SELECT * FROM an WHERE {_SCANNED}) SELECT _pos, doi, scopus_indexed, quartile FROM s")
 def _(spark, d):
     rows = A.papers(spark, d).withColumn("language", F.when(F.col("language") == "", "en").otherwise(F.col("language")))
-    return pipelines.search(rows, _scan(), A.journals(spark, d), limit=50).papers.select("_pos", "doi", "scopus_indexed", "quartile")
+    return pipelines.search(rows, _scan(), A.journals(spark, d)).papers.select("_pos", "doi", "scopus_indexed", "quartile")
 
 
 @query("pipeline_filter", f"{_FILTERED} SELECT _pos, doi, title FROM dd JOIN p USING (_pos) WHERE NOT dup")

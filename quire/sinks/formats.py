@@ -12,32 +12,17 @@ from functools import reduce
 from itertools import chain
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.paper import citation_key, pages, short_authors
 from quire.functions.text import strip, truncate_ellipsis
 from quire.schema import PAPER_FIELDS
-from quire.tables import materialise
+from quire.tables import number_rows
 
 _FIELDS = [n for n, _, _ in PAPER_FIELDS]
 
 
-def number_rows(papers: DataFrame, name: str = "_n") -> DataFrame:
-    """1-based numbers in order of ``_pos``.
-
-    Numbers come from counts per range of ``_pos`` plus the place in the range,
-    so no task sees more than one range.
-    """
-    ranged = papers.repartitionByRange("_pos").sortWithinPartitions("_pos").withColumn("_part", F.spark_partition_id())
-    placed = materialise(ranged, "numbered")
-    sizes = placed.groupBy("_part").agg(F.count("*").alias("_size"))
-    # one row a range partition
-    bases = sizes.select("_part", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    within = F.row_number().over(Window.partitionBy("_part").orderBy("_pos"))
-    return placed.withColumn(name, within).join(F.broadcast(bases), "_part").withColumn(name, F.col(name) + F.col("_base")).drop("_part", "_base")
-
-
 def _lines(*lines: Column) -> Column:
     """Lines that are not null, joined."""
     return F.array_join(F.filter(F.array(*lines), lambda x: x.isNotNull()), "\n")

@@ -129,13 +129,20 @@ class WorksClient:
             self.cache.put(key, body)
         return body
 
-    def page(self, filters: list[str], cursor: str, per_page: int) -> tuple[list[str], str | None]:
+    def page(self, filters: list[str], cursor: str, per_page: int, search: str = "") -> tuple[list[str], str | None]:
         """One result page as JSON strings, and the cursor of the next one."""
         if cursor != "*":
             self.pause(self.spacing)
-        got = self.get("/works", {"filter": ",".join(filters), "per-page": str(per_page), "cursor": cursor, "select": ",".join(WORK_FIELDS)})
+        whole = {"search": search} if search else {}
+        got = self.get("/works", whole | {"filter": ",".join(filters), "per-page": str(per_page), "cursor": cursor, "select": ",".join(WORK_FIELDS)})
         return [json.dumps(w) for w in got.get("results") or []], (got.get("meta") or {}).get("next_cursor")
 
+    def count(self, filters: list[str], search: str = "") -> int:
+        """How many works the service has under these filters."""
+        whole = {"search": search} if search else {}
+        got = self.get("/works", whole | {"filter": ",".join(filters), "per-page": "1", "select": "id"})
+        return int((got.get("meta") or {}).get("count") or 0)
+
     def work(self, doi: str) -> dict | None:
         """The work of a DOI, or None where there is none."""
         from urllib.parse import quote
@@ -149,13 +156,68 @@ class WorksClient:
             return None
 
 
-def live_works(spark: SparkSession, client: WorksClient, scan: Scan, max_scan: int = 0) -> DataFrame:
-    """Papers of a live scan, at most ``max_scan`` (0: all), written once so that no later step asks again."""
-    WorksDataSource.register_fetcher("http", client.page)
+def _registered(spark: SparkSession, client: WorksClient, scan: Scan, accept: frozenset[str] | None = None) -> dict[str, str]:
+    """Options of a scan through this client; every scan has a name of its own."""
+    name = f"http-{uuid.uuid4().hex}"
+    WorksDataSource.register_fetcher(name, client.page, client.count, accept)
     WorksDataSource.install(spark)
     given = {"query": scan.query, "year_from": scan.year_from or "", "year_to": scan.year_to or "", "language": scan.language, "issns": ",".join(scan.issns), "has_issn": str(scan.has_issn).lower(), "search_field": scan.search_field}
-    read = spark.read.format("works").options(fetcher="http", max_scan=str(max_scan), **{k: str(v) for k, v in given.items()})
-    return materialise(normalize_work(parse_works(read.load())), "live")
+    return {"fetcher": name} | {k: str(v) for k, v in given.items()}
+
+
+def _papers(read: DataFrame, *more: str) -> DataFrame:
+    """Papers of a live read, with some of its own columns."""
+    papers = normalize_work(parse_works(read))
+    return papers.join(read.select("_pos", *more), "_pos") if more else papers
+
+
+def live_works(spark: SparkSession, client: WorksClient, scan: Scan, max_scan: int = 0, slice_rows: int = 0) -> DataFrame:
+    """Papers of a live scan, at most ``max_scan`` (0: all), written once so that no later step asks again.
+
+    With ``slice_rows`` an unbounded scan is cut by publication date into slices
+    of about that many works, which are read side by side; ``_pos`` then follows
+    the slices. Works without a date are in no slice.
+    """
+    options = _registered(spark, client, scan)
+    try:
+        return materialise(_papers(spark.read.format("works").options(max_scan=str(max_scan), slice_rows=str(slice_rows), **options).load()), "live")
+    finally:
+        WorksDataSource.fetchers.pop(options["fetcher"], None)
+
+
+def accepted_works(spark: SparkSession, client: WorksClient, scan: Scan, issns: frozenset[str], limit: int = 0, max_scan: int = 0) -> DataFrame:
+    """Scanned papers with ``_accepted``: whether the journal is one of ``issns``; the scan ends with the ``limit``-th accepted or ``max_scan``-th work.
+
+    The set goes to the reader, so no page is asked for beyond the one that
+    holds the last work. Written once.
+    """
+    options = _registered(spark, client, scan, issns)
+    try:
+        read = materialise(spark.read.format("works").options(max_scan=str(max_scan), limit=str(limit), **options).load(), "scanned")
+    finally:
+        WorksDataSource.fetchers.pop(options["fetcher"], None)
+    return _papers(read.withColumnRenamed("accepted", "_accepted"), "_accepted")
+
+
+@dataclass
+class LiveWorks:
+    """A live source for ``pipelines.search``."""
+
+    spark: SparkSession
+    client: WorksClient
+    slice_rows: int = 0
+
+    def __call__(self, scan: Scan, max_scan: int = 0) -> DataFrame:
+        return live_works(self.spark, self.client, scan, max_scan, self.slice_rows)
+
+    def accepted(self, scan: Scan, issns: frozenset[str], limit: int, max_scan: int) -> DataFrame:
+        return accepted_works(self.spark, self.client, scan, issns, limit, max_scan)
+
+
+def works_stream(spark: SparkSession, client: WorksClient, scan: Scan, landing: str, pages: int = 1) -> DataFrame:
+    """A stream of papers; ``landing`` is a folder that outlives the query (see ``WorksStreamReader``)."""
+    read = spark.readStream.format("works").options(landing=landing, pages=str(pages), **_registered(spark, client, scan)).load()
+    return normalize_work(parse_works(read))
 
 
 def works_by_doi(dois: DataFrame, client: WorksClient, column: str = "doi", tasks: int = 1) -> DataFrame:

@@ -7,15 +7,19 @@ page fetcher that the caller provides.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+import datetime
+import hashlib
+import json
+import uuid
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThanOrEqual, InputPartition, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThanOrEqual, InputPartition, LessThanOrEqual, SimpleDataSourceStreamReader
 
 from quire.functions.doi import doi_key, strip_doi_prefix
-from quire.functions.issn import split_issn_list, split_issns
+from quire.functions.issn import plain_issns, split_issn_list, split_issns
 from quire.functions.text import strip
 from quire.schema import canonical
 from quire.tables import counted, materialise
@@ -126,8 +130,12 @@ class Scan:
             out.append(f"{self.search_field}:{clean(self.query)}")
         return out
 
+    def search(self) -> str:
+        """The full-text search of a query that names no field."""
+        return "" if self.search_field else self.query
+
     def column(self) -> Column:
-        """The same predicates over paper columns; a query asks for all its words in the abstract."""
+        """The same predicates over paper columns; a query asks for all its words in the abstract, without a field in title and abstract together."""
         keep = (F.col("doi") != "") & (F.col("abstract") != "")
         if self.year_from or self.year_to:
             keep &= F.col("pub_date").between(f"{self.year_from or 1900:04d}-01-01", f"{self.year_to or 9999:04d}-12-31")
@@ -137,8 +145,9 @@ class Scan:
             keep &= F.arrays_overlap("issns", F.array(*map(F.lit, self.issns)))
         elif self.has_issn:
             keep &= F.size("issns") > 0
+        searched = F.lower("abstract") if self.search_field else F.lower(F.concat_ws(" ", "title", "abstract"))
         for word in self.query.lower().split():
-            keep &= F.contains(F.lower("abstract"), F.lit(word))
+            keep &= F.contains(searched, F.lit(word))
         return F.coalesce(keep, F.lit(False))
 
 
@@ -190,20 +199,29 @@ def lookup_doi(dois: DataFrame, papers: DataFrame, column: str = "doi") -> DataF
     return placed.join(works, F.col("_first") == F.col("work._pos"), "left").drop("_first")
 
 
+def _saved_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of saved pages, written out: _file, _block, _doc (order in the block), results (null where the line is no page), _broken (a line that is no JSON)."""
+    lines = spark.read.schema(f"results array<struct<{_struct_ddl()}>>, _broken string").option("columnNameOfCorruptRecord", "_broken").json(path)
+    at = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_doc")]
+    return materialise(lines.select(*at, "results", "_broken"), "lines")
+
+
 def read_works(spark: SparkSession, path: str) -> DataFrame:
     """Saved result pages with ``results``: JSON documents one a line, or one a file however it is broken into lines.
 
-    A file is read by line; one with a line that is no JSON document is read as
-    a whole. ``_pos`` numbers the works by file name, place in the file and
-    place in the page.
+    A file with a line that is a page is read by line, and lines that are none
+    are left out (``broken_lines`` has them); only a file in which no line is a
+    page is read as a whole. ``_pos`` numbers the works by file name, place in
+    the file and place in the page.
     """
-    shape = f"results array<struct<{_struct_ddl()}>>"
-    lines = spark.read.schema(f"{shape}, _broken string").option("columnNameOfCorruptRecord", "_broken").json(path)
-    at = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")]
-    by_line = materialise(lines.select(*at, F.monotonically_increasing_id().alias("_doc"), "results", F.col("_broken").isNotNull().alias("_broken")), "lines")
-    broken = by_line.where("_broken").select("_file").distinct()
-    whole = spark.read.schema(shape).option("multiLine", True).json(path).select(F.col("_metadata.file_path").alias("_file"), F.lit(0).cast("long").alias("_block"), F.lit(0).cast("long").alias("_doc"), "results")
-    pages = by_line.drop("_broken").join(broken, "_file", "left_anti").unionByName(whole.join(broken, "_file", "left_semi"))
+    by_line = _saved_lines(spark, path)
+    lined = by_line.where("results IS NOT NULL")
+    pages = lined.drop("_broken")
+    others = by_line.select("_file").distinct().join(lined.select("_file").distinct(), "_file", "left_anti")
+    if not others.isEmpty():
+        no = F.lit(0).cast("long")
+        whole = spark.read.schema(f"results array<struct<{_struct_ddl()}>>").option("multiLine", True).json(path).select(F.col("_metadata.file_path").alias("_file"), no.alias("_block"), no.alias("_doc"), "results")
+        pages = pages.unionByName(whole.join(others, "_file", "left_semi"))
     sizes = materialise(pages.select("_file", "_block", "_doc", F.greatest(F.size("results"), F.lit(0)).alias("n")), "sizes")
     before = Window.unboundedPreceding, -1
     # one row a block of input
@@ -214,23 +232,49 @@ def read_works(spark: SparkSession, path: str) -> DataFrame:
     return rows.select((F.col("_start") + F.col("_at")).cast("bigint").alias("_pos"), "w.*")
 
 
+def broken_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line): the lines of saved pages that are no JSON; all lines of a file that is no JSON as a whole either."""
+    by_line = _saved_lines(spark, path)
+    lined = by_line.where("results IS NOT NULL").select("_file").distinct()
+    whole = spark.read.schema("_whole string, results string").option("columnNameOfCorruptRecord", "_whole").option("multiLine", True).json(path)
+    files = materialise(whole.select(F.col("_metadata.file_path").alias("_file"), "_whole", "results"), "files")
+    sound = files.where("_whole IS NULL").select("_file").distinct().join(lined, "_file", "left_anti")
+    return by_line.where("_broken IS NOT NULL").join(sound, "_file", "left_anti").select(F.col("_file").alias("file"), F.col("_broken").alias("line"))
+
+
 def _struct_ddl() -> str:
     from pyspark.sql.types import StructType
 
     return ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in StructType.fromDDL(WORK_DDL).fields)
 
 
-class WorksDataSource(DataSource):
-    """``spark.read.format("works")``: live scan through a registered page fetcher.
+@dataclass(frozen=True)
+class Fetcher:
+    """What a live scan asks: ``fetch(filters, cursor, per_page)`` returns (works as JSON strings, next cursor or None).
 
-    ``register_fetcher(name, fetch)`` makes ``fetch(filters, cursor, per_page)``
-    available under ``option("fetcher", name)``; it returns ``(works as JSON
-    strings, next cursor or None)``. Cursor paging is sequential, so there is
-    one partition. ``install(spark)`` registers the format and turns on the
-    pushing of filters to Python sources.
+    ``count(filters)`` says how many works there are, which lets a scan be cut
+    into slices; both take ``search`` by name where a query names no field.
+    ``accept`` holds the ISSNs of journals whose works count as accepted.
     """
 
-    fetchers: dict[str, Callable[[list[str], str, int], tuple[list[str], str | None]]] = {}
+    fetch: Callable[..., tuple[list[str], str | None]]
+    count: Callable[..., int] | None = None
+    accept: frozenset[str] | None = None
+
+
+class WorksDataSource(DataSource):
+    """``spark.read.format("works")`` and ``readStream``: live scan through a registered page fetcher.
+
+    ``register_fetcher(name, ...)`` makes a ``Fetcher`` available under
+    ``option("fetcher", name)``. Paging by cursor is sequential; with a count
+    and ``option("slice_rows", n)`` the scan is cut by date into slices of about
+    n works, one partition and cursor each. ``max_scan`` bounds the scanned and
+    ``limit`` the accepted works of a scan of one cursor, which asks for no page
+    beyond. ``install(spark)`` registers the format and turns on the pushing of
+    filters to Python sources.
+    """
+
+    fetchers: dict[str, Fetcher] = {}
 
     @classmethod
     def name(cls) -> str:
@@ -242,21 +286,96 @@ class WorksDataSource(DataSource):
         spark.dataSource.register(cls)
 
     @classmethod
-    def register_fetcher(cls, name: str, fetch: Callable) -> None:
-        cls.fetchers[name] = fetch
+    def register_fetcher(cls, name: str, fetch: Callable, count: Callable | None = None, accept: frozenset[str] | None = None) -> None:
+        cls.fetchers[name] = Fetcher(fetch, count, accept)
 
     def schema(self) -> str:
-        return "_pos bigint, publication_date string, language string, work string"
+        return "_pos bigint, publication_date string, language string, accepted boolean, work string"
 
     def reader(self, schema) -> DataSourceReader:
         return WorksReader(self.options, type(self).fetchers[self.options["fetcher"]])
 
+    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+        return WorksStreamReader(self.options, type(self).fetchers[self.options["fetcher"]])
+
+
+def _scan_of(options) -> Scan:
+    years = {k: int(options[k]) for k in ("year_from", "year_to") if options.get(k)}
+    return Scan(query=options.get("query", ""), language=options.get("language", "en"), issns=tuple(filter(None, options.get("issns", "").split(","))), has_issn=options.get("has_issn", "") == "true", search_field=options.get("search_field", Scan.search_field), **years)
+
+
+def work_issns(work: dict) -> set[str]:
+    """The ISSNs of a work's journal."""
+    source = (work.get("primary_location") or {}).get("source") or {}
+    return set(plain_issns(",".join(filter(None, [*(source.get("issn") or []), source.get("issn_l")]))))
+
+
+#: Dates between which a scan without years is cut; what lies outside is one slice at either end.
+FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1), datetime.date(2100, 1, 1)
+
+
+def date_slices(count: Callable[[list[str]], int], first: datetime.date | None, last: datetime.date | None, most: int) -> list[list[str]]:
+    """Filter terms of slices that together hold every dated work once, of at most ``most`` works each.
+
+    Ranges of days are halved while they hold more; a day that still does is
+    halved by citations (works of one day and number of citations stay together).
+    """
+    low, high = first or FIRST_DAY, last or LAST_DAY
+    days = lambda a, b: [f"from_publication_date:{a}", f"to_publication_date:{b}"]
+    before, after = [f"to_publication_date:{low - datetime.timedelta(1)}"], [f"from_publication_date:{high + datetime.timedelta(1)}"]
+    out = [before] if first is None and count(before) else []
+    todo: list[tuple] = [(low, high)]
+    while todo:
+        a, b = todo.pop()
+        n = count(days(a, b))
+        if n > most and a < b:
+            middle = a + (b - a) // 2
+            todo += [(middle + datetime.timedelta(1), b), (a, middle)]
+        elif n > most:
+            out += _cited_slices(count, days(a, b), most)
+        elif n:
+            out.append(days(a, b))
+    return out + ([after] if last is None and count(after) else [])
+
+
+def _cited_slices(count: Callable[[list[str]], int], own: list[str], most: int) -> list[list[str]]:
+    out: list[list[str]] = []
+    todo: list[tuple[int, int | None]] = [(0, None)]
+    while todo:
+        low, end = todo.pop()
+        terms = own + ([f"cited_by_count:>{low - 1}"] if low else []) + ([f"cited_by_count:<{end}"] if end else [])
+        n = count(terms)
+        if n > most and end is None:
+            todo += [(2 * low + 1, None), (low, 2 * low + 1)]
+        elif n > most and end - low > 1:
+            todo += [((low + end) // 2, end), (low, (low + end) // 2)]
+        elif n:
+            out.append(terms)
+    return out
+
+
+class Slice(InputPartition):
+    """A stretch of a scan with a cursor of its own; ``at`` is the ``_pos`` of its first work."""
+
+    def __init__(self, number: int, terms: tuple[str, ...]):
+        super().__init__(number)
+        self.terms, self.at = terms, number << 40
+
+
+def _terms(scan: Scan, more: Iterable[str]) -> list[str]:
+    """The scan's filter terms, but for those that ``more`` states anew."""
+    anew = {m.partition(":")[0] for m in more}
+    return [f for f in scan.filters() if f.partition(":")[0] not in anew] + list(more)
+
+
+def _searched(scan: Scan) -> dict[str, str]:
+    return {"search": scan.search()} if scan.search() else {}
+
 
 class WorksReader(DataSourceReader):
-    def __init__(self, options, fetch):
-        years = {k: int(options[k]) for k in ("year_from", "year_to") if options.get(k)}
-        self.scan = Scan(query=options.get("query", ""), language=options.get("language", "en"), issns=tuple(filter(None, options.get("issns", "").split(","))), has_issn=options.get("has_issn", "") == "true", search_field=options.get("search_field", Scan.search_field), **years)
-        self.max_scan, self.fetch, self.pushed = int(options.get("max_scan", 0)), fetch, []
+    def __init__(self, options, fetcher: Fetcher):
+        self.scan, self.fetcher, self.pushed = _scan_of(options), fetcher, []
+        self.max_scan, self.limit, self.slice_rows = (int(options.get(k) or 0) for k in ("max_scan", "limit", "slice_rows"))
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         """Language and date bounds go to the server; the rest stays with Spark."""
@@ -272,25 +391,92 @@ class WorksReader(DataSourceReader):
                     yield f
 
     def partitions(self):
-        return [InputPartition(0)]
+        if not self.slice_rows or self.fetcher.count is None or self.max_scan or self.limit:
+            return [Slice(0, tuple(self.pushed))]
+        bound = lambda name: next((datetime.date.fromisoformat(t.partition(":")[2]) for t in reversed(_terms(self.scan, self.pushed)) if t.startswith(name)), None)
+        other = tuple(p for p in self.pushed if "publication_date" not in p)
+        count = lambda terms: self.fetcher.count(_terms(self._undated(), [*other, *terms]), **_searched(self.scan))
+        slices = date_slices(count, bound("from_"), bound("to_"), self.slice_rows)
+        return [Slice(n, (*other, *terms)) for n, terms in enumerate(slices)]
 
-    def read(self, partition):
-        import json
+    def _undated(self) -> Scan:
+        return replace(self.scan, year_from=None, year_to=None) if self.slice_rows else self.scan
 
-        own = [f for f in self.scan.filters() if f.partition(":")[0] not in {p.partition(":")[0] for p in self.pushed}]
-        cursor, at = "*", 0
+    def read(self, partition):
+        scan = self._undated() if partition.at or "publication_date" in "".join(partition.terms) else self.scan
+        terms, cursor, scanned, matched = _terms(scan, partition.terms), "*", 0, 0
         while cursor:
-            works, cursor = self.fetch(own + self.pushed, cursor, PAGE_ROWS)
+            works, cursor = self.fetcher.fetch(terms, cursor, PAGE_ROWS, **_searched(scan))
             if not works:
                 return
             for w in works:
                 data = json.loads(w)
-                yield at, data.get("publication_date"), data.get("language"), w
-                at += 1
-                if self.max_scan and at >= self.max_scan:
+                accepted = self.fetcher.accept is None or not self.fetcher.accept.isdisjoint(work_issns(data))
+                yield partition.at + scanned, data.get("publication_date"), data.get("language"), accepted, w
+                scanned, matched = scanned + 1, matched + accepted
+                if (self.limit and matched >= self.limit) or (self.max_scan and scanned >= self.max_scan):
                     return
 
 
+class WorksStreamReader(SimpleDataSourceStreamReader):
+    """A stream of works: the offset is the cursor, and the number of works before it.
+
+    Pages land in ``option("landing", folder)`` before their works are handed on,
+    a file a page under the hash of scan and cursor, so a batch that is run again
+    after a restart reads what it read before and no page is asked for twice.
+    ``pages`` pages (1) are read a batch. ``folder`` is a path or url that
+    pyarrow's file systems reach. After the last page the stream rests.
+    """
+
+    def __init__(self, options, fetcher: Fetcher):
+        self.scan, self.fetcher, self.pages = _scan_of(options), fetcher, int(options.get("pages") or 1)
+        self.landing = options["landing"].rstrip("/")
+
+    def initialOffset(self) -> dict:
+        return {"cursor": "*", "at": 0}
+
+    def _page(self, cursor: str) -> tuple[list[str], str | None]:
+        from pyarrow import fs
+
+        where, folder = fs.FileSystem.from_uri(self.landing) if "://" in self.landing else (fs.LocalFileSystem(), self.landing)
+        name = hashlib.sha256(json.dumps([self.scan.filters(), self.scan.search(), cursor]).encode()).hexdigest()
+        path = f"{folder}/{name}.json"
+        if where.get_file_info(path).type == fs.FileType.File:
+            with where.open_input_stream(path) as held:
+                kept = json.loads(held.read())
+            return kept["works"], kept["next"]
+        works, after = self.fetcher.fetch(self.scan.filters(), cursor, PAGE_ROWS, **_searched(self.scan))
+        where.create_dir(folder, recursive=True)
+        part = f"{path}.{uuid.uuid4().hex}.part"
+        with where.open_output_stream(part) as out:
+            out.write(json.dumps({"works": works, "next": after if works else None}).encode())
+        where.move(part, path)
+        return works, after if works else None
+
+    def _rows(self, works: list[str], at: int):
+        for n, w in enumerate(works):
+            data = json.loads(w)
+            accepted = self.fetcher.accept is None or not self.fetcher.accept.isdisjoint(work_issns(data))
+            yield at + n, data.get("publication_date"), data.get("language"), accepted, w
+
+    def read(self, start: dict):
+        rows, now = [], start
+        for _ in range(self.pages):
+            if now["cursor"] is None:
+                break
+            works, after = self._page(now["cursor"])
+            rows += self._rows(works, now["at"])
+            now = {"cursor": after, "at": now["at"] + len(works)}
+        return iter(rows), now
+
+    def readBetweenOffsets(self, start: dict, end: dict):
+        now = start
+        while now["cursor"] is not None and now["cursor"] != end["cursor"]:
+            works, after = self._page(now["cursor"])
+            yield from self._rows(works, now["at"])
+            now = {"cursor": after, "at": now["at"] + len(works)}
+
+
 def parse_works(lines: DataFrame, column: str = "work") -> DataFrame:
     """JSON strings to work columns."""
     return lines.select("_pos", F.from_json(column, WORK_DDL).alias("w")).select("_pos", "w.*")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast up to this many rows of a few numbers each.
@@ -41,6 +42,7 @@ class Scratch:
 
     def __init__(self):
         self.paths: list[str] = []
+        self._read_by: list = []
 
     def __enter__(self) -> Scratch:
         self._outer = _scratch.set(self)
@@ -54,11 +56,22 @@ class Scratch:
         own = [p.split(":")[-1].lstrip("/") for p in self.paths]
         return bool(own) and any(p in f for f in df.inputFiles() for p in own)
 
+    def idle(self, spark: SparkSession) -> bool:
+        """Whether no frame of this driver reads one of the tables any more.
+
+        Every plan over a table shares its file index, so the tables are idle
+        once the collector has taken the indexes.
+        """
+        gc.collect()
+        spark._jvm.System.gc()
+        return all(ref.get() is None for ref in self._read_by)
+
     def drop(self, spark: SparkSession) -> None:
         for path in self.paths:
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
         self.paths.clear()
+        self._read_by.clear()
 
 
 _scratch: ContextVar[Scratch | None] = ContextVar("scratch", default=None)
@@ -94,10 +107,29 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    if (scratch := _scratch.get()) is not None:
+        index = table._jdf.queryExecution().analyzed().collectLeaves().head().relation().location()
+        scratch._read_by.append(spark._jvm.java.lang.ref.WeakReference(index))
+    return table
 
 
 def counted(df: DataFrame, label: str, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` written out and counted; marked for broadcast only if it has at most ``rows`` rows."""
     table = materialise(df, label)
     return F.broadcast(table) if table.count() <= rows else table
+
+
+def number_rows(papers: DataFrame, name: str = "_n") -> DataFrame:
+    """1-based numbers in order of ``_pos``.
+
+    Numbers come from counts per range of ``_pos`` plus the place in the range,
+    so no task sees more than one range.
+    """
+    ranged = papers.repartitionByRange("_pos").sortWithinPartitions("_pos").withColumn("_part", F.spark_partition_id())
+    placed = materialise(ranged, "numbered")
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_size"))
+    # one row a range partition
+    bases = sizes.select("_part", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy("_pos"))
+    return placed.withColumn(name, within).join(F.broadcast(bases), "_part").withColumn(name, F.col(name) + F.col("_base")).drop("_part", "_base")
