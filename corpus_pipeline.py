@@ -6,9 +6,9 @@ Parquet and read again. The mix decides the order of the files' rows: each file
 is one stretch of the mix, and packing runs along its curve within one file
 after the other, so every stretch keeps the target weights.
 
-As its input is written by then, a stage drops the intermediate tables that
-earlier stages of the same ``Pipeline`` left in the shared folder, unless its
-input reads them.
+A stage drops the intermediate tables that earlier calls of the same
+``Pipeline`` left in the shared folder, once no frame of the driver reads them:
+a result that somebody still holds can be read whatever else has run.
 """
 
 from __future__ import annotations
@@ -50,26 +50,26 @@ def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, by_file: bool
 
 
 class Pipeline:
-    """One run of the stages, and the tables they leave."""
+    """The stages, and the tables they leave."""
 
     def __init__(self):
-        self.left: list[tuple[int, Scratch]] = []
+        self.left: list[Scratch] = []
 
     def stages(self) -> list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]]:
         every = {"quality": quality_stage, "exact_dedup": exact_stage, "near_dedup": near_stage, "mix": mix_stage, "pack": pack_stage}
-        return [(name, self._cleaning(place, stage)) for place, (name, stage) in enumerate(every.items())]
+        return [(name, self._cleaning(stage)) for name, stage in every.items()]
 
-    def _cleaning(self, place: int, stage):
-        """``stage`` with the tables of earlier stages dropped first; its own stay until a later stage runs."""
+    def _cleaning(self, stage):
+        """``stage`` with idle tables of earlier calls dropped first."""
 
         @wraps(stage)
         def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-            for left in [x for x in self.left if x[0] < place and not x[1].feeds(docs)]:
-                left[1].drop(spark)
+            for left in [x for x in self.left if x.idle(spark)]:
+                left.drop(spark)
                 self.left.remove(left)
             with Scratch() as scratch:
                 out = stage(spark, docs, sf_dir)
-            self.left.append((place, scratch))
+            self.left.append(scratch)
             return out
 
         return run_stage
