@@ -67,14 +67,13 @@ def bucket_counts(found: DataFrame) -> DataFrame:
 
 def bucket_gains(corpus: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """(bucket, gain) for all buckets, from the counts of both sides."""
-    total = lambda counts, name: counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias(name))
+    # two numbers
+    all_s, all_t = (float(c.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"] + buckets) for c in (corpus, target))
     every = corpus.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
     sides = every.join(F.broadcast(corpus.withColumnRenamed("n", "s")), "bucket", "left").join(F.broadcast(target.withColumnRenamed("n", "t")), "bucket", "left")
-    # two rows of one number
-    both = sides.join(F.broadcast(total(corpus, "all_s")), F.lit(True)).join(F.broadcast(total(target, "all_t")), F.lit(True))
-    number = lambda name, more: F.coalesce(F.col(name), F.lit(0)).cast("double") + F.lit(float(more))
-    ratio = number("t", 1) * number("all_s", buckets) / (number("s", 1) * number("all_t", buckets))
-    return both.select("bucket", F.floor(F.lit(float(SCALE)) * F.log(ratio)).cast("long").alias("gain"))
+    number = lambda name: F.coalesce(F.col(name), F.lit(0)).cast("double") + F.lit(1.0)
+    ratio = number("t") * F.lit(all_s) / (number("s") * F.lit(all_t))
+    return sides.select("bucket", F.floor(F.lit(float(SCALE)) * F.log(ratio)).cast("long").alias("gain"))
 
 
 def _floor_div(a: Column, b: Column) -> Column:

@@ -74,11 +74,11 @@ def exact_shares(present: dict[str | None, int], weights: dict[str | None, float
     return slots, rests, sum(slots.values()) + rests * others
 
 
-def lanes(sizes: DataFrame, weights: dict[str | None, float] | None = None, period: int = PERIOD, most: int | None = None, rest: float | None = None) -> DataFrame:
-    """(source, lane, a, q): each source's lane and the lane's share of the period; with ``most``, the last lane is shared."""
+def lanes(sizes: DataFrame, weights: dict[str | None, float] | None = None, period: int = PERIOD, rest: float | None = None) -> DataFrame:
+    """(source, lane, a, q): each source's lane and its share of the period."""
     sources = sizes.groupBy("source").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.orderBy(F.desc("n"), "source"))
-    ranked = sources.select("source", "n", (F.least(place, F.lit(most)) if most else place).alias("lane"))
+    ranked = sources.select("source", "n", place.alias("lane"))
     if weights is not None:
         names = [s for s in weights if s is not None]
         # as many rows as there are weights, and a count
@@ -86,7 +86,7 @@ def lanes(sizes: DataFrame, weights: dict[str | None, float] | None = None, peri
         known = F.coalesce(known, F.lit(False))
         present = {r["source"]: 1 for r in sources.where(known).select("source").collect()}
         slots, others, q = exact_shares(present | {_OTHERS: sources.where(~known).count()}, weights, rest)
-        if q <= LONGEST and not most:
+        if q <= LONGEST:
             return ranked.select("source", "lane", _by_source(slots, others).cast("long").alias("a"), F.lit(q).cast("long").alias("q"))
         goal = F.sum(_by_source({s: float(weights[s]) for s in slots}, float(min(weights.values()) if rest is None else rest)))
     else:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.runtime import materialise, raw_bytes
+from quire.llm.runtime import beside, materialise, raw_bytes
 
 #: Base rule of a document.
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
@@ -116,7 +116,7 @@ def base_failed() -> Column:
 
 
 def judged(docs: DataFrame, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), source_col: str = "source", host_limit: float = HOST_LIMIT) -> DataFrame:
-    """The carried columns with the counters, ``base_failed`` and ``kept``."""
+    """The carried columns with the counters, ``base_failed`` and ``kept``; a carried column of such a name is returned as ``<name>_in``."""
     measured = materialise(counters(docs, text_col, carry, source_col), "quality")
     over = None
     for k in RULES:
@@ -126,12 +126,14 @@ def judged(docs: DataFrame, text_col: str = "text", carry: tuple[str, ...] = ("d
     if rejected.count() <= BROADCAST_HOSTS:
         rejected = F.broadcast(rejected)
     out = measured.join(rejected, "host", "left").withColumn("_failed", base_failed())
-    return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)], *_COUNTERS, F.col("_failed").alias("base_failed"), (~F.col("_failed") & F.col("_rejected").isNull()).alias("kept"))
+    own = (*_COUNTERS, "base_failed", "kept")
+    return out.select(*[F.col(f"_c{i}").alias(beside(c, own)) for i, c in enumerate(carry)], *_COUNTERS, F.col("_failed").alias("base_failed"), (~F.col("_failed") & F.col("_rejected").isNull()).alias("kept"))
 
 
 def keep_quality(docs: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """The documents that stay, with ``columns`` only."""
-    return judged(docs.select(*columns), carry=columns).where("kept").select(*columns)
+    own = (*_COUNTERS, "base_failed", "kept")
+    return judged(docs.select(*columns), carry=columns).where("kept").select(*[F.col(beside(c, own)).alias(c) for c in columns])
 
 
 def op2_quality_rules(spark, sf_dir):

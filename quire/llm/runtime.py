@@ -8,12 +8,17 @@ from pyspark.sql import SparkSession
 
 from quire.tables import Scratch, counted, materialise
 
-__all__ = ["DOCUMENT_COLUMNS", "Scratch", "bounded_batches", "by_bytes", "counted", "materialise", "raw_bytes", "squeeze"]
+__all__ = ["DOCUMENT_COLUMNS", "Scratch", "beside", "bounded_batches", "by_bytes", "counted", "materialise", "raw_bytes", "squeeze"]
 
 #: Columns of the ``documents`` table, in order.
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def beside(name: str, own) -> str:
+    """What a carried column is called: ``<name>_in`` where an operator returns a column of that name itself."""
+    return f"{name}_in" if name.lower() in own else name
+
+
 #: Bytes of text that a Python worker turns into objects at once; a longer text goes alone.
 BATCH_BYTES = 4 << 20
 

@@ -31,7 +31,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.runtime import counted, materialise
+from quire.llm.runtime import beside, counted, materialise
 
 LITERAL_RULES = 10_000
 
@@ -123,6 +123,9 @@ def _tokens(host: Column, path: Column) -> Column:
     return F.array_union(F.array(F.lit("")), F.split(F.lower(F.concat(host, path)), "[^a-z0-9]+"))
 
 
+_OWN = ("host", "path", "rule", "verdict", "pattern")
+
+
 def _parsed(pages: DataFrame, key: str, url_col: str) -> DataFrame:
     return pages.select(F.col(key).alias("_key"), host_of(F.col(url_col)).alias("_host"), path_of(F.col(url_col)).alias("_path"))
 
@@ -142,7 +145,10 @@ def _index(parsed: DataFrame, rules: Sequence[tuple[int, Rule]]) -> Column:
 
 
 def judge_urls(pages: DataFrame, key: str = "page_id", url_col: str = "url", rules: Sequence[Rule] = SITE_RULES, patterns: Sequence[Rule] = PATTERNS) -> DataFrame:
-    """key, host, path, rule (of ``rules``, else null), verdict and ``pattern`` (of ``patterns``, else null)."""
+    """key, host, path, rule (of ``rules``, else null), verdict and ``pattern`` (of ``patterns``, else null).
+
+    A key column of such a name is returned as ``<name>_in``.
+    """
     tiers = [(1, r) for r in rules] + [(0, r) for r in patterns]
     if len(tiers) > LITERAL_RULES:
         rows = [(r.name, r.verdict, r.pattern, list(r.tokens), r.rank, tier) for tier, r in tiers]
@@ -151,7 +157,7 @@ def judge_urls(pages: DataFrame, key: str = "page_id", url_col: str = "url", rul
     parsed = _parsed(pages, key, url_col)
     if not tiers:
         none = F.lit(None).cast("string")
-        return parsed.select(F.col("_key").alias(key), F.col("_host").alias("host"), F.col("_path").alias("path"), none.alias("rule"), F.lit("allow").alias("verdict"), none.alias("pattern"))
+        return parsed.select(F.col("_key").alias(beside(key, _OWN)), F.col("_host").alias("host"), F.col("_path").alias("path"), none.alias("rule"), F.lit("allow").alias("verdict"), none.alias("pattern"))
     index = _index(parsed, tiers)
     fetched = F.flatten(F.filter(F.transform(_tokens(F.col("_host"), F.col("_path")), lambda t: F.try_element_at(index, t)), lambda x: x.isNotNull()))
     fits = F.filter(fetched, lambda r: F.regexp_like(F.concat("_host", "_path"), r["pattern"]))
@@ -161,7 +167,7 @@ def judge_urls(pages: DataFrame, key: str = "page_id", url_col: str = "url", rul
 
 
 def _verdicts(found: DataFrame, key: str) -> DataFrame:
-    return found.select(F.col("_key").alias(key), F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule.name").alias("rule"), F.coalesce("_rule.verdict", "_pattern.verdict", F.lit("allow")).alias("verdict"), F.col("_pattern.name").alias("pattern"))
+    return found.select(F.col("_key").alias(beside(key, _OWN)), F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule.name").alias("rule"), F.coalesce("_rule.verdict", "_pattern.verdict", F.lit("allow")).alias("verdict"), F.col("_pattern.name").alias("pattern"))
 
 
 def judge_by_table(pages: DataFrame, rules: DataFrame, key: str = "page_id", url_col: str = "url") -> DataFrame:
