@@ -9,14 +9,19 @@ short licenses; long licenses are found by their notices, titles and SPDX tags.
 Of finds that overlap, the one with the most matched words stays, and among
 equals the one with the higher coverage, then the first.
 
+Words that tell one license from another (names, and in notices the numbers of
+versions) must be matched whatever the coverage, and none of another license may
+stand between the matched words. A template of ``WHOLE`` words or fewer is found
+only word for word.
+
 Looking only around rare words misses none: a template with n words must have
 all but ``floor(0.2 n)`` of them matched, so one of its ``floor(0.2 n) + 1``
-rarest words is among them. A find spans less than ``SPAN`` times n words. Of
-templates up to ``SHORT`` words every stretch around the rare word that can hold
-a find is aligned, narrow ones first, unless it shares too few words with the
-template to better what is found; longer ones are aligned with the stretch where
-the template would lie, with room for an eighth, a quarter and a half of its
-length in other words, which is all that a find can have.
+rarest words is among them. A find spans less than ``SPAN`` times n words, so it
+lies in a stretch of that many words that holds the rare word. Every such
+stretch that starts with a word of the template is aligned, unless it shares too
+few words with the template to better what is found; of templates up to
+``SHORT`` words every narrower stretch is aligned too, so that words behind the
+find do not disturb its anchors.
 
 SPDX tags name their license themselves; they are read, not aligned.
 
@@ -46,8 +51,13 @@ from quire.llm.runtime import by_bytes
 COVERAGE = 0.8
 #: Words from the first matched to the last, by words of the template.
 SPAN = 1.5
-#: Words of the templates that are aligned with every stretch.
-SHORT = 40
+#: Words of the templates that are aligned with narrower stretches too, and of those found word for word only.
+SHORT, WHOLE = 40, 4
+
+#: Words that name a license. Those of a template must be matched, others must not stand inside a find of a notice.
+NAMES = frozenset(
+    "affero agpl agplv3 apache artistic boost bsd cc cc0 clause eclipse eupl gpl gplv1 gplv2 gplv3 isc lesser lgpl lgplv2 lgplv2.1 lgplv3 mit mozilla mpl nc nd noderivatives noncommercial sa sharealike sil unencumbered zlib".split()
+)
 
 #: Notices by license identifier.
 NOTICES = (
@@ -60,12 +70,6 @@ NOTICES = (
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3"),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3"),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0"),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
-    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0"),
-    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0"),
-    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0"),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0"),
     ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
@@ -87,23 +91,21 @@ NOTICES = (
     ("BSL-1.0", "Boost Software License - Version 1.0"),
     ("Apache-2.0", "Apache License, Version 2.0"),
     ("Apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
-    ("GPL-3.0", "GNU General Public License version 3"),
-    ("GPL-2.0", "GNU General Public License version 2"),
-    ("LGPL-3.0", "GNU Lesser General Public License version 3"),
-    ("LGPL-2.1", "GNU Lesser General Public License version 2.1"),
-    ("AGPL-3.0", "GNU Affero General Public License version 3"),
     ("GPL", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
     ("MPL-2.0", "Mozilla Public License Version 2.0"),
     ("MPL-2.0", "If a copy of the MPL was not distributed with this file, You can obtain one at"),
     ("EPL-2.0", "Eclipse Public License - v 2.0"),
-    ("EUPL-1.2", "Licensed under the EUPL"),
+    ("EUPL", "Licensed under the EUPL"),
+    ("MIT", "MIT licensed"),
+    ("MIT", "License: MIT"),
+    ("Apache", "Licensed under the Apache License"),
+    ("BSD", "Licensed under the BSD License"),
+    ("GPL", "Licensed under the GPL License"),
+    ("GPL", "Licensed under the GPL"),
+    ("GPL", "Licensed under the GNU General Public License"),
+    ("LGPL", "Licensed under the LGPL"),
+    ("LGPL", "Licensed under the GNU Lesser General Public License"),
     ("EUPL-1.2", "European Union Public Licence v. 1.2"),
-    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International License"),
-    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"),
-    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"),
-    ("CC-BY-ND-4.0", "Creative Commons Attribution-NoDerivatives 4.0 International License"),
-    ("CC-BY-NC-SA-4.0", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
-    ("CC-BY-NC-ND-4.0", "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"),
     ("CC0-1.0", "CC0 1.0 Universal"),
     ("WTFPL", "Do What The Fuck You Want To Public License"),
     ("Artistic-2.0", "The Artistic License 2.0"),
@@ -131,7 +133,26 @@ LICENSES = (
     ("BSL-1.0", 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.'),
     ("WTFPL", "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed. DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION 0. You just DO WHAT THE FUCK YOU WANT TO."),
 )
-TEMPLATES = (*NOTICES, *LICENSES)
+
+#: The terms of the Creative Commons licenses and their versions.
+CC_TERMS = {"": "", "-SA": "-ShareAlike", "-NC": "-NonCommercial", "-ND": "-NoDerivatives", "-NC-SA": "-NonCommercial-ShareAlike", "-NC-ND": "-NonCommercial-NoDerivatives"}
+CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
+CREATIVE_COMMONS = tuple(
+    (f"CC-BY{short}-{version}", text)
+    for version in CC_VERSIONS
+    for short, long in CC_TERMS.items()
+    for text in (f"Licensed under CC BY{short} {version}", f"CC BY{short} {version}", f"Creative Commons Attribution{long} {version} {'International' if version == '4.0' else 'Unported'} License", f"Creative Commons Attribution{long} {version}")
+)
+#: The GNU licenses and their versions.
+GNU_VERSIONS = (("GPL", "", ("1", "2", "3")), ("LGPL", "Lesser ", ("2", "2.1", "3")), ("AGPL", "Affero ", ("3",)))
+GNU = tuple(
+    (f"{short}-{version if '.' in version else version + '.0'}", text)
+    for short, word, versions in GNU_VERSIONS
+    for version in versions
+    for title in [f"GNU {word}General Public License version {version}"]
+    for text in (title, f"Licensed under the {title}", f"{short}v{version}", f"{short}-{version if '.' in version else version + '.0'}")
+)
+TEMPLATES = (*NOTICES, *CREATIVE_COMMONS, *GNU, *LICENSES)
 
 _SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*(\(?[A-Za-z0-9][A-Za-z0-9.+-]*(?:(?:[ \t]+(?:AND|OR|WITH)[ \t]+|[ \t]*[()][ \t]*)\(?[A-Za-z0-9][A-Za-z0-9.+-]*\)?)*)", re.I)
 
@@ -194,6 +215,7 @@ class Scanner:
         self.coverage = coverage
         self.notices = [(name, words_of(text)[0]) for name, text in notices]
         self.rare: dict[str, list[int]] = {}
+        self.needed = [needed(ws) for _, ws in self.notices]
         for k, (_, ws) in enumerate(self.notices):
             spare = int((1 - coverage) * len(ws) + 1e-9)
             # taken as rarest: the longest words that are not common ones; every occurrence counts as a word of its own
@@ -204,8 +226,7 @@ class Scanner:
 
     def _aligned(self, k: int, window: tuple[str, ...], centre: int) -> tuple[int, ...]:
         notice = self.notices[k][1]
-        align = _tightest if len(notice) <= SHORT else _roomiest
-        return tuple(i for i, _ in align(list(window), notice, centre, self.coverage))
+        return tuple(i for i, _ in best_alignment(list(window), notice, centre, self.coverage, self.needed[k]))
 
     def scan(self, text: str) -> list[tuple[str, float, int, int, int]]:
         """(license, coverage, matched words, start, end) in characters, in order."""
@@ -247,66 +268,78 @@ def apart(finds: list[tuple[str, float, int, int, int]]) -> list[tuple[str, floa
     return taken
 
 
-def _roomiest(window: list[str], notice: list[str], centre: int, coverage: float = COVERAGE) -> list[tuple[int, int]]:
-    """The best alignment of a long notice whose word at ``centre`` is in place, with room for other words."""
-    n, best = len(notice), []
-    wanted = Counter(notice)
-    if (Counter(window) & wanted).total() < coverage * n - 1e-9:
-        return best
-    for j in (j for j, w in enumerate(notice) if w == window[centre]):
-        if j <= centre and window[centre - j : centre - j + n] == notice:
-            return [(centre - j + i, i) for i in range(n)]
-        for room in (n // 8, n // 4, -(-n // 2)):
-            low = max(0, centre - j - room)
-            part = window[low : centre - j + n + room]
-            if (Counter(part) & wanted).total() <= max(len(best), coverage * n - 1e-9 - 1):
-                continue
-            found = [(i + low, k) for i, k in patience(part, notice)]
-            if len(found) > len(best):
-                best = found
-    return best
+def needed(notice: list[str]) -> frozenset[str]:
+    """The words of a template that must be matched: names, and in notices numbers and what parts a name."""
+    own = {w for w in notice if w in NAMES}
+    if len(notice) <= SHORT:
+        own |= {w for w in notice if w[0].isdigit()} | ({"by"} & set(notice) if "cc" in notice else set())
+    return frozenset(own)
+
+
+def tells(window: list[str], notice: list[str], pairs: list[tuple[int, int]], must: frozenset[str]) -> bool:
+    """Whether an alignment matches the words that it must, and, for a notice, spans no name of another license."""
+    if not pairs:
+        return False
+    matched = {j for _, j in pairs}
+    if any(w in must and j not in matched for j, w in enumerate(notice)):
+        return False
+    first, last = pairs[0][0], pairs[-1][0]
+    if len(notice) <= WHOLE and (len(pairs) < len(notice) or last - first >= len(notice)):
+        return False
+    held = {i for i, _ in pairs}
+    return len(notice) > SHORT or not any(w in NAMES and i not in held for i, w in enumerate(window[first : last + 1], first))
 
 
-def _tightest(window: list[str], notice: list[str], centre: int, coverage: float = COVERAGE) -> list[tuple[int, int]]:
-    """The alignment of the notice around the word at ``centre``, which is one of its words.
+def best_alignment(window: list[str], notice: list[str], centre: int, coverage: float = COVERAGE, must: frozenset[str] | None = None) -> list[tuple[int, int]]:
+    """The alignment with the most matches among the stretches around ``centre`` that a find may span, and that tells the license; of equals the first.
 
-    Words far from the centre can repeat the notice's words, so the window is
-    first cut to where the notice would lie if the centre is matched in place.
-    Where that leaves words out, every cut around the centre that a find may
-    span is aligned, from the narrowest on; of alignments with as many matches
-    the first stays.
+    Stretches start with a word of the template. The template in place, word
+    for word, needs no search.
     """
-    best: list[tuple[int, int]] = []
-    slack = max(1, len(notice) // 4)
-    if (Counter(window) & Counter(notice)).total() < coverage * len(notice) - 1e-9:
-        return best
+    n, must = len(notice), needed(notice) if must is None else must
     for j in (j for j, w in enumerate(notice) if w == window[centre]):
-        if j <= centre and window[centre - j : centre - j + len(notice)] == notice:
-            return [(centre - j + i, i) for i in range(len(notice))]
-        low = max(0, centre - j - slack)
-        found = [(i + low, k) for i, k in patience(window[low : centre - j + len(notice) + slack], notice)]
-        if len(found) > len(best):
-            best = found
-    widest = math.ceil(SPAN * len(notice))
-    need, wanted = max(math.ceil(coverage * len(notice) - 1e-9), len(best) + 1), Counter(notice)
+        if j <= centre and window[centre - j : centre - j + n] == notice:
+            return [(centre - j + i, i) for i in range(n)]
+    widest = math.ceil(SPAN * n)
+    need, wanted = math.ceil(coverage * n - 1e-9), Counter(notice)
     low, high = max(0, centre - widest + 1), min(len(window), centre + widest)
-    if (Counter(window[low:high]) & wanted).total() < need:
+    best: list[tuple[int, int]] = []
+    if n <= WHOLE or (Counter(window[low:high]) & wanted).total() < need or not must.issubset(window[low:high]):
         return best
-    cuts = []  # width, start, words in common at most
-    for start in range(low, centre + 1):
-        left, common = dict(wanted), 0
-        if window[start] not in wanted:
-            continue
-        for end in range(start, min(high, start + widest)):
-            if left.get(window[end], 0):
-                left[window[end]] -= 1
-                common += 1
-            if end >= centre and common >= need and window[end] in wanted:
-                cuts.append((end + 1 - start, start, common))
-    for width, start, common in sorted(cuts):
+    cuts = []  # narrower or not, width, start, words in common at most
+    if n <= SHORT:
+        for start in range(low, centre + 1):
+            if window[start] not in wanted:
+                continue
+            left, common = dict(wanted), 0
+            for end in range(start, min(high, start + widest)):
+                if left.get(window[end], 0):
+                    left[window[end]] -= 1
+                    common += 1
+                if end >= centre and common >= need and window[end] in wanted:
+                    cuts.append((end + 1 - start, start, common))
+        cuts.sort()
+    else:
+        held = Counter(window[low : low + widest])
+        common = sum(min(c, held[w]) for w, c in wanted.items())
+        for start in range(low, centre + 1):
+            if common >= need and window[start] in wanted:
+                cuts.append((min(widest, high - start), start, common))
+            # the stretch moves on by a word
+            gone, come = window[start], window[start + widest] if start + widest < len(window) else None
+            if held[gone] <= wanted[gone]:
+                common -= 1
+            held[gone] -= 1
+            if come is not None:
+                held[come] += 1
+                common += held[come] <= wanted[come]
+        # the stretches that share the most come first
+        cuts.sort(key=lambda c: (-c[2], c[1]))
+    for width, start, common in cuts:
         if common > len(best):
-            found = patience(window[start : start + width], notice)
-            if len(found) > len(best):
+            part = window[start : start + width]
+            found = patience(part, notice)
+            if len(found) > len(best) and len(found) >= need and found[-1][0] - found[0][0] < SPAN * n and tells(part, notice, found, must):
                 best = [(i + start, k) for i, k in found]
     return best
 

@@ -1,5 +1,6 @@
 import datetime
 import hashlib
+import math
 import random
 import re
 import time
@@ -334,13 +335,13 @@ def test_a_license_with_words_put_in():
     rng = random.Random(8)
     for name, notice in licenses.TEMPLATES:
         words = licenses.words_of(notice)[0]
-        for _ in range(20 if len(words) <= licenses.SHORT else 4):
+        for _ in range(8 if len(words) <= licenses.SHORT else 3):
             text = list(words)
-            for _ in range(rng.randint(0, max(0, -(-3 * len(words) // 2) - len(words)))):
+            for _ in range(rng.randint(0, max(0, -(-3 * len(words) // 2) - len(words)) if len(words) > licenses.WHOLE else 0)):
                 text.insert(rng.randint(1, len(text) - 1), f"x{rng.randrange(1000)}")
             assert len(licenses.patience(text, words)) == len(words)
             found = scanner.scan(" ".join(["some", "words", *text, "and", "more"]))
-            assert any(f[1] == 1.0 for f in found) if len(words) <= licenses.SHORT else any(f[0] == name and f[1] >= 0.95 for f in found), (name, text)
+            assert any(f[1] == 1.0 for f in found), (name, text)
 
 
 @pytest.mark.parametrize("text, name", [
@@ -357,30 +358,85 @@ def test_license_bodies(text, name):
     ("/* spdx-license-identifier: (GPL-2.0-only WITH Linux-syscall-note) OR MIT */", ["(GPL-2.0-only WITH Linux-syscall-note) OR MIT"]),
     ("under the terms of the BSD 3-Clause License", ["BSD-3-Clause"]),
     ("MIT License\n\nCopyright (c) 2020", ["MIT"]),
-    ("Licensed under the EUPL", ["EUPL-1.2"]),
+    ("Licensed under the EUPL", ["EUPL"]),
+    ("Licensed under the GPL License", ["GPL"]),
+    ("licensed under the same license", []),
+    ("Released under the new license", []),
+    ("Licensed under the BSD License", ["BSD"]),
+    ("Licensed under the Apache License", ["Apache"]),
+    ("Licensed under CC BY 3.0", ["CC-BY-3.0"]),
+    ("CC BY-SA 3.0", ["CC-BY-SA-3.0"]),
+    ("GNU General Public License, version 1", ["GPL-1.0"]),
+    ("GNU Lesser General Public License version 2", ["LGPL-2.0"]),
+    ("licensed under the GNU Lesser General Public License, version 3", ["LGPL-3.0"]),
+    ("This is all. Rights are reserved", []),
+    ("This project is MIT licensed", ["MIT"]),
+    ("License: MIT", ["MIT"]),
+    ("GPLv3", ["GPL-3.0"]),
+    ("CC BY-NC 3.0", ["CC-BY-NC-3.0"]),
+    ("AGPL-3.0-or-later", ["AGPL-3.0"]),
     ("mit licenses, an open license", []),
 ])
 def test_tags_and_titles(text, names):
     assert [f[0] for f in licenses.Scanner().scan(text)] == names
 
 
+def brute_finds(text, templates, coverage=licenses.COVERAGE):
+    """(name, matched, first, last) of the best alignment of each template over all its stretches of the text."""
+    out = []
+    for name, template in templates:
+        notice = licenses.words_of(template)[0]
+        n, best = len(notice), None
+        widest = math.ceil(licenses.SPAN * n)
+        must = licenses.needed(notice)
+        for start in range(len(text)):
+            ends = range(start + 1, min(len(text), start + widest) + 1) if n <= licenses.SHORT else [min(len(text), start + widest)]
+            if text[start] not in notice:
+                continue
+            for end in ends:
+                found = licenses.patience(text[start:end], notice)
+                if len(found) >= coverage * n - 1e-9 and found[-1][0] - found[0][0] < licenses.SPAN * n and licenses.tells(text[start:end], notice, found, must) and (best is None or len(found) > best[1]):
+                    best = (name, len(found), start + found[0][0], start + found[-1][0], n)
+        if best:
+            out.append(best)
+    return out
+
+
 def test_edited_licenses_against_brute_force():
-    """Whole licenses and notices with words changed, left out and put in, among other words; coverage by the longest common subsequence."""
+    """Notices and whole licenses with words changed, left out and put in, among other words: the same names, matches and spans."""
     rng = random.Random(12)
-    scanner = licenses.Scanner()
-    for name, template in licenses.TEMPLATES:
+    chosen = [t for t in licenses.TEMPLATES if len(licenses.words_of(t[1])[0]) < 110]
+    for name, template in rng.sample(chosen, 60):
         words = licenses.words_of(template)[0]
-        for share in (0.0, 0.05, 0.35):
+        for share in (0.0, 0.08, 0.2):
             edited = [w for w in words if rng.random() >= share]
             for _ in range(int(share * len(words))):
                 edited.insert(rng.randrange(len(edited) + 1), f"y{rng.randrange(999)}")
-            text = [f"x{rng.randrange(999)}" for _ in range(60)] + edited + [f"x{rng.randrange(999)}" for _ in range(60)]
-            found = scanner.scan(" ".join(text))
-            most = max(brute_matched(text, licenses.words_of(t)[0]) / len(licenses.words_of(t)[0]) for _, t in licenses.TEMPLATES)
-            if most < licenses.COVERAGE:
-                assert not found
-            elif brute_matched(text, words) >= 0.9 * len(words) and len(edited) < 1.4 * len(words):
-                assert any(f[2] >= 0.85 * len(words) for f in found), (name, share)
+            text = [f"x{rng.randrange(999)}" for _ in range(20)] + edited + [f"x{rng.randrange(999)}" for _ in range(20)]
+            rivals = [(name, template), *rng.sample(chosen, 3)]
+            scanner = licenses.Scanner(rivals)
+            expected = {(k, m, m / n) for k, m, _, _, n in brute_finds(text, rivals)}
+            alone = {(f[0], f[2], f[1]) for r in rivals for f in licenses.Scanner([r]).scan(" ".join(text))}
+            assert alone == expected, (name, share)
+            spans = [(m, m / n, a, b, k) for k, m, a, b, n in brute_finds(text, rivals)]
+            kept = licenses.apart([(k, c, m, a, b + 1) for m, c, a, b, k in spans])
+            at = lambda f: len(" ".join(text)[: f[3]].split())  # noqa: B023, E731
+            assert sorted((f[0], f[2]) for f in scanner.scan(" ".join(text))) == sorted((f[0], f[2]) for f in kept)
+            if share == 0.0:
+                assert any(f[0] == name and at(f) >= 19 for f in scanner.scan(" ".join(text)))
+
+
+@pytest.mark.parametrize("n", [41, 60, 100, 180])
+def test_long_templates_with_room_before_their_rare_words(n):
+    """A fifth of the words, many others, then the rest, in which the rare words stand."""
+    for seed in range(3):
+        rng = random.Random(seed)
+        rare = set(rng.sample(range(n // 2, n), n // 5 + 1))
+        words = [f"longrareword{k}" if k in rare else f"w{k}" for k in range(n)]
+        gone = set(rng.sample(range(n // 5, n), n // 5))
+        text = words[: n // 5] + [f"zz{k}" for k in range(int(0.65 * n))] + [w for k, w in enumerate(words) if k >= n // 5 and k not in gone]
+        template = [("T", " ".join(words))]
+        assert [(f[0], f[2]) for f in licenses.Scanner(template).scan(" ".join(text))] == [(k, m) for k, m, *_ in brute_finds(text, template)] == [("T", n - n // 5)]
 
 
 def test_many_notices_take_linear_time():
