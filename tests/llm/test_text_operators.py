@@ -280,6 +280,48 @@ def test_clashing_columns(docs):
     assert licenses.scan_licenses(df, carry=("finds", "doc_id")).columns == ["finds_in", "doc_id", "finds"]
 
 
+@pytest.mark.parametrize("text", [
+    "1" + "a" * 1_000_000,
+    "1" + "a." * 500_000,
+    "1" + "a.b@" * 250_000,
+    "token=" + "aB3" * 340_000,
+    "key: " + "0123456789abcdef" * 65_000 + " \n eyJ" + "-eyJ" * 200_000,
+    "-----BEGIN RSA PRIVATE KEY-----\n" + "MIIEpAIBAAKCAQEA+/\n" * 52_000 + "-----END RSA PRIVATE KEY-----",
+    "x" * 900_000 + "@example.com and " + "9" * 1000,
+    "@" * 300_000 + "1.2." * 100_000,
+], ids=["letters", "dotted", "signs", "token", "hex", "pem", "email", "marks"])
+def test_long_runs_take_linear_time_and_come_back(text):
+    began = time.time()
+    new, found = pseudonyms.Pseudonyms(b"k").replace(text)
+    assert len(new) == len(text)
+    assert pseudonyms.Pseudonyms(b"k", back=True).replace(new)[0] == text
+    assert time.time() - began < 60
+    if text[:5] in ("token", "-----", "xxxxx"):
+        assert found and new != text
+
+
+def test_blocks_of_long_secrets_are_chained():
+    """Equal values have one pseudonym; a difference changes its own block and all behind it, and none before."""
+    swap = pseudonyms.Pseudonyms(b"k")
+    body = "aB3xY" * 60
+    one, again, other = (swap.value("secret", x) for x in (body, body, body[:100] + "Z" + body[101:]))
+    assert one == again and one != other and one[:64] == other[:64]
+    assert all(one[k : k + 64] != other[k : k + 64] for k in range(64, 300, 64))
+    back = pseudonyms.Pseudonyms(b"k", back=True)
+    assert back.value("secret", one) == body
+    for n in (64, 65, 127, 128, 129, 400):
+        for value in ("0123456789abcdef" * 25, "Zz9" * 150, "12345" * 100):
+            new = swap.value("secret", value[:n])
+            assert new != value[:n] and back.value("secret", new) == value[:n]
+
+
+@pytest.mark.parametrize("value", ["1980/01/05", "01-05-1980", "25-12-1999"])
+def test_more_dates_in_figures(value):
+    new, found = pseudonyms.Pseudonyms(b"k").replace(f"born {value}, he said")
+    assert [f[0] for f in found] == ["date"] and value not in new
+    assert pseudonyms.Pseudonyms(b"k", back=True).replace(new)[0] == f"born {value}, he said"
+
+
 # ----- licenses -----
 
 
