@@ -90,8 +90,9 @@ def signatures(papers: DataFrame, time: str, threshold: float = THRESHOLD, compo
     titled = rows.where("_t <> ''")
     whole = titled.select(F.concat(F.lit("t"), F.sha2("_t", 256)).alias("_key"), "_pos", F.lit(False).alias("guest"), "_time")
     near = indexed(titled, threshold, ("_pos", "_time"))
-    side = lambda column, guest: near.select(F.concat(F.lit("s"), F.explode(column).cast("string")).alias("_key"), "_pos", F.lit(guest).alias("guest"), "_time")
-    return rows, by_doi.unionByName(whole).unionByName(side("own", False)).unionByName(side("guest", True))
+    side = lambda column, guest: F.transform(column, lambda k: F.struct(F.concat(F.lit("s"), k.cast("string")).alias("_key"), F.lit(guest).alias("guest")))
+    keys = near.select("_pos", "_time", F.inline(F.concat(side("own", False), side("guest", True)))).select("_key", "_pos", "guest", "_time")
+    return rows, by_doi.unionByName(whole).unionByName(keys)
 
 
 def meetings(papers: DataFrame, time: str, late: str = "1 day", keep: str = "30 days", threshold: float = THRESHOLD, compose: bool = True) -> DataFrame:
