@@ -29,7 +29,8 @@ from pyspark.sql import types as T
 
 from quire.functions.doi import doi_key
 from quire.functions.text import normalize_text, shingles
-from quire.tables import counted, materialise
+from quire.operators.components import components
+from quire.tables import counted, materialise, number_rows
 
 THRESHOLD = 0.92
 #: Shingles there can be: three characters of 37.
@@ -128,6 +129,35 @@ def indexed(titles: DataFrame, threshold: float, carry: tuple[str, ...] = ()) ->
     return inputs.mapInArrow(index, T.StructType([*found.fields, *inputs.schema.fields[1:]]))
 
 
+def _title_sets(titles: DataFrame, threshold: float, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``indexed`` titles with shingles, written out."""
+    return materialise(indexed(titles, threshold, carry).where(F.size("s") > 0), "shingles")
+
+
+def _fitting(threshold: float, a: str, b: str) -> Column:
+    """Whether the sizes of two sets allow the similarity."""
+    t = _share(threshold)
+    return F.expr(f"{a} * {t.denominator} >= {b} * {t.numerator} AND {b} * {t.denominator} >= {a} * {t.numerator}")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (ia, ib) at or above the threshold, with similarity; arrays move for titles in a pair only."""
+    met = counted(pairs.select(F.col("ia").alias("i")).union(pairs.select("ib")).distinct(), "met")
+    known = sets.join(met, "i", "left_semi")
+    left, right = (known.select(F.col("i").alias(f"i{c}"), F.col("s").alias(f"s{c}")) for c in "ab")
+    common = pairs.join(left, "ia").join(right, "ib").select("ia", "ib", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("both"))
+    ratio = F.col("both").cast("double") / (F.col("na") + F.col("nb") - F.col("both"))
+    return common.where(ratio >= F.lit(float(threshold))).select("ia", "ib", ratio.alias("similarity"))
+
+
+def _similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
+    """All pairs (ia, ib, similarity) of ``_title_sets`` at or above the threshold."""
+    index = sets.select("i", F.size("s").alias("n"), F.explode("own").alias("k"), F.lit(False).alias("guest")).unionByName(sets.select("i", F.size("s").alias("n"), F.explode("guest").alias("k"), F.lit(True).alias("guest")))
+    x, y = index.alias("x"), index.alias("y")
+    pairs = materialise(x.join(y, F.expr("x.k = y.k AND x.i < y.i AND NOT (x.guest AND y.guest)") & _fitting(threshold, "x.n", "y.n")).select(F.col("x.i").alias("ia"), F.col("y.i").alias("ib")).distinct(), "pairs")
+    return _verified(pairs, sets, threshold)
+
+
 def similar_titles(titles: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Distinct normalised titles (``_t``) to pairs (a, b, similarity) of different titles at or above the threshold, a < b as text.
 
@@ -135,18 +165,10 @@ def similar_titles(titles: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     a candidate pair move. Titles are numbered as they are written, so the
     numbers stay what they are when a task runs again.
     """
-    sets = materialise(indexed(titles, threshold).where(F.size("s") > 0), "shingles")
-    index = sets.select("i", F.size("s").alias("n"), F.explode("own").alias("k"), F.lit(False).alias("guest")).unionByName(sets.select("i", F.size("s").alias("n"), F.explode("guest").alias("k"), F.lit(True).alias("guest")))
-    x, y = index.alias("x"), index.alias("y")
-    t = _share(threshold)
-    fits = F.expr(f"x.n * {t.denominator} >= y.n * {t.numerator} AND y.n * {t.denominator} >= x.n * {t.numerator}")
-    pairs = materialise(x.join(y, F.expr("x.k = y.k AND x.i < y.i AND NOT (x.guest AND y.guest)") & fits).select(F.col("x.i").alias("ia"), F.col("y.i").alias("ib")).distinct(), "pairs")
-    met = counted(pairs.select(F.col("ia").alias("i")).union(pairs.select("ib")).distinct(), "met")
-    known = sets.join(met, "i", "left_semi")
-    left, right = (known.select(F.col("i").alias(f"i{c}"), F.col("_t").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
-    common = pairs.join(left, "ia").join(right, "ib").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("both"))
-    ratio = F.col("both").cast("double") / (F.col("na") + F.col("nb") - F.col("both"))
-    return common.where(ratio >= F.lit(float(threshold))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), ratio.alias("similarity"))
+    sets = _title_sets(titles, threshold)
+    found = _similar_sets(sets, threshold)
+    a, b = (sets.select(F.col("i").alias(f"i{c}"), F.col("_t").alias(c)) for c in "ab")
+    return found.join(a, "ia").join(b, "ib").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
 
 
 def _prepared(papers: DataFrame, order: tuple[str, ...], compose: bool) -> DataFrame:
@@ -195,9 +217,8 @@ def _decide(papers: DataFrame, order: tuple[str, ...], threshold: float, compose
     1. A DOI seen before removes a paper, even if its first holder goes for its title.
     2. Of the others, a title at or above the threshold with a *kept* earlier one
        removes a paper. Titles collapse to their first paper (a later copy meets
-       either its kept twin or what removed the twin); over the pairs of similar
-       titles, a title is kept once all earlier neighbours are removed, and
-       removed once one is kept, round by round.
+       either its kept twin or what removed the twin); ``_lost_titles`` decides
+       among these.
     """
     rows = _prepared(papers, order, compose)
     by_doi = Window.partitionBy("_key").orderBy("_at")
@@ -206,17 +227,100 @@ def _decide(papers: DataFrame, order: tuple[str, ...], threshold: float, compose
     first = materialise(seen.union(keyed.where("_key IS NULL").select("_at", "_t", F.lit(False))), "doi-step")
     alive = first.where("NOT doi_dup AND _t <> ''")
     heads = materialise(alive.groupBy("_t").agg(F.min("_at").alias("_at")), "titles")
-    near = similar_titles(heads.select("_t"), threshold)
-    a, b = heads.select(F.col("_t").alias("a"), F.col("_at").alias("at_a")), heads.select(F.col("_t").alias("b"), F.col("_at").alias("at_b"))
-    edges = near.join(a, "a").join(b, "b").select(F.when(F.col("at_a") < F.col("at_b"), F.col("a")).otherwise(F.col("b")).alias("early"), F.when(F.col("at_a") < F.col("at_b"), F.col("b")).otherwise(F.col("a")).alias("late"))
-    lost = independent(materialise(edges, "edges"))
-    out = alive.join(heads.select("_t", F.col("_at").alias("_head")), "_t").join(lost.select(F.col("late").alias("_lost")), F.col("_t") == F.col("_lost"), "left")
+    lost = _lost_titles(heads, threshold)
+    out = alive.join(heads.select("_t", F.col("_at").alias("_head")), "_t").join(lost.select(F.col("_at").alias("_lost")), F.col("_head") == F.col("_lost"), "left")
     titled = out.select("_at", ((F.col("_at") != F.col("_head")) | F.col("_lost").isNotNull()).alias("dup"))
     return titled.union(first.where("doi_dup OR _t = ''").select("_at", F.col("doi_dup").alias("dup")))
 
 
-def independent(edges: DataFrame) -> DataFrame:
-    """Nodes (``late``) removed by the greedy pass over edges (early, late).
+#: Rounds in which the first titles of the index lists settle what is like them, before all other pairs are looked at.
+PIVOT_ROUNDS = 3
+#: Links of a component that one task settles.
+COMPONENT = 500_000
+
+
+def _lost_titles(heads: DataFrame, threshold: float) -> DataFrame:
+    """(_at): the titles (_t, _at) that go because of an earlier kept one.
+
+    A title that comes first in all of its index lists is kept, as no earlier
+    one can be like it; what is like it goes. Each list names its first title
+    only, so a family of m near copies takes about m comparisons, and its losers
+    are out of the lists before the next round. What is left after some rounds
+    is compared pair by pair and settled by component.
+    """
+    sets = _title_sets(heads, threshold, ("_at",))
+    # titles are numbered by place, so that numbers compare as places do
+    rank = number_rows(sets.select("i", F.col("_at").alias("_pos")), "p").select("i", F.col("p").cast("long").alias("p"))
+    sets = materialise(sets.join(rank, "i").select(F.col("p").alias("i"), "_at", "s", "own", "guest"), "titles")
+    index = materialise(sets.select("i", F.size("s").alias("n"), F.explode(F.concat("own", "guest")).alias("k")), "index")
+    out = sets.select("i").limit(0)
+    left = sets
+    for _ in range(PIVOT_ROUNDS):
+        listed = index.join(index.groupBy("k").agg(F.min(F.struct("i", "n")).alias("first")), "k")
+        ahead = materialise(listed.where("first.i < i").select("i", F.col("first.i").alias("ia"), _fitting(threshold, "n", "first.n").alias("fits")).distinct(), "ahead")
+        # a pivot has nobody ahead
+        waiting = counted(ahead.select(F.col("i").alias("ia")).distinct(), "waiting")
+        pairs = materialise(ahead.where("fits").join(waiting, "ia", "left_anti").select("ia", F.col("i").alias("ib")), "pairs")
+        gone = materialise(_verified(pairs, sets, threshold).select(F.col("ib").alias("i")).distinct(), "gone")
+        if gone.isEmpty():
+            break
+        out = out.union(gone)
+        # titles with nobody ahead are kept, and what is like them is gone: both leave the lists
+        open_ = counted(waiting.select(F.col("ia").alias("i")).join(gone, "i", "left_anti"), "open")
+        index = materialise(index.join(open_, "i", "left_semi"), "index")
+        left = left.join(open_, "i", "left_semi")
+    edges = _similar_sets(materialise(left, "left"), threshold).select(F.col("ia").alias("early"), F.col("ib").alias("late"))
+    lost = materialise(out.union(independent(materialise(edges, "edges")).select(F.col("late").alias("i"))).distinct(), "lost")
+    return sets.select("i", "_at").join(lost, "i", "left_semi").select("_at")
+
+
+def _settled(links):
+    """The greedy pass over the links of one task."""
+    import pyarrow as pa
+
+    waits: dict[int, int] = {}
+    after: dict[int, list[int]] = {}
+    for a, b in zip(links.column("early").to_pylist(), links.column("late").to_pylist(), strict=True):
+        after.setdefault(a, []).append(b)
+        waits[b] = waits.get(b, 0) + 1
+    lost: set[int] = set()
+    todo = [a for a in after if a not in waits]
+    while todo:
+        node = todo.pop()
+        for late in after.get(node, ()):
+            if node not in lost:
+                lost.add(late)
+            waits[late] -= 1
+            if not waits[late]:
+                todo.append(late)
+    return pa.table({"late": pa.array(sorted(lost), pa.int64())})
+
+
+def independent(edges: DataFrame, most: int = COMPONENT) -> DataFrame:
+    """Nodes (``late``) removed by the greedy pass over edges (early, late) between numbers.
+
+    Components are found in a number of rounds about logarithmic in their size;
+    one of at most ``most`` links is settled by one task, so a chain does not
+    take a round a link. Larger ones are settled round by round.
+    """
+    n = edges.count()
+    if not n:
+        return edges.select("late")
+    if n <= most:
+        return edges.select("early", "late", F.lit(0).alias("root")).groupBy("root").applyInArrow(_settled, "late long")
+    nodes = components(edges.select(F.col("early").alias("a"), F.col("late").alias("b")))
+    rooted = edges.join(nodes, F.col("early") == F.col("node")).select("early", "late", "root")
+    sizes = materialise(rooted.groupBy("root").agg(F.count("*").alias("n")), "sizes")
+    large = sizes.where(F.col("n") > most)
+
+    small = rooted.join(large, "root", "left_anti").groupBy("root").applyInArrow(_settled, "late long")
+    if large.isEmpty():
+        return small
+    return small.union(_by_rounds(materialise(rooted.join(large, "root", "left_semi").select("early", "late"), "large")))
+
+
+def _by_rounds(edges: DataFrame) -> DataFrame:
+    """The same, round by round.
 
     Every round settles all edges whose early end has no open edge to an earlier
     title, the earliest of all among them, so the rounds come to an end.

@@ -8,7 +8,7 @@ order of a conjunction.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field, fields
 from functools import reduce
 from typing import Any
@@ -103,6 +103,27 @@ class QuartileRule(Rule):
         return F.when(q == "-", F.lit(self.include_unranked)).otherwise(q.isin(*ranked) if ranked else F.lit(False))
 
 
+#: Keywords that are looked for one by one; more go into an automaton, whose time does not grow with their number.
+CONTAINS = 32
+
+
+def any_keyword(text: Column, keywords: list[str]) -> Column:
+    """Whether a text contains any of many keywords: one run of an automaton, built once a task, over Arrow batches."""
+
+    def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for word in keywords:
+            automaton.add_word(word)
+        automaton.make_automaton()
+        for texts in batches:
+            yield texts.map(lambda t: next(automaton.iter(t), None) is not None).astype(bool)
+
+    search.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(search, "boolean")(text)
+
+
 @dataclass(frozen=True)
 class KeywordRule(Rule):
     """Substring search in the normalised title, abstract and keywords together.
@@ -123,7 +144,11 @@ class KeywordRule(Rule):
         if not wanted:
             return None
         parts = [F.array_join(F.coalesce(F.col(f), F.array().cast("array<string>")), " ") if f in ("keywords", "authors", "subjects", "issns") else _text(f) for f in self.fields]
+        if "" in wanted:
+            return F.lit(True)
         text = normalize_text(F.concat_ws(" ", *parts), self.compose)
+        if len(wanted) > CONTAINS:
+            return any_keyword(text, wanted)
         return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in wanted])
 
 

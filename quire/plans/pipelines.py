@@ -7,7 +7,6 @@ import sys
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 from pathlib import Path
-from typing import TextIO
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +15,9 @@ from quire.operators import collections as C
 from quire.operators import dedup, journals
 from quire.operators.rules import FilterEngine
 from quire.sinks.formats import get_exporter
-from quire.sources.works import Scan, scan_works, search_stats, take_accepted
-from quire.tables import materialise
+from quire.sinks.source import write_single
+from quire.sources.works import Scan, scan_works, take_observed
+from quire.tables import materialise, new_path
 
 
 #: ISSNs that are shipped to a live source as a set (a few megabytes); more are joined.
@@ -74,11 +74,11 @@ def search(papers: DataFrame | Callable[[Scan, int], DataFrame], scan: Scan, jou
         accept = F.col("_hit").isNotNull()
     else:
         scanned = read(scan, limit)
-    found = take_accepted(scanned, accept, limit, cap)
-    stats = search_stats(scanned, accept, limit, cap)
+    # the counters come out of the pass that writes the result
+    found, stats = take_observed(scanned, accept, limit, cap)
     found = found.drop("_hit", "_accepted")
     if annotate and journal_rows is not None:
-        found = journals.annotate(materialise(found, "found"), journals.issn_index(journal_rows))
+        found = journals.annotate(found, journals.issn_index(journal_rows))
     return SearchResult(found, stats, mode)
 
 
@@ -137,25 +137,24 @@ def export(papers: DataFrame, format_name: str, path: str | Path, index: DataFra
     return counts | {"bytes": target.stat().st_size, "path": str(target)}
 
 
-def write_json(out: TextIO, results: DataFrame, member: str = "results", **document) -> None:
-    """A JSON document with ``document``'s members, then the rows in order of ``_pos``, streamed."""
+def _document(results: DataFrame, member: str, document: dict) -> tuple[DataFrame, str, str]:
+    """Rows (_pos, text), and what stands before and after them in the JSON document."""
     fields = [c for c in results.columns if c != "_pos"]
-    rows = results.orderBy("_pos").select(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator()
+    rows = results.select("_pos", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("text"))
     members = "".join(f"{json.dumps(k)}: {json.dumps(v, ensure_ascii=False, default=str)},\n" for k, v in document.items())
-    out.write("{\n" + members + json.dumps(member) + ": [\n")
-    for i, row in enumerate(rows):
-        out.write((",\n" if i else "") + row["j"])
-    out.write("\n]\n}\n")
+    return rows, "{\n" + members + json.dumps(member) + ": [\n", "\n]\n}\n"
 
 
 def save_json(results: DataFrame, path: str | Path, member: str = "results", **document) -> Path:
-    target = Path(path)
-    target.parent.mkdir(parents=True, exist_ok=True)
-    with target.open("w", encoding="utf-8") as out:
-        write_json(out, results, member, **document)
-    return target
+    """A JSON document with ``document``'s members, then the rows in order of ``_pos``; tasks write the rows."""
+    rows, head, tail = _document(results, member, document)
+    return write_single(rows, Path(path), new_path(results.sparkSession, "parts"), separator=",\n", head=head, tail=tail)
 
 
 def output_json(results: DataFrame, member: str = "results", **document) -> None:
-    """The same document on standard output."""
-    write_json(sys.stdout, results, member, **document)
+    """The same document on standard output, where it has to pass the driver: streamed, partition by partition."""
+    rows, head, tail = _document(results, member, document)
+    sys.stdout.write(head)
+    for i, row in enumerate(rows.orderBy("_pos").toLocalIterator()):
+        sys.stdout.write((",\n" if i else "") + row["text"])
+    sys.stdout.write(tail)

@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import reduce
-from itertools import chain
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -18,7 +17,8 @@ from pyspark.sql import functions as F
 from quire.functions.paper import citation_key, pages, short_authors
 from quire.functions.text import strip, truncate_ellipsis
 from quire.schema import PAPER_FIELDS
-from quire.tables import number_rows
+from quire.sinks.source import write_single, write_text
+from quire.tables import materialise, new_path, number_rows
 
 _FIELDS = [n for n, _, _ in PAPER_FIELDS]
 
@@ -195,26 +195,16 @@ class Exporter:
         return self.head(papers)
 
     def export_to_file(self, papers: DataFrame, path: str | Path) -> Path:
-        """One ordered UTF-8 file on the driver; rows are streamed, partition by partition."""
-        target = Path(path)
-        target.parent.mkdir(parents=True, exist_ok=True)
-        lines = chain(self.header(papers), (r["text"] for r in self.entries(papers).orderBy("_pos").toLocalIterator()))
-        with target.open("w", encoding="utf-8", newline="\n") as out:
-            written = False
-            for line in lines:
-                out.write("\n" * written + line)
-                written = True
-            if written and self.ends:
-                out.write("\n")
-        return target
+        """One ordered UTF-8 file on the driver's disk; tasks write its parts, which are joined as bytes."""
+        head = "\n".join(self.header(papers))
+        rows = materialise(self.entries(papers), "entries")
+        some = not rows.isEmpty()
+        ends = "\n" if self.ends and (some or head) else ""
+        return write_single(rows, Path(path), new_path(papers.sparkSession, "parts"), head=head + ("\n" if head and some else ""), tail=ends)
 
     def export_to_folder(self, papers: DataFrame, path: str) -> None:
-        """Ordered part files for results of any size; the header opens the first."""
-        rows = self.entries(papers).select(F.lit(1).alias("_body"), "_pos", "text")
-        if head := self.header(papers):
-            first = papers.sparkSession.createDataFrame([(0, "\n".join(head))], "_body int, text string")
-            rows = rows.unionByName(first, allowMissingColumns=True)
-        rows.repartitionByRange("_body", "_pos").sortWithinPartitions("_body", "_pos").select("text").write.text(path)
+        """Ordered part files for results of any size; the header is the first. A write that fails leaves none."""
+        write_text(self.entries(papers), path, format_name=f"papers-{self.format_name}", overwrite=True, extension=self.file_extension, head="\n".join(self.header(papers)))
 
 
 def _markdown_head(papers: DataFrame) -> list[str]:

@@ -23,10 +23,11 @@ def _whole(spark: SparkSession, path: str) -> DataFrame:
 def read_papers_json(documents: DataFrame, column: str = "json") -> DataFrame:
     """Papers of a document: a list, or its ``results``, or its ``kept``, or all its list values; with ``_pos``."""
     paper = "array<variant>"
-    doc = documents.select(F.parse_json(column).alias("v"))
+    doc = documents.select(column, F.parse_json(column).alias("v"))
     as_list = F.try_variant_get("v", "$", paper)
     fields = F.try_variant_get("v", "$", "map<string,variant>")
-    every = F.flatten(F.filter(F.transform(F.map_values(fields), lambda x: F.try_variant_get(x, "$", paper)), lambda x: x.isNotNull()))
+    # a VARIANT keeps its keys sorted; the lists follow in the order of the text
+    every = F.flatten(F.filter(F.transform(F.json_object_keys(column), lambda k: F.try_variant_get(F.element_at(fields, k), "$", paper)), lambda x: x.isNotNull()))
     items = doc.select(F.posexplode(F.coalesce(as_list, F.try_variant_get("v", "$.results", paper), F.try_variant_get("v", "$.kept", paper), every)).alias("_pos", "p"))
     return canonical(items.select("_pos", F.from_json(F.to_json("p"), PAPER_DDL).alias("p")).select("_pos", "p.*"))
 

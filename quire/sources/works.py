@@ -14,7 +14,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThanOrEqual, InputPartition, LessThanOrEqual, SimpleDataSourceStreamReader
 
@@ -167,21 +167,46 @@ def take_accepted(scanned: DataFrame, accept: Column | None = None, limit: int =
     return rows.orderBy("_pos").limit(limit) if limit else rows
 
 
-def search_stats(scanned: DataFrame, accept: Column | None = None, limit: int = 0, max_scan: int = 0) -> DataFrame:
-    """One row: scanned, matched, scan_capped.
+def _scanned(scanned: DataFrame, accept: Column | None, limit: int, max_scan: int) -> DataFrame:
+    """The rows that a scan reads until it ends, with ``_ok`` for the accepted ones.
 
-    ``scan_capped`` says that ``max_scan`` ended the scan: as many rows were
-    scanned and the limit was not reached by then.
+    A cap on rows, or a limit of a scan that accepts all, is a top-k by position
+    (at most so many rows in one place); within it, running counts tell where
+    the limit is reached. Without a cap, the limit-th accepted row tells the place.
     """
-    test = F.lit(True) if accept is None else accept
-    rows = scanned.orderBy("_pos").limit(max_scan) if max_scan else scanned
-    marked = rows.select("_pos", test.alias("ok"))
-    if limit:
-        last = marked.where("ok").orderBy("_pos").limit(limit).agg(F.count("*").alias("n"), F.max("_pos").alias("p")).first()
-        if last["n"] >= limit:
-            return marked.where(F.col("_pos") <= last["p"]).agg(F.count("*").alias("scanned"), F.count_if("ok").alias("matched"), F.lit(False).alias("scan_capped"))
-    capped = F.count("*") >= max_scan if max_scan else F.lit(False)
-    return marked.agg(F.count("*").alias("scanned"), F.count_if("ok").alias("matched"), capped.alias("scan_capped"))
+    marked = scanned.withColumn("_ok", F.lit(True) if accept is None else accept)
+    most = min(filter(None, (max_scan, limit if accept is None else 0)), default=0)
+    if most:
+        top = marked.orderBy("_pos").limit(most)
+        if not limit or accept is None:
+            return top
+        before = F.sum(F.col("_ok").cast("long")).over(Window.orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1))
+        return top.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < limit).drop("_before")
+    if not limit:
+        return marked
+    place = marked.where("_ok").select("_pos").orderBy("_pos").limit(limit).agg(F.count("*").alias("n"), F.max("_pos").alias("p")).select(F.when(F.col("n") >= limit, F.col("p")))
+    return marked.where(F.col("_pos") <= F.coalesce(place.scalar(), F.lit((1 << 63) - 1)))
+
+
+def _capped(scanned: int | Column, matched: int | Column, limit: int, max_scan: int):
+    """Whether ``max_scan`` ended the scan: as many rows were scanned, and the limit was not reached by then."""
+    full = scanned >= max_scan if max_scan else F.lit(False) if isinstance(scanned, Column) else False
+    return full & (matched < limit) if limit else full
+
+
+def search_stats(scanned: DataFrame, accept: Column | None = None, limit: int = 0, max_scan: int = 0) -> DataFrame:
+    """One row: scanned, matched, scan_capped; one query."""
+    counts = _scanned(scanned, accept, limit, max_scan).agg(F.count("*").alias("scanned"), F.count_if("_ok").alias("matched"))
+    return counts.withColumn("scan_capped", _capped(F.col("scanned"), F.col("matched"), limit, max_scan))
+
+
+def take_observed(scanned: DataFrame, accept: Column | None = None, limit: int = 0, max_scan: int = 0) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``take_accepted``, written out, and the row of ``search_stats``: both from one pass."""
+    seen = Observation()
+    read = _scanned(scanned, accept, limit, max_scan).observe(seen, F.count(F.lit(1)).alias("scanned"), F.count_if(F.col("_ok")).alias("matched"))
+    found = materialise(read.where("_ok").drop("_ok"), "found")
+    n, k = seen.get["scanned"], seen.get["matched"]
+    return found, scanned.sparkSession.createDataFrame([(n, k, bool(_capped(n, k, limit, max_scan)))], "scanned bigint, matched bigint, scan_capped boolean")
 
 
 def lookup_doi(dois: DataFrame, papers: DataFrame, column: str = "doi") -> DataFrame:

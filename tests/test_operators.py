@@ -349,3 +349,57 @@ def test_scratch_tables_go(spark):
     assert two.count() == 3 and not inner.paths and len(outer.paths) == 1
     with pytest.raises(Exception):  # noqa: B017
         materialise(one, "none").count()
+
+
+def _greedy(edges):
+    lost = set()
+    for node in sorted({x for e in edges for x in e}):
+        if node not in lost:
+            lost |= {b for a, b in edges if a == node}
+    return lost
+
+
+@pytest.mark.parametrize("most", [1_000_000, 1000, 60, 1])
+def test_greedy_pass_over_links(spark, most):
+    """Chains, families and random links, settled at once, by component, or round by round."""
+    rng = random.Random(most)
+    chain = [(k, k + 1) for k in range(0, 40 if most == 1 else 1000)]
+    family = [(2000 + a, 2000 + b) for a in range(9) for b in range(a + 1, 9)]
+    other = [(3000 + a, 3000 + b) for a, b in ((rng.randrange(40), rng.randrange(40)) for _ in range(45)) if a < b]
+    edges = sorted({*chain, *family, *other})
+    got = dedup.independent(spark.createDataFrame(edges, "early long, late long"), most)
+    assert sorted(r.late for r in got.collect()) == sorted(_greedy(edges))
+    assert dedup.independent(spark.createDataFrame([], "early long, late long")).count() == 0
+
+
+def test_a_family_takes_comparisons_in_proportion(spark, monkeypatch):
+    """Of near copies every title is compared with the first of its lists, not with all others."""
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(50)]
+    body = " ".join(words)
+    rows = [(k, "", f"{body} v{k}") for k in range(400)] + [(400 + k, "", " ".join("".join(rng.choices("klmnop", k=5)) for _ in range(20))) for k in range(30)]
+    compared = []
+    check = dedup._verified
+    monkeypatch.setattr(dedup, "_verified", lambda pairs, sets, t: (compared.append(pairs.count()), check(pairs, sets, t))[1])
+    unique, removed = dedup.dedup(spark.createDataFrame(rows, "_pos long, doi string, title string"))
+    assert unique.count() == 31 and removed.count() == 399
+    assert sum(compared) < 3 * 430
+
+
+def test_pivots_equal_the_sequential_pass(spark):
+    """Families that overlap in part, where a removed title does not remove in its turn."""
+    rng = random.Random(11)
+    base = [["".join(rng.choices("abcdefgh", k=4)) for _ in range(40)] for _ in range(4)]
+    rows = []
+    for k in range(160):
+        words = list(rng.choice(base))
+        for _ in range(rng.randrange(5)):
+            words[rng.randrange(40)] = "".join(rng.choices("abcdefgh", k=4))
+        rows.append((k, "", " ".join(words)))
+    kept = []
+    sets = {k: {t[i : i + 3] for i in range(len(t) - 2)} for k, _, t in rows}
+    for k, _, t in rows:
+        if not any(t == rows[j][2] or len(sets[k] & sets[j]) >= 0.92 * len(sets[k] | sets[j]) for j in kept):
+            kept.append(k)
+    frame = spark.createDataFrame(rows, "_pos long, doi string, title string")
+    assert sorted(r._pos for r in dedup.dedup(frame)[0].collect()) == kept and 4 < len(kept) < 160
