@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import threading
 import time
+import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
@@ -98,3 +100,58 @@ class MailtoPool:
         with self._lock:
             now = self._clock()
             return {m: {"request_count": u.requests, "last_used": u.last_used, "in_cooldown": u.resting_until > now, "cooldown_remaining": max(0.0, u.resting_until - now)} for m, u in self._uses.items()}
+
+
+class SharedPool(MailtoPool):
+    """A pool whose rests hold for all tasks: a refused address has a file in a folder that all of them reach.
+
+    An address that rests anywhere is passed over; if all rest, the caller waits
+    for the first to be free again rather than use one too early.
+    """
+
+    def __init__(self, mailtos: Iterable[str], folder: str, cooldown_seconds: float = 60.0, clock: Callable[[], float] = time.time, pause: Callable[[float], None] = time.sleep):
+        super().__init__(mailtos, cooldown_seconds=cooldown_seconds, clock=clock)
+        self.folder, self._pause = folder.rstrip("/"), pause
+
+    def _rest(self, mailto: str):
+        """File system and path of an address's rest."""
+        from pyarrow import fs
+
+        where, folder = fs.FileSystem.from_uri(self.folder) if "://" in self.folder else (fs.LocalFileSystem(), self.folder)
+        return where, f"{folder}/{hashlib.sha256(mailto.encode()).hexdigest()[:24]}.rest"
+
+    def _rests_until(self, mailto: str) -> float:
+        where, path = self._rest(mailto)
+        try:
+            with where.open_input_stream(path) as held:
+                return float(held.read() or b"0")
+        except (FileNotFoundError, ValueError):
+            return 0.0
+
+    def next(self) -> str | None:
+        while True:
+            for mailto, use in self._uses.items():
+                use.resting_until = max(use.resting_until, self._rests_until(mailto))
+            ends = min((u.resting_until for u in self._uses.values()), default=0.0)
+            now = self._clock()
+            if ends <= now:
+                return super().next()
+            self._pause(ends - now)
+
+    def mark_rate_limited(self, mailto: str, retry_after: float | None = None) -> None:
+        super().mark_rate_limited(mailto, retry_after)
+        if use := self._uses.get(self._key(mailto)):
+            where, path = self._rest(self._key(mailto))
+            where.create_dir(path.rpartition("/")[0], recursive=True)
+            part = f"{path}.{uuid.uuid4().hex}"
+            # another task may have been told to rest longer
+            until = max(use.resting_until, self._rests_until(self._key(mailto)))
+            with where.open_output_stream(part) as out:
+                out.write(repr(until).encode())
+            where.move(part, path)
+
+    def mark_ok(self, mailto: str) -> None:
+        """An answer under an address says nothing about a rest that another task has been given since."""
+        with self._lock:
+            if (use := self._uses.get(self._key(mailto))) and use.resting_until <= self._clock():
+                use.resting_until = 0.0

@@ -235,6 +235,8 @@ def _decide(papers: DataFrame, order: tuple[str, ...], threshold: float, compose
 
 #: Rounds in which the first titles of the index lists settle what is like them, before all other pairs are looked at.
 PIVOT_ROUNDS = 3
+#: Lists up to this length are compared pair by pair at once.
+SHORT_LIST = 24
 #: Links of a component that one task settles.
 COMPONENT = 500_000
 
@@ -242,21 +244,24 @@ COMPONENT = 500_000
 def _lost_titles(heads: DataFrame, threshold: float) -> DataFrame:
     """(_at): the titles (_t, _at) that go because of an earlier kept one.
 
-    A title that comes first in all of its index lists is kept, as no earlier
+    Where the index has long lists, a title that comes first in all of its index lists is kept, as no earlier
     one can be like it; what is like it goes. Each list names its first title
     only, so a family of m near copies takes about m comparisons, and its losers
     are out of the lists before the next round. What is left after some rounds
     is compared pair by pair and settled by component.
     """
-    sets = _title_sets(heads, threshold, ("_at",))
     # titles are numbered by place, so that numbers compare as places do
-    rank = number_rows(sets.select("i", F.col("_at").alias("_pos")), "p").select("i", F.col("p").cast("long").alias("p"))
-    sets = materialise(sets.join(rank, "i").select(F.col("p").alias("i"), "_at", "s", "own", "guest"), "titles")
-    index = materialise(sets.select("i", F.size("s").alias("n"), F.explode(F.concat("own", "guest")).alias("k")), "index")
+    numbered = number_rows(heads.select("_t", F.col("_at").alias("_pos")))
+    found = _title_sets(numbered, threshold, ("_n", "_pos"))
+    sets = found.select(F.col("_n").cast("long").alias("i"), F.col("_pos").alias("_at"), "s", "own", "guest")
+    index = sets.select("i", F.size("s").alias("n"), F.explode(F.concat("own", "guest")).alias("k"))
     out = sets.select("i").limit(0)
     left = sets
     for _ in range(PIVOT_ROUNDS):
-        listed = index.join(index.groupBy("k").agg(F.min(F.struct("i", "n")).alias("first")), "k")
+        firsts = materialise(index.groupBy("k").agg(F.min(F.struct("i", "n")).alias("first"), F.count("*").alias("m")).where("m > 1"), "firsts")
+        if (firsts.agg(F.max("m")).first()[0] or 0) <= SHORT_LIST:
+            break
+        listed = index.join(firsts, "k")
         ahead = materialise(listed.where("first.i < i").select("i", F.col("first.i").alias("ia"), _fitting(threshold, "n", "first.n").alias("fits")).distinct(), "ahead")
         # a pivot has nobody ahead
         waiting = counted(ahead.select(F.col("i").alias("ia")).distinct(), "waiting")
@@ -269,7 +274,7 @@ def _lost_titles(heads: DataFrame, threshold: float) -> DataFrame:
         open_ = counted(waiting.select(F.col("ia").alias("i")).join(gone, "i", "left_anti"), "open")
         index = materialise(index.join(open_, "i", "left_semi"), "index")
         left = left.join(open_, "i", "left_semi")
-    edges = _similar_sets(materialise(left, "left"), threshold).select(F.col("ia").alias("early"), F.col("ib").alias("late"))
+    edges = _similar_sets(left, threshold).select(F.col("ia").alias("early"), F.col("ib").alias("late"))
     lost = materialise(out.union(independent(materialise(edges, "edges")).select(F.col("late").alias("i"))).distinct(), "lost")
     return sets.select("i", "_at").join(lost, "i", "left_semi").select("_at")
 

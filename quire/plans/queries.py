@@ -26,7 +26,7 @@ from quire.operators import collections, dedup, journals, rules
 from quire.plans import adapters as A
 from quire.plans import pipelines
 from quire.sinks import formats
-from quire.sources import doi_lists, documents, works
+from quire.sources import doi_lists, documents, splits, works
 from quire.tables import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,6 +150,17 @@ for _name, (_make, _sql) in _ENGINES.items():
     ORACLES[_name] = f"WITH {_P} SELECT _pos, doi, title, year FROM p WHERE {_sql}"
 
 
+_LONG_WORDS = "SELECT DISTINCT w FROM (SELECT unnest(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ')) AS w FROM benchmark) WHERE length(w) >= 9"
+
+
+@query("filter_kw_many", f"WITH {_P}, k AS (SELECT list(w) AS ws FROM ({_LONG_WORDS})) SELECT _pos, len(list_filter(ws, lambda w: contains({_norm('title || chr(32) || abstract || chr(32) || keywords')}, w))) > 0 AS found FROM p, k")
+def _(spark, d):
+    # a rule of as many keywords as the benchmark has long words
+    words = spark.read.parquet(f"{d}/benchmark.parquet").select(F.explode(F.split(F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " ")), " ")).alias("w")).where("length(w) >= 9").distinct()
+    rule = rules.KeywordWhitelist(tuple(sorted(r["w"] for r in words.collect())))
+    return A.papers(spark, d).select("_pos", rule.column().alias("found"))
+
+
 def _engine() -> rules.FilterEngine:
     return rules.build_engine(min_year=2011, max_year=2024, min_citations=5, quartile="Q1,q2,Q3,bad", language="en,de,fr", exclude_keywords="licensed under", exclude_dois=["10.1001/D1"])
 
@@ -629,6 +640,14 @@ def _(spark, d):
     return doi_lists.read_bib_dois(rows).select("o_orderkey", F.array_join("dois", "|").alias("dois"))
 
 
+@query("read_bib_files", "SELECT DISTINCT o_orderpriority AS priority, '10.1/' || o_custkey::VARCHAR AS doi FROM orders")
+def _(spark, d):
+    entry = "'@article{k' || CAST(o_orderkey AS VARCHAR(9)) || ', title = {X {Y} z}, note = \"{b} @x{c}\", DOI = {10.1/' || CAST(o_custkey AS VARCHAR(9)) || '}} @comment{no} @misc{d, title={no doi}}'"
+    path = new_path(spark, "bib")
+    A.view(spark, d, f"SELECT o_orderpriority, {entry} AS text FROM orders").repartition("o_orderpriority").write.partitionBy("o_orderpriority").text(path)
+    return splits.read_bib_files(spark, f"{path}/*").select(F.url_decode(F.regexp_extract("file", "o_orderpriority=([^/]*)", 1)).alias("priority"), "doi")
+
+
 # ----- works -----
 
 _LANG = "CASE WHEN language = '' THEN 'en' ELSE language END"
@@ -708,6 +727,19 @@ def _(spark, d):
     return documents.read_papers_json(ordered.select(doc.alias("json"))).select("doi", "title", F.array_join("authors", "; ").alias("authors"), "year", "cited_by_count", "_pos")
 
 
+@query("read_papers_files", f"WITH {_P} SELECT journal, doi, title, cited_by_count, row_number() OVER (PARTITION BY journal ORDER BY _pos) AS place FROM p")
+def _(spark, d):
+    # one document a journal, written line by line and read block by block
+    rows = A.papers(spark, d).select("journal", "_pos", F.to_json(F.struct("doi", "title", "journal", "cited_by_count", F.struct(F.array(F.lit("}]")).alias("x")).alias("other"))).alias("j"))
+    first = rows.groupBy("journal").agg(F.min("_pos").alias("first"))
+    lines = rows.join(first, "journal").select("journal", "_pos", F.concat(F.when(F.col("_pos") > F.col("first"), ",").otherwise(""), "j").alias("value"))
+    ends = first.select("journal", F.explode(F.array(F.struct(F.lit(-1).cast("long").alias("_pos"), F.lit('{"query":"q]}","errors":[{"doi":"x"}],"results":[').alias("value")), F.struct(F.lit(1 << 62).alias("_pos"), F.lit("]}").alias("value")))).alias("e")).select("journal", "e.*")
+    path = new_path(spark, "papers")
+    lines.unionByName(ends).withColumn("at", F.xxhash64("journal")).repartition("at").sortWithinPartitions("at", "_pos").select("at", "value").write.partitionBy("at").text(path)
+    place = F.row_number().over(Window.partitionBy("journal").orderBy("_pos"))
+    return splits.read_papers_files(spark, f"{path}/*").select("journal", "doi", "title", "cited_by_count", place.cast("bigint").alias("place"))
+
+
 @query("read_group_json", f"WITH {_P} SELECT journal AS \"group\", doi, title, row_number() OVER (PARTITION BY journal ORDER BY _pos) - 1 AS _pos FROM p")
 def _(spark, d):
     ordered = A.papers(spark, d).groupBy("journal").agg(F.sort_array(F.collect_list(F.struct("_pos", _json_fields().alias("p")))).alias("r"))
@@ -844,6 +876,16 @@ def _(spark, d):
         return _rows(spark, "format string, bytes bigint", [(k, formats.get_exporter(k).export_to_file(A.papers(spark, d), f"{folder}/new/out").stat().st_size) for k in ("ris", "csv")])
 
 
+@query("export_to_folder", f"WITH {_P}, t AS ({_RIS_SQL}) SELECT 'ris' AS format, sum(strlen(text) + 1)::BIGINT AS bytes FROM t UNION ALL SELECT 'csv', sum(strlen(text) + 1)::BIGINT + {len(','.join(f'_{c}_' for c in formats.CSV_COLUMNS)) + 1} FROM ({_CSV_SQL})")
+def _(spark, d):
+    found = []
+    for kind in ("ris", "csv"):
+        path = new_path(spark, "export")
+        formats.get_exporter(kind).export_to_folder(A.papers(spark, d), path)
+        found.append(spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).agg(F.sum("length").alias("bytes")).select(F.lit(kind).alias("format"), "bytes"))
+    return found[0].union(found[1])
+
+
 @query("read_works", f"WITH {_P} SELECT _pos, title, count(*) OVER () AS n FROM p")
 def _(spark, d):
     # pages of some works each, as lines of several files

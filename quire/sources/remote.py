@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from quire.control.pool import MailtoPool
 from quire.control.requests import NotFound, Response, SourceError, rotating
 from quire.functions.text import strip
+from quire.sources.landing import FRESH_SECONDS, Landing
 from quire.sources.works import WORK_FIELDS, Scan, WorksDataSource, normalize_work, parse_works
 from quire.tables import materialise
 
@@ -25,8 +26,6 @@ from quire.tables import materialise
 BASE_URL = "https://api.openalex.org"
 #: Fixed value: how a DOI is named in a path of the service.
 DOI_PATH = "/works/https://doi.org/"
-#: Seconds for which an answer counts as fresh.
-FRESH_SECONDS = 86400.0
 
 
 @dataclass
@@ -220,19 +219,60 @@ def works_stream(spark: SparkSession, client: WorksClient, scan: Scan, landing:
     return normalize_work(parse_works(read))
 
 
-def works_by_doi(dois: DataFrame, client: WorksClient, column: str = "doi", tasks: int = 1) -> DataFrame:
+def works_by_doi(dois: DataFrame, client: WorksClient, column: str = "doi", tasks: int = 1, landing: Landing | None = None) -> DataFrame:
     """The papers of a table's DOIs, each asked for once, by ``tasks`` tasks at a time; written once.
 
-    Nulls, empty texts and what is no DOI are not asked for; unknown DOIs have no row.
+    Nulls, empty texts and what is no DOI are not asked for; unknown DOIs have no
+    row. With ``landing`` only DOIs without a fresh answer are asked for, what is
+    answered is added there, and older answers stand in where the service fails;
+    it is an error only if there is none. Several tasks should share a
+    ``SharedPool``.
     """
+    asked = dois.select(F.lower(strip(F.coalesce(F.col(column), F.lit("")))).alias("asked")).where(F.col("asked").startswith("10.")).distinct()
+    if landing is None:
+        answers = materialise(asked.repartition(tasks, "asked").mapInArrow(_asking(client, False), _ANSWERS), "answers")
+        return _answered(answers)
+    known = materialise(landing.held(), "held")
+    fresh = known.where(F.col("at") > F.lit(landing.clock() - landing.ttl))
+    wanted = materialise(asked, "asked")
+    answers = materialise(wanted.join(fresh, "asked", "left_anti").repartition(tasks, "asked").mapInArrow(_asking(client, True), _ANSWERS), "answers")
+    told = answers.where("error IS NULL")
+    if not told.isEmpty():
+        landing.add(told)
+    failed = answers.where("error IS NOT NULL").select("asked", "error")
+    lost = failed.join(known, "asked", "left_anti").limit(1).collect()
+    if lost:
+        raise SourceError(f"{lost[0]['asked']}: {lost[0]['error']}")
+    old = known.join(wanted, "asked", "left_semi").join(told, "asked", "left_anti")
+    return _answered(told.select("asked", "work").unionByName(old.select("asked", "work")))
+
+
+_ANSWERS = "asked string, work string, error string"
+
+
+def _asking(client: WorksClient, keep_errors: bool):
+    """Asks for the DOIs of a batch; a failure is kept as a row or ends the task."""
 
     def fetch(batches):
         import pyarrow as pa
 
         for batch in batches:
-            found = [(a, w) for a in batch.column(0).to_pylist() if (w := client.work(a)) is not None]
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.string()), pa.array([json.dumps(w) for _, w in found], pa.string())], names=["asked", "work"])
-
-    asked = dois.select(F.lower(strip(F.coalesce(F.col(column), F.lit("")))).alias("asked")).where(F.col("asked").startswith("10.")).distinct()
-    answers = materialise(asked.repartition(tasks, "asked").mapInArrow(fetch, "asked string, work string"), "answers")
-    return materialise(normalize_work(parse_works(answers.select(F.monotonically_increasing_id().alias("_pos"), "work"))), "live")
+            rows = []
+            for asked in batch.column(0).to_pylist():
+                try:
+                    found = client.work(asked)
+                    rows.append((asked, None if found is None else json.dumps(found), None))
+                except SourceError as e:
+                    if not keep_errors:
+                        raise
+                    rows.append((asked, None, str(e) or type(e).__name__))
+            columns = list(zip(*rows, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["asked", "work", "error"])
+
+    return fetch
+
+
+def _answered(answers: DataFrame) -> DataFrame:
+    """Answers to papers, written out."""
+    works = answers.where("work IS NOT NULL").select(F.monotonically_increasing_id().alias("_pos"), "work")
+    return materialise(normalize_work(parse_works(works)), "live")

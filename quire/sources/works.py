@@ -399,7 +399,7 @@ def _searched(scan: Scan) -> dict[str, str]:
 
 class WorksReader(DataSourceReader):
     def __init__(self, options, fetcher: Fetcher):
-        self.scan, self.fetcher, self.pushed = _scan_of(options), fetcher, []
+        self.scan, self.fetcher, self.pushed = _scan_of(options), fetcher if hasattr(fetcher, "fetch") else Fetcher(fetcher), []
         self.max_scan, self.limit, self.slice_rows = (int(options.get(k) or 0) for k in ("max_scan", "limit", "slice_rows"))
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
@@ -428,6 +428,7 @@ class WorksReader(DataSourceReader):
         return replace(self.scan, year_from=None, year_to=None) if self.slice_rows else self.scan
 
     def read(self, partition):
+        partition = partition or Slice(0, tuple(self.pushed))
         scan = self._undated() if partition.at or "publication_date" in "".join(partition.terms) else self.scan
         terms, cursor, scanned, matched = _terms(scan, partition.terms), "*", 0, 0
         while cursor:

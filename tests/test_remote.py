@@ -7,12 +7,14 @@ from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, unquote, urlparse
 
 import pytest
+from pyspark.sql import functions as F
 from test_sources_sinks import JOURNALS, WORK
 
 from quire.__main__ import main
-from quire.control.pool import MailtoPool
+from quire.control.pool import MailtoPool, SharedPool
 from quire.control.requests import RateLimited, Response, SourceError
 from quire.sources import remote, works
+from quire.sources.landing import Landing
 
 
 class Service(BaseHTTPRequestHandler):
@@ -125,3 +127,55 @@ def test_commands(spark, service, tmp_path, monkeypatch, capsys):
     assert main(["cache", "clear", "--cache", "kept", "--json"], spark) == 0 and said()["removed"] == 3
     Service.broken = 401
     assert main(["search", "any words", *live], spark) == 3
+
+
+def test_landing_table(spark, service, tmp_path):
+    now = [1000.0]
+    landing = Landing(spark, str(tmp_path / "landing"), 60, lambda: now[0])
+    dois = spark.createDataFrame([("10.1/A",), ("10.1/a",), ("10.9/none",), ("x",), (None,)], "doi string")
+    asked = lambda rows=dois, tasks=2: sorted(r.doi for r in remote.works_by_doi(rows, client(service), tasks=tasks, landing=landing).collect())
+    assert asked() == ["10.1/A"] and len(Service.seen) == 2
+    assert asked() == ["10.1/A"] and len(Service.seen) == 2  # the second run asks nothing, not even for what is unknown
+    more = dois.union(spark.createDataFrame([("10.1/a2",)], "doi string"))
+    assert asked(more) == ["10.1/A", "10.1/A"] and len(Service.seen) == 3  # only what is new (the service knows one work)
+    assert Landing(spark, landing.folder, 60, landing.clock).held().count() == 3
+    now[0] += 61
+    Service.broken = 500
+    assert asked(more) == ["10.1/A", "10.1/A"]  # old answers stand in
+    with pytest.raises(SourceError, match="10.1/b"):
+        asked(spark.createDataFrame([("10.1/b",)], "doi string"))
+    Service.broken = 0
+    seen = len(Service.seen)
+    assert asked() == ["10.1/A"] and len(Service.seen) == seen + 2
+    assert landing.compact() == 3 and landing.batches()[1:] == [] and landing.held().count() == 3 and landing.fresh().count() == 2
+    assert asked() == ["10.1/A"] and len(Service.seen) == seen + 2
+
+
+def test_a_refused_address_rests_for_all_tasks(spark, service, tmp_path):
+    pool = SharedPool(["tired@x", "b@x", "c@x"], str(tmp_path / "rests"), cooldown_seconds=30)
+    ask = remote.WorksClient(service, pool, None, spacing=0, pause=lambda s: None)
+    dois = spark.range(40).select(F.concat(F.lit("10.1/a"), F.col("id").cast("string")).alias("doi"))
+    # one task learns of it first
+    assert ask.work("10.1/a") is not None
+    before = len(Service.seen)
+    assert remote.works_by_doi(dois, ask, tasks=4).count() == 40
+    used = [s[1].get("mailto") for s in Service.seen[before:]]
+    assert len(used) == 40 and "tired@x" not in used and {"b@x", "c@x"} == set(used)
+
+
+def test_all_addresses_at_rest_are_waited_for(tmp_path):
+    now, waited = [100.0], []
+
+    def pause(seconds):
+        waited.append(seconds)
+        now[0] += seconds
+
+    one, two = (SharedPool(["a@x", "b@x"], str(tmp_path), 50, lambda: now[0], pause) for _ in range(2))
+    one.mark_rate_limited("a@x")
+    two.mark_rate_limited("b@x", 20)
+    assert one.next() == "b@x" and waited == [20] and two.next() == "b@x"
+    one.mark_ok("a@x")
+    assert one.stats()["a@x"]["in_cooldown"]
+    assert SharedPool([], str(tmp_path)).next() is None
+    now[0] = 151.0
+    assert two.next() == "a@x"
