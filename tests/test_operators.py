@@ -359,11 +359,11 @@ def _greedy(edges):
     return lost
 
 
-@pytest.mark.parametrize("most", [1_000_000, 1000, 60, 1])
+@pytest.mark.parametrize("most", [1_000_000, 1000, 10])
 def test_greedy_pass_over_links(spark, most):
     """Chains, families and random links, settled at once, by component, or round by round."""
     rng = random.Random(most)
-    chain = [(k, k + 1) for k in range(0, 40 if most == 1 else 1000)]
+    chain = [(k, k + 1) for k in range(1000 if most >= 1000 else 12)]
     family = [(2000 + a, 2000 + b) for a in range(9) for b in range(a + 1, 9)]
     other = [(3000 + a, 3000 + b) for a, b in ((rng.randrange(40), rng.randrange(40)) for _ in range(45)) if a < b]
     edges = sorted({*chain, *family, *other})
