@@ -85,7 +85,10 @@ def bib_dois(text: str) -> list[str] | None:
         found = [e["doi"] for e in bib_entries(text) if e.get("doi")]
     except ValueError:
         return None
-    return list({d.lower(): d for d in reversed(found)}.values())[::-1]
+    first: dict[str, str] = {}
+    for doi in found:
+        first.setdefault(doi.lower(), doi)
+    return list(first.values())
 
 
 def read_bib_dois(texts: DataFrame, column: str = "text") -> DataFrame:
