@@ -236,7 +236,7 @@ def _decide(papers: DataFrame, order: tuple[str, ...], threshold: float, compose
 #: Rounds in which the first titles of the index lists settle what is like them, before all other pairs are looked at.
 PIVOT_ROUNDS = 3
 #: Lists up to this length are compared pair by pair at once.
-SHORT_LIST = 24
+SHORT_LIST = 256
 #: Links of a component that one task settles.
 COMPONENT = 500_000
 
@@ -244,11 +244,11 @@ COMPONENT = 500_000
 def _lost_titles(heads: DataFrame, threshold: float) -> DataFrame:
     """(_at): the titles (_t, _at) that go because of an earlier kept one.
 
-    Where the index has long lists, a title that comes first in all of its index lists is kept, as no earlier
-    one can be like it; what is like it goes. Each list names its first title
-    only, so a family of m near copies takes about m comparisons, and its losers
-    are out of the lists before the next round. What is left after some rounds
-    is compared pair by pair and settled by component.
+    Where the index has long lists, a title that comes first in all of its lists
+    is kept, as no earlier one can be like it; what is like it goes. Each list
+    names its first title only, so a family of m near copies takes about m
+    comparisons, and its losers are out of the lists before the next round. What
+    is left after some rounds is compared pair by pair and settled by component.
     """
     # titles are numbered by place, so that numbers compare as places do
     numbered = number_rows(heads.select("_t", F.col("_at").alias("_pos")))
