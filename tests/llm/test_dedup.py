@@ -8,8 +8,9 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quire.llm import components, exact_dedup, simhash
+from quire.llm import exact_dedup, simhash
 from quire.llm.exact_dedup import PatriciaTrie
+from quire.operators import components
 
 SPACE = re.compile("[\x20\x09-\x0d]+")
 
