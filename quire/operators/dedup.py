@@ -211,6 +211,14 @@ def duplicate_classes(papers: DataFrame, threshold: float = THRESHOLD, compose:
     return members, links
 
 
+def duplicate_members(papers: DataFrame, compose: bool = True) -> DataFrame:
+    """The members of ``duplicate_classes``: of a title only its digest moves."""
+    rows = materialise(papers.select(F.col("_pos"), F.lower(F.coalesce("doi", F.lit(""))).alias("d"), normalize_text(F.col("title"), compose).alias("_t")).select("_pos", F.when(F.col("d") != "", F.col("d")).alias("d"), F.when(F.col("_t") != "", F.sha2("_t", 256)).alias("k")), "papers")
+    dois = rows.where("d IS NOT NULL").groupBy("d").agg(F.min("_pos").alias("by_doi"))
+    titles = rows.where("k IS NOT NULL").groupBy("k").agg(F.min("_pos").alias("by_title"))
+    return rows.join(dois, "d", "left").join(titles, "k", "left").select("_pos", "by_doi", "by_title")
+
+
 def _decide(papers: DataFrame, order: tuple[str, ...], threshold: float, compose: bool) -> DataFrame:
     """(_at, dup): whether a paper is removed, reading papers in order.
 
