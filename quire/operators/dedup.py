@@ -12,7 +12,10 @@ found by a lossless partition join, never by comparing all titles:
   text, and unrelated titles hardly ever agree on a part;
 * a set belongs to the partition of its own class and to that of the next one,
   where it meets the sets of that class only. Sets so small that one differing
-  shingle breaks the threshold are indexed whole.
+  shingle breaks the threshold are indexed whole;
+* sets of ``LARGE`` shingles and more are not indexed: long texts of a language
+  agree on many parts whether they are similar or not. They are compared by
+  prints, block by block (``blocks``).
 
 Shingles are numbered and dealt in Arrow batches, which is much faster than
 higher-order functions over a character at a time; candidates are verified exactly, in the JVM.
@@ -29,12 +32,15 @@ from pyspark.sql import types as T
 
 from quire.functions.doi import doi_key
 from quire.functions.text import normalize_text, shingles
+from quire.operators.blocks import packed, similar_large
 from quire.operators.components import components
 from quire.tables import counted, materialise, number_rows
 
 THRESHOLD = 0.92
 #: Shingles there can be: three characters of 37.
 SHINGLES = 37**3
+#: Size of the sets from which on all are compared by prints.
+LARGE = 256
 
 
 def jaccard3(a: Column, b: Column) -> Column:
@@ -69,6 +75,15 @@ def size_classes(threshold: float, largest: int = SHINGLES) -> tuple[int, list[i
     return alone, least, parts
 
 
+def _large(threshold: float) -> tuple[int, int]:
+    """The least sizes of the sets that ``blocks`` compares and of those that have no index key: the class before these may be similar to them."""
+    alone, least, _ = size_classes(threshold)
+    if not least:
+        return SHINGLES + 1, SHINGLES + 1
+    c = next(c for c, n in enumerate(least) if n >= LARGE or n > SHINGLES)
+    return least[max(c - 1, 0)], least[c]
+
+
 def _hashes(seed: int, n: int = SHINGLES):
     """Fixed 64-bit hashes of the first ``n`` numbers (the splitmix64 finaliser)."""
     import numpy as np
@@ -80,8 +95,9 @@ def _hashes(seed: int, n: int = SHINGLES):
 
 
 def indexed(titles: DataFrame, threshold: float, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Normalised titles (``_t``) with shingles: i (unique once written), _t, s (their numbers, sorted), own and guest (index keys), and the carried columns."""
+    """Normalised titles (``_t``) with shingles: i (unique once written), _t, s (their numbers, sorted), own and guest (index keys, none for large sets), packed (of sets that ``blocks`` compares), and the carried columns."""
     alone, least, parts = size_classes(threshold)
+    compared, unkeyed = _large(threshold)
 
     def index(batches):
         from bisect import bisect_right
@@ -113,19 +129,19 @@ def indexed(titles: DataFrame, threshold: float, carry: tuple[str, ...] = ()) ->
                     own = guest = np.zeros(0, np.int64)
                     if 0 < len(s) <= alone:
                         own = (np.bitwise_xor.reduce(values[s], keepdims=True) * np.uint64(2)).view(np.int64)
-                    elif len(s):
+                    elif 0 < len(s) < unkeyed:
                         c = bisect_right(least, len(s)) - 1
                         own = keys(s, c)
-                        guest = keys(s, c + 1) if c + 1 < len(parts) else guest
-                    rows.append((s, own, guest))
+                        guest = keys(s, c + 1) if c + 1 < len(parts) and least[c + 1] < unkeyed else guest
+                    rows.append((s, own, guest, packed(s) if len(s) >= compared else None))
                 ids = pa.array(range(i, i + len(rows)), pa.int64())
                 more = [c.slice(lo, 500) for c in batch.columns[1:]]
                 lists = [pa.array([r[k] for r in rows], pa.list_(kind)) for k, kind in enumerate((pa.int32(), pa.int64(), pa.int64()))]
-                yield pa.RecordBatch.from_arrays([ids, texts, *lists, *more], names=["i", "_t", "s", "own", "guest", *carry])
+                yield pa.RecordBatch.from_arrays([ids, texts, *lists, pa.array([r[3] for r in rows], pa.binary()), *more], names=["i", "_t", "s", "own", "guest", "packed", *carry])
                 i += len(rows)
 
     inputs = titles.select("_t", *carry)
-    found = T._parse_datatype_string("i long, _t string, s array<int>, own array<long>, guest array<long>")
+    found = T._parse_datatype_string("i long, _t string, s array<int>, own array<long>, guest array<long>, packed binary")
     return inputs.mapInArrow(index, T.StructType([*found.fields, *inputs.schema.fields[1:]]))
 
 
@@ -155,20 +171,23 @@ def _similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
     index = sets.select("i", F.size("s").alias("n"), F.explode("own").alias("k"), F.lit(False).alias("guest")).unionByName(sets.select("i", F.size("s").alias("n"), F.explode("guest").alias("k"), F.lit(True).alias("guest")))
     x, y = index.alias("x"), index.alias("y")
     pairs = materialise(x.join(y, F.expr("x.k = y.k AND x.i < y.i AND NOT (x.guest AND y.guest)") & _fitting(threshold, "x.n", "y.n")).select(F.col("x.i").alias("ia"), F.col("y.i").alias("ib")).distinct(), "pairs")
-    return _verified(pairs, sets, threshold)
+    compared, unkeyed = _large(threshold)
+    large = similar_large(_compared(sets), _share(threshold), unkeyed if unkeyed > compared else 0)
+    return _verified(pairs, sets, threshold).unionByName(large)
+
+
+def _compared(sets: DataFrame) -> DataFrame:
+    """The sets that ``blocks`` compares."""
+    return sets.where("packed IS NOT NULL").select("i", F.size("s").alias("n"), "packed")
 
 
 def similar_titles(titles: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Distinct normalised titles (``_t``) to pairs (a, b, similarity) of different titles at or above the threshold, a < b as text.
+    """Distinct normalised titles (``_t``, and a number ``p`` each) to the pairs (ia, ib, similarity) of numbers, ia < ib, of different titles at or above the threshold.
 
-    The index carries numbers only, and of the shingles only those of titles in
-    a candidate pair move. Titles are numbered as they are written, so the
-    numbers stay what they are when a task runs again.
+    Only numbers move; of the shingles only those of titles in a candidate pair,
+    and of large sets once for each block they meet.
     """
-    sets = _title_sets(titles, threshold)
-    found = _similar_sets(sets, threshold)
-    a, b = (sets.select(F.col("i").alias(f"i{c}"), F.col("_t").alias(c)) for c in "ab")
-    return found.join(a, "ia").join(b, "ib").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
+    return _similar_sets(_title_sets(titles, threshold, ("p",)).withColumn("i", F.col("p")), threshold)
 
 
 def _prepared(papers: DataFrame, order: tuple[str, ...], compose: bool) -> DataFrame:
@@ -182,16 +201,30 @@ def find_duplicates(papers: DataFrame, threshold: float = THRESHOLD, compose: bo
     The result itself lists every pair of every group of duplicates;
     ``duplicate_classes`` says the same in one row a paper.
     """
-    rows = materialise(_prepared(papers, ("_pos",), compose).select(F.col("_at._pos").alias("p"), F.lower("doi").alias("d"), "_t"), "papers")
+    rows = _with_heads(papers, compose)
     x, y = rows.alias("x"), rows.alias("y")
-    pair = lambda c: [F.least("x.p", "y.p").alias("pos_a"), F.greatest("x.p", "y.p").alias("pos_b"), c.alias("similarity")]
-    by_doi = x.where("d <> ''").join(y.where("d <> ''"), F.expr("x.d = y.d AND x.p < y.p")).select(*pair(F.lit(1.0)))
-    same_title = x.where("_t <> ''").join(y.where("_t <> ''"), F.expr("x._t = y._t AND x.p < y.p")).select(*pair(F.lit(1.0)))
-    near = materialise(similar_titles(rows.select("_t").where("_t <> ''").distinct(), threshold), "near")
-    by_near = near.join(x, F.col("a") == F.col("x._t")).join(y, F.col("b") == F.col("y._t")).select(*pair(F.col("similarity")))
+    one = F.lit(1.0).alias("similarity")
+    # the three kinds have no pair in common, so the pairs need not meet again
+    other_doi = "(x.d = '' OR x.d <> y.d)"
+    by_doi = x.where("d <> ''").join(y.where("d <> ''"), F.expr("x.d = y.d AND x.p < y.p")).select(F.col("x.p").alias("pos_a"), F.col("y.p").alias("pos_b"), one)
+    same_title = x.join(y, F.expr(f"x.h = y.h AND x.p < y.p AND {other_doi}")).select(F.col("x.p").alias("pos_a"), F.col("y.p").alias("pos_b"), one)
+    near = materialise(similar_titles(_heads(rows), threshold), "near")
+    by_near = near.join(x, F.col("ia") == F.col("x.h")).join(y, F.expr(f"ib = y.h AND {other_doi}")).select(F.least("x.p", "y.p").alias("pos_a"), F.greatest("x.p", "y.p").alias("pos_b"), "similarity")
     return reduce(DataFrame.union, [by_doi, same_title, by_near]).groupBy("pos_a", "pos_b").agg(F.max("similarity").alias("similarity"))
 
 
+def _with_heads(papers: DataFrame, compose: bool) -> DataFrame:
+    """p, d (lower-case DOI), h (the first paper with the same normalised title, null without one) and, at that paper, _t; written out."""
+    rows = materialise(_prepared(papers, ("_pos",), compose).select(F.col("_at._pos").alias("p"), F.lower("doi").alias("d"), "_t"), "papers")
+    heads = rows.where("_t <> ''").groupBy(F.sha2("_t", 256).alias("k")).agg(F.min("p").alias("h"))
+    found = rows.withColumn("k", F.when(F.col("_t") != "", F.sha2("_t", 256))).join(heads, "k", "left")
+    return materialise(found.select("p", "d", "h", F.when(F.col("p") == F.col("h"), F.col("_t")).alias("_t")), "heads")
+
+
+def _heads(rows: DataFrame) -> DataFrame:
+    return rows.where("p = h").select("_t", "p")
+
+
 def duplicate_classes(papers: DataFrame, threshold: float = THRESHOLD, compose: bool = True) -> tuple[DataFrame, DataFrame]:
     """The duplicates of ``find_duplicates`` without writing out all pairs of copies: (members, links).
 
@@ -201,14 +234,7 @@ def duplicate_classes(papers: DataFrame, threshold: float = THRESHOLD, compose:
     papers. Two papers are duplicates where they share ``by_doi`` or
     ``by_title``, or where a link joins their titles.
     """
-    rows = materialise(_prepared(papers, ("_pos",), compose).select(F.col("_at._pos").alias("p"), F.lower("doi").alias("d"), "_t"), "papers")
-    dois = rows.where("d <> ''").groupBy("d").agg(F.min("p").alias("by_doi"))
-    titles = materialise(rows.where("_t <> ''").groupBy("_t").agg(F.min("p").alias("by_title")), "titles")
-    members = rows.join(dois, "d", "left").join(titles, "_t", "left").select(F.col("p").alias("_pos"), "by_doi", "by_title")
-    near = similar_titles(titles.select("_t"), threshold)
-    a, b = (titles.select(F.col("_t").alias(c), F.col("by_title").alias(f"p{c}")) for c in "ab")
-    links = near.join(a, "a").join(b, "b").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"), "similarity")
-    return members, links
+    return duplicate_members(papers, compose), duplicate_links(papers, threshold, compose)
 
 
 def duplicate_members(papers: DataFrame, compose: bool = True) -> DataFrame:
@@ -219,6 +245,11 @@ def duplicate_members(papers: DataFrame, compose: bool = True) -> DataFrame:
     return rows.join(dois, "d", "left").join(titles, "k", "left").select("_pos", "by_doi", "by_title")
 
 
+def duplicate_links(papers: DataFrame, threshold: float = THRESHOLD, compose: bool = True) -> DataFrame:
+    """The links of ``duplicate_classes``."""
+    return similar_titles(_heads(_with_heads(papers, compose)), threshold).select(F.col("ia").alias("a"), F.col("ib").alias("b"), "similarity")
+
+
 def _decide(papers: DataFrame, order: tuple[str, ...], threshold: float, compose: bool) -> DataFrame:
     """(_at, dup): whether a paper is removed, reading papers in order.
 
@@ -261,10 +292,12 @@ def _lost_titles(heads: DataFrame, threshold: float) -> DataFrame:
     # titles are numbered by place, so that numbers compare as places do
     numbered = number_rows(heads.select("_t", F.col("_at").alias("_pos")))
     found = _title_sets(numbered, threshold, ("_n", "_pos"))
-    sets = found.select(F.col("_n").cast("long").alias("i"), F.col("_pos").alias("_at"), "s", "own", "guest")
+    sets = found.select(F.col("_n").cast("long").alias("i"), F.col("_pos").alias("_at"), "s", "own", "guest", "packed")
     index = sets.select("i", F.size("s").alias("n"), F.explode(F.concat("own", "guest")).alias("k"))
     out = sets.select("i").limit(0)
     left = sets
+    # only the index knows what is like a title, but for large sets
+    large = sets.where("packed IS NOT NULL").select(F.col("i").alias("ia"))
     for _ in range(PIVOT_ROUNDS):
         firsts = materialise(index.groupBy("k").agg(F.min(F.struct("i", "n")).alias("first"), F.count("*").alias("m")).where("m > 1"), "firsts")
         if (firsts.agg(F.max("m")).first()[0] or 0) <= SHORT_LIST:
@@ -272,7 +305,7 @@ def _lost_titles(heads: DataFrame, threshold: float) -> DataFrame:
         listed = index.join(firsts, "k")
         ahead = materialise(listed.where("first.i < i").select("i", F.col("first.i").alias("ia"), _fitting(threshold, "n", "first.n").alias("fits")).distinct(), "ahead")
         # a pivot has nobody ahead
-        waiting = counted(ahead.select(F.col("i").alias("ia")).distinct(), "waiting")
+        waiting = counted(ahead.select(F.col("i").alias("ia")).union(large).distinct(), "waiting")
         pairs = materialise(ahead.where("fits").join(waiting, "ia", "left_anti").select("ia", F.col("i").alias("ib")), "pairs")
         gone = materialise(_verified(pairs, sets, threshold).select(F.col("ib").alias("i")).distinct(), "gone")
         if gone.isEmpty():

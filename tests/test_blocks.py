@@ -1,12 +1,58 @@
-"""Duplicates among long titles."""
+"""Duplicates among long titles: compared by prints, block by block."""
 
-from quire.operators import dedup
+import random
+
+import pytest
+
+from quire.operators import blocks, dedup
+
+
+def _families(seed: int, rows: int, words: int, base: int, edits: int) -> list[tuple[int, str, str]]:
+    """Titles of a few families that overlap in part, some of them equal."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randrange(2, 6)))
+    heads = [[word() for _ in range(rng.randrange(words // 2, words))] for _ in range(base)]
+    out = []
+    for k in range(rows):
+        title = list(rng.choice(heads))
+        for _ in range(rng.randrange(edits)):
+            title[rng.randrange(len(title))] = word()
+        out.append((k, f"10.1/{k % 40}" if k % 3 == 0 else "", " ".join(title)))
+    return out
 
 
 def _frame(spark, rows):
     return spark.createDataFrame(rows, "_pos long, doi string, title string")
 
 
+def _similar(a: str, b: str) -> float:
+    x, y = ({t[i : i + 3] for i in range(len(t) - 2)} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("threshold, large, block", [(0.92, 30, 4000), (0.92, 100, 400), (0.7, 60, 2000), (1.0, 10, 1000)])
+def test_links_of_large_sets_equal_brute_force(spark, monkeypatch, threshold, large, block):
+    monkeypatch.setattr(dedup, "LARGE", large)
+    monkeypatch.setattr(blocks, "BLOCK", block)
+    monkeypatch.setattr(blocks, "STRIP", (3, 7))
+    rows = _families(int(100 * threshold) + large, 150, 60, 6, 7)
+    first = {}
+    for k, _, t in rows:
+        first.setdefault(t, k)
+    heads = sorted((k, t) for t, k in first.items())
+    near = sorted((a, b, s) for n, (a, t) in enumerate(heads) for b, u in heads[n + 1 :] if (s := _similar(t, u)) >= threshold)
+    got = sorted(map(tuple, dedup.duplicate_links(_frame(spark, rows), threshold).collect()))
+    assert got == near and (threshold == 1.0 or len(near) > 50)
+
+
+def test_large_sets_have_no_index_keys(spark):
+    """Long texts agree on many parts by chance; their keys made nearly all pairs candidates, once for each shared part."""
+    rows = _families(3, 40, 300, 3, 4)
+    sets = dedup.indexed(_frame(spark, rows).selectExpr("title AS _t"), 0.92)
+    assert sets.where("size(s) >= 300 AND (size(own) > 0 OR size(guest) > 0 OR packed IS NULL)").isEmpty()
+    assert sets.where("size(s) >= 300").count() > 20
+
+
 def test_members_compare_no_titles(spark, monkeypatch):
     monkeypatch.setattr(dedup, "_similar_sets", None)
     members = dedup.duplicate_members(_frame(spark, [(0, "10.1/a", "One title"), (1, "10.1/A", "another"), (2, "", "one  TITLE"), (3, None, None)]))
