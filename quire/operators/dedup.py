@@ -210,7 +210,7 @@ def find_duplicates(papers: DataFrame, threshold: float = THRESHOLD, compose: bo
     same_title = x.join(y, F.expr(f"x.h = y.h AND x.p < y.p AND {other_doi}")).select(F.col("x.p").alias("pos_a"), F.col("y.p").alias("pos_b"), one)
     near = materialise(similar_titles(_heads(rows), threshold), "near")
     by_near = near.join(x, F.col("ia") == F.col("x.h")).join(y, F.expr(f"ib = y.h AND {other_doi}")).select(F.least("x.p", "y.p").alias("pos_a"), F.greatest("x.p", "y.p").alias("pos_b"), "similarity")
-    return reduce(DataFrame.union, [by_doi, same_title, by_near]).groupBy("pos_a", "pos_b").agg(F.max("similarity").alias("similarity"))
+    return reduce(DataFrame.union, [by_doi, same_title, by_near])
 
 
 def _with_heads(papers: DataFrame, compose: bool) -> DataFrame:

@@ -57,3 +57,17 @@ def test_members_compare_no_titles(spark, monkeypatch):
     monkeypatch.setattr(dedup, "_similar_sets", None)
     members = dedup.duplicate_members(_frame(spark, [(0, "10.1/a", "One title"), (1, "10.1/A", "another"), (2, "", "one  TITLE"), (3, None, None)]))
     assert sorted(map(tuple, members.collect())) == [(0, 0, 0), (1, 0, 1), (2, None, 0), (3, None, None)]
+
+
+def test_pairs_of_duplicates_come_without_a_further_grouping(spark):
+    rows = _families(5, 90, 40, 4, 4)
+    found = dedup.find_duplicates(_frame(spark, rows))
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = [tuple(r) for r in found.collect()]
+    want = []
+    for a, d, t in rows:
+        for b, e, u in rows[a + 1 :]:
+            s = 1.0 if d and d == e or t == u else _similar(t, u)
+            if s >= 0.92:
+                want.append((a, b, s))
+    assert sorted(got) == want and len(want) > 100
