@@ -23,6 +23,7 @@ higher-order functions over a character at a time; candidates are verified exact
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from fractions import Fraction
 from functools import reduce
 
@@ -276,6 +277,9 @@ def _decide(papers: DataFrame, order: tuple[str, ...], threshold: float, compose
 PIVOT_ROUNDS = 3
 #: Lists up to this length are compared pair by pair at once.
 SHORT_LIST = 256
+#: Shares of the large sets that are settled before the others, and how many there must be.
+LARGE_SHARES = 64, 8
+LEAST_LARGE = 200
 #: Links of a component that one task settles.
 COMPONENT = 500_000
 
@@ -296,6 +300,10 @@ def _lost_titles(heads: DataFrame, threshold: float) -> DataFrame:
     index = sets.select("i", F.size("s").alias("n"), F.explode(F.concat("own", "guest")).alias("k"))
     out = sets.select("i").limit(0)
     left = sets
+    for gone in _lost_large(sets, threshold):
+        out = out.union(gone)
+        left = left.join(gone, "i", "left_anti")
+    index = index.join(out, "i", "left_anti")
     # only the index knows what is like a title, but for large sets
     large = sets.where("packed IS NOT NULL").select(F.col("i").alias("ia"))
     for _ in range(PIVOT_ROUNDS):
@@ -320,6 +328,31 @@ def _lost_titles(heads: DataFrame, threshold: float) -> DataFrame:
     return sets.select("i", "_at").join(lost, "i", "left_semi").select("_at")
 
 
+def _lost_large(sets: DataFrame, threshold: float) -> Iterator[DataFrame]:
+    """(i): titles that go, from a first few of all titles to more, where there are many large sets.
+
+    The titles up to some number are settled among themselves, which no later
+    one changes; what is like a kept large set of them goes. Long texts of a
+    language are much alike, so few of them are left to be linked to each other.
+    """
+    n = sets.where("packed IS NOT NULL").count()
+    left = sets
+    for share in LARGE_SHARES:
+        if n // share < LEAST_LARGE:
+            continue
+        place = left.where("packed IS NOT NULL").agg(F.expr(f"approx_percentile(i, {1 / share})")).first()[0]
+        if place is None:
+            return
+        ahead = left.where(F.col("i") <= place)
+        edges = materialise(_similar_sets(ahead, threshold).select(F.col("ia").alias("early"), F.col("ib").alias("late")), "edges")
+        lost = materialise(independent(edges).select(F.col("late").alias("i")), "lost")
+        yield lost
+        kept = _compared(ahead.join(lost, "i", "left_anti"))
+        like = materialise(similar_large(kept, _share(threshold), 0, _compared(left.where(F.col("i") > place)), "like").select(F.col("ib").alias("i")).distinct(), "gone")
+        yield like
+        left = left.join(lost.union(like), "i", "left_anti")
+
+
 def _settled(links):
     """The greedy pass over the links of one task."""
     import pyarrow as pa

@@ -71,3 +71,17 @@ def test_pairs_of_duplicates_come_without_a_further_grouping(spark):
             if s >= 0.92:
                 want.append((a, b, s))
     assert sorted(got) == want and len(want) > 100
+
+
+@pytest.mark.parametrize("large", [30, 80])
+def test_dedup_of_large_sets_equals_the_sequential_pass(spark, monkeypatch, large):
+    monkeypatch.setattr(dedup, "LARGE", large)
+    monkeypatch.setattr(dedup, "LEAST_LARGE", 2)
+    monkeypatch.setattr(dedup, "SHORT_LIST", 3)
+    monkeypatch.setattr(blocks, "BLOCK", 3000)
+    rows = [(k, "", t) for k, _, t in _families(large, 220, 60, 5, 6)]
+    kept = []
+    for k, _, t in rows:
+        if not any(t == rows[j][2] or _similar(t, rows[j][2]) >= 0.92 for j in kept):
+            kept.append(k)
+    assert sorted(r._pos for r in dedup.dedup(_frame(spark, rows))[0].collect()) == kept and 5 < len(kept) < 200
