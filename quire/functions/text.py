@@ -5,22 +5,33 @@ from __future__ import annotations
 import re
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _compose(values: pd.Series) -> pd.Series:
+#: Texts that are composed at once.
+_TEXTS = 100
+
+
+def _compose(values: pa.Array) -> pa.Array:
     import unicodedata
 
-    return values.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+    import pyarrow as pa
+
+    # a few strings at a time, as a batch may hold thousands of long texts
+    parts = []
+    for lo in range(0, len(values), _TEXTS):
+        texts = values.slice(lo, _TEXTS).to_pylist()
+        parts.append(pa.array([None if x is None else unicodedata.normalize("NFKC", x) for x in texts], pa.string()))
+    return pa.concat_arrays(parts) if parts else values.slice(0, 0).cast(pa.string())
 
 
 def nfkc(text: Column) -> Column:
     """Compatibility composition. Spark has no built-in for it, so texts beyond ASCII,
-    and only those, are sent to a pandas UDF."""
+    and only those, are sent to an Arrow UDF."""
     beyond = text.rlike(r"[^\x00-\x7F]")
-    return F.coalesce(F.pandas_udf(_compose, "string")(F.when(beyond, text)), text)
+    return F.coalesce(F.arrow_udf(_compose, "string")(F.when(beyond, text)), text)
 
 
 def normalize_text(text: Column, compose: bool = True) -> Column:

@@ -135,3 +135,26 @@ def test_result_and_counters_are_one_job(spark):
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert len(jobs) == 1 and tuple(stats.first()) == (1000, 334, False)
+
+
+def test_texts_are_composed_a_few_at_a_time():
+    import unicodedata
+
+    import pyarrow as pa
+
+    from quire.functions import text
+
+    sizes = []
+    values = [None if k % 9 == 0 else f"ﬁ{k} é" for k in range(250)]
+
+    class Spied:
+        def __len__(self):
+            return len(values)
+
+        def slice(self, lo, n):
+            sizes.append(n)
+            return pa.array(values).slice(lo, n)
+
+    want = [None if v is None else unicodedata.normalize("NFKC", v) for v in values]
+    assert text._compose(Spied()).to_pylist() == want and max(sizes) <= 100
+    assert text._compose(pa.array([], pa.string())).to_pylist() == []
