@@ -15,9 +15,9 @@ from quire.operators import collections as C
 from quire.operators import dedup, journals
 from quire.operators.rules import FilterEngine
 from quire.sinks.formats import get_exporter
-from quire.sinks.source import write_single
+from quire.sinks.source import stream_parts, write_single, write_text
 from quire.sources.works import Scan, scan_works, take_observed
-from quire.tables import materialise, new_path
+from quire.tables import Scratch, materialise, new_path
 
 
 #: ISSNs that are shipped to a live source as a set (a few megabytes); more are joined.
@@ -152,9 +152,12 @@ def save_json(results: DataFrame, path: str | Path, member: str = "results", **d
 
 
 def output_json(results: DataFrame, member: str = "results", **document) -> None:
-    """The same document on standard output, where it has to pass the driver: streamed, partition by partition."""
+    """The same document on standard output: tasks write the rows into the shared folder, from where the driver copies their text block by block."""
     rows, head, tail = _document(results, member, document)
-    sys.stdout.write(head)
-    for i, row in enumerate(rows.orderBy("_pos").toLocalIterator()):
-        sys.stdout.write((",\n" if i else "") + row["text"])
-    sys.stdout.write(tail)
+    with Scratch() as scratch:
+        parts = new_path(results.sparkSession, "parts")
+        write_text(rows, parts, separator=",\n")
+        sys.stdout.write(head)
+        stream_parts(parts, sys.stdout, ",\n")
+        sys.stdout.write(tail)
+    scratch.drop(results.sparkSession)

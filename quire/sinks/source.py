@@ -15,6 +15,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from pathlib import Path
+from typing import TextIO
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -128,6 +129,22 @@ def write_text(rows: DataFrame, folder: str, order: tuple[str, ...] = ("_pos",),
     ordered.write.format(format_name).mode("overwrite" if overwrite else "append").options(**options).save(folder)
 
 
+def stream_parts(folder: str, out: TextIO, separator: str = "\n", block: int = 1 << 20) -> None:
+    """The text of the parts one after the other, read from the shared folder block by block; the line end that closes each part gives way to the separator."""
+    from codecs import getincrementaldecoder
+
+    where, _ = _where(folder)
+    for n, path in enumerate(_parts(folder)):
+        out.write(separator if n else "")
+        decode, held = getincrementaldecoder("utf-8")().decode, ""
+        with where.open_input_stream(path) as part:
+            while raw := part.read(block):
+                # the last character read is held back, as it may be the line end
+                text = held + decode(raw)
+                out.write(text[:-1])
+                held = text[-1:]
+
+
 def join_parts(folder: str, target: Path, separator: str = "\n", head: str = "", tail: str = "") -> Path:
     """The parts one after the other as one file, as bytes; the line end that closes each part gives way to the separator."""
     import shutil

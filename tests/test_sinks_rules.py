@@ -137,6 +137,36 @@ def test_result_and_counters_are_one_job(spark):
     assert len(jobs) == 1 and tuple(stats.first()) == (1000, 334, False)
 
 
+def test_output_json_sends_no_rows_to_the_driver(spark, tmp_path, monkeypatch, capsys):
+    """Tasks write the rows; the driver copies bytes of the shared folder."""
+    import json
+
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from quire.plans import pipelines
+
+    monkeypatch.setattr(DataFrame, "toLocalIterator", None)
+    rows = [(k, f"é{k}" * 30) for k in range(250)]
+    pipelines.output_json(spark.createDataFrame(rows, "_pos long, title string").repartition(5), query="q")
+    out = json.loads(capsys.readouterr().out)
+    assert out == {"query": "q", "results": [{"title": t} for _, t in rows]}
+    pipelines.output_json(spark.createDataFrame([], "_pos long, title string"))
+    assert json.loads(capsys.readouterr().out) == {"results": []}
+
+
+def test_parts_stream_in_blocks_of_any_size(tmp_path):
+    import io
+
+    from quire.sinks import source
+
+    (tmp_path / "part-1.txt").write_text("aé€\nb\n", encoding="utf-8")
+    (tmp_path / "part-2.txt").write_text("c\n", encoding="utf-8")
+    for block in (1, 2, 3, 100):
+        out = io.StringIO()
+        source.stream_parts(str(tmp_path), out, ",\n", block)
+        assert out.getvalue() == "aé€\nb,\nc"
+
+
 def test_texts_are_composed_a_few_at_a_time():
     import unicodedata
 
