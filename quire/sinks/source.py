@@ -23,6 +23,8 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 
 #: Suffix of a part where the option ``extension`` is not given.
 EXTENSION = ".txt"
+#: Rows that a task joins at once.
+ROWS = 100
 
 
 @dataclass
@@ -59,10 +61,11 @@ class TextWriter(DataSourceArrowWriter):
         between = self.separator.encode()
         with where.open_output_stream(path) as out:
             for batch in iterator:
-                texts = [t or b"" for t in batch.column(self.column).cast(pa.binary()).to_pylist()]
-                if texts:
+                # a few rows at a time, as a batch may hold thousands of long texts
+                for lo in range(0, batch.num_rows, ROWS):
+                    texts = [t or b"" for t in batch.column(self.column).slice(lo, ROWS).cast(pa.binary()).to_pylist()]
                     out.write((between if rows else b"") + between.join(texts))
-                rows += len(texts)
+                    rows += len(texts)
             if rows:
                 out.write(b"\n")
         return Part(number, path, rows)

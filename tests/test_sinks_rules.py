@@ -188,3 +188,33 @@ def test_texts_are_composed_a_few_at_a_time():
     want = [None if v is None else unicodedata.normalize("NFKC", v) for v in values]
     assert text._compose(Spied()).to_pylist() == want and max(sizes) <= 100
     assert text._compose(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_the_writer_joins_a_few_rows_at_a_time(spark, tmp_path, monkeypatch):
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    from quire.sinks import source
+
+    class Task:
+        def partitionId(self):
+            return 0
+
+    sizes = []
+
+    class Batch:
+        num_rows = 250
+
+        def column(self, k):
+            return self
+
+        def slice(self, lo, n):
+            sizes.append(n)
+            return pa.array([f"r{k}" for k in range(250)]).slice(lo, n)
+
+    monkeypatch.setattr(TaskContext, "get", classmethod(lambda cls: Task()))
+    part = source.TextWriter({"path": str(tmp_path)}, 0, False).write(iter([Batch(), Batch()]))
+    rows = [f"r{k}" for k in range(250)]
+    with open(part.path, encoding="utf-8") as f:
+        assert f.read() == "\n".join(rows + rows) + "\n"
+    assert part.rows == 500 and max(sizes) <= 100
