@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.issn import split_issns
@@ -102,14 +102,29 @@ def grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("group", F.col("journal")).join(first, "group")
 
 
+def inverted_index(text: Column) -> Column:
+    """The words of a text between blanks, each with its positions, within the row: words are sorted and cut where the word changes."""
+    word = lambda s, i: F.get(s, i)["w"]
+    placed = F.sort_array(F.transform(F.split(text, " "), lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (word(s, i) != word(s, i - 1)))
+        return F.struct(s.alias("s"), starts.alias("at"), F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(F.size(s))).alias("to"))
+
+    def entries(r: Column) -> Column:
+        cut = lambda i, j: F.struct(word(r["s"], i).alias("w"), F.transform(F.sequence(i, j - 1), lambda k: F.get(r["s"], k)["i"]).alias("ats"))
+        return F.map_from_entries(F.zip_with(r["at"], r["to"], cut))
+
+    # the sorted words and their cuts are worked out once: they are values of lambda variables
+    return F.get(F.transform(F.transform(F.array(placed), runs), entries), F.lit(0))
+
+
 def works(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The papers as works of the public JSON form."""
     rows = papers(spark, sf_dir)
-    words = rows.select("_pos", F.posexplode(F.split("abstract", " ")).alias("at", "w"))
-    index = words.groupBy("_pos", "w").agg(F.sort_array(F.collect_list("at")).alias("ats")).groupBy("_pos").agg(F.map_from_entries(F.collect_list(F.struct("w", "ats"))).alias("abstract_inverted_index"))
     named = lambda c: F.struct(c.alias("display_name"))
     some = F.col("_pos") % 8
-    return rows.join(index, "_pos").select(
+    return rows.select(
         "_pos",
         F.col("url").alias("id"),
         F.when(F.col("doi") != "", F.concat(F.lit("https://doi.org/"), "doi")).alias("doi"),
@@ -120,7 +135,7 @@ def works(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.struct(F.col("journal").alias("display_name"), F.concat("issns", F.array("issn_electronic", "issn_print")).alias("issn"), F.col("issn_l").alias("issn_l")).alias("source"),
             F.struct("volume", "issue", "first_page", "last_page").alias("biblio"),
         ).alias("primary_location"),
-        "abstract_inverted_index",
+        inverted_index(F.col("abstract")).alias("abstract_inverted_index"),
         F.when(F.col("language") != "", F.col("language")).alias("language"),
         "cited_by_count",
         F.struct(F.col("is_open_access").alias("is_oa"), F.col("open_access_url").alias("oa_url"), F.when(F.col("is_open_access"), "gold").alias("oa_status")).alias("open_access"),

@@ -13,6 +13,7 @@ import json
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
@@ -41,7 +42,8 @@ PAGE_ROWS = 200
 def reconstruct_abstract(inverted: Column) -> Column:
     """Words by position from a map of word to positions; ties in word order."""
     entry = lambda e: F.transform(e["value"], lambda i: F.struct(i.alias("i"), e["key"].alias("w")))
-    words = F.array_sort(F.flatten(F.transform(F.map_entries(inverted), entry)))
+    # sort_array compares natively, array_sort by a function of its own
+    words = F.sort_array(F.flatten(F.transform(F.map_entries(inverted), entry)))
     return F.coalesce(F.array_join(F.transform(words, lambda x: x["w"]), " "), F.lit(""))
 
 
@@ -136,7 +138,8 @@ class Scan:
 
     def column(self) -> Column:
         """The same predicates over paper columns; a query asks for all its words in the abstract, without a field in title and abstract together."""
-        keep = (F.col("doi") != "") & (F.col("abstract") != "")
+        words = self.query.lower().split()
+        keep = F.col("doi") != ""
         if self.year_from or self.year_to:
             keep &= F.col("pub_date").between(f"{self.year_from or 1900:04d}-01-01", f"{self.year_to or 9999:04d}-12-31")
         if self.language:
@@ -146,8 +149,11 @@ class Scan:
         elif self.has_issn:
             keep &= F.size("issns") > 0
         searched = F.lower("abstract") if self.search_field else F.lower(F.concat_ws(" ", "title", "abstract"))
-        for word in self.query.lower().split():
-            keep &= F.contains(searched, F.lit(word))
+        if not (words and self.search_field):
+            keep &= F.col("abstract") != ""
+        if words:
+            # a lambda's value: an abstract that is put together from its words is so once, not once a word
+            keep &= F.exists(F.array(searched), lambda t: reduce(Column.__and__, [F.contains(t, F.lit(w)) for w in words], t != ""))
         return F.coalesce(keep, F.lit(False))
 
 
