@@ -38,6 +38,8 @@ from quire.tables import materialise, number_rows
 
 #: Where files are cut.
 CUT = b"}"
+#: Bytes of a block: a reader has about fifty bytes of numbers for each of its bytes.
+WINDOW = 1 << 21
 _MOVED = "the blocks of the input have moved"
 #: Kinds of BibTeX blocks that are no entries.
 _NO_ENTRIES = ("comment", "preamble", "string")
@@ -51,18 +53,35 @@ def _fragments(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _blocks(batches) -> Iterator[tuple[str, int, int, Iterator[bytes]]]:
-    """(file, block, size of the file, its stretches of text) of a task's blocks, in order of reading."""
+    """(file, block, size of the file, its stretches of text) of a task's blocks, in order of reading.
+
+    A block of the file system is cut into blocks of ``WINDOW`` bytes, or one
+    fragment more, so that a task holds no more of it; they are numbered by the
+    bytes read of it, which both passes count alike.
+    """
+    import numpy as np
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     def stretches():
+        whole, at, left = None, 0, 0  # the block of the file system, where the one at hand begins, bytes that it still takes
         for batch in batches:
             files, starts, sizes = (batch.column(i).to_pylist() for i in range(3))
-            values = batch.column(3).cast(pa.binary()).to_pylist()
+            values = batch.column(3).cast(pa.binary())
+            ends = np.cumsum(pc.binary_length(values).to_numpy(zero_copy_only=False).astype(np.int64) + len(CUT))
             lo = 0
-            for i in range(1, len(files) + 1):
-                if i == len(files) or (files[i], starts[i]) != (files[lo], starts[lo]):
-                    yield files[lo], starts[lo], sizes[lo], CUT.join(values[lo:i]) + CUT
-                    lo = i
+            while lo < len(files):
+                if (files[lo], starts[lo]) != whole:
+                    whole, at, left = (files[lo], starts[lo]), starts[lo], WINDOW
+                elif left <= 0:
+                    at, left = at + WINDOW - left, WINDOW
+                read = int(ends[lo - 1]) if lo else 0
+                # up to the fragment with which the window is full
+                hi = min(int(np.searchsorted(ends, read + left)) + 1, len(files))
+                hi = next((i for i in range(lo + 1, hi) if (files[i], starts[i]) != whole), hi)
+                left -= int(ends[hi - 1]) - read
+                yield files[lo], at, sizes[lo], CUT.join(values.slice(lo, hi - lo).to_pylist()) + CUT
+                lo = hi
 
     held = None
     rest = stretches()
@@ -268,6 +287,7 @@ class _BibBlock:
         self.at = [s for s, _, _ in self.starts]
         #: by start: where its entry closes, None if not in this block
         self.stops = [self._close(end - 1, b) for _, end, b in self.starts]
+        self._after: list[list] | None = None
 
     def _close(self, bracket: int, b: str) -> int | None:
         levels, places = self._places[b]
@@ -290,10 +310,14 @@ class _BibBlock:
             k = bisect_right(self.at, stop)
 
     def after(self, position: int) -> list:
-        last = None
-        for last in self.entries(position):
-            pass
-        return [last[2], last[3]] if last and last[1] is None else []
+        """The state at the end of the block, having been outside of any entry at ``position``; worked out once for each entry, from the last one on."""
+        if self._after is None:
+            self._after = [[]] * (len(self.starts) + 1)
+            for k in reversed(range(len(self.starts))):
+                _, end, b = self.starts[k]
+                stop = self.stops[k]
+                self._after[k] = [b, int(self.total[b] - self.level[b][end - 1]) + 1] if stop is None else self._after[bisect_right(self.at, stop)]
+        return self._after[bisect_left(self.at, position)]
 
 
 def _next_state(effect: dict, state: list) -> list:
@@ -324,7 +348,7 @@ def compose_bib(effects: list[tuple[str, int, int, dict]]) -> dict[tuple[str, in
 
 
 class _BibEntries:
-    """Cuts the entries of a block; the block is held whole."""
+    """Cuts the entries of a block; the block, of ``WINDOW`` bytes or one fragment more, is held whole."""
 
     def __init__(self, state: dict):
         self.state, self.parts = state["state"], []
