@@ -448,8 +448,12 @@ def dedup_groups(papers: DataFrame, threshold: float = THRESHOLD, compose: bool
 
 def mark_duplicates(papers: DataFrame, order: tuple[str, ...] = ("_pos",), threshold: float = THRESHOLD, compose: bool = True) -> DataFrame:
     """``papers`` with ``_dup``; ``order`` must name each paper uniquely."""
-    decided = materialise(_decide(papers, order, threshold, compose).select("_at", F.col("dup").alias("_dup")), "dups")
-    return papers.join(decided, F.struct(*order) == F.col("_at")).drop("_at")
+    return papers.join(duplicate_flags(papers, order, threshold, compose), F.struct(*order) == F.col("_at")).drop("_at")
+
+
+def duplicate_flags(papers: DataFrame, order: tuple[str, ...] = ("_pos",), threshold: float = THRESHOLD, compose: bool = True) -> DataFrame:
+    """(_at, _dup), one row a paper, written out: its ``order`` and whether it is removed."""
+    return materialise(_decide(papers, order, threshold, compose).select("_at", F.col("dup").alias("_dup")), "dups")
 
 
 def distinct_first(values: DataFrame, key: Column, place: str = "_pos") -> DataFrame:

@@ -17,7 +17,7 @@ from quire.operators.rules import FilterEngine
 from quire.sinks.formats import get_exporter
 from quire.sinks.source import stream_parts, write_single, write_text
 from quire.sources.works import Scan, scan_works, take_observed
-from quire.tables import Scratch, materialise, new_path
+from quire.tables import BROADCAST_ROWS, Scratch, materialise, new_path
 
 
 #: ISSNs that are shipped to a live source as a set (a few megabytes); more are joined.
@@ -92,20 +92,28 @@ class FilterResult:
 def filter_papers(papers: DataFrame, engine: FilterEngine, index: DataFrame | None = None, annotate: bool = False, scopus_only: bool = False, deduplicate: bool = True, threshold: float = dedup.THRESHOLD, compose: bool = True) -> FilterResult:
     """Annotate where needed, apply the rules in one pass, then remove duplicates among the kept.
 
-    Raises NoResult if nothing is kept.
+    The papers are written once, with the verdict of the rules. Whether they are
+    duplicates is joined to them by place where they are read: the fewer of kept
+    and removed ones travel. Raises NoResult if nothing is kept.
     """
     if index is not None:
         papers = journals.annotate_if_needed(papers, index, annotate, scopus_only)
     marked = materialise(engine.mark(papers), "marked")
+    by_rules = marked.where("NOT _keep").drop("_keep")
     if deduplicate:
-        dups = dedup.mark_duplicates(marked.where("_keep"), ("_pos",), threshold, compose)
-        marked = materialise(dups.unionByName(marked.where("NOT _keep").withColumn("_dup", F.lit(False))), "filtered")
+        flags = dedup.duplicate_flags(marked.where("_keep"), ("_pos",), threshold, compose)
+        unique, dups = flags.agg(F.count_if(~F.col("_dup")), F.count_if("_dup")).first()
+        few = flags.where("_dup" if dups <= unique else "NOT _dup").select(F.col("_at._pos").alias("_few"))
+        listed = F.col("_few").isNotNull()
+        marked = marked.join(F.broadcast(few) if min(dups, unique) <= BROADCAST_ROWS else few, F.col("_pos") == F.col("_few"), "left")
+        marked = marked.withColumn("_dup", F.col("_keep") & (listed if dups <= unique else ~listed)).drop("_few")
     else:
         marked = marked.withColumn("_dup", F.lit(False))
-    kept = marked.where("_keep AND NOT _dup").drop("_keep", "_dup")
-    if kept.isEmpty():
+        unique = 0 if marked.where("_keep").isEmpty() else 1
+    if not unique:
         raise NoResult("no paper passes the rules")
-    removed = C.union_removed(marked.where("NOT _keep").drop("_keep", "_dup"), marked.where("_dup").drop("_keep", "_dup"))
+    kept = marked.where("_keep AND NOT _dup").drop("_keep", "_dup")
+    removed = C.union_removed(by_rules, marked.where("_dup").drop("_keep", "_dup"))
     return FilterResult(kept, removed, C.filter_counts(marked))
 
 

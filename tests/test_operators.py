@@ -8,6 +8,7 @@ from quire.operators import collections, dedup, journals, rules
 from quire.plans import pipelines
 from quire.schema import canonical
 from quire.sources.works import Scan, search_stats, take_accepted
+from quire.tables import Scratch
 
 BASE = {"doi": "10.1000/test", "title": "Test paper", "authors": ["Smith J."], "year": 2023}
 
@@ -278,6 +279,22 @@ def test_filter_pipeline(spark):
         pipelines.filter_papers(rows, rules.build_engine(min_citations=500))
 
 
+@pytest.mark.parametrize("broadcast", [0, 300_000])
+@pytest.mark.parametrize("copies", [1, 9])
+def test_filter_pipeline_writes_papers_once(spark, monkeypatch, broadcast, copies):
+    """Whole papers are in one table, whichever of kept and removed ones are fewer, and without duplicates being looked for."""
+    monkeypatch.setattr(pipelines, "BROADCAST_ROWS", broadcast, raising=False)
+    rows = papers(spark, *[{"doi": f"10.1/{i}", "title": f"title {i * 1111111}", "cited_by_count": 9} for i in range(4)], *[{"doi": "10.1/0", "cited_by_count": 9} for _ in range(copies)], {"doi": "10.1/0", "cited_by_count": 1})
+    with Scratch() as scratch:
+        result = pipelines.filter_papers(rows, rules.build_engine(min_citations=5))
+    assert len([p for p in scratch.paths if "abstract" in spark.read.parquet(p).columns]) == 1
+    assert sorted(r._pos for r in result.kept.collect()) == [0, 1, 2, 3]
+    assert sorted((r._pos, r._by) for r in result.removed.collect()) == [*((4 + i, "dedup") for i in range(copies)), (4 + copies, "rules")]
+    assert result.counts.first().asDict() == {"input_count": 5 + copies, "kept": 4, "removed": 1 + copies, "dedup_removed": copies, "kept_indexed": 0}
+    whole = pipelines.filter_papers(rows, rules.build_engine(min_citations=5), deduplicate=False)
+    assert whole.kept.count() == 4 + copies and whole.removed.count() == 1
+
+
 def test_search_pipeline_modes(spark):
     rows = papers(spark, *[{"doi": f"10.1/{i}", "abstract": "deep nets" if i % 2 else "other", "pub_date": f"20{10 + i}-01-15", "issns": [f"{1000 + i}-0000"]} for i in range(8)])
     plain = pipelines.search(rows, Scan("nets", 2011, 2016))
