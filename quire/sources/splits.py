@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from quire.functions.doi import extract_dois
 from quire.schema import PAPER_DDL, canonical
 from quire.sources.doi_lists import bib_entries
-from quire.tables import materialise, number_rows
+from quire.tables import counted, materialise, number_rows, running_total
 
 #: Where files are cut.
 CUT = b"}"
@@ -376,7 +376,7 @@ class _BibEntries:
 
 
 def _read(spark: SparkSession, path: str, effect: Callable, compose: Callable, cutter: type) -> DataFrame:
-    """Entries, written out: file, block (in which an entry begins), n (its number there), key, lists (whether the row says that a list begins), text."""
+    """Entries of pieces that are written out: file, block (in which an entry begins), n (its number there), run and place (the run of entries of one key there, and its number in it), key, lists (whether the row says that a list begins), text."""
     for attempt in range(3):
         states = _states(spark, path, effect, compose)
         try:
@@ -407,24 +407,40 @@ def _pieces(spark: SparkSession, path: str, states: dict, cutter: type) -> DataF
             if (file, block) not in states:
                 raise RuntimeError(_MOVED)
             state = states[file, block]
-            reader, n, ahead = cutter(state), 0, None
+            reader, at, ahead = cutter(state), _Places(), None
             for text in parts:
                 if ahead is not None:
                     rows = reader.feed(ahead)
                     if rows:
-                        yield table(file, block, n, rows, pa)
-                        n += len(rows)
+                        yield table(file, block, at, rows, pa)
                 ahead = text
             if ahead is not None:
                 rows = reader.feed(ahead[:-1] if state["extra"] else ahead) + reader.end()
                 if rows:
-                    yield table(file, block, n, rows, pa)
+                    yield table(file, block, at, rows, pa)
 
-    def table(file, block, n, rows, pa):
+    def table(file, block, at, rows, pa):
         kinds, keys, texts = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array([file] * len(rows)), pa.array([block] * len(rows), pa.int64()), pa.array(range(n, n + len(rows)), pa.int64()), pa.array(kinds), pa.array(keys, pa.string()), pa.array(texts, pa.string())], names=["file", "block", "n", "kind", "key", "text"])
+        numbers = (pa.array(x, pa.int64()) for x in zip(*(at.of(kind, key) for kind, key in zip(kinds, keys, strict=True)), strict=True))
+        return pa.RecordBatch.from_arrays([pa.array([file] * len(rows)), pa.array([block] * len(rows), pa.int64()), *numbers, pa.array(kinds), pa.array(keys, pa.string()), pa.array(texts, pa.string())], names=["file", "block", "n", "run", "place", "kind", "key", "text"])
 
-    return _fragments(spark, path).mapInArrow(cut, "file string, block long, n long, kind string, key string, text string")
+    return _fragments(spark, path).mapInArrow(cut, "file string, block long, n long, run long, place long, kind string, key string, text string")
+
+
+class _Places:
+    """Numbers the rows of a block, and the entries that begin in it within each run of one key; pieces of earlier entries have no place."""
+
+    def __init__(self):
+        self.n, self.run, self.place, self.key = 0, 0, 0, None
+
+    def of(self, kind: str, key: str | None) -> tuple[int, int | None, int | None]:
+        n, self.n = self.n, self.n + 1
+        if kind == "list" or (kind in ("whole", "head") and key != self.key):
+            self.run, self.place, self.key = self.run + 1, 0, key
+        if kind not in ("whole", "head"):
+            return n, None, None
+        self.place += 1
+        return n, self.run, self.place
 
 
 def _joined(pieces: DataFrame) -> DataFrame:
@@ -446,22 +462,25 @@ def _joined(pieces: DataFrame) -> DataFrame:
     table = F.broadcast(spark.createDataFrame(begun, "file string, block long, _hb long, _hn long, _key string"))
     placed = pieces.join(table, ["file", "block"], "left")
     late = F.col("kind").isin("middle", "tail")
-    own = placed.select("file", F.when(late, F.col("_hb")).otherwise(F.col("block")).alias("block"), F.when(late, F.col("_hn")).otherwise(F.col("n")).alias("n"), F.col("block").alias("_part"), "kind", F.when(late, F.lit(None).cast("string")).otherwise(F.coalesce("key", "_key")).alias("key"), "text")
-    done = own.where("kind IN ('whole', 'list')").select("file", "block", "n", "key", (F.col("kind") == "list").alias("lists"), "text")
+    own = placed.select("file", F.when(late, F.col("_hb")).otherwise(F.col("block")).alias("block"), F.when(late, F.col("_hn")).otherwise(F.col("n")).alias("n"), "run", "place", F.col("block").alias("_part"), "kind", F.when(late, F.lit(None).cast("string")).otherwise(F.coalesce("key", "_key")).alias("key"), "text")
+    done = own.where("kind IN ('whole', 'list')").select("file", "block", "n", "run", "place", "key", (F.col("kind") == "list").alias("lists"), "text")
     # an entry that runs over several blocks
-    split = own.where("kind IN ('head', 'middle', 'tail') AND block IS NOT NULL").groupBy("file", "block", "n").agg(F.max("key").alias("key"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_part", "text"))), lambda p: p["text"]), "").alias("text"))
-    return done.unionByName(split.where(F.trim("text") != "").select("file", "block", "n", "key", F.lit(False).alias("lists"), "text"))
+    split = own.where("kind IN ('head', 'middle', 'tail') AND block IS NOT NULL").groupBy("file", "block", "n").agg(F.max("run").alias("run"), F.max("place").alias("place"), F.max("key").alias("key"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_part", "text"))), lambda p: p["text"]), "").alias("text"))
+    return done.unionByName(split.where(F.trim("text") != "").select("file", "block", "n", "run", "place", "key", F.lit(False).alias("lists"), "text"))
 
 
 def read_papers_files(spark: SparkSession, path: str) -> DataFrame:
     """Papers of JSON files as ``documents.read_papers`` has them, whatever a file's size; ``_pos`` runs on from file to file."""
-    entries = materialise(_read(spark, path, json_effect, compose_json, _JsonEntries), "entries")
+    entries = _read(spark, path, json_effect, compose_json, _JsonEntries)
     lists = entries.where("lists").groupBy("file").agg(F.max(F.col("key") == "results").alias("_results"), F.max(F.col("key") == "kept").alias("_kept"))
-    rows = entries.where("NOT lists").join(lists, "file", "left")
+    # entries are placed by their runs, of which a block has few: no text is moved to number them
+    runs = entries.where("NOT lists").groupBy("file", "block", "run").agg(F.max("key").alias("key"), F.max("place").alias("_m")).join(lists, "file", "left")
     wanted = F.when(F.col("_results"), F.col("key") == "results").when(F.col("_kept"), F.col("key") == "kept").otherwise(True)
-    chosen = rows.where(F.coalesce(wanted, F.lit(True))).select(F.struct("file", "block", "n").alias("_pos"), "text")
-    numbered = number_rows(chosen).select((F.col("_n") - 1).cast("bigint").alias("_pos"), F.from_json(F.to_json(F.parse_json("text")), PAPER_DDL).alias("p"))
-    return canonical(numbered.select("_pos", "p.*"))
+    chosen = runs.where(F.coalesce(wanted, F.lit(True))).select(F.struct("file", "block", "run").alias("_pos"), "_m")
+    bases = counted(running_total(chosen, "_m", "_n").select("_pos.*", (F.col("_n") - F.col("_m")).alias("_base")), "runs")
+    placed = entries.where("NOT lists").join(bases, ["file", "block", "run"])
+    read = placed.select((F.col("_base") + F.col("place") - 1).cast("bigint").alias("_pos"), F.from_json(F.to_json(F.parse_json("text")), PAPER_DDL).alias("p"))
+    return canonical(read.select("_pos", "p.*"))
 
 
 def read_bib_files(spark: SparkSession, path: str) -> DataFrame:

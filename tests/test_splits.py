@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.sources import doi_lists, documents, splits
+from quire.tables import Scratch
 
 
 @contextmanager
@@ -137,3 +138,17 @@ def test_a_large_file_is_read_by_many_tasks(spark, tmp_path):
         got = splits.read_papers_files(spark, str(tmp_path / "big.json"))
         assert got.count() == 3000 and got.agg(F.sum("_pos")).first()[0] == 2999 * 1500
         assert {r.title for r in got.select("title").collect()} == {p["title"] for p in papers}
+
+
+def test_texts_of_papers_are_written_once(spark, tmp_path, monkeypatch):
+    """Papers get their places from the runs of their blocks, whatever else stands between these; one table holds texts."""
+    rng = random.Random(7)
+    ps = [_paper(rng, n) for n in range(40)]
+    others = {f"k{n}": ps[n : n + 2] for n in range(9)}
+    (tmp_path / "a.json").write_text(json.dumps(others | {"kept": ps[:17], "n": [1, 2, {}]}))
+    (tmp_path / "b.json").write_text(json.dumps({"removed": ps[5:9], "results": ps[17:]} | others))
+    monkeypatch.setattr(splits, "WINDOW", 500)
+    with Scratch() as scratch:
+        papers = splits.read_papers_files(spark, str(tmp_path))
+    assert len([p for p in scratch.paths if "text" in spark.read.parquet(p).columns]) == 1
+    assert [(r._pos, r.title) for r in papers.orderBy("_pos").collect()] == [(n, p["title"]) for n, p in enumerate(ps)]
