@@ -36,7 +36,7 @@ from quire.functions.doi import doi_key
 from quire.functions.text import normalize_text
 from quire.operators.blocks import packed, similar_large
 from quire.operators.components import components
-from quire.tables import counted, materialise, number_rows
+from quire.tables import BROADCAST_ROWS, counted, materialise, number_rows
 
 THRESHOLD = 0.92
 #: Shingles there can be: three characters of 37.
@@ -279,17 +279,22 @@ def _decide(papers: DataFrame, order: tuple[str, ...], threshold: float, compose
        either its kept twin or what removed the twin); ``_lost_titles`` decides
        among these.
     """
-    rows = _prepared(papers, order, compose)
+    rows = papers.select(F.struct(*order).alias("_at"), F.coalesce("doi", F.lit("")).alias("doi"), "title")
     by_doi = Window.partitionBy("_key").orderBy("_at")
-    keyed = rows.withColumn("_key", F.when(F.col("doi") != "", doi_key(F.col("doi"))))
-    seen = keyed.where("_key IS NOT NULL").select("_at", "_t", (F.row_number().over(by_doi) > 1).alias("doi_dup"))
-    first = materialise(seen.union(keyed.where("_key IS NULL").select("_at", "_t", F.lit(False))), "doi-step")
-    alive = first.where("NOT doi_dup AND _t <> ''")
+    keyed = rows.select("_at", F.when(F.col("doi") != "", doi_key(F.col("doi"))).alias("_key"))
+    seen = keyed.where("_key IS NOT NULL").select("_at", (F.row_number().over(by_doi) > 1).alias("doi_dup"))
+    first = materialise(seen.union(keyed.where("_key IS NULL").select("_at", F.lit(False))), "doi-step")
+    # titles are normalised where the DOI has not decided; the fewer of both sides travel
+    again, rest = first.agg(F.count_if("doi_dup"), F.count_if(~F.col("doi_dup"))).first()
+    few = first.where("doi_dup" if again <= rest else "NOT doi_dup").select("_at")
+    open_ = rows.join(F.broadcast(few) if min(again, rest) <= BROADCAST_ROWS else few, "_at", "left_anti" if again <= rest else "left_semi")
+    titles = materialise(open_.select("_at", normalize_text(F.col("title"), compose).alias("_t")), "normalised")
+    alive = titles.where("_t <> ''")
     heads = materialise(alive.groupBy("_t").agg(F.min("_at").alias("_at")), "titles")
     lost = _lost_titles(heads, threshold)
     out = alive.join(heads.select("_t", F.col("_at").alias("_head")), "_t").join(lost.select(F.col("_at").alias("_lost")), F.col("_head") == F.col("_lost"), "left")
     titled = out.select("_at", ((F.col("_at") != F.col("_head")) | F.col("_lost").isNotNull()).alias("dup"))
-    return titled.union(first.where("doi_dup OR _t = ''").select("_at", F.col("doi_dup").alias("dup")))
+    return titled.union(titles.where("_t = ''").select("_at", F.lit(False))).union(first.where("doi_dup").select("_at", "doi_dup"))
 
 
 #: Rounds in which the first titles of the index lists settle what is like them, before all other pairs are looked at.

@@ -3,7 +3,9 @@
 A rule never yields null, so kept and removed rows are each other's complement.
 Comparisons stay bare (``x IS NOT NULL AND x >= n`` rather than a ``coalesce``),
 so that they reach a Parquet scan. Rules are cheap to dear: Catalyst keeps the
-order of a conjunction.
+order of a conjunction. It evaluates Python functions, and what they are given,
+for every row whatever the conjunction says, so the engine hands the texts that
+are searched to the search only where the cheap rules hold.
 """
 
 from __future__ import annotations
@@ -35,6 +37,10 @@ class Rule:
     def column(self) -> Column:
         raise NotImplementedError
 
+    def column_where(self, passed: Column) -> Column:
+        """``column()`` where ``passed`` holds; elsewhere anything, null too."""
+        return self.column()
+
     def prepare(self, papers: DataFrame) -> DataFrame:
         """``papers`` with the helper columns that ``column()`` reads, if any; their names start with ``_rule``."""
         return papers
@@ -118,7 +124,7 @@ def any_keyword(text: Column, keywords: list[str]) -> Column:
             automaton.add_word(word)
         automaton.make_automaton()
         for texts in batches:
-            yield texts.map(lambda t: next(automaton.iter(t), None) is not None).astype(bool)
+            yield texts.map(lambda t: t is not None and next(automaton.iter(t), None) is not None).astype(bool)
 
     search.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(search, "boolean")(text)
@@ -137,8 +143,11 @@ class KeywordRule(Rule):
     ignore_empty: bool = False
     compose: bool = True
 
-    def found(self) -> Column | None:
-        """Whether any keyword is found; None if there are none to look for."""
+    def column(self) -> Column:
+        return self.column_where(None)
+
+    def found(self, passed: Column | None = None) -> Column | None:
+        """Whether any keyword is found; None if there are none to look for. Texts are searched where ``passed`` holds, if it is given."""
         wanted = list(dict.fromkeys(normalize_plain(k.lower()) for k in self.keywords))
         wanted = [w for w in wanted if w or not self.ignore_empty]
         if not wanted:
@@ -146,7 +155,8 @@ class KeywordRule(Rule):
         parts = [F.array_join(F.coalesce(F.col(f), F.array().cast("array<string>")), " ") if f in ("keywords", "authors", "subjects", "issns") else _text(f) for f in self.fields]
         if "" in wanted:
             return F.lit(True)
-        text = normalize_text(F.concat_ws(" ", *parts), self.compose)
+        text = F.concat_ws(" ", *parts)
+        text = normalize_text(text if passed is None else F.when(passed, text), self.compose)
         if len(wanted) > CONTAINS:
             return any_keyword(text, wanted)
         return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in wanted])
@@ -156,8 +166,8 @@ class KeywordRule(Rule):
 class KeywordBlacklist(KeywordRule):
     name = "exclude_keywords"
 
-    def column(self) -> Column:
-        found = self.found()
+    def column_where(self, passed: Column | None) -> Column:
+        found = self.found(passed)
         return F.lit(True) if found is None else ~found
 
 
@@ -165,8 +175,8 @@ class KeywordBlacklist(KeywordRule):
 class KeywordWhitelist(KeywordRule):
     name = "include_keywords"
 
-    def column(self) -> Column:
-        found = self.found()
+    def column_where(self, passed: Column | None) -> Column:
+        found = self.found(passed)
         return F.lit(True) if found is None else found
 
 
@@ -264,7 +274,11 @@ class FilterEngine:
         return self
 
     def column(self) -> Column:
-        return reduce(lambda a, b: a & b, [r.column() for r in self.rules], F.lit(True))
+        both = lambda a, b: a & b
+        cheap = [r.column() for r in self.rules if not isinstance(r, (KeywordRule, PredicateRule))]
+        # a conjunction with a false side is false whatever the other one is
+        passed = reduce(both, cheap) if cheap else None
+        return reduce(both, [r.column() if passed is None else r.column_where(passed) for r in self.rules], F.lit(True))
 
     def mark(self, papers: DataFrame) -> DataFrame:
         """``papers`` with ``_keep``: one pass for both sides."""

@@ -89,17 +89,27 @@ class FilterResult:
     counts: DataFrame
 
 
-def filter_papers(papers: DataFrame, engine: FilterEngine, index: DataFrame | None = None, annotate: bool = False, scopus_only: bool = False, deduplicate: bool = True, threshold: float = dedup.THRESHOLD, compose: bool = True) -> FilterResult:
+def filter_papers(papers: DataFrame, engine: FilterEngine, index: DataFrame | None = None, annotate: bool = False, scopus_only: bool = False, deduplicate: bool = True, threshold: float = dedup.THRESHOLD, compose: bool = True, columns: tuple[str, ...] | None = None) -> FilterResult:
     """Annotate where needed, apply the rules in one pass, then remove duplicates among the kept.
 
     The papers are written once, with the verdict of the rules. Whether they are
     duplicates is joined to them by place where they are read: the fewer of kept
     and removed ones travel. Raises NoResult if nothing is kept.
+
+    ``columns`` are those that kept and removed papers shall have beside ``_pos``
+    (None: all). Of the others, only those that the next steps read are written,
+    titles and DOIs of the papers that the rules keep.
     """
     if index is not None:
         papers = journals.annotate_if_needed(papers, index, annotate, scopus_only)
-    marked = materialise(engine.mark(papers), "marked")
-    by_rules = marked.where("NOT _keep").drop("_keep")
+    marked, more = engine.mark(papers), []
+    if columns is not None:
+        compared = [c for c in ("doi", "title") if deduplicate and c not in columns]
+        counted = [c for c in ("scopus_indexed",) if c not in columns]
+        marked = marked.select("_pos", *(c for c in columns if c != "_pos"), *(F.when(F.col("_keep"), F.col(c)).alias(c) for c in compared), *counted, "_keep")
+        more = compared + counted
+    marked = materialise(marked, "marked")
+    by_rules = marked.where("NOT _keep").drop("_keep", *more)
     if deduplicate:
         flags = dedup.duplicate_flags(marked.where("_keep"), ("_pos",), threshold, compose)
         unique, dups = flags.agg(F.count_if(~F.col("_dup")), F.count_if("_dup")).first()
@@ -112,8 +122,8 @@ def filter_papers(papers: DataFrame, engine: FilterEngine, index: DataFrame | No
         unique = 0 if marked.where("_keep").isEmpty() else 1
     if not unique:
         raise NoResult("no paper passes the rules")
-    kept = marked.where("_keep AND NOT _dup").drop("_keep", "_dup")
-    removed = C.union_removed(by_rules, marked.where("_dup").drop("_keep", "_dup"))
+    kept = marked.where("_keep AND NOT _dup").drop("_keep", "_dup", *more)
+    removed = C.union_removed(by_rules, marked.where("_dup").drop("_keep", "_dup", *more))
     return FilterResult(kept, removed, C.filter_counts(marked))
 
 

@@ -1,9 +1,11 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from quire.functions import text
 from quire.operators import collections, dedup, journals, rules
 from quire.plans import pipelines
 from quire.schema import canonical
@@ -295,6 +297,61 @@ def test_filter_pipeline_writes_papers_once(spark, monkeypatch, broadcast, copie
     assert whole.kept.count() == 4 + copies and whole.removed.count() == 1
 
 
+def strict(word):
+    """A composition that no text with ``word`` may reach."""
+
+    def compose(values):
+        import pyarrow as pa
+
+        texts = values.to_pylist()
+        if any(word in (t or "") for t in texts):
+            raise ValueError(word)
+        return pa.array(texts, pa.string())
+
+    compose.__annotations__ = {"values": pa.Array, "return": pa.Array}
+    return compose
+
+
+@pytest.mark.parametrize("n", [1, rules.CONTAINS + 1])
+def test_texts_are_searched_where_the_cheap_rules_hold(spark, monkeypatch, n):
+    """Python functions are given texts of papers that only the keywords can still remove, on whichever side of the others the rule stands."""
+    monkeypatch.setattr(text, "_compose", strict("costly"))
+    df = papers(spark, {"abstract": "caf\u00e9 costly", "cited_by_count": 1}, {"abstract": "caf\u00e9 nets", "cited_by_count": 9}, {"abstract": "caf\u00e9 graphs", "cited_by_count": 9}, {"abstract": None, "cited_by_count": 9}, {"abstract": "nets", "cited_by_count": 1})
+    words = ("nets", *(f"word{i}" for i in range(n - 1)))
+    for engine in (rules.build_engine(min_citations=5, exclude_keywords=",".join(words)), rules.FilterEngine([rules.KeywordBlacklist(words), rules.CitationRule(5)])):
+        marked = {r._pos: r._keep for r in engine.mark(df).collect()}
+        assert marked == {0: False, 1: False, 2: True, 3: True, 4: False}
+    both = rules.build_engine(min_citations=5, exclude_keywords=",".join(words), include_keywords="graphs")
+    assert [r._pos for r in both.apply(df)[0].collect()] == [2]
+
+
+@pytest.mark.parametrize("broadcast", [0, 300_000])
+@pytest.mark.parametrize("copies", [1, 9])
+def test_titles_are_normalised_where_the_doi_leaves_open(spark, monkeypatch, broadcast, copies):
+    monkeypatch.setattr(text, "_compose", strict("costly"))
+    monkeypatch.setattr(dedup, "BROADCAST_ROWS", broadcast)
+    rows = papers(spark, *[{"doi": f"10.1/{i}", "title": f"\u00e9 {i * 1111111}"} for i in range(3)], {"doi": "", "title": "\u00e9 1111111"}, {"doi": "", "title": "\u00e9"}, {"doi": None, "title": None}, *[{"doi": " 10.1/0", "title": "\u00e9 costly"} for _ in range(copies)])
+    unique, removed = dedup.dedup(rows)
+    assert sorted(r._pos for r in unique.collect()) == [0, 1, 2, 4, 5]
+    assert sorted(r._pos for r in removed.collect()) == [3, *range(6, 6 + copies)]
+
+
+@pytest.mark.parametrize("columns", [(), ("doi", "title"), ("scopus_indexed", "abstract")])
+def test_filter_pipeline_writes_what_is_asked_for(spark, columns):
+    """Of the columns not asked for, only titles and DOIs of papers that the rules keep are written; the results are the same."""
+    rows = papers(spark, {"doi": "10.1/a", "title": "alpha beta gamma", "cited_by_count": 9, "scopus_indexed": True}, {"doi": "10.1/A", "cited_by_count": 9}, {"doi": "10.1/b", "cited_by_count": 1, "title": "gone by rules"})
+    whole = pipelines.filter_papers(rows, rules.build_engine(min_citations=5))
+    with Scratch() as scratch:
+        result = pipelines.filter_papers(rows, rules.build_engine(min_citations=5), columns=columns)
+    first = spark.read.parquet(scratch.paths[0])
+    assert set(first.columns) == {"_pos", "doi", "title", "scopus_indexed", "_keep", *columns}
+    assert first.where("title = 'gone by rules'").count() == ("title" in columns)
+    assert result.kept.columns == ["_pos", *columns] and result.removed.columns == ["_pos", *columns, "_by"]
+    assert result.kept.collect() == whole.kept.select("_pos", *columns).collect()
+    assert sorted(result.removed.collect()) == sorted(whole.removed.select("_pos", *columns, "_by").collect())
+    assert result.counts.collect() == whole.counts.collect()
+
+
 def test_search_pipeline_modes(spark):
     rows = papers(spark, *[{"doi": f"10.1/{i}", "abstract": "deep nets" if i % 2 else "other", "pub_date": f"20{10 + i}-01-15", "issns": [f"{1000 + i}-0000"]} for i in range(8)])
     plain = pipelines.search(rows, Scan("nets", 2011, 2016))
