@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from quire.plans.queries import ORACLES, QUERIES
+from quire.tables import Scratch
 
 ROOT = Path(__file__).resolve().parents[1]
 SF = "/root/testdata/sf0.001"
@@ -35,6 +36,17 @@ def test_query_equals_its_oracle(spark, db, name):
     assert sorted(repr([r[c] for c in columns]) for r in got.collect()) == expected
 
 
+@pytest.mark.parametrize("name", ["filter_counts", "union_removed"])
+def test_filter_queries_write_no_text_of_papers_that_the_rules_remove(spark, name):
+    with Scratch() as scratch:
+        QUERIES[name](spark, SF)
+    tables = [spark.read.parquet(p) for p in scratch.paths]
+    assert not any({"abstract", "keywords", "url"} & set(t.columns) for t in tables)
+    marked = next(t for t in tables if "_keep" in t.columns)
+    assert marked.where("NOT _keep AND (title IS NOT NULL OR doi IS NOT NULL)").isEmpty()
+    assert marked.where("_keep AND title IS NULL").isEmpty() and not marked.where("NOT _keep").isEmpty()
+
+
 def test_every_paper_is_asked_for(spark, db):
     n = db.sql("SELECT count(*) FROM documents").fetchall()[0][0]
     assert QUERIES["doi_enrich"](spark, SF).count() == n
