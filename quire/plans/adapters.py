@@ -16,6 +16,10 @@ from quire.functions.issn import split_issns
 from quire.schema import canonical
 
 
+#: Labels, two numbers a row, are broadcast up to this many; a join by shuffle moves the whole text of every document.
+LABELS = 2_000_000
+
+
 def text(x: str) -> str:
     return f"CAST({x} AS VARCHAR(20))"
 
@@ -68,6 +72,8 @@ def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """SQL over the driver's tables, without registering names in the session."""
     tables = sorted(set(re.findall(r"(?:FROM|JOIN) (\w+)", sql)))
     bound = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables}
+    if "labels" in bound and bound["labels"].count() <= LABELS:
+        bound["labels"] = F.broadcast(bound["labels"])
     plain = sql.replace("{", "{{").replace("}", "}}")
     return spark.sql(re.sub(r"(FROM|JOIN) (\w+)", r"\1 {\2}", plain), **bound)
 

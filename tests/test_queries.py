@@ -5,6 +5,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from quire.plans import adapters
 from quire.plans.queries import ORACLES, QUERIES
 from quire.tables import Scratch
 
@@ -47,6 +48,22 @@ def test_filter_queries_write_no_text_of_papers_that_the_rules_remove(spark, nam
     assert marked.where("_keep AND title IS NULL").isEmpty() and not marked.where("NOT _keep").isEmpty()
 
 
+@pytest.mark.parametrize("most", [0, adapters.LABELS])
+def test_texts_do_not_move_for_their_labels(spark, db, monkeypatch, most):
+    """Nor where Spark would not broadcast the labels by itself; with too many of them the result is the same."""
+    monkeypatch.setattr(adapters, "LABELS", most)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = adapters.papers(spark, SF).select("_pos", "title", "scopus_indexed")
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        got = sorted(map(tuple, rows.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert ("hashpartitioning" in plan) == (most == 0)
+    assert got == sorted(db.sql(f"SELECT _pos, title, scopus_indexed FROM ({adapters.PAPERS})").fetchall())
+
+
 def test_every_paper_is_asked_for(spark, db):
     n = db.sql("SELECT count(*) FROM documents").fetchall()[0][0]
     assert QUERIES["doi_enrich"](spark, SF).count() == n
