@@ -1,8 +1,12 @@
 """Duplicates among long titles: compared by prints, block by block."""
 
 import random
+from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from quire.operators import blocks, dedup
 
@@ -85,3 +89,49 @@ def test_dedup_of_large_sets_equals_the_sequential_pass(spark, monkeypatch, larg
         if not any(t == rows[j][2] or _similar(t, rows[j][2]) >= 0.92 for j in kept):
             kept.append(k)
     assert sorted(r._pos for r in dedup.dedup(_frame(spark, rows))[0].collect()) == kept and 5 < len(kept) < 200
+
+
+def _sets(seed: int, families: int, sets: int, words: int) -> list:
+    """Sets of numbers: of each family some that hold nearly all of its numbers, families apart."""
+    rng = np.random.default_rng(seed)
+    return [np.sort(rng.choice(np.arange(f * words, (f + 1) * words), words - int(rng.integers(0, words // 8)), replace=False)) + 5 for f in range(families) for _ in range(sets)]
+
+
+def _side(sets) -> blocks._Side:
+    return blocks._Side(pa.table({"i": pa.array(range(len(sets)), pa.int64()), "n": pa.array([len(s) for s in sets]), "packed": pa.array([blocks.packed(s) for s in sets], pa.binary())}))
+
+
+@pytest.mark.parametrize("beside, room", [(400, 128), (3, 128), (2, 64)])
+def test_a_crowded_block_comes_in_small_batches(monkeypatch, beside, room):
+    """All pairs of a block were held at once, several times over."""
+    monkeypatch.setattr(blocks, "PAIRS", 100)
+    monkeypatch.setattr(blocks, "STRIP", (4, 16))
+    monkeypatch.setattr(blocks, "BESIDE", beside)
+    monkeypatch.setattr(blocks, "HINT", room)
+    sets = _sets(1, 3, 60, 300)
+    side = _side(sets)
+    blocks._landmarks(side, side)
+    blocks._facing(side, side)
+    found = list(blocks._compare(side, side, Fraction("0.92"), True, 0))
+    likeness = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+    want = {(a, b): s for b in range(len(sets)) for a in range(b) if (s := likeness(sets[a], sets[b])) >= 0.92}
+    got = {(min(a, b), max(a, b)): s for ia, ib, like in found for a, b, s in zip(ia.tolist(), ib.tolist(), like.tolist(), strict=True)}
+    assert got == want and sum(len(f[0]) for f in found) == len(want) > 500
+    assert max(len(f[0]) for f in found) <= 100
+
+
+def test_sets_of_two_languages_are_not_compared():
+    """Every two sets of fitting size had their prints compared."""
+    side = _side(_sets(2, 4, 64, 300))
+    blocks._landmarks(side, side)
+    pairs = [np.stack(p, 1) for p in blocks._strips(side, side, Fraction("0.92"), True)]
+    assert len(side.far) == 4 and {(a // 64, b // 64) for a, b in side.i[np.concatenate(pairs)].tolist()} == {(f, f) for f in range(4)}
+    assert all(len(set((side.i[side.order[lo : lo + 32]] // 64).tolist())) == 1 for lo in range(0, 256, 32))
+
+
+def test_groups_have_a_partition_each(spark):
+    """Groups were dealt by the hash of their number, up to five to a task."""
+    for n in (2, 7, 40):
+        numbers = blocks._apart(spark, n)
+        rows = spark.createDataFrame([(g,) for g in numbers], "g int").repartition(n, "g")
+        assert rows.select(F.spark_partition_id()).distinct().count() == n
