@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from quire.tables import materialise
 
 #: Elements that a block may hold (two bytes each), and blocks at least where there are as many sets.
-BLOCK = 40_000_000
+BLOCK = 20_000_000
 BLOCKS = 12
 #: Bits of a print.
 BITS = 512

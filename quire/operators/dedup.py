@@ -43,6 +43,8 @@ THRESHOLD = 0.92
 SHINGLES = 37**3
 #: Size of the sets from which on all are compared by prints.
 LARGE = 256
+#: Rows of a group that one task holds against the whole group, pairs that a task lists, and tasks at most.
+RUN, TASK_PAIRS, MOST_TASKS = 10_000, 500_000, 2000
 
 
 def _likenesses(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -226,13 +228,30 @@ def find_duplicates(papers: DataFrame, threshold: float = THRESHOLD, compose: bo
     one = F.lit(1.0).alias("similarity")
     # the three kinds have no pair in common, so the pairs need not meet again
     other_doi = "(x.d = '' OR x.d <> y.d)"
-    by_doi = x.where("d <> ''").join(y.where("d <> ''"), F.expr("x.d = y.d AND x.p < y.p")).select(F.col("x.p").alias("pos_a"), F.col("y.p").alias("pos_b"), one)
-    same_title = x.join(y, F.expr(f"x.h = y.h AND x.p < y.p AND {other_doi}")).select(F.col("x.p").alias("pos_a"), F.col("y.p").alias("pos_b"), one)
+    by_doi = _pairs_within(rows.where("d <> ''").select("p", "d"), "d").select(F.col("x.p").alias("pos_a"), F.col("y.p").alias("pos_b"), one)
+    same_title = _pairs_within(rows.where("h IS NOT NULL").select("p", "d", "h"), "h").where(other_doi).select(F.col("x.p").alias("pos_a"), F.col("y.p").alias("pos_b"), one)
     near = materialise(similar_titles(_heads(rows), threshold), "near")
     by_near = near.join(x, F.col("ia") == F.col("x.h")).join(y, F.expr(f"ib = y.h AND {other_doi}")).select(F.least("x.p", "y.p").alias("pos_a"), F.greatest("x.p", "y.p").alias("pos_b"), "similarity")
     return reduce(DataFrame.union, [by_doi, same_title, by_near])
 
 
+def _pairs_within(rows: DataFrame, key: str) -> DataFrame:
+    """All pairs (x, y) of rows with one key, x.p < y.p, dealt out by the number of pairs.
+
+    Rows are few beside their pairs, so their bytes would leave them to few tasks.
+    A group beyond ``RUN`` rows is cut into runs, each of which meets the whole group.
+    """
+    sizes = materialise(rows.groupBy(key).agg(F.count("*").alias("m")).where("m > 1"), "sizes")
+    pairs = sizes.agg(F.sum(F.col("m").cast("double") * F.col("m") / 2)).first()[0] or 0
+    tasks = int(min(1 + pairs // TASK_PAIRS, MOST_TASKS))
+    # of so many rows in all, few groups are that large
+    large = sizes.where(F.col("m") > RUN).select(key, F.ceil(F.col("m") / RUN).cast("int").alias("_runs"))
+    known = rows.join(F.broadcast(large), key, "left").withColumn("_runs", F.coalesce("_runs", F.lit(1)))
+    x = known.withColumn("_run", F.pmod(F.xxhash64("p"), F.col("_runs")).cast("int")).drop("_runs").repartition(tasks, key, "_run")
+    y = known.withColumn("_run", F.explode(F.sequence(F.lit(0), F.col("_runs") - 1))).drop("_runs").repartition(tasks, key, "_run")
+    return x.alias("x").join(y.alias("y"), F.expr(f"x.{key} = y.{key} AND x._run = y._run AND x.p < y.p"))
+
+
 def _with_heads(papers: DataFrame, compose: bool) -> DataFrame:
     """p, d (lower-case DOI), h (the first paper with the same normalised title, null without one) and, at that paper, _t; written out."""
     rows = materialise(_prepared(papers, ("_pos",), compose).select(F.col("_at._pos").alias("p"), F.lower("doi").alias("d"), "_t"), "papers")

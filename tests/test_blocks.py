@@ -135,3 +135,15 @@ def test_groups_have_a_partition_each(spark):
         numbers = blocks._apart(spark, n)
         rows = spark.createDataFrame([(g,) for g in numbers], "g int").repartition(n, "g")
         assert rows.select(F.spark_partition_id()).distinct().count() == n
+
+
+def test_pairs_of_one_doi_are_listed_by_many_tasks(spark, monkeypatch):
+    """All pairs of all DOIs were left to as few tasks as their rows have bytes for, those of one DOI to one."""
+    monkeypatch.setattr(dedup, "RUN", 12)
+    monkeypatch.setattr(dedup, "TASK_PAIRS", 100)
+    rows = [(k, "10.1/A" if k % 2 else "10.1/a" if k % 5 else "", f"title {k} of {k * k}" if k % 3 else "") for k in range(100)]
+    found = dedup.find_duplicates(_frame(spark, rows)).where("similarity = 1").withColumn("part", F.spark_partition_id()).collect()
+    doi = [k for k, d, _ in rows if d]
+    assert sorted((r.pos_a, r.pos_b) for r in found) == [(a, b) for a in doi for b in doi if a < b]
+    parts = [r.part for r in found]
+    assert max(parts.count(k) for k in set(parts)) * 2 < len(parts)
